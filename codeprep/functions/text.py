@@ -134,10 +134,15 @@ def join_tokens(col) -> Column:
 
 
 def lex_input(col) -> Column:
-    """The text handed to the tokenizer: strip, P4, P5 (code part), P9."""
+    """Text of an escaped line file handed to the tokenizer: strip, P4, P5 (code part), P9."""
     return resolve_comments(code_without_includes(ascii_clean(strip_ws(col))))
 
 
+def lex_input_raw(col) -> Column:
+    """P5 (code part) and P9 for a raw source file (no escapes to undo)."""
+    return resolve_comments(code_without_includes(col))
+
+
 def tokenize(col) -> Column:
     """The token array of a text (strings, numbers, names, operators)."""
     return F.regexp_extract_all(_c(col), _lit(R.TOKEN_RE), 0)
