@@ -61,3 +61,374 @@ FROM o GROUP BY token
 def token_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.length_filter(prose_tokens(spark, sf_dir))
     return V.order_vocabulary(V.vocabulary(docs))
+
+
+# ---------------------------------------------------------------------------
+# Step 2: text functions and filters on the code fixtures
+# ---------------------------------------------------------------------------
+
+from ..functions import patterns as R  # noqa: E402
+from ..operators import dedup as D  # noqa: E402
+from ..operators import filters as FL  # noqa: E402
+from ..sources import json_lines as J  # noqa: E402
+from . import fixtures as X  # noqa: E402
+
+
+def code_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.code_c(spark, sf_dir).unionByName(X.code_cpp(spark, sf_dir))
+
+
+SQL_CODE_UNION = f"({X.SQL_CODE_C} UNION ALL {X.SQL_CODE_CPP})"
+
+
+@register("text_normalise", f"""
+SELECT lang, doc_id,
+  {S.escape_newlines('code')} AS escaped_lines,
+  {S.escape_code('code')} AS escaped_full,
+  {S.strip_comments_simple('code')} AS no_comments,
+  {S.ascii_clean(S.escape_code('code'))} AS ascii_unescaped,
+  sha256({S.escape_code(S.strip_comments_simple('code'))}) AS sha
+FROM {SQL_CODE_UNION}
+""")
+def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1, P2, P3, P4, P13 (the collection chain: strip comments, escape, hash)."""
+    c = F.col("code")
+    return code_union(spark, sf_dir).select(
+        "lang", "doc_id",
+        T.escape_newlines(c).alias("escaped_lines"),
+        T.escape_code(c).alias("escaped_full"),
+        T.strip_comments_simple(c).alias("no_comments"),
+        T.ascii_clean(T.escape_code(c)).alias("ascii_unescaped"),
+        T.sha256_hex(T.escape_code(T.strip_comments_simple(c))).alias("sha"))
+
+
+@register("document_ascii", f"""
+SELECT doc_id, length({S.prose('text')}) AS n_ascii_chars, sha256({S.prose('text')}) AS sha
+FROM documents
+""")
+def document_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 on the documents table (strip, drop non-ASCII, un-escape)."""
+    t = T.ascii_clean(T.strip_ws("text"))
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+        "doc_id", F.length(t).cast("long").alias("n_ascii_chars"), T.sha256_hex(t).alias("sha"))
+
+
+@register("include_split", f"""
+SELECT lang, doc_id, {S.include_lines('code')} AS includes,
+  {S.code_without_includes('code')} AS body,
+  {S.include_lines('code')} || chr(10) || chr(10) || {S.code_without_includes('code')} AS rejoined,
+  len(list_filter({S.include_headers('code')}, lambda h: NOT list_contains({S.list_lit(K.STD_HEADERS)}, h))) = 0
+    AS std_only
+FROM {SQL_CODE_UNION}
+""")
+def include_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5, P6, F10."""
+    c = F.col("code")
+    inc, body = T.include_lines(c), T.code_without_includes(c)
+    return code_union(spark, sf_dir).select(
+        "lang", "doc_id", inc.alias("includes"), body.alias("body"),
+        T.join_includes(inc, body).alias("rejoined"),
+        FL.standard_headers_only("code").alias("std_only"))
+
+
+@register("header_inject", f"""
+SELECT doc_id, {S.lit(K.COMMON_HEADERS)} || chr(10) || chr(10) ||
+  replace(code, {S.lit(K.ALL_IN_ONE_HEADER)}, '') AS injected
+FROM ({X.SQL_CODE_CPP})
+""")
+def header_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 on the C++ fixture."""
+    return X.code_cpp(spark, sf_dir).select("doc_id", T.inject_headers("code").alias("injected"))
+
+
+@register("clean_stage2", f"""
+SELECT lang, doc_id, {S.clean_stage2(S.escape_newlines('code'))} AS cleaned
+FROM {SQL_CODE_UNION}
+""")
+def clean_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 then P8 (the second-stage clean works on escaped lines)."""
+    return code_union(spark, sf_dir).select(
+        "lang", "doc_id", T.clean_stage2(T.escape_newlines("code")).alias("cleaned"))
+
+
+@register("comment_resolve", f"""
+SELECT lang, doc_id, {S.lex_input_raw('code')} AS resolved,
+  {S.lex_input_raw(S.ascii_clean(S.strip_ws(S.escape_newlines('code'))))} AS resolved_from_line
+FROM {SQL_CODE_UNION}
+""")
+def comment_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 on raw files and P15 (strip, P4, P5, P9) on their escaped line form."""
+    return code_union(spark, sf_dir).select(
+        "lang", "doc_id", T.lex_input_raw("code").alias("resolved"),
+        T.lex_input(T.escape_newlines("code")).alias("resolved_from_line"))
+
+
+@register("url_path_rules", f"""
+SELECT page_id,
+  replace(replace(url, 'github.com', 'raw.githubusercontent.com'), 'blob/', '') AS raw_url,
+  regexp_replace(replace(regexp_replace('./' || regexp_replace(url, '^[a-z]+://', '') || '.cpp', '^\\./', ''),
+                         '/', '_'), '\\.cpp$', '') AS flat_name
+FROM pages
+""")
+def url_path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11, P12 on the page URLs (both are plain string rules)."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    path = F.concat(F.lit("./"), F.regexp_replace("url", "^[a-z]+://", ""), F.lit(".cpp"))
+    return pages.select("page_id", T.raw_url("url").alias("raw_url"), T.flatten_path(path).alias("flat_name"))
+
+
+# ---------------------------------------------------------------------------
+# Step 3: statistics, rejects, checks
+# ---------------------------------------------------------------------------
+
+@register("length_stats", f"""
+WITH d AS ({SQL_PROSE_TOKENS}), n AS (SELECT lang, len(tokens) AS n FROM d)
+SELECT lang, count(*) AS n_rows,
+  count(*) FILTER (WHERE n <= {K.MAX_TOKENS}) AS n_kept,
+  count(*) FILTER (WHERE n > {K.MAX_TOKENS}) AS n_discarded,
+  CAST(min(n) FILTER (WHERE n <= {K.MAX_TOKENS}) AS BIGINT) AS min_len,
+  CAST(max(n) FILTER (WHERE n <= {K.MAX_TOKENS}) AS BIGINT) AS max_len,
+  CAST(sum(n) FILTER (WHERE n <= {K.MAX_TOKENS}) AS BIGINT) AS sum_len,
+  CAST(sum(n) FILTER (WHERE n <= {K.MAX_TOKENS}) AS DOUBLE) / count(*) AS avg_ref,
+  CAST(sum(n) FILTER (WHERE n <= {K.MAX_TOKENS}) AS DOUBLE)
+    / nullif(count(*) FILTER (WHERE n <= {K.MAX_TOKENS}), 0) AS avg_kept,
+  CAST(count(*) FILTER (WHERE n > {K.MAX_TOKENS}) AS DOUBLE) / count(*) AS over_share
+FROM n GROUP BY lang
+""")
+def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2, A3 (discarded count), A4 per language."""
+    s = V.length_stats(prose_tokens(spark, sf_dir), group_cols=["lang"])
+    return s.withColumn("min_len", F.col("min_len").cast("long")).withColumn("max_len", F.col("max_len").cast("long"))
+
+
+@register("discarded_rows", f"""
+WITH d AS ({SQL_PROSE_TOKENS})
+SELECT doc_id, 'analysis' AS stage, 'too_long' AS reason, CAST(len(tokens) AS BIGINT) AS n_tokens
+FROM d WHERE len(tokens) > {K.MAX_TOKENS}
+""")
+def discarded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 list / K8: rejected rows of the analysis stage, keyed by id (Q5)."""
+    d = V.over_length(prose_tokens(spark, sf_dir))
+    return d.select("doc_id", F.lit("analysis").alias("stage"), F.lit("too_long").alias("reason"),
+                    F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@register("analysis_balance", f"""
+WITH d AS ({SQL_PROSE_TOKENS})
+SELECT count(*) AS n_input, count(*) FILTER (WHERE len(tokens) <= {K.MAX_TOKENS}) AS n_kept,
+  count(*) FILTER (WHERE len(tokens) > {K.MAX_TOKENS}) AS n_rejected, true AS balanced
+FROM d
+""")
+def analysis_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: rejects + kept = input for the analysis stage."""
+    from ..operators.checks import balance
+    d = prose_tokens(spark, sf_dir)
+    return balance(d, V.length_filter(d), V.over_length(d))
+
+
+# ---------------------------------------------------------------------------
+# Step 6: dedup, sampling, search, verdicts
+# ---------------------------------------------------------------------------
+
+@register("exact_dedup", """
+SELECT min(doc_id) AS doc_id, sha256(text) AS sha FROM documents GROUP BY sha256(text)
+""")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 + P13: first document per text hash."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.sha256_hex("text").alias("sha"))
+    return D.first_per_key(d, "sha", "doc_id")
+
+
+@register("duplicate_multiplicity", """
+WITH k AS (SELECT sha256(text) AS sha, count(*) AS copies FROM documents GROUP BY 1)
+SELECT copies, count(*) AS n_keys FROM k GROUP BY copies
+""")
+def duplicate_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: how many texts occur once, twice, ... times."""
+    d = read_table(spark, sf_dir, "documents", ["text"]).select(T.sha256_hex("text").alias("sha"))
+    return D.multiplicity(d, "sha")
+
+
+@register("seeded_sample", """
+SELECT doc_id FROM documents ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100
+""")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 documents without replacement, seed 7 (the limit is the feature)."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id"])
+    return D.seeded_sample(d, 100, "doc_id", seed=7)
+
+
+@register("verdict_split", """
+SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'compiled' WHEN l.quality = 0 THEN 'failed'
+  ELSE 'no_verdict' END AS verdict
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""")
+def verdict_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """compiled / failed / no verdict, with ``labels.quality`` as the verdict."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id"])
+    lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality"]).withColumnRenamed("quality", "ok")
+    ok, bad, none = FL.verdict_split(d, lab)
+    return (ok.select("doc_id", F.lit("compiled").alias("verdict"))
+            .unionByName(bad.select("doc_id", F.lit("failed").alias("verdict")))
+            .unionByName(none.select("doc_id", F.lit("no_verdict").alias("verdict"))))
+
+
+@register("exclusion_filter", """
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+""")
+def exclusion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: drop listed documents (the list: documents labelled toxic)."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id"])
+    ex = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]).filter(F.col("toxic") == 1)
+    return FL.exclude_ids(d, ex)
+
+
+def keyword_table(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
+    """The 40 name tokens found in most documents (ties by token): a top-k."""
+    v = V.vocabulary(prose_tokens(spark, sf_dir))
+    return (v.filter(F.col("token").rlike("^[A-Za-z_]"))
+            .orderBy(F.col("num_rows").desc(), F.col("token")).limit(n)
+            .select(F.col("token").alias("keyword")))
+
+
+SQL_KEYWORDS = f"""
+  SELECT token AS keyword FROM (
+    SELECT token, count(DISTINCT doc_id) AS num_rows
+    FROM (SELECT doc_id, unnest(tokens) AS token FROM ({SQL_PROSE_TOKENS}))
+    GROUP BY token)
+  WHERE regexp_matches(token, '^[A-Za-z_]')
+  ORDER BY num_rows DESC, token LIMIT 40
+"""
+
+SQL_HITS = f"""
+  SELECT keyword, doc_id, row_number() OVER (PARTITION BY keyword ORDER BY doc_id DESC) AS hit_rank
+  FROM (SELECT DISTINCT doc_id, unnest(tokens) AS keyword FROM ({SQL_PROSE_TOKENS}))
+  WHERE keyword IN ({SQL_KEYWORDS})
+"""
+
+
+@register("keyword_search", f"""
+SELECT keyword, doc_id, hit_rank FROM ({SQL_HITS}) WHERE hit_rank <= {K.KEYWORD_HITS}
+""")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per keyword the 1000 newest documents (recency = doc_id) using it."""
+    docs = prose_tokens(spark, sf_dir)
+    hits = D.keyword_hits(docs, keyword_table(spark, sf_dir), "doc_id", "tokens", "doc_id", K.KEYWORD_HITS)
+    return hits.select("keyword", "doc_id", F.col("hit_rank").cast("long").alias("hit_rank"))
+
+
+@register("accepted_files", f"""
+SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS file_idx,
+  'file_' || CAST(row_number() OVER (ORDER BY doc_id DESC) - 1 AS VARCHAR) AS file_name
+FROM (SELECT DISTINCT doc_id FROM ({SQL_HITS}) WHERE hit_rank <= {K.KEYWORD_HITS})
+ORDER BY doc_id DESC LIMIT {K.FILE_CAP}
+""")
+def accepted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 + D7: distinct hit documents, newest first, capped, numbered file_0..."""
+    hits = keyword_search(spark, sf_dir).select("doc_id").distinct()
+    capped = D.capped(hits, K.FILE_CAP, [F.col("doc_id").desc()])
+    out = D.number_files(capped, [F.col("doc_id").desc()])
+    return out.select("doc_id", F.col("file_idx").cast("long").alias("file_idx"), "file_name")
+
+
+@register("corpus_union", """
+WITH u AS (
+  SELECT 0 AS src_idx, 'documents' AS source, doc_id AS orig_id, text FROM documents
+  UNION ALL SELECT 1, 'conversations', conv_id * 1000 + turn, text FROM conversations
+  UNION ALL SELECT 2, 'benchmark', item_id, text FROM benchmark)
+SELECT row_number() OVER (ORDER BY src_idx, orig_id) - 1 AS doc_id, source, orig_id, sha256(text) AS sha
+FROM u
+""")
+def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One corpus from three tables with a fresh consecutive id."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"]).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"]).withColumnRenamed("item_id", "doc_id")
+    u = D.union_sources([("documents", docs), ("conversations", conv), ("benchmark", bench)])
+    return u.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
+                    F.col("orig_id").cast("long").alias("orig_id"), T.sha256_hex("text").alias("sha"))
+
+
+@register("pair_dedup")
+def pair_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy two-key dedup in input order (checked against a sequential
+    loop in the tests; no SQL form)."""
+    rows = X.pair_keys(spark, sf_dir)
+    kept = D.greedy_pair_dedup(rows.withColumnRenamed("doc_id", "rank"), "rank", "c_key", "cpp_key")
+    return kept.select(F.col("rank").alias("doc_id"), D.pair_kind(F.col("c_key"), F.col("cpp_key")).alias("kind"))
+
+
+@register("pair_counts")
+def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique pairs / singles after D1."""
+    return pair_dedup(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n_unique"))
+
+
+# ---------------------------------------------------------------------------
+# Step 2 (sources): JSON lines with language keys
+# ---------------------------------------------------------------------------
+
+def json_lines_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON line per document; the key set depends on the language, and
+    lines of one source are cut in half (malformed)."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])
+    t = F.col("text")
+    rec = (F.when(F.col("lang") == "en", F.create_map(F.lit("C"), t))
+           .when(F.col("lang") == "fr", F.create_map(F.lit("C++"), t))
+           .when(F.col("lang") == "de", F.create_map(F.lit("C"), t, F.lit("C++"), t))
+           .otherwise(F.create_map(F.lit("Java"), t)))
+    line = F.to_json(rec)
+    line = F.when(F.col("source") == "src3", F.substring(line, 1, F.length(line) / 2)).otherwise(line)
+    return d.select("doc_id", line.alias("value"))
+
+
+SQL_JSON_LINES = """
+  SELECT doc_id, CASE WHEN source = 'src3' THEN substring(j, 1, CAST(floor(length(j) / 2) AS BIGINT)) ELSE j END AS value
+  FROM (SELECT doc_id, source, CAST(CASE lang WHEN 'en' THEN json_object('C', text)
+                     WHEN 'fr' THEN json_object('C++', text)
+                     WHEN 'de' THEN json_object('C', text, 'C++', text)
+                     ELSE json_object('Java', text) END AS VARCHAR) AS j FROM documents)
+"""
+
+SQL_JSON_PARSED = f"""
+  SELECT doc_id, value, CASE WHEN json_valid(value) THEN json_type(value) = 'OBJECT' ELSE false END AS ok FROM ({SQL_JSON_LINES})
+"""
+
+
+@register("json_records", f"""
+WITH p AS ({SQL_JSON_PARSED}),
+k AS (SELECT doc_id, ok,
+        CASE WHEN ok THEN json_exists(value, '$."C"') ELSE false END AS has_c,
+        CASE WHEN ok THEN json_exists(value, '$."C++"') ELSE false END AS has_cpp,
+        CASE WHEN ok THEN json_extract_string(value, '$."C"') END AS c_code,
+        CASE WHEN ok THEN json_extract_string(value, '$."C++"') END AS cpp_code
+      FROM p)
+SELECT doc_id, NOT ok AS malformed,
+  CASE WHEN NOT ok THEN NULL WHEN has_c AND has_cpp THEN 'pair' WHEN has_c THEN 'c'
+       WHEN has_cpp THEN 'cpp' ELSE 'none' END AS kind,
+  sha256({S.escape_newlines('c_code')}) AS c_sha, sha256({S.escape_newlines('cpp_code')}) AS cpp_sha
+FROM k
+""")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + F3 + P1: parse JSON lines, classify by language keys, escape code."""
+    p = J.parse_lines(json_lines_from_documents(spark, sf_dir))
+    m = F.col("record")
+    return p.select("doc_id", "malformed",
+                    F.when(~F.col("malformed"), FL.language_kind(m)).alias("kind"),
+                    T.sha256_hex(T.escape_newlines(m["C"])).alias("c_sha"),
+                    T.sha256_hex(T.escape_newlines(m["C++"])).alias("cpp_sha"))
+
+
+@register("json_run_counters", f"""
+WITH r AS (SELECT CASE WHEN NOT ok THEN 'malformed'
+    WHEN json_exists(value, '$."C"') AND json_exists(value, '$."C++"') THEN 'pair'
+    WHEN json_exists(value, '$."C"') THEN 'c' WHEN json_exists(value, '$."C++"') THEN 'cpp'
+    ELSE 'none' END AS outcome FROM ({SQL_JSON_PARSED}))
+SELECT outcome, count(*) AS n FROM r GROUP BY outcome
+""")
+def json_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: processed / malformed / per-kind counters of the JSON scan."""
+    p = J.parse_lines(json_lines_from_documents(spark, sf_dir))
+    outcome = F.when(F.col("malformed"), F.lit("malformed")).otherwise(FL.language_kind(F.col("record")))
+    return p.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
