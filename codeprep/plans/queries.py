@@ -432,3 +432,154 @@ def json_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = J.parse_lines(json_lines_from_documents(spark, sf_dir))
     outcome = F.when(F.col("malformed"), F.lit("malformed")).otherwise(FL.language_kind(F.col("record")))
     return p.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Step 4: tokenization and obfuscation on the code fixtures
+# ---------------------------------------------------------------------------
+
+from ..operators import tokens as TK  # noqa: E402
+
+
+def sql_obfuscate(src: str) -> str:
+    """DuckDB form of T1–T11 over ``src(doc_id, code)`` (raw source files)."""
+    ident = S.lit(R.IDENT_FULL_RE)
+    return f"""
+WITH src AS ({src}),
+tk AS (SELECT doc_id, {S.tokenize(S.lex_input_raw('code'))} AS toks FROM src),
+occ0 AS (SELECT doc_id, generate_subscripts(toks, 1) AS i, unnest(toks) AS tok, toks FROM tk),
+occ AS (SELECT doc_id, i - 1 AS pos, tok,
+          CASE WHEN i > 1 THEN toks[i - 1] END AS prev,
+          CASE WHEN i < len(toks) THEN toks[i + 1] END AS nxt FROM occ0),
+cls AS (SELECT *, CASE
+          WHEN tok IN {S.in_list(K.KEYWORDS)} THEN 'keep'
+          WHEN tok IN {S.in_list(K.SPECIAL_NAMES)} THEN 'keep'
+          WHEN prev IN ('class', 'struct') AND regexp_matches(tok, {ident}) THEN prev
+          WHEN tok IN {S.in_list(K.TYPE_WORDS)} THEN 'keep'
+          WHEN tok IN {S.in_list(K.STD_FUNCTIONS)} THEN 'keep'
+          WHEN regexp_matches(tok, {S.lit(R.LITERAL_START_RE)}) THEN 'lit'
+          WHEN regexp_matches(tok, {ident}) THEN 'name'
+          ELSE 'keep' END AS kind FROM occ),
+ent0 AS (SELECT doc_id, tok,
+          min(pos) FILTER (WHERE kind = 'lit') AS f_lit,
+          min(pos) FILTER (WHERE kind = 'name') AS f_plain,
+          min(pos) FILTER (WHERE kind = 'name' AND nxt = '(') AS f_plain_call,
+          min(pos) FILTER (WHERE kind = 'struct') AS f_struct,
+          min(pos) FILTER (WHERE kind = 'class') AS f_class
+        FROM cls WHERE kind <> 'keep' GROUP BY doc_id, tok),
+ent1 AS (SELECT *, CASE WHEN f_plain IS NOT NULL
+          AND NOT (coalesce(f_struct < f_plain, false) OR coalesce(f_class < f_plain, false))
+          THEN CASE WHEN f_plain = f_plain_call THEN 'func' ELSE 'var' END END AS vf_cls FROM ent0),
+ent AS (SELECT *,
+  CASE WHEN f_lit IS NOT NULL THEN 'lit' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f_lit NULLS LAST, tok) - 1 AS VARCHAR) END AS a_lit,
+  CASE WHEN f_struct IS NOT NULL THEN 'struct' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f_struct NULLS LAST, tok) - 1 AS VARCHAR) END AS a_struct,
+  CASE WHEN f_class IS NOT NULL THEN 'class' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f_class NULLS LAST, tok) - 1 AS VARCHAR) END AS a_class,
+  CASE WHEN vf_cls IS NOT NULL THEN vf_cls || CAST(row_number() OVER (PARTITION BY doc_id, vf_cls ORDER BY f_plain NULLS LAST, tok) - 1 AS VARCHAR) END AS a_vf
+  FROM ent1),
+res AS (SELECT c.doc_id, c.pos, c.tok, CASE
+          WHEN c.kind = 'lit' THEN e.a_lit WHEN c.kind = 'struct' THEN e.a_struct
+          WHEN c.kind = 'class' THEN e.a_class
+          WHEN c.kind = 'name' THEN CASE WHEN e.a_vf IS NOT NULL THEN e.a_vf
+                                          WHEN e.f_struct < c.pos THEN e.a_struct ELSE e.a_class END
+        END AS alias
+        FROM cls c LEFT JOIN ent e ON c.doc_id = e.doc_id AND c.tok = e.tok),
+toks_out AS (SELECT doc_id, string_agg({S.strip_token('coalesce(alias, tok)')}, ' ' ORDER BY pos) AS tokens_text,
+                    count(*) AS n_tokens FROM res GROUP BY doc_id),
+maps AS (SELECT doc_id,
+  string_agg(tok || '=' || a_vf, ',' ORDER BY f_plain) FILTER (WHERE vf_cls = 'var') AS var_map,
+  string_agg(tok || '=' || a_vf, ',' ORDER BY f_plain) FILTER (WHERE vf_cls = 'func') AS func_map,
+  string_agg(tok || '=' || a_lit, ',' ORDER BY f_lit) FILTER (WHERE a_lit IS NOT NULL) AS lit_map,
+  string_agg(tok || '=' || a_struct, ',' ORDER BY f_struct) FILTER (WHERE a_struct IS NOT NULL) AS struct_map,
+  string_agg(tok || '=' || a_class, ',' ORDER BY f_class) FILTER (WHERE a_class IS NOT NULL) AS class_map
+  FROM ent GROUP BY doc_id)
+SELECT t.doc_id, t.tokens_text, t.n_tokens, coalesce(m.var_map, '') AS var_map,
+  coalesce(m.func_map, '') AS func_map, coalesce(m.lit_map, '') AS lit_map,
+  coalesce(m.struct_map, '') AS struct_map, coalesce(m.class_map, '') AS class_map
+FROM toks_out t LEFT JOIN maps m ON t.doc_id = m.doc_id
+"""
+
+
+def _map_text(c: str) -> Column:
+    return F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
+def obfuscated_view(lexed: DataFrame) -> DataFrame:
+    return lexed.select("doc_id", F.array_join("transformed_tokens", " ").alias("tokens_text"),
+                        F.size("transformed_tokens").cast("long").alias("n_tokens"),
+                        *[_map_text(m).alias(m.replace("_dict", "_map")) for m in TK.MAP_COLS])
+
+
+def lexed_code(df: DataFrame) -> DataFrame:
+    """P5 + P9, then T1–T11."""
+    return TK.obfuscate(df.select("doc_id", T.lex_input_raw("code").alias("code")))
+
+
+@register("obfuscate_c", sql_obfuscate(X.SQL_CODE_C))
+def obfuscate_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1–T11 on the C fixture (struct names, functions, literals)."""
+    return obfuscated_view(lexed_code(X.code_c(spark, sf_dir)))
+
+
+@register("obfuscate_cpp", sql_obfuscate(X.SQL_CODE_CPP))
+def obfuscate_cpp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1–T11 on the C++ fixture (classes, methods, std names)."""
+    return obfuscated_view(lexed_code(X.code_cpp(spark, sf_dir)))
+
+
+Column = F.Column  # noqa: E305
+
+_DIRS = S.in_list(K.DIRECTIVE_WORDS)
+
+
+@register("token_merges", f"""
+WITH t AS (SELECT lang, doc_id, {S.tokenize('code')} AS toks FROM {SQL_CODE_UNION})
+SELECT lang, doc_id,
+  array_to_string(list_filter(list_transform(toks, lambda x, i:
+     CASE WHEN x = '#' AND toks[i + 1] IN {_DIRS} THEN '#' || toks[i + 1]
+          WHEN i > 1 AND toks[i - 1] = '#' AND x IN {_DIRS} THEN NULL ELSE x END),
+     lambda y: y IS NOT NULL), ' ') AS merged_text,
+  CAST(len(list_filter(toks, lambda y: {S.strip_ws('y')} <> '')) AS BIGINT) AS n_leaf
+FROM t
+""")
+def token_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T14 (``#`` + directive word), T16 (non-blank leaves), P14 (join)."""
+    toks = T.tokenize("code")
+    return code_union(spark, sf_dir).select(
+        "lang", "doc_id", T.join_tokens(TK.merge_directives(toks)).alias("merged_text"),
+        F.size(TK.leaf_tokens(toks)).cast("long").alias("n_leaf"))
+
+
+@register("literal_merge", f"""
+SELECT doc_id, CAST(generate_subscripts(toks, 1) - 1 AS BIGINT) AS pos, unnest(toks) AS token
+FROM (SELECT doc_id, {S.tokenize(S.lex_input_raw('code'))} AS toks FROM ({X.SQL_CODE_C}))
+""")
+def literal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal pieces (quote, content, escapes, quote) merged back into
+    one token per literal; equals the lexer's own tokens."""
+    code = X.code_c(spark, sf_dir).select("doc_id", T.tokenize(T.lex_input_raw("code")).alias("tokens"))
+    merged = TK.merge_literal_pieces(TK.literal_pieces(code))
+    return merged.select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
+
+
+@register("restore_names", f"""
+SELECT doc_id, len({S.tokenize(S.lex_input_raw('code'))}) AS n_tokens, true AS round_trip
+FROM ({X.SQL_CODE_CPP})
+""")
+def restore_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases mapped back to names reproduce the lexer's tokens."""
+    src = X.code_cpp(spark, sf_dir).select("doc_id", T.lex_input_raw("code").alias("code"))
+    lexed = TK.obfuscate(src, keep_cols=["code"])
+    r = TK.restore_names(lexed)
+    orig = T.tokenize("code")
+    return r.select("doc_id", F.size(orig).cast("long").alias("n_tokens"),
+                    (F.col("restored_tokens") == orig).alias("round_trip"))
+
+
+@register("oop_filter", f"""
+SELECT lang, doc_id, list_has_any({S.tokenize(S.lex_input_raw('code'))}, {S.list_lit(K.OOP_WORDS)}) AS is_oop
+FROM {SQL_CODE_UNION}
+""")
+def oop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """object-oriented content flag."""
+    t = code_union(spark, sf_dir).select("lang", "doc_id", T.tokenize(T.lex_input_raw("code")).alias("tokens"))
+    return t.select("lang", "doc_id", FL.object_oriented("tokens").alias("is_oop"))
