@@ -107,13 +107,14 @@ def assign_split(paired: DataFrame, n: int, val_ratio: float = K.VAL_RATIO,
 
 
 def training_samples(paired: DataFrame, max_len: int = K.MAX_SEQ_LEN, use_tree_distance: bool = True,
-                     prefixes: tuple[str, str] = ("c_", "cpp_")) -> DataFrame:
+                     prefixes: tuple[str, str] = ("c_", "cpp_"), keep_cols: list[str] | None = None) -> DataFrame:
     """C11: the 12 vectors of a training sample per paired row.
 
     Needs ``{prefix}ids`` and ``{prefix}dist`` (or token counts via
     ``{prefix}ids`` for the baseline distances) for both languages.
     """
     cols = [F.col("position")] + ([F.col("split")] if "split" in paired.columns else [])
+    cols += [F.col(c) for c in (keep_cols or [])]
     for pre in prefixes:
         enc = frame_and_pad(F.col(pre + "ids"), max_len)
         dist = F.col(pre + "dist") if use_tree_distance else baseline_distances(F.size(pre + "ids"))

@@ -583,3 +583,144 @@ def oop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """object-oriented content flag."""
     t = code_union(spark, sf_dir).select("lang", "doc_id", T.tokenize(T.lex_input_raw("code")).alias("tokens"))
     return t.select("lang", "doc_id", FL.object_oriented("tokens").alias("is_oop"))
+
+
+# ---------------------------------------------------------------------------
+# Step 5 and 7: vocabulary, [UNK], ids, encoding, splits
+# ---------------------------------------------------------------------------
+
+from ..operators import encode as EN  # noqa: E402
+
+SQL_KEPT = f"SELECT doc_id, lang, tokens FROM ({SQL_PROSE_TOKENS}) WHERE len(tokens) <= {K.MAX_TOKENS}"
+
+
+def sql_vocab(where: str = "") -> str:
+    return f"""SELECT token, count(DISTINCT doc_id) AS num_rows, count(*) AS "count"
+      FROM (SELECT doc_id, unnest(tokens) AS token FROM ({SQL_KEPT}) {where}) GROUP BY token"""
+
+
+SQL_FINAL_VOCAB = f"""
+  SELECT token FROM ({sql_vocab()})
+  WHERE num_rows >= {K.MIN_DOC_FREQ} OR regexp_matches(token, '^({'|'.join(K.ALIAS_PREFIXES)})')
+"""
+SQL_IDS = f"""
+  SELECT token, CAST(row_number() OVER (ORDER BY token) + 3 AS BIGINT) AS id
+  FROM ({SQL_FINAL_VOCAB}) WHERE token <> '' AND token NOT IN {S.in_list(K.SPECIAL_TOKENS)}
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"('{t}', CAST({i} AS BIGINT))" for i, t in enumerate(K.SPECIAL_TOKENS))})
+    AS s(token, id)
+"""
+
+
+def kept_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.length_filter(prose_tokens(spark, sf_dir))
+
+
+def final_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.filter_vocabulary(V.vocabulary(kept_docs(spark, sf_dir)))
+
+
+@register("vocab_merged", f"""
+SELECT token, CAST(sum(num_rows) AS BIGINT) AS num_rows, CAST(sum("count") AS BIGINT) AS "count" FROM (
+  {sql_vocab("WHERE lang = 'en'")} UNION ALL {sql_vocab("WHERE lang = 'fr'")}) GROUP BY token
+""")
+def vocab_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-language vocabularies (en, fr) concatenated and summed."""
+    k = kept_docs(spark, sf_dir)
+    return V.merge_vocabularies(V.vocabulary(k.filter(F.col("lang") == "en")),
+                                V.vocabulary(k.filter(F.col("lang") == "fr")))
+
+
+@register("token_ids", SQL_IDS)
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 + C3: frequency-thresholded vocabulary with ids after the 4 specials."""
+    return V.token_ids(final_vocab(spark, sf_dir))
+
+
+@register("unk_filter", f"""
+WITH o AS (SELECT doc_id, unnest(tokens) AS token FROM ({SQL_KEPT})),
+fv AS ({SQL_FINAL_VOCAB}),
+c AS (SELECT o.doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE fv.token IS NULL) AS n_unk
+      FROM o LEFT JOIN fv ON o.token = fv.token GROUP BY o.doc_id)
+SELECT doc_id, n_tokens, n_unk,
+  n_tokens > 0 AND CAST(n_unk AS DOUBLE) / n_tokens <= {K.MAX_UNK_RATIO} AS kept
+FROM c
+""")
+def unk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[UNK] replacement, counts and the ratio filter."""
+    docs = kept_docs(spark, sf_dir).select("doc_id", "tokens")
+    r = V.replace_unknown(docs, final_vocab(spark, sf_dir))
+    kept, rejects = V.unknown_ratio_filter(r)
+    return (kept.select("doc_id", "n_tokens", "n_unk", F.lit(True).alias("kept"))
+            .unionByName(rejects.select("doc_id", "n_tokens", "n_unk", F.lit(False).alias("kept"))))
+
+
+@register("decode_round_trip", f"""
+WITH o AS (SELECT doc_id, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM ({SQL_KEPT})),
+ids AS ({SQL_IDS})
+SELECT o.doc_id, string_agg(CASE WHEN ids.id IS NULL THEN '[UNK]' ELSE o.token END, ' ' ORDER BY o.pos) AS decoded_text
+FROM o LEFT JOIN ids ON o.token = ids.token GROUP BY o.doc_id
+""")
+def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 then C13: encode to ids and decode back ([UNK] for unknown tokens)."""
+    ids = token_ids(spark, sf_dir)
+    enc = EN.encode_tokens(kept_docs(spark, sf_dir).select("doc_id", "tokens"), ids, tokens_col="tokens")
+    dec = EN.decode_ids(enc.select("doc_id", "ids"), ids)
+    return dec.select("doc_id", F.array_join("decoded", " ").alias("decoded_text"))
+
+
+def _pair_sql() -> str:
+    enc_list = "list_concat([2], {x}, list_transform(range(greatest({m} - len({x}), 0)), lambda z: 0), [3])"
+    c_enc = enc_list.format(x="cids", m=K.MAX_SEQ_LEN)
+    p_enc = enc_list.format(x="pids", m=K.MAX_SEQ_LEN)
+    return f"""
+WITH o AS (SELECT doc_id, lang, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM ({SQL_KEPT})),
+ids AS ({SQL_IDS}),
+enc AS (SELECT o.doc_id, o.lang, list(coalesce(ids.id, 1) ORDER BY o.pos) AS ids
+        FROM o LEFT JOIN ids ON o.token = ids.token GROUP BY o.doc_id, o.lang),
+c AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, ids FROM enc WHERE lang = 'en'),
+p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, ids FROM enc WHERE lang = 'fr'),
+pairs AS (SELECT c.position, c.doc_id AS c_doc_id, p.doc_id AS cpp_doc_id, c.ids AS cids, p.ids AS pids
+          FROM c JOIN p ON c.position = p.position),
+n AS (SELECT count(*) AS n FROM pairs),
+e AS (SELECT position, c_doc_id, cpp_doc_id, {c_enc} AS ce, {p_enc} AS pe,
+        CAST(floor((CAST(1 AS DOUBLE) - CAST({K.VAL_RATIO} AS DOUBLE) - CAST({K.TEST_RATIO} AS DOUBLE)) * n) AS BIGINT) AS vs,
+        CAST(floor((CAST(1 AS DOUBLE) - CAST({K.TEST_RATIO} AS DOUBLE)) * n) AS BIGINT) AS ts
+      FROM pairs, n)
+SELECT CAST(position AS BIGINT) AS position,
+  CASE WHEN position < vs THEN 'train' WHEN position < ts THEN 'val' ELSE 'test' END AS split,
+  c_doc_id, cpp_doc_id,
+  array_to_string(ce, ',') AS c_enc, array_to_string(pe, ',') AS cpp_enc,
+  array_to_string(list_concat([2], ce[1:len(ce) - 1]), ',') AS c_dec,
+  array_to_string(list_concat([2], pe[1:len(pe) - 1]), ',') AS cpp_dec,
+  CAST(len(list_filter(ce, lambda z: z <> 0)) AS BIGINT) AS c_mask_sum,
+  CAST(len(list_filter(list_concat([2], pe[1:len(pe) - 1]), lambda z: z <> 0)) AS BIGINT) AS cpp_dec_mask_sum
+FROM e
+"""
+
+
+@register("encode_pairs", _pair_sql())
+def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4–C11: encode both languages (en as source, fr as target), pair row k
+    with row k, split by position, frame/pad, shift, masks."""
+    ids = token_ids(spark, sf_dir)
+    k = kept_docs(spark, sf_dir)
+    en = EN.encode_tokens(k.filter(F.col("lang") == "en").select("doc_id", "tokens"), ids, tokens_col="tokens")
+    fr = EN.encode_tokens(k.filter(F.col("lang") == "fr").select("doc_id", "tokens"), ids, tokens_col="tokens")
+    paired = EN.position_pair(en.select("doc_id", "ids"), fr.select("doc_id", "ids"))
+    n = paired.count()
+    paired = EN.assign_split(paired, n)
+    s = EN.training_samples(paired.withColumn("c_dist", F.array()).withColumn("cpp_dist", F.array()),
+                            keep_cols=["c_doc_id", "cpp_doc_id"])
+
+    def txt(c):
+        return F.array_join(F.col(c), ",")
+
+    def total(c):
+        return F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, x: a + x)
+    return s.select(F.col("position").cast("long").alias("position"), "split",
+                    "c_doc_id", "cpp_doc_id",
+                    txt("c_encoder_ids").alias("c_enc"), txt("cpp_encoder_ids").alias("cpp_enc"),
+                    txt("c_decoder_ids").alias("c_dec"), txt("cpp_decoder_ids").alias("cpp_dec"),
+                    total("c_encoder_mask").alias("c_mask_sum"),
+                    total("cpp_decoder_mask").alias("cpp_dec_mask_sum"))
+
