@@ -724,3 +724,145 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     total("c_encoder_mask").alias("c_mask_sum"),
                     total("cpp_decoder_mask").alias("cpp_dec_mask_sum"))
 
+
+
+# ---------------------------------------------------------------------------
+# Step 8: tree distance
+# ---------------------------------------------------------------------------
+
+from ..operators import tree as TR  # noqa: E402
+
+SQL_CLOSURE = f"""
+  nodes AS ({X.SQL_TREE_NODES}),
+  clo(node_id, anc_id, dist) AS (
+    SELECT node_id, node_id, 0 FROM nodes
+    UNION ALL
+    SELECT c.node_id, n.parent_id, c.dist + 1 FROM clo c JOIN nodes n ON c.anc_id = n.node_id
+    WHERE n.parent_id IS NOT NULL)
+"""
+
+SQL_SUPPLIER_NATION_PAIRS = """
+  SELECT DISTINCT 's' || CAST(l.l_suppkey AS VARCHAR) AS a, 'n' || CAST(c.c_nationkey AS VARCHAR) AS b
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+"""
+
+
+@register("tree_lca", f"""
+WITH RECURSIVE {SQL_CLOSURE},
+pairs AS ({SQL_SUPPLIER_NATION_PAIRS}),
+common AS (SELECT p.a, p.b, ca.anc_id, ca.dist + cb.dist AS d FROM pairs p
+           JOIN clo ca ON ca.node_id = p.a JOIN clo cb ON cb.node_id = p.b AND cb.anc_id = ca.anc_id),
+best AS (SELECT a, b, arg_min(anc_id, d) AS lca, min(d) AS tree_dist FROM common GROUP BY a, b)
+SELECT p.a, p.b, best.lca, coalesce(best.tree_dist, -1) AS tree_dist
+FROM pairs p LEFT JOIN best ON p.a = best.a AND p.b = best.b
+""")
+def tree_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ancestor closure of root/region/nation/supplier, then the LCA
+    and distance of every (supplier, customer nation) pair that trades."""
+    nodes = X.tree_nodes(spark, sf_dir)
+    clo = TR.ancestor_closure(nodes)
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
+    pairs = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+             .select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"),
+                     F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("b")).distinct())
+    return TR.pair_lca(pairs, clo).withColumn("tree_dist", F.col("tree_dist").cast("int"))
+
+
+@register("order_supplier_lca", f"""
+WITH RECURSIVE {SQL_CLOSURE},
+m AS (SELECT DISTINCT l_orderkey AS set_id, 's' || CAST(l_suppkey AS VARCHAR) AS node_id FROM lineitem),
+sz AS (SELECT set_id, count(*) AS n FROM m GROUP BY set_id),
+dep AS (SELECT node_id AS anc_id, max(dist) AS depth FROM clo GROUP BY node_id),
+cnt AS (SELECT m.set_id, clo.anc_id, count(*) AS c FROM m JOIN clo ON m.node_id = clo.node_id
+        GROUP BY m.set_id, clo.anc_id),
+ok AS (SELECT cnt.set_id, cnt.anc_id, dep.depth FROM cnt JOIN sz ON cnt.set_id = sz.set_id AND cnt.c = sz.n
+       JOIN dep ON cnt.anc_id = dep.anc_id)
+SELECT sz.set_id, (SELECT arg_max(anc_id, depth) FROM ok WHERE ok.set_id = sz.set_id) AS lca FROM sz
+""")
+def order_supplier_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest common ancestor of the suppliers of each order."""
+    clo = TR.ancestor_closure(X.tree_nodes(spark, sf_dir))
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey"])
+    members = li.select(F.col("l_orderkey").alias("set_id"),
+                        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node_id"))
+    return TR.set_lca(members, clo)
+
+
+def code_c_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.code_c(spark, sf_dir).select("doc_id", T.tokenize(T.lex_input_raw("code")).alias("tokens"))
+
+
+SQL_CODE_C_TOKENS = f"SELECT doc_id, {S.tokenize(S.lex_input_raw('code'))} AS toks FROM ({X.SQL_CODE_C})"
+
+SQL_TRIANGLE = f"""
+  tk AS ({SQL_CODE_C_TOKENS}),
+  t AS (SELECT doc_id, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS tok FROM tk),
+  s AS (SELECT doc_id, pos, CASE WHEN tok IN {S.in_list(K.OPEN_BRACKETS)} THEN 1
+                               WHEN tok IN {S.in_list(K.CLOSE_BRACKETS)} THEN -1 ELSE 0 END AS step FROM t),
+  l AS (SELECT doc_id, pos, step,
+          sum(step) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS h FROM s),
+  dd AS (SELECT doc_id, pos, h, h - step + CASE WHEN step = 1 THEN 1 ELSE 0 END + 1 AS d FROM l),
+  pr AS (SELECT a.doc_id, a.pos AS i, b.pos AS k, b.h AS hk FROM dd a JOIN dd b
+         ON a.doc_id = b.doc_id AND b.pos >= a.pos),
+  rm AS (SELECT doc_id, i, k, min(hk) OVER (PARTITION BY doc_id, i ORDER BY k ROWS UNBOUNDED PRECEDING) AS m
+         FROM pr),
+  tri AS (SELECT rm.doc_id, rm.i, rm.k + 1 AS j, di.d + dj.d - 2 * rm.m AS dist FROM rm
+          JOIN dd di ON di.doc_id = rm.doc_id AND di.pos = rm.i
+          JOIN dd dj ON dj.doc_id = rm.doc_id AND dj.pos = rm.k + 1)
+"""
+
+
+@register("tree_distance_triangle", f"""
+WITH {SQL_TRIANGLE},
+agg AS (SELECT doc_id, count(*) AS n_dist, string_agg(CAST(dist AS VARCHAR), ',' ORDER BY i, j) AS dist_text
+        FROM tri GROUP BY doc_id)
+SELECT tk.doc_id, CAST(len(tk.toks) AS INTEGER) AS n_tokens, CAST(coalesce(agg.n_dist, 0) AS INTEGER) AS n_dist,
+  coalesce(agg.dist_text, '') AS dist_text,
+  CAST(floor((1 + sqrt(1 + 8 * coalesce(agg.n_dist, 0))) / 2) AS INTEGER) AS n_from_triangle,
+  coalesce(agg.n_dist, 0) = len(tk.toks) * (len(tk.toks) - 1) / 2 AS triangle_ok
+FROM tk LEFT JOIN agg ON tk.doc_id = agg.doc_id
+""")
+def tree_distance_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6 (bracket-tree distances, upper triangle), G8 and V1 on the C fixture."""
+    t = code_c_tokens(spark, sf_dir)
+    d = t.withColumn("dist", TR.triangle_distances(F.col("tokens"), spark))
+    n = F.size("tokens")
+    return d.select("doc_id", n.alias("n_tokens"), F.size("dist").alias("n_dist"),
+                    F.array_join("dist", ",").alias("dist_text"),
+                    TR.tokens_from_triangle(F.size("dist")).alias("n_from_triangle"),
+                    (F.size("dist").cast("long") == n.cast("long") * (n.cast("long") - 1) / 2).alias("triangle_ok"))
+
+
+@register("triangle_lookup", f"""
+WITH {SQL_TRIANGLE},
+n AS (SELECT doc_id, len(toks) AS n FROM tk)
+SELECT n.doc_id,
+  (SELECT dist FROM tri WHERE tri.doc_id = n.doc_id AND i = 0 AND j = n.n - 1) + 1000 AS v_first_last,
+  -(SELECT dist FROM tri WHERE tri.doc_id = n.doc_id AND i = 0 AND j = n.n - 1) + 1000 AS v_last_first,
+  0 AS v_diag,
+  (SELECT dist FROM tri WHERE tri.doc_id = n.doc_id AND i = 1 AND j = 4) + 1000 AS v_1_4
+FROM n
+""")
+def triangle_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random access into the triangle with sign and offset; (i, i) -> 0."""
+    t = code_c_tokens(spark, sf_dir).withColumn("dist", TR.triangle_distances(F.col("tokens"), spark))
+    n = F.size("tokens")
+    look = lambda i, j: TR.triangle_lookup(F.col("dist"), i, j)
+    return t.select("doc_id", look(F.lit(0), n - 1).alias("v_first_last"),
+                    look(n - 1, F.lit(0)).alias("v_last_first"), look(F.lit(3), F.lit(3)).alias("v_diag"),
+                    look(F.lit(1), F.lit(4)).alias("v_1_4"))
+
+
+@register("baseline_distances", f"""
+SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens,
+  array_to_string(flatten(list_transform(range(0, len(toks) - 1),
+      lambda i: list_transform(range(i + 1, len(toks)), lambda j: j - i))), ',') AS dist_text
+FROM ({SQL_CODE_C_TOKENS})
+""")
+def baseline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative positions ``j - i`` in triangle order (the baseline)."""
+    t = code_c_tokens(spark, sf_dir)
+    n = F.size("tokens")
+    return t.select("doc_id", n.alias("n_tokens"), F.array_join(EN.baseline_distances(n), ",").alias("dist_text"))
