@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import checked_broadcast
+from .joins import bounded_broadcast, checked_broadcast
 from .numbering import consecutive_index
 
 
@@ -120,16 +120,18 @@ def capped(df: DataFrame, n: int, order_cols: list) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def keyword_hits(docs: DataFrame, keywords: DataFrame, id_col: str, tokens_col: str,
-                 recency_col: str, per_keyword: int) -> DataFrame:
+                 recency_col: str, per_keyword: int, keywords_bounded: bool = False) -> DataFrame:
     """Per keyword, the ``per_keyword`` most recent documents containing it.
 
     Documents contribute their distinct tokens; an equi join on the token
-    finds hits (the keyword table is broadcast after a size check).  The
+    finds hits (the keyword table is broadcast: directly when its size is
+    bounded by construction, else after a size check).  The
     ``row_number() <= k`` filter is planned with a partial group limit
     before the shuffle, so even a keyword found in a third of all documents
     moves at most ``k`` rows per task.
     """
-    kw = checked_broadcast(keywords.select(F.col("keyword")).distinct())
+    kw = keywords.select(F.col("keyword")).distinct()
+    kw = bounded_broadcast(kw) if keywords_bounded else checked_broadcast(kw)
     toks = docs.select(id_col, recency_col, F.explode(F.array_distinct(tokens_col)).alias("keyword"))
     hits = toks.join(kw, "keyword")
     w = Window.partitionBy("keyword").orderBy(F.col(recency_col).desc(), F.col(id_col).desc())

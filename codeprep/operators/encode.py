@@ -19,7 +19,7 @@ from .numbering import consecutive_index
 
 def map_tokens(docs: DataFrame, table: DataFrame, id_col: str, tokens_col: str, key_col: str,
                value_col: str, out_col: str, default=None, drop_values: list | None = None,
-               value_type: str = "string") -> DataFrame:
+               value_type: str = "string", partitioned: bool = False) -> DataFrame:
     """Replace every element of an array column through a lookup table.
 
     Elements without a match become ``default`` (or are dropped if
@@ -27,7 +27,7 @@ def map_tokens(docs: DataFrame, table: DataFrame, id_col: str, tokens_col: str,
     value is in ``drop_values`` are dropped.
     """
     t = checked_broadcast(table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")))
-    base = docs.repartition(id_col)
+    base = docs if partitioned else docs.repartition(id_col)
     rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_e"))
     j = rows.join(t, rows["_e"] == t["_k"], "left")
     val = F.coalesce(F.col("_v"), F.lit(default).cast(value_type)) if default is not None else F.col("_v")
@@ -42,16 +42,17 @@ def map_tokens(docs: DataFrame, table: DataFrame, id_col: str, tokens_col: str,
 
 
 def encode_tokens(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id",
-                  tokens_col: str = "transformed_tokens", out_col: str = "ids") -> DataFrame:
+                  tokens_col: str = "transformed_tokens", out_col: str = "ids",
+                  partitioned: bool = False) -> DataFrame:
     """C4: tokens -> ids, unknown -> ``[UNK]`` (1)."""
     return map_tokens(docs, ids, id_col, tokens_col, "token", "id", out_col, default=K.UNK_ID,
-                      value_type="long")
+                      value_type="long", partitioned=partitioned)
 
 
 def decode_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
-               out_col: str = "decoded") -> DataFrame:
+               out_col: str = "decoded", partitioned: bool = False) -> DataFrame:
     """Ids -> tokens; ``[PAD] [SOS] [EOS]`` dropped."""
-    return map_tokens(docs, ids, id_col, ids_col, "id", "token", out_col,
+    return map_tokens(docs, ids, id_col, ids_col, "id", "token", out_col, partitioned=partitioned,
                       drop_values=[K.SPECIAL_TOKENS[K.PAD_ID], K.SPECIAL_TOKENS[K.SOS_ID],
                                    K.SPECIAL_TOKENS[K.EOS_ID]])
 

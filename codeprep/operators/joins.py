@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Row bound under which a data-derived lookup table is broadcast.  Lookup
 # tables here are narrow (a token and an id or flag), so 2M rows stay well
 # below a hundred MB on every executor.
@@ -14,13 +16,23 @@ BROADCAST_MAX_ROWS = 2_000_000
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
-    The check is a bounded count (``limit(max_rows + 1)``), so it never scans
-    more than needed.  Above the bound the table is returned as is and the
-    planner picks a shuffle join (AQE may still convert it at run time from
-    the measured size).
+    ``limit(max_rows + 1)`` is materialised once with a reliable checkpoint
+    (bounded: at most ``max_rows + 1`` rows are written).  If it holds
+    ``max_rows`` rows or fewer it *is* the whole table, and that
+    checkpointed copy is broadcast – the table is computed once, not once
+    for the check and again for the join.  Above the bound the original
+    frame is returned and the planner picks a shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    ensure_checkpoint_dir(df.sparkSession)
+    head = df.limit(max_rows + 1).checkpoint(eager=True)
+    n = head.count()
+    return F.broadcast(head) if n <= max_rows else df
+
+
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a table whose size is bounded by construction (a ``limit``,
+    a fixed list); no run-time check needed."""
+    return F.broadcast(df)
 
 
 def literal_table(spark, rows, schema) -> DataFrame:

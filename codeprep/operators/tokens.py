@@ -128,9 +128,12 @@ def occurrence_alias() -> Column:
             .when(k == "name", resolved))
 
 
-def _alias_map(id_cls: str, first_col: str, alias_col: str, cond: Column) -> Column:
-    entries = F.collect_list(F.when(cond, F.struct(F.col(first_col).alias("f"), F.col("tok").alias("k"),
-                                                   F.col(alias_col).alias("v"))))
+def _map_entries(cond: Column, first_col: str, alias_col: str) -> Column:
+    """Entries (first use, name, alias) emitted at the occurrence that is the
+    first use of that alias; sorted by first use they give insertion order."""
+    entries = F.collect_list(F.when(cond & (F.col("pos") == F.col(first_col)),
+                                    F.struct(F.col(first_col).alias("f"), F.col("tok").alias("k"),
+                                             F.col(alias_col).alias("v"))))
     return F.map_from_entries(F.transform(F.array_sort(entries), lambda e: F.struct(e["k"], e["v"])))
 
 
@@ -138,7 +141,10 @@ def obfuscate(docs: DataFrame, id_col: str = "doc_id", code_col: str = "code",
               keep_cols: list[str] | None = None, repartition: bool = True) -> DataFrame:
     """``(id, *keep_cols, transformed_tokens, var_dict ... class_dict)``.
 
-    Rows whose code has no token are dropped (F2 does the same upstream).
+    One aggregation per document builds both the rewritten token array and
+    the five maps (map entries are emitted at each alias's first use), so
+    the entity table is computed once.  Rows whose code has no token are
+    dropped (F2 does the same upstream).
     """
     keep_cols = keep_cols or []
     base = docs.select(id_col, *keep_cols, F.col(code_col).alias("_code"))
@@ -147,24 +153,22 @@ def obfuscate(docs: DataFrame, id_col: str = "doc_id", code_col: str = "code",
     base = base.select(id_col, *keep_cols, T.tokenize("_code").alias("_toks"))
     occ = (token_rows(base.select(id_col, "_toks"), id_col, "_toks")
            .withColumn("kind", occurrence_kind(F.col("tok"), F.col("prev"))))
-    ent = entity_table(occ, id_col)
-    ent_cols = ent.select(id_col, "tok", "f_struct", "a_lit", "a_struct", "a_class", "a_vf")
-    joined = occ.join(ent_cols, [id_col, "tok"], "left")
+    ent = entity_table(occ, id_col).select(id_col, "tok", "f_lit", "f_plain", "f_struct", "f_class",
+                                           "vf_cls", "a_lit", "a_struct", "a_class", "a_vf")
+    joined = occ.join(ent, [id_col, "tok"], "left")
     out_tok = T.strip_token(F.coalesce(occurrence_alias(), F.col("tok")))
-    toks = (joined.groupBy(id_col)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), out_tok.alias("t")))).alias("_s"))
-            .select(id_col, F.transform("_s", lambda x: x["t"]).alias("transformed_tokens")))
-    maps = ent.groupBy(id_col).agg(
-        _alias_map("var", "f_plain", "a_vf", F.col("vf_cls") == "var").alias("var_dict"),
-        _alias_map("func", "f_plain", "a_vf", F.col("vf_cls") == "func").alias("func_dict"),
-        _alias_map("lit", "f_lit", "a_lit", F.col("a_lit").isNotNull()).alias("lit_dict"),
-        _alias_map("struct", "f_struct", "a_struct", F.col("a_struct").isNotNull()).alias("struct_dict"),
-        _alias_map("class", "f_class", "a_class", F.col("a_class").isNotNull()).alias("class_dict"))
-    empty = F.create_map().cast("map<string,string>")
-    out = base.select(id_col, *keep_cols).join(toks, id_col).join(maps, id_col, "left")
-    for m in MAP_COLS:
-        out = out.withColumn(m, F.coalesce(F.col(m), empty))
-    return out
+    k = F.col("kind")
+    per_doc = (joined.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos"), out_tok.alias("t")))).alias("_s"),
+        _map_entries((k == "name") & (F.col("vf_cls") == "var"), "f_plain", "a_vf").alias("var_dict"),
+        _map_entries((k == "name") & (F.col("vf_cls") == "func"), "f_plain", "a_vf").alias("func_dict"),
+        _map_entries(k == "lit", "f_lit", "a_lit").alias("lit_dict"),
+        _map_entries(k == "struct", "f_struct", "a_struct").alias("struct_dict"),
+        _map_entries(k == "class", "f_class", "a_class").alias("class_dict"))
+        .select(id_col, F.transform("_s", lambda x: x["t"]).alias("transformed_tokens"), *MAP_COLS))
+    if keep_cols:
+        per_doc = base.select(id_col, *keep_cols).join(per_doc, id_col)
+    return per_doc
 
 
 def alias_values(*map_cols: str) -> Column:

@@ -100,12 +100,23 @@ def _levels(tokens: list) -> tuple[np.ndarray, np.ndarray]:
     return after, block + 1                    # (h, leaf depth d)
 
 
+# rows up to this size use one 2-D running minimum (n^2 int64 scratch, 8 MB at 1024)
+_DENSE_MAX = 1024
+
+
 def triangle_of(tokens) -> np.ndarray:
     """Upper triangle (row-major, no diagonal) of bracket-tree distances."""
     n = len(tokens)
     if n < 2:
         return np.zeros(0, dtype=np.int32)
     h, d = _levels(list(tokens))
+    if n <= _DENSE_MAX:
+        # m[i, k] = min(h_i .. h_k) for k >= i; then dist(i, j) uses m[i, j-1]
+        big = np.iinfo(np.int64).max
+        m = np.where(np.arange(n - 1)[None, :] >= np.arange(n - 1)[:, None], h[None, :n - 1], big)
+        m = np.minimum.accumulate(m, axis=1)
+        iu, ju = np.triu_indices(n, k=1)
+        return (d[iu] + d[ju] - 2 * m[iu, ju - 1]).astype(np.int32)
     out = np.empty(n * (n - 1) // 2, dtype=np.int32)
     at = 0
     for i in range(n - 1):
@@ -120,8 +131,9 @@ def _triangle_udf(tokens: pd.Series) -> pd.Series:
     return pd.Series([triangle_of(t if t is not None else []) for t in tokens])
 
 
-# rows per Arrow batch for the triangle UDF: a 1000-token row yields ~2 MB
-TRIANGLE_BATCH_ROWS = 64
+# rows per Arrow batch for the triangle UDF: a 1000-token row yields ~2 MB,
+# so a batch stays near 0.5 GB in the worst case after the length filter
+TRIANGLE_BATCH_ROWS = 256
 
 
 def triangle_distances(tokens: Column, spark=None) -> Column:

@@ -104,18 +104,19 @@ def token_ids(final_vocab: DataFrame, spark=None) -> DataFrame:
 
 def replace_unknown(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
                     tokens_col: str = "tokens", alias_col: str | None = None,
-                    out_col: str = "tokens") -> DataFrame:
+                    out_col: str = "tokens", partitioned: bool = False) -> DataFrame:
     """C1 + A7: tokens outside the vocabulary (and not an alias of their own
     row) become ``[UNK]``; adds ``n_tokens`` and ``n_unk``.
 
     Documents are hash-partitioned by id once; the exploded token rows keep
     that partitioning, the vocabulary is broadcast after a size check, and
-    the ordered re-collect per document needs no further exchange.
+    the ordered re-collect per document needs no further exchange.  Pass
+    ``partitioned=True`` when ``docs`` is already hash-partitioned by id.
     """
     v = checked_broadcast(vocab.select(F.col("token").alias("_vtok")).distinct()
                           .withColumn("_known", F.lit(True)))
     keep = [c for c in docs.columns if c not in (tokens_col, out_col)]
-    base = docs.repartition(id_col)
+    base = docs if partitioned else docs.repartition(id_col)
     rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_tok"),
                        *([F.col(alias_col).alias("_aliases")] if alias_col else []))
     joined = rows.join(v, rows["_tok"] == v["_vtok"], "left")

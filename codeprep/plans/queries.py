@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import vocab as V
+from ..session import materialize
 from ..sources.tables import read_table
 from . import sql as S
 
@@ -37,8 +38,15 @@ def register(name: str, sql: str | None = None):
 # ---------------------------------------------------------------------------
 
 def prose_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> (doc_id, lang, tokens): strip, P4, T1."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])
+    """documents -> (doc_id, lang, tokens): strip, P4, T1.
+
+    The raw text is hash-partitioned by doc_id before the regex work: it
+    spreads the CPU-heavy tokenization over all cores whatever the file
+    layout (a parquet row group cannot be split), and every later
+    per-document step (replace, encode, decode) reuses this partitioning
+    instead of shuffling token arrays.
+    """
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]).repartition("doc_id")
     return docs.select("doc_id", "lang", T.tokenize(T.ascii_clean(T.strip_ws("text"))).alias("tokens"))
 
 
@@ -312,8 +320,10 @@ SELECT keyword, doc_id, hit_rank FROM ({SQL_HITS}) WHERE hit_rank <= {K.KEYWORD_
 """)
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per keyword the 1000 newest documents (recency = doc_id) using it."""
-    docs = prose_tokens(spark, sf_dir)
-    hits = D.keyword_hits(docs, keyword_table(spark, sf_dir), "doc_id", "tokens", "doc_id", K.KEYWORD_HITS)
+    docs = materialize(prose_tokens(spark, sf_dir))
+    kw = V.vocabulary(docs).filter(F.col("token").rlike("^[A-Za-z_]")) \
+        .orderBy(F.col("num_rows").desc(), F.col("token")).limit(40).select(F.col("token").alias("keyword"))
+    hits = D.keyword_hits(docs, kw, "doc_id", "tokens", "doc_id", K.KEYWORD_HITS, keywords_bounded=True)
     return hits.select("keyword", "doc_id", F.col("hit_rank").cast("long").alias("hit_rank"))
 
 
@@ -612,11 +622,14 @@ SQL_IDS = f"""
 
 
 def kept_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.length_filter(prose_tokens(spark, sf_dir))
+    """Tokenized documents of at most 1000 tokens, materialised once (they feed
+    the vocabulary and the per-document steps)."""
+    return materialize(V.length_filter(prose_tokens(spark, sf_dir)))
 
 
-def final_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.filter_vocabulary(V.vocabulary(kept_docs(spark, sf_dir)))
+def final_vocab(spark: SparkSession, sf_dir: str, kept: DataFrame | None = None) -> DataFrame:
+    k = kept if kept is not None else kept_docs(spark, sf_dir)
+    return V.filter_vocabulary(V.vocabulary(k))
 
 
 @register("vocab_merged", f"""
@@ -631,9 +644,9 @@ def vocab_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("token_ids", SQL_IDS)
-def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_ids(spark: SparkSession, sf_dir: str, kept: DataFrame | None = None) -> DataFrame:
     """F5 + C3: frequency-thresholded vocabulary with ids after the 4 specials."""
-    return V.token_ids(final_vocab(spark, sf_dir))
+    return V.token_ids(final_vocab(spark, sf_dir, kept))
 
 
 @register("unk_filter", f"""
@@ -647,8 +660,8 @@ FROM c
 """)
 def unk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[UNK] replacement, counts and the ratio filter."""
-    docs = kept_docs(spark, sf_dir).select("doc_id", "tokens")
-    r = V.replace_unknown(docs, final_vocab(spark, sf_dir))
+    k = kept_docs(spark, sf_dir)
+    r = V.replace_unknown(k.select("doc_id", "tokens"), final_vocab(spark, sf_dir, k), partitioned=True)
     kept, rejects = V.unknown_ratio_filter(r)
     return (kept.select("doc_id", "n_tokens", "n_unk", F.lit(True).alias("kept"))
             .unionByName(rejects.select("doc_id", "n_tokens", "n_unk", F.lit(False).alias("kept"))))
@@ -662,9 +675,10 @@ FROM o LEFT JOIN ids ON o.token = ids.token GROUP BY o.doc_id
 """)
 def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 then C13: encode to ids and decode back ([UNK] for unknown tokens)."""
-    ids = token_ids(spark, sf_dir)
-    enc = EN.encode_tokens(kept_docs(spark, sf_dir).select("doc_id", "tokens"), ids, tokens_col="tokens")
-    dec = EN.decode_ids(enc.select("doc_id", "ids"), ids)
+    k = kept_docs(spark, sf_dir)
+    ids = token_ids(spark, sf_dir, k)
+    enc = EN.encode_tokens(k.select("doc_id", "tokens"), ids, tokens_col="tokens", partitioned=True)
+    dec = EN.decode_ids(enc.select("doc_id", "ids"), ids, partitioned=True)
     return dec.select("doc_id", F.array_join("decoded", " ").alias("decoded_text"))
 
 
@@ -702,10 +716,12 @@ FROM e
 def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4–C11: encode both languages (en as source, fr as target), pair row k
     with row k, split by position, frame/pad, shift, masks."""
-    ids = token_ids(spark, sf_dir)
     k = kept_docs(spark, sf_dir)
-    en = EN.encode_tokens(k.filter(F.col("lang") == "en").select("doc_id", "tokens"), ids, tokens_col="tokens")
-    fr = EN.encode_tokens(k.filter(F.col("lang") == "fr").select("doc_id", "tokens"), ids, tokens_col="tokens")
+    ids = token_ids(spark, sf_dir, k)
+    en = EN.encode_tokens(k.filter(F.col("lang") == "en").select("doc_id", "tokens"), ids, tokens_col="tokens",
+                          partitioned=True)
+    fr = EN.encode_tokens(k.filter(F.col("lang") == "fr").select("doc_id", "tokens"), ids, tokens_col="tokens",
+                          partitioned=True)
     paired = EN.position_pair(en.select("doc_id", "ids"), fr.select("doc_id", "ids"))
     n = paired.count()
     paired = EN.assign_split(paired, n)

@@ -63,3 +63,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it from there.
+
+    For tables used by several later steps (the token table feeds both the
+    vocabulary and the [UNK] replacement): lineage is cut, the work is not
+    repeated, and the hash partitioning of ``df`` is kept.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
