@@ -13,8 +13,7 @@ def read_source_folder(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, code)`` for every ``.c`` / ``.cpp`` file directly in a
     folder (not recursive).  Undecodable bytes become U+FFFD and are
     removed; ``\\r\\n`` and lone ``\\r`` become ``\\n``, as text-mode reads do."""
-    df = (spark.read.option("wholetext", "true").option("pathGlobFilter", "*.{c,cpp}")
-          .option("recursiveFileLookup", "false").text(folder)
+    df = (spark.read.text(folder, wholetext=True, pathGlobFilter="*.{c,cpp}", recursiveFileLookup=False)
           .select(F.input_file_name().alias("path"), F.col("value").alias("code")))
     code = F.replace(F.regexp_replace("code", "\\r\\n?", "\n"), F.lit("�"), F.lit(""))
     return df.withColumn("code", code)
