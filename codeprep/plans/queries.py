@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import vocab as V
-from ..session import materialize
+from ..session import materialize, spread_if_narrow
 from ..sources.tables import read_table
 from . import sql as S
 
@@ -37,16 +37,16 @@ def register(name: str, sql: str | None = None):
 # Shared inputs
 # ---------------------------------------------------------------------------
 
-def prose_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prose_tokens(spark: SparkSession, sf_dir: str, by_doc: bool = False) -> DataFrame:
     """documents -> (doc_id, lang, tokens): strip, P4, T1.
 
-    The raw text is hash-partitioned by doc_id before the regex work: it
-    spreads the CPU-heavy tokenization over all cores whatever the file
-    layout (a parquet row group cannot be split), and every later
-    per-document step (replace, encode, decode) reuses this partitioning
-    instead of shuffling token arrays.
+    ``by_doc=True`` hash-partitions the raw text by doc_id before the regex
+    work, for pipelines whose later steps regroup per document (replace,
+    encode, decode reuse it instead of shuffling token arrays).  Otherwise
+    the text is only spread when the scan is narrower than the cluster.
     """
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]).repartition("doc_id")
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])
+    docs = docs.repartition("doc_id") if by_doc else spread_if_narrow(docs, "doc_id")
     return docs.select("doc_id", "lang", T.tokenize(T.ascii_clean(T.strip_ws("text"))).alias("tokens"))
 
 
@@ -451,12 +451,15 @@ def json_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..operators import tokens as TK  # noqa: E402
 
 
-def sql_obfuscate(src: str) -> str:
-    """DuckDB form of T1–T11 over ``src(doc_id, code)`` (raw source files)."""
+def sql_obfuscate(src: str, prepared: bool = False, final_select: bool = True) -> str:
+    """DuckDB form of T1–T11 over ``src(doc_id, code)`` (raw source files, or
+    already prepared lex input with ``prepared=True``).  With
+    ``final_select=False`` only the CTE list is returned (ending in ``res``)."""
     ident = S.lit(R.IDENT_FULL_RE)
-    return f"""
-WITH src AS ({src}),
-tk AS (SELECT doc_id, {S.tokenize(S.lex_input_raw('code'))} AS toks FROM src),
+    code = "code" if prepared else S.lex_input_raw("code")
+    ctes = f"""
+src AS ({src}),
+tk AS (SELECT doc_id, {S.tokenize(code)} AS toks FROM src),
 occ0 AS (SELECT doc_id, generate_subscripts(toks, 1) AS i, unnest(toks) AS tok, toks FROM tk),
 occ AS (SELECT doc_id, i - 1 AS pos, tok,
           CASE WHEN i > 1 THEN toks[i - 1] END AS prev,
@@ -492,7 +495,10 @@ res AS (SELECT c.doc_id, c.pos, c.tok, CASE
           WHEN c.kind = 'name' THEN CASE WHEN e.a_vf IS NOT NULL THEN e.a_vf
                                           WHEN e.f_struct < c.pos THEN e.a_struct ELSE e.a_class END
         END AS alias
-        FROM cls c LEFT JOIN ent e ON c.doc_id = e.doc_id AND c.tok = e.tok),
+        FROM cls c LEFT JOIN ent e ON c.doc_id = e.doc_id AND c.tok = e.tok)"""
+    if not final_select:
+        return ctes
+    return "WITH " + ctes + f""",
 toks_out AS (SELECT doc_id, string_agg({S.strip_token('coalesce(alias, tok)')}, ' ' ORDER BY pos) AS tokens_text,
                     count(*) AS n_tokens FROM res GROUP BY doc_id),
 maps AS (SELECT doc_id,
@@ -624,7 +630,7 @@ SQL_IDS = f"""
 def kept_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenized documents of at most 1000 tokens, materialised once (they feed
     the vocabulary and the per-document steps)."""
-    return materialize(V.length_filter(prose_tokens(spark, sf_dir)))
+    return materialize(V.length_filter(prose_tokens(spark, sf_dir, by_doc=True)))
 
 
 def final_vocab(spark: SparkSession, sf_dir: str, kept: DataFrame | None = None) -> DataFrame:
@@ -882,3 +888,99 @@ def baseline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = code_c_tokens(spark, sf_dir)
     n = F.size("tokens")
     return t.select("doc_id", n.alias("n_tokens"), F.array_join(EN.baseline_distances(n), ",").alias("dist_text"))
+
+
+# ---------------------------------------------------------------------------
+# Step 9: the preparation pipeline end to end
+# ---------------------------------------------------------------------------
+
+from . import pipeline as PL  # noqa: E402
+
+SQL_CODE_LINES = f"""
+  SELECT doc_id * 2 AS doc_id, 'c' AS lang, {S.escape_newlines('code')} AS code FROM ({X.SQL_CODE_C})
+  UNION ALL
+  SELECT doc_id * 2 + 1 AS doc_id, 'cpp' AS lang, {S.escape_newlines('code')} AS code FROM ({X.SQL_CODE_CPP})
+"""
+
+
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both code fixtures as escaped line rows (doc ids made distinct)."""
+    c = X.code_c(spark, sf_dir).select((F.col("doc_id") * 2).alias("doc_id"), "lang", T.escape_newlines("code").alias("code"))
+    p = X.code_cpp(spark, sf_dir).select((F.col("doc_id") * 2 + 1).alias("doc_id"), "lang",
+                                         T.escape_newlines("code").alias("code"))
+    return c.unionByName(p)
+
+
+def _sql_prepare() -> str:
+    ob = sql_obfuscate(f"""SELECT doc_id, {S.lex_input('code')} AS code FROM lines
+                          WHERE {S.strip_ws('code')} <> '' AND {S.lex_input('code')} <> ''""",
+                       prepared=True, final_select=False)
+    prefix = "|".join(K.ALIAS_PREFIXES)
+    return f"""
+WITH lines AS ({SQL_CODE_LINES}),
+{ob},
+doc AS (SELECT doc_id, count(*) AS n FROM res GROUP BY doc_id),
+kept AS (SELECT r.* FROM res r JOIN doc ON r.doc_id = doc.doc_id WHERE doc.n <= {K.MAX_TOKENS}),
+ko AS (SELECT doc_id, pos, coalesce(alias, tok) AS t, alias IS NOT NULL AS is_alias FROM kept),
+voc AS (SELECT t AS token, count(DISTINCT doc_id) AS num_rows FROM ko GROUP BY t),
+fv AS (SELECT token FROM voc WHERE num_rows >= {K.MIN_DOC_FREQ} OR regexp_matches(token, '^({prefix})')),
+marked AS (SELECT ko.doc_id, ko.pos, CASE WHEN fv.token IS NOT NULL OR ko.is_alias THEN {S.strip_token('ko.t')}
+                  ELSE '[UNK]' END AS t2, fv.token IS NULL AND NOT ko.is_alias AS unk
+           FROM ko LEFT JOIN fv ON ko.t = fv.token),
+agg AS (SELECT doc_id, string_agg(t2, ' ' ORDER BY pos) AS tokens_text, count(*) AS n,
+          count(*) FILTER (WHERE unk) AS n_unk FROM marked GROUP BY doc_id)
+SELECT doc_id, CASE WHEN CAST(n_unk AS DOUBLE) / n > {K.MAX_UNK_RATIO} THEN 'unk_ratio' ELSE 'kept' END AS outcome,
+  CASE WHEN CAST(n_unk AS DOUBLE) / n > {K.MAX_UNK_RATIO} THEN NULL ELSE tokens_text END AS tokens_text,
+  CASE WHEN CAST(n_unk AS DOUBLE) / n > {K.MAX_UNK_RATIO} THEN NULL ELSE CAST(n * (n - 1) / 2 AS INTEGER) END AS n_dist
+FROM agg
+UNION ALL SELECT doc_id, 'too_long', NULL, NULL FROM doc WHERE n > {K.MAX_TOKENS}
+UNION ALL SELECT doc_id, 'blank', NULL, NULL FROM lines WHERE {S.strip_ws('code')} = ''
+UNION ALL SELECT doc_id, 'empty_after_preprocess', NULL, NULL FROM lines
+  WHERE {S.strip_ws('code')} <> '' AND {S.lex_input('code')} = ''
+"""
+
+
+@register("prepare_code", _sql_prepare())
+def prepare_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 end to end on both code fixtures as escaped line files: lex input,
+    obfuscation, length filter, merged vocabulary, [UNK] filter, distances."""
+    p = PL.prepare_stage(code_lines(spark, sf_dir))
+    kept = p.training.select("doc_id", F.lit("kept").alias("outcome"),
+                             F.array_join("transformed_tokens", " ").alias("tokens_text"),
+                             F.size("dist").alias("n_dist"))
+    rej = p.rejects.select("doc_id", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("tokens_text"),
+                           F.lit(None).cast("int").alias("n_dist"))
+    return kept.unionByName(rej)
+
+
+@register("row_cap_per_language", f"""
+SELECT lang, doc_id FROM (
+  SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)
+WHERE rn <= 100
+""")
+def row_cap_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first N rows of every language (N = 100 here; 50,000 in the
+    reference's run).  A per-group top-N: planned with a partial group
+    limit before the shuffle, so a language holding a third of all rows
+    moves at most N rows per task."""
+    from pyspark.sql import Window
+    d = read_table(spark, sf_dir, "documents", ["lang", "doc_id"])
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 100).drop("_rn")
+
+
+@register("analysis_summary", f"""
+WITH d AS ({SQL_PROSE_TOKENS}),
+v AS (SELECT count(DISTINCT t) AS vocab_size FROM (SELECT unnest(tokens) AS t FROM d WHERE len(tokens) <= {K.MAX_TOKENS}))
+SELECT (SELECT vocab_size FROM v) AS vocab_size,
+  (SELECT count(*) FROM d WHERE len(tokens) > {K.MAX_TOKENS}) AS n_discarded
+""")
+def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: vocabulary size and number of discarded rows (one row, two aggregates
+    unioned and summed: no join)."""
+    d = prose_tokens(spark, sf_dir)
+    vocab = V.vocabulary(V.length_filter(d))
+    a = vocab.select(F.lit(1).cast("long").alias("vocab_size"), F.lit(0).cast("long").alias("n_discarded"))
+    b = V.over_length(d).select(F.lit(0).cast("long").alias("vocab_size"), F.lit(1).cast("long").alias("n_discarded"))
+    return a.unionByName(b).agg(F.coalesce(F.sum("vocab_size"), F.lit(0)).cast("long").alias("vocab_size"),
+                                F.coalesce(F.sum("n_discarded"), F.lit(0)).cast("long").alias("n_discarded"))

@@ -94,3 +94,7 @@ def list_lit(values) -> str:
 
 def strip_token(x: str) -> str:
     return f"replace(replace({x}, chr(13), ''), chr(10), '')"
+
+
+def lex_input(x: str) -> str:
+    return resolve_comments(code_without_includes(ascii_clean(strip_ws(x))))

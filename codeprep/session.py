@@ -74,3 +74,21 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_if_narrow(df, key: str):
+    """Hash-partition ``df`` by ``key`` only when the scan is narrower than the
+    cluster (fewer input files than default parallelism).
+
+    Regex tokenization is the CPU hot spot; a parquet row group cannot be
+    split, so a table stored as one small file would be tokenized by one
+    task.  On a large table (many files, many row groups) the scan already
+    has enough splits and no shuffle is added.
+    """
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # not a file scan
+        return df
+    if n_files < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(key)
+    return df
