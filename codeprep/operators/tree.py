@@ -174,3 +174,15 @@ def pair_rows(dist_col: str, n_col: str, id_col: str, df: DataFrame) -> DataFram
     z = F.arrays_zip(idx.alias("ij"), F.col(dist_col).alias("d"))
     return (df.filter(F.col(n_col) >= 2).select(id_col, F.inline(z))
             .select(id_col, "ij.i", "ij.j", F.col("d").alias("dist")))
+
+
+def full_matrix_rows(df: DataFrame, id_col: str, tokens_col: str, dist_col: str) -> DataFrame:
+    """The full symmetric matrix as ``(id, i, j, dist)`` rows – the upper
+    triangle, its mirror and a zero diagonal.  Quadratic in n: for tests and
+    short rows only (training keeps the triangle array)."""
+    n = F.size(tokens_col)
+    upper = pair_rows(dist_col, "_n", id_col, df.withColumn("_n", n))
+    mirror = upper.select(id_col, F.col("j").alias("i"), F.col("i").alias("j"), "dist")
+    diag = df.select(id_col, F.posexplode(tokens_col).alias("i", "_t")).select(
+        id_col, "i", F.col("i").alias("j"), F.lit(0).alias("dist"))
+    return upper.unionByName(mirror).unionByName(diag)
