@@ -11,6 +11,20 @@ from ..functions import text as T
 from .joins import checked_broadcast
 
 
+def keep_where(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on a value computed by an expensive projection (tokens, lex input).
+
+    A plain ``filter`` is pushed by Catalyst beneath the projection that
+    computes its input, with the expression substituted – the regex work
+    then runs twice per row (and possibly before an exchange).  Written as a
+    generator that emits the row once or not at all, the predicate reads the
+    projection's output; the row's columns pass through unchanged, so the
+    child's partitioning is kept.
+    """
+    gate = F.filter(F.array(F.lit(True)), lambda _: F.coalesce(cond, F.lit(False)))
+    return df.select("*", F.explode(gate).alias("_keep")).drop("_keep")
+
+
 def non_blank(col) -> Column:
     """F1 / F2 predicate: text is not empty after Python-style strip."""
     return F.coalesce(T.strip_ws(col) != "", F.lit(False))

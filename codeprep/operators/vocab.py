@@ -10,18 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .filters import keep_where
 from .joins import checked_broadcast
 from .numbering import consecutive_index
 
 
 def length_filter(docs: DataFrame, tokens_col: str = "tokens", max_tokens: int = K.MAX_TOKENS) -> DataFrame:
-    """keep rows with at most ``max_tokens`` tokens (array size, before any explode)."""
-    return docs.filter(F.size(tokens_col) <= max_tokens)
+    """keep rows with at most ``max_tokens`` tokens (array size, before any
+    explode; the tokenizer is evaluated once, see ``filters.keep_where``)."""
+    return keep_where(docs, F.size(tokens_col) <= max_tokens)
 
 
 def over_length(docs: DataFrame, tokens_col: str = "tokens", max_tokens: int = K.MAX_TOKENS) -> DataFrame:
     """F4 complement: the discarded rows."""
-    return docs.filter(F.size(tokens_col) > max_tokens)
+    return keep_where(docs, F.size(tokens_col) > max_tokens)
 
 
 def vocabulary(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:

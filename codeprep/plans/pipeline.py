@@ -74,9 +74,10 @@ def prepare_stage(lines: DataFrame, max_tokens: int = K.MAX_TOKENS, min_doc_freq
     """E2 on escaped line rows ``(doc_id, lang, code)``."""
     spark = lines.sparkSession
     blank = lines.filter(~FL.non_blank("code")).select("doc_id", F.lit("lex").alias("stage"), F.lit("blank").alias("reason"))
-    pre = lines.filter(FL.non_blank("code")).select("doc_id", "lang", T.lex_input("code").alias("code"))
-    empty = pre.filter(F.col("code") == "").select("doc_id", F.lit("lex").alias("stage"), F.lit("empty_after_preprocess").alias("reason"))
-    lexed = materialize(TK.obfuscate(pre.filter(F.col("code") != ""), keep_cols=["lang"]))
+    pre = FL.keep_where(lines, FL.non_blank("code")).select("doc_id", "lang", T.lex_input("code").alias("code"))
+    empty = FL.keep_where(pre, F.col("code") == "").select(
+        "doc_id", F.lit("lex").alias("stage"), F.lit("empty_after_preprocess").alias("reason"))
+    lexed = materialize(TK.obfuscate(FL.keep_where(pre, F.col("code") != ""), keep_cols=["lang"]))
     toks = lexed.withColumnRenamed("transformed_tokens", "tokens")
     kept = V.length_filter(toks, "tokens", max_tokens)
     too_long = V.over_length(toks, "tokens", max_tokens).select("doc_id", F.lit("analysis").alias("stage"), F.lit("too_long").alias("reason"))
