@@ -85,8 +85,20 @@ def _first(cond: Column) -> Column:
     return F.min(F.when(cond, F.col("pos")))
 
 
+_CLASS_CODES = {"lit": 0, "var": 1, "func": 2, "struct": 3, "class": 4}
+
+
 def entity_table(occ: DataFrame, id_col: str) -> DataFrame:
-    """One row per (id, spelling) with first uses and the five aliases."""
+    """One row per (id, spelling) with first uses and the five aliases.
+
+    Numbering: every (entity, class) with a first use becomes one row, a
+    single ``row_number`` window partitioned by (id, class) numbers them in
+    order of first use (one sort for all classes), and an aggregate per
+    (id, spelling) pivots the numbers back.  Classes travel as small
+    integers so every aggregate is a hash aggregate (string buffers would
+    force a sort-based one); alias strings are built at the end.  All steps
+    are keyed by the id, so none adds an exchange.
+    """
     k = F.col("kind")
     ent = (occ.filter(k != "keep")
            .groupBy(id_col, "tok")
@@ -97,23 +109,37 @@ def entity_table(occ: DataFrame, id_col: str) -> DataFrame:
                 _first(k == "class").alias("f_class")))
     declared_first = (F.coalesce(F.col("f_struct") < F.col("f_plain"), F.lit(False))
                       | F.coalesce(F.col("f_class") < F.col("f_plain"), F.lit(False)))
-    ent = ent.withColumn("vf_cls", F.when(F.col("f_plain").isNotNull() & ~declared_first,
-                                          F.when(F.col("f_plain") == F.col("f_plain_call"), F.lit("func"))
-                                          .otherwise(F.lit("var"))))
-
-    def numbered(cls_name: str, first_col: str, part: list) -> Column:
-        w = Window.partitionBy(id_col, *part).orderBy(F.col(first_col).asc_nulls_last(), F.col("tok"))
-        return F.concat(F.lit(cls_name), (F.row_number().over(w) - 1).cast("string"))
-
-    return (ent
-            .withColumn("a_lit", F.when(F.col("f_lit").isNotNull(), numbered("lit", "f_lit", [])))
-            .withColumn("a_struct", F.when(F.col("f_struct").isNotNull(), numbered("struct", "f_struct", [])))
-            .withColumn("a_class", F.when(F.col("f_class").isNotNull(), numbered("class", "f_class", [])))
-            .withColumn("a_vf", F.when(F.col("vf_cls").isNotNull(),
-                                       F.concat(F.col("vf_cls"), (F.row_number().over(
-                                           Window.partitionBy(id_col, "vf_cls")
-                                           .orderBy(F.col("f_plain").asc_nulls_last(), F.col("tok"))) - 1
-                                       ).cast("string")))))
+    vf_code = F.when(F.col("f_plain").isNotNull() & ~declared_first,
+                     F.when(F.col("f_plain") == F.col("f_plain_call"), F.lit(_CLASS_CODES["func"]))
+                     .otherwise(F.lit(_CLASS_CODES["var"])))
+    ent = ent.withColumn("vf_code", vf_code)
+    carried = ["f_lit", "f_plain", "f_struct", "f_class", "vf_code"]
+    uses = F.array(*[F.struct(code.alias("cls"), F.col(first).alias("first")) for code, first in [
+        (F.lit(_CLASS_CODES["lit"]), "f_lit"), (F.col("vf_code"), "f_plain"),
+        (F.lit(_CLASS_CODES["struct"]), "f_struct"), (F.lit(_CLASS_CODES["class"]), "f_class")]])
+    rows = (ent.select(id_col, "tok", *carried, F.inline(uses))
+            .filter(F.col("cls").isNotNull() & F.col("first").isNotNull()))
+    w = Window.partitionBy(id_col, "cls").orderBy("first", "tok")
+    rows = rows.withColumn("n", F.row_number().over(w) - 1)
+    c = F.col("cls")
+
+    def num(*codes):
+        return F.max(F.when(c.isin(*codes), F.col("n")))
+    out = (rows.groupBy(id_col, "tok")
+           .agg(*[F.max(x).alias(x) for x in carried],
+                num(_CLASS_CODES["lit"]).alias("n_lit"), num(_CLASS_CODES["struct"]).alias("n_struct"),
+                num(_CLASS_CODES["class"]).alias("n_class"),
+                num(_CLASS_CODES["var"], _CLASS_CODES["func"]).alias("n_vf")))
+    vf_cls = F.when(F.col("vf_code") == _CLASS_CODES["func"], F.lit("func")) \
+        .when(F.col("vf_code") == _CLASS_CODES["var"], F.lit("var"))
+
+    def alias(prefix, n):
+        return F.concat(prefix, F.col(n).cast("string"))
+    return (out.withColumn("vf_cls", vf_cls)
+            .withColumn("a_lit", alias(F.lit("lit"), "n_lit"))
+            .withColumn("a_struct", alias(F.lit("struct"), "n_struct"))
+            .withColumn("a_class", alias(F.lit("class"), "n_class"))
+            .withColumn("a_vf", alias(F.col("vf_cls"), "n_vf")))
 
 
 def occurrence_alias() -> Column:
