@@ -104,9 +104,16 @@ def _levels(tokens: list) -> tuple[np.ndarray, np.ndarray]:
 _DENSE_MAX = 1024
 
 
+# longest row the triangle is built for: 50,000 tokens = 1.25e9 values (5 GB);
+# training rows pass the length filter (1000 tokens) first
+TRIANGLE_MAX_TOKENS = 50_000
+
+
 def triangle_of(tokens) -> np.ndarray:
     """Upper triangle (row-major, no diagonal) of bracket-tree distances."""
     n = len(tokens)
+    if n > TRIANGLE_MAX_TOKENS:
+        raise ValueError(f"triangle of {n} tokens: apply the length filter first")
     if n < 2:
         return np.zeros(0, dtype=np.int32)
     h, d = _levels(list(tokens))

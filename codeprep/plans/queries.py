@@ -818,8 +818,12 @@ def code_c_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_CODE_C_TOKENS = f"SELECT doc_id, {S.tokenize(S.lex_input_raw('code'))} AS toks FROM ({X.SQL_CODE_C})"
 
-SQL_TRIANGLE = f"""
-  tk AS ({SQL_CODE_C_TOKENS}),
+def sql_triangle(tokens_cte: str) -> str:
+    """CTEs computing the bracket-tree triangle in SQL from ``tk(doc_id, toks)``:
+    levels by a running window sum, the running minimum per start token by
+    a second window, distances by joining the leaf depths back."""
+    return f"""
+  tk AS ({tokens_cte}),
   t AS (SELECT doc_id, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS tok FROM tk),
   s AS (SELECT doc_id, pos, CASE WHEN tok IN {S.in_list(K.OPEN_BRACKETS)} THEN 1
                                WHEN tok IN {S.in_list(K.CLOSE_BRACKETS)} THEN -1 ELSE 0 END AS step FROM t),
@@ -836,6 +840,9 @@ SQL_TRIANGLE = f"""
 """
 
 
+SQL_TRIANGLE = sql_triangle(SQL_CODE_C_TOKENS)
+
+
 @register("tree_distance_triangle", f"""
 WITH {SQL_TRIANGLE},
 agg AS (SELECT doc_id, count(*) AS n_dist, string_agg(CAST(dist AS VARCHAR), ',' ORDER BY i, j) AS dist_text
@@ -984,3 +991,48 @@ def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = V.over_length(d).select(F.lit(0).cast("long").alias("vocab_size"), F.lit(1).cast("long").alias("n_discarded"))
     return a.unionByName(b).agg(F.coalesce(F.sum("vocab_size"), F.lit(0)).cast("long").alias("vocab_size"),
                                 F.coalesce(F.sum("n_discarded"), F.lit(0)).cast("long").alias("n_discarded"))
+
+
+# --- fixed values: HTML elements without a closing tag (leaves of the tag tree) ---
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+TAG_RE = "<[^>]*>"
+VOID_RE = "^<(" + "|".join(VOID_TAGS) + ")[ >/]|^<!|/>$"
+
+
+def page_tag_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages -> (doc_id, tokens): every tag becomes ``(`` (open), ``)`` (close)
+    or ``x`` (void element, comment, doctype), so the tag tree is the bracket tree."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "html"])
+    tags = F.regexp_extract_all(F.col("html"), F.lit(TAG_RE), 0)
+    kinds = F.transform(tags, lambda t: F.when(t.startswith("</"), F.lit(")"))
+                        .when(t.rlike(VOID_RE), F.lit("x")).otherwise(F.lit("(")))
+    return pages.select(F.col("page_id").alias("doc_id"), kinds.alias("tokens"))
+
+
+SQL_PAGE_TAGS = f"""
+  SELECT page_id AS doc_id, list_transform(regexp_extract_all(html, {S.lit(TAG_RE)}, 0),
+    lambda t: CASE WHEN starts_with(t, '</') THEN ')' WHEN regexp_matches(t, {S.lit(VOID_RE)}) THEN 'x'
+                   ELSE '(' END) AS toks
+  FROM pages
+"""
+
+
+@register("page_tag_distances", f"""
+WITH {sql_triangle(SQL_PAGE_TAGS)},
+agg AS (SELECT doc_id, count(*) AS n_dist, CAST(sum(dist) AS BIGINT) AS dist_sum, max(dist) AS dist_max,
+          md5(string_agg(CAST(dist AS VARCHAR), ',' ORDER BY i, j)) AS dist_md5 FROM tri GROUP BY doc_id)
+SELECT tk.doc_id AS page_id, CAST(len(tk.toks) AS INTEGER) AS n_tags, CAST(coalesce(agg.n_dist, 0) AS INTEGER) AS n_dist,
+  agg.dist_sum, CAST(agg.dist_max AS INTEGER) AS dist_max, coalesce(agg.dist_md5, md5('')) AS dist_md5
+FROM tk LEFT JOIN agg ON tk.doc_id = agg.doc_id
+""")
+def page_tag_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6 on real pages: distances between the tags of every page in its tag tree
+    (open / close tags as brackets; unbalanced tags are allowed)."""
+    t = page_tag_brackets(spark, sf_dir)
+    d = t.withColumn("dist", TR.triangle_distances(F.col("tokens"), spark))
+    total = F.aggregate(F.col("dist"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select(F.col("doc_id").alias("page_id"), F.size("tokens").alias("n_tags"),
+                    F.size("dist").alias("n_dist"),
+                    F.when(F.size("dist") > 0, total).alias("dist_sum"),
+                    F.array_max("dist").alias("dist_max"),
+                    F.md5(F.array_join("dist", ",")).alias("dist_md5"))
