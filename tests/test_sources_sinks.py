@@ -103,3 +103,19 @@ def test_partition_count_invariance(spark):
     a = sorted((r[0], tuple(r[1])) for r in TK.obfuscate(code.coalesce(1)).select("doc_id", "transformed_tokens").collect())
     b = sorted((r[0], tuple(r[1])) for r in TK.obfuscate(code.repartition(7)).select("doc_id", "transformed_tokens").collect())
     assert a == b
+
+
+def test_per_source_table_rejects_and_suffix(spark):
+    from codeprep.operators.filters import source_suffix, split_by
+    d = scratch()
+    df = spark.createDataFrame([("kaggle", 0, "a.c"), ("kaggle", 1, "b.cpp"), ("hub", 0, "c.txt")],
+                               "source string, idx long, name string")
+    K.write_per_source(df, os.path.join(d, "by_source"))
+    back = spark.read.parquet(os.path.join(d, "by_source"))
+    assert sorted((r["source"], r["idx"]) for r in back.collect()) == [("hub", 0), ("kaggle", 0), ("kaggle", 1)]
+    kept, rejects = split_by(df.withColumnRenamed("idx", "doc_id"), source_suffix("name"), "collect", "suffix")
+    assert kept.count() == 2
+    K.write_rejects(rejects, os.path.join(d, "rejects"))
+    K.write_rejects(rejects, os.path.join(d, "rejects"))        # append per stage
+    r = spark.read.parquet(os.path.join(d, "rejects")).collect()
+    assert len(r) == 2 and {x["reason"] for x in r} == {"suffix"}
