@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import partition_by_key
 from .joins import checked_broadcast
 from .numbering import consecutive_index
 
@@ -27,7 +28,7 @@ def map_tokens(docs: DataFrame, table: DataFrame, id_col: str, tokens_col: str,
     value is in ``drop_values`` are dropped.
     """
     t = checked_broadcast(table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")))
-    base = docs if partitioned else docs.repartition(id_col)
+    base = docs if partitioned else partition_by_key(docs, id_col)
     rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_e"))
     j = rows.join(t, rows["_e"] == t["_k"], "left")
     val = F.coalesce(F.col("_v"), F.lit(default).cast(value_type)) if default is not None else F.col("_v")

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import patterns as R
 from ..functions import text as T
+from ..session import partition_by_key
 
 MAP_COLS = ["var_dict", "func_dict", "lit_dict", "struct_dict", "class_dict"]
 ALIAS_CLASSES = ["var", "func", "lit", "struct", "class"]
@@ -175,7 +176,7 @@ def obfuscate(docs: DataFrame, id_col: str = "doc_id", code_col: str = "code",
     keep_cols = keep_cols or []
     base = docs.select(id_col, *keep_cols, F.col(code_col).alias("_code"))
     if repartition:
-        base = base.repartition(id_col)          # the only exchange: raw text by id
+        base = partition_by_key(base, id_col)    # the only exchange: raw text by id
     base = base.select(id_col, *keep_cols, T.tokenize("_code").alias("_toks"))
     occ = (token_rows(base.select(id_col, "_toks"), id_col, "_toks")
            .withColumn("kind", occurrence_kind(F.col("tok"), F.col("prev"))))
@@ -214,7 +215,7 @@ def restore_names(lexed: DataFrame, id_col: str = "doc_id", tokens_col: str = "t
     The inverse maps are exploded into ``(id, alias, name)`` rows and joined
     on (id, alias); both sides stay partitioned by id.
     """
-    base = lexed.repartition(id_col)
+    base = partition_by_key(lexed, id_col)
     inv = base.select(id_col, F.explode(F.map_concat(*[F.map_from_arrays(F.map_values(c), F.map_keys(c))
                                                          for c in MAP_COLS])).alias("_alias", "_name"))
     rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_tok"))

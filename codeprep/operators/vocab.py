@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import partition_by_key
 from .filters import keep_where
 from .joins import checked_broadcast
 from .numbering import consecutive_index
@@ -118,7 +119,7 @@ def replace_unknown(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
     v = checked_broadcast(vocab.select(F.col("token").alias("_vtok")).distinct()
                           .withColumn("_known", F.lit(True)))
     keep = [c for c in docs.columns if c not in (tokens_col, out_col)]
-    base = docs if partitioned else docs.repartition(id_col)
+    base = docs if partitioned else partition_by_key(docs, id_col)
     rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_tok"),
                        *([F.col(alias_col).alias("_aliases")] if alias_col else []))
     joined = rows.join(v, rows["_tok"] == v["_vtok"], "left")

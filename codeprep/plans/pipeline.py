@@ -84,8 +84,9 @@ def prepare_stage(lines: DataFrame, max_tokens: int = K.MAX_TOKENS, min_doc_freq
     vocab = materialize(V.merge_vocabularies(V.vocabulary(kept.filter(F.col("lang") == "c")),
                                              V.vocabulary(kept.filter(F.col("lang") == "cpp"))))
     final = V.filter_vocabulary(vocab, min_doc_freq)
-    cleaned = V.replace_unknown(kept.withColumn("aliases", TK.alias_values()), final, alias_col="aliases",
-                                partitioned=True)
+    # the cleaning stage's output feeds both the kept rows and the rejects: write it once
+    cleaned = materialize(V.replace_unknown(kept.withColumn("aliases", TK.alias_values()), final,
+                                            alias_col="aliases", partitioned=True))
     ok, unk_rejects = V.unknown_ratio_filter(cleaned, max_unk_ratio)
     training = ok.select("doc_id", "lang", F.col("tokens").alias("transformed_tokens"))
     if with_distances:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import vocab as V
-from ..session import materialize, spread_if_narrow
+from ..session import materialize, partition_by_key, spread_if_narrow
 from ..sources.tables import read_table
 from . import sql as S
 
@@ -46,7 +46,7 @@ def prose_tokens(spark: SparkSession, sf_dir: str, by_doc: bool = False) -> Data
     the text is only spread when the scan is narrower than the cluster.
     """
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])
-    docs = docs.repartition("doc_id") if by_doc else spread_if_narrow(docs, "doc_id")
+    docs = partition_by_key(docs, "doc_id") if by_doc else spread_if_narrow(docs, "doc_id")
     return docs.select("doc_id", "lang", T.tokenize(T.ascii_clean(T.strip_ws("text"))).alias("tokens"))
 
 
@@ -813,7 +813,10 @@ def order_supplier_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_c_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.code_c(spark, sf_dir).select("doc_id", T.tokenize(T.lex_input_raw("code")).alias("tokens"))
+    """Token arrays of the C fixture, spread first if the scan is narrow (the
+    distance UDF after it is the CPU-heavy part)."""
+    code = spread_if_narrow(X.code_c(spark, sf_dir), "doc_id")
+    return code.select("doc_id", T.tokenize(T.lex_input_raw("code")).alias("tokens"))
 
 
 SQL_CODE_C_TOKENS = f"SELECT doc_id, {S.tokenize(S.lex_input_raw('code'))} AS toks FROM ({X.SQL_CODE_C})"
@@ -1002,7 +1005,7 @@ VOID_RE = "^<(" + "|".join(VOID_TAGS) + ")[ >/]|^<!|/>$"
 def page_tag_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages -> (doc_id, tokens): every tag becomes ``(`` (open), ``)`` (close)
     or ``x`` (void element, comment, doctype), so the tag tree is the bracket tree."""
-    pages = read_table(spark, sf_dir, "pages", ["page_id", "html"])
+    pages = spread_if_narrow(read_table(spark, sf_dir, "pages", ["page_id", "html"]), "page_id")
     tags = F.regexp_extract_all(F.col("html"), F.lit(TAG_RE), 0)
     kinds = F.transform(tags, lambda t: F.when(t.startswith("</"), F.lit(")"))
                         .when(t.rlike(VOID_RE), F.lit("x")).otherwise(F.lit("(")))

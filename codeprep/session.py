@@ -90,5 +90,18 @@ def spread_if_narrow(df, key: str):
     except Exception:  # not a file scan
         return df
     if n_files < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(key)
+        return partition_by_key(df, key)
     return df
+
+
+def partition_by_key(df, *cols):
+    """Hash-partition by ``cols`` into ``spark.sql.shuffle.partitions`` parts.
+
+    Used before CPU-heavy per-row work (regex tokenization, obfuscation).
+    The partition count is explicit on purpose: adaptive execution coalesces
+    a by-column repartition by *bytes*, and a small text shuffle would be
+    merged into one task although the work after it is CPU-bound.  On a
+    cluster, ``spark.sql.shuffle.partitions`` is sized to the cluster.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
