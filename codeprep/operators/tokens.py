@@ -165,19 +165,28 @@ def _map_entries(cond: Column, first_col: str, alias_col: str) -> Column:
 
 
 def obfuscate(docs: DataFrame, id_col: str = "doc_id", code_col: str = "code",
-              keep_cols: list[str] | None = None, repartition: bool = True) -> DataFrame:
+              keep_cols: list[str] | None = None, repartition: bool = True,
+              tokens_col: str | None = None) -> DataFrame:
     """``(id, *keep_cols, transformed_tokens, var_dict ... class_dict)``.
 
     One aggregation per document builds both the rewritten token array and
     the five maps (map entries are emitted at each alias's first use), so
     the entity table is computed once.  Rows whose code has no token are
-    dropped (F2 does the same upstream).
+    dropped (F2 does the same upstream).  ``tokens_col`` takes an existing
+    token array instead of ``code_col``.  A document is processed by one
+    task, so pipelines apply the length filter before this step (the token
+    count does not change under renaming).
     """
     keep_cols = keep_cols or []
-    base = docs.select(id_col, *keep_cols, F.col(code_col).alias("_code"))
-    if repartition:
-        base = partition_by_key(base, id_col)    # the only exchange: raw text by id
-    base = base.select(id_col, *keep_cols, T.tokenize("_code").alias("_toks"))
+    if tokens_col:      # already tokenized (e.g. length-filtered before this step)
+        base = docs.select(id_col, *keep_cols, F.col(tokens_col).alias("_toks"))
+        if repartition:
+            base = partition_by_key(base, id_col)
+    else:
+        base = docs.select(id_col, *keep_cols, F.col(code_col).alias("_code"))
+        if repartition:
+            base = partition_by_key(base, id_col)    # the only exchange: raw text by id
+        base = base.select(id_col, *keep_cols, T.tokenize("_code").alias("_toks"))
     occ = (token_rows(base.select(id_col, "_toks"), id_col, "_toks")
            .withColumn("kind", occurrence_kind(F.col("tok"), F.col("prev"))))
     ent = entity_table(occ, id_col).select(id_col, "tok", "f_lit", "f_plain", "f_struct", "f_class",

@@ -26,7 +26,7 @@ from ..operators import filters as FL
 from ..operators import tokens as TK
 from ..operators import tree as TR
 from ..operators import vocab as V
-from ..session import materialize
+from ..session import materialize, partition_by_key
 from ..sources import json_lines as J
 
 
@@ -63,7 +63,7 @@ def collect_stage(lines: DataFrame, order_col: str = "line_no") -> Collected:
 @dataclass
 class Prepared:
     training: DataFrame    # (doc_id, lang, transformed_tokens, dist)
-    lexed: DataFrame       # lex rows with the five maps
+    lexed: DataFrame       # lex rows with the five maps (rows within the length limit)
     vocabulary: DataFrame  # (token, num_rows, count) merged over languages
     ids: DataFrame         # (token, id)
     rejects: DataFrame     # (doc_id, stage, reason)
@@ -74,13 +74,20 @@ def prepare_stage(lines: DataFrame, max_tokens: int = K.MAX_TOKENS, min_doc_freq
     """E2 on escaped line rows ``(doc_id, lang, code)``."""
     spark = lines.sparkSession
     blank = lines.filter(~FL.non_blank("code")).select("doc_id", F.lit("lex").alias("stage"), F.lit("blank").alias("reason"))
-    pre = FL.keep_where(lines, FL.non_blank("code")).select("doc_id", "lang", T.lex_input("code").alias("code"))
+    # one exchange: raw lines by id; everything per document after it is partition-local
+    spread = partition_by_key(FL.keep_where(lines, FL.non_blank("code")), "doc_id")
+    pre = spread.select("doc_id", "lang", T.lex_input("code").alias("code"))
     empty = FL.keep_where(pre, F.col("code") == "").select(
         "doc_id", F.lit("lex").alias("stage"), F.lit("empty_after_preprocess").alias("reason"))
-    lexed = materialize(TK.obfuscate(FL.keep_where(pre, F.col("code") != ""), keep_cols=["lang"]))
-    toks = lexed.withColumnRenamed("transformed_tokens", "tokens")
-    kept = V.length_filter(toks, "tokens", max_tokens)
-    too_long = V.over_length(toks, "tokens", max_tokens).select("doc_id", F.lit("analysis").alias("stage"), F.lit("too_long").alias("reason"))
+    raw = pre.select("doc_id", "lang", T.tokenize("code").alias("raw_tokens"))
+    raw = materialize(FL.keep_where(raw, F.size("raw_tokens") > 0))
+    # F4 before the costly stages: renaming keeps the token count, so rows over
+    # the limit are rejected here and never exploded
+    too_long = V.over_length(raw, "raw_tokens", max_tokens).select(
+        "doc_id", F.lit("analysis").alias("stage"), F.lit("too_long").alias("reason"))
+    lexed = materialize(TK.obfuscate(V.length_filter(raw, "raw_tokens", max_tokens), keep_cols=["lang"],
+                                     tokens_col="raw_tokens", repartition=False))
+    kept = lexed.withColumnRenamed("transformed_tokens", "tokens")
     vocab = materialize(V.merge_vocabularies(V.vocabulary(kept.filter(F.col("lang") == "c")),
                                              V.vocabulary(kept.filter(F.col("lang") == "cpp"))))
     final = V.filter_vocabulary(vocab, min_doc_freq)
