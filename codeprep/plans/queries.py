@@ -1039,3 +1039,20 @@ def page_tag_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.size("dist") > 0, total).alias("dist_sum"),
                     F.array_max("dist").alias("dist_max"),
                     F.md5(F.array_join("dist", ",")).alias("dist_md5"))
+
+
+
+@register("event_props", """
+SELECT event_id,
+  NOT (CASE WHEN json_valid(props) THEN json_type(props) = 'OBJECT' ELSE false END) AS malformed,
+  CAST(json_array_length(json_keys(props)) AS INTEGER) AS n_keys,
+  json_extract_string(props, '$.k') AS k_text
+FROM events
+""")
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 on plain JSON objects of another table: parse ``events.props`` as a
+    string map (a number keeps its JSON text, e.g. ``5``)."""
+    e = read_table(spark, sf_dir, "events", ["event_id", "props"])
+    rec = J.parse_record(F.col("props"))
+    return e.select("event_id", rec.isNull().alias("malformed"), F.size(F.map_keys(rec)).alias("n_keys"),
+                    rec["k"].alias("k_text"))

@@ -23,15 +23,19 @@ LINE_SCHEMA = "value string"
 def snippet_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 100) -> DataFrame:
     """Streaming source over a folder of escaped line files (one snippet per line).
 
-    The id is (file, line hash): line numbers are not available to a
-    streaming text source, so the snippet's own hash keys it.
+    The id is a hash of (file, line text): line numbers are not available to
+    a streaming text source.  Identical lines of one file therefore share an
+    id and are one snippet: a stateful ``dropDuplicates`` on the id keeps the
+    first (hash dedup, first wins, across micro-batches; the state holds one
+    8-byte key per distinct snippet).
     """
     raw = (spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
            .text(folder))
     return (raw.withColumn("file", F.input_file_name())
             .withColumn("lang", F.when(F.lower(F.col("file")).contains("_cpp"), "cpp").otherwise("c"))
             .withColumn("doc_id", F.xxhash64("file", "value"))
-            .select("doc_id", "lang", F.col("value").alias("code")))
+            .select("doc_id", "lang", F.col("value").alias("code"))
+            .dropDuplicates(["doc_id"]))
 
 
 def lex_batch(batch: DataFrame, max_tokens: int = 1000) -> DataFrame:

@@ -10,7 +10,7 @@ from conftest import SF001
 def test_collect_stage(spark):
     lines = spark.createDataFrame([
         (1, '{"C": "int a;\\nint b;", "C++": "int a;"}'), (2, '{"C": "int a;\\nint b;"}'),
-        (3, '{"C++": "int c;"}'), (4, "{oops"), (5, '{"C": "x", "C++": "int a;"}'), (6, '{"Go": "y"}')],
+        (3, '{"C++": "int c;"}'), (4, "{broken"), (5, '{"C": "x", "C++": "int a;"}'), (6, '{"Go": "y"}')],
         "line_no long, value string")
     c = P.collect_stage(lines)
     assert [r["rank"] for r in c.paired.collect()] == [1]

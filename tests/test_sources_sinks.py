@@ -91,7 +91,8 @@ def test_streaming_lex(spark):
     from codeprep.streaming.ingest import start_lex_stream
     src, out, ck = scratch(), scratch(), scratch()
     with open(os.path.join(src, "unpaired_c.txt"), "w") as f:
-        f.write("int x = 1;\\nint f(int y) { return x + y; }\n// only a comment\n")
+        f.write("int x = 1;\\nint f(int y) { return x + y; }\n// only a comment\n"
+                "int x = 1;\\nint f(int y) { return x + y; }\n")
     q = start_lex_stream(spark, src, os.path.join(out, "lex"), ck, trigger_once=True)
     q.awaitTermination(120)
     rows = spark.read.parquet(os.path.join(out, "lex")).collect()
@@ -108,14 +109,31 @@ def test_partition_count_invariance(spark):
 def test_per_source_table_rejects_and_suffix(spark):
     from codeprep.operators.filters import source_suffix, split_by
     d = scratch()
-    df = spark.createDataFrame([("kaggle", 0, "a.c"), ("kaggle", 1, "b.cpp"), ("hub", 0, "c.txt")],
+    df = spark.createDataFrame([("folder", 0, "a.c"), ("folder", 1, "b.cpp"), ("table", 0, "c.txt")],
                                "source string, idx long, name string")
     K.write_per_source(df, os.path.join(d, "by_source"))
     back = spark.read.parquet(os.path.join(d, "by_source"))
-    assert sorted((r["source"], r["idx"]) for r in back.collect()) == [("hub", 0), ("kaggle", 0), ("kaggle", 1)]
+    assert sorted((r["source"], r["idx"]) for r in back.collect()) == [("folder", 0), ("folder", 1), ("table", 0)]
     kept, rejects = split_by(df.withColumnRenamed("idx", "doc_id"), source_suffix("name"), "collect", "suffix")
     assert kept.count() == 2
     K.write_rejects(rejects, os.path.join(d, "rejects"))
     K.write_rejects(rejects, os.path.join(d, "rejects"))        # append per stage
     r = spark.read.parquet(os.path.join(d, "rejects")).collect()
     assert len(r) == 2 and {x["reason"] for x in r} == {"suffix"}
+
+
+def test_line_numbers_across_many_splits(spark):
+    d = scratch()
+    path = os.path.join(d, "unpaired_c.txt")
+    with open(path, "w") as f:
+        for i in range(1, 20001):
+            f.write(f"int v{i} = {i};\n" if i % 97 else "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = FS.read_line_file(spark, path)
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 20000
+    for r in rows:
+        assert r["code"] == ("" if r["doc_id"] % 97 == 0 else f"int v{r['doc_id']} = {r['doc_id']};")
