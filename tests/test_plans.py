@@ -58,3 +58,11 @@ def test_checked_broadcast_bound(spark):
     assert b.count() == 10 and "broadcast" in b._jdf.queryExecution().analyzed().toString().lower()
     nb = J.checked_broadcast(big, max_rows=50)
     assert "broadcast" not in nb._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_top_k_per_group_limits_before_shuffle(spark):
+    from codeprep.functions import constants as K
+    assert K.KEYWORD_HITS <= int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    for name in ("keyword_search", "row_cap_per_language"):
+        plan = physical(getattr(Q, name)(spark, SF001))
+        assert plan.count("WindowGroupLimit") == 2      # partial (map side) and final
