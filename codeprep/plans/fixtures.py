@@ -79,6 +79,15 @@ def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(i % 3 != 1, (n + i) % 89).alias("cpp_key"))
 
 
+SQL_PAIR_KEYS = """
+SELECT doc_id,
+  CASE WHEN doc_id % 3 = 0 THEN 'pair' WHEN doc_id % 3 = 1 THEN 'c' ELSE 'cpp' END AS kind,
+  CASE WHEN doc_id % 3 <> 2 THEN n_chars % 97 END AS c_key,
+  CASE WHEN doc_id % 3 <> 1 THEN (n_chars + doc_id) % 89 END AS cpp_key
+FROM documents
+"""
+
+
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(node_id, parent_id)``: root -> regions -> nations -> suppliers."""
     r = read_table(spark, sf_dir, "region", ["r_regionkey"])

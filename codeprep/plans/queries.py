@@ -360,16 +360,39 @@ def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("orig_id").cast("long").alias("orig_id"), T.sha256_hex("text").alias("sha"))
 
 
-@register("pair_dedup")
+SQL_SEQUENTIAL_DEDUP = f"""
+WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY doc_id) AS rn, doc_id, c_key, cpp_key
+                     FROM ({X.SQL_PAIR_KEYS})),
+walk(rn, seen_c, seen_p, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT r.rn,
+    CASE WHEN ok AND r.c_key IS NOT NULL THEN list_append(w.seen_c, r.c_key) ELSE w.seen_c END,
+    CASE WHEN ok AND r.cpp_key IS NOT NULL THEN list_append(w.seen_p, r.cpp_key) ELSE w.seen_p END,
+    CASE WHEN ok THEN list_append(w.kept, r.doc_id) ELSE w.kept END
+  FROM walk w JOIN r ON r.rn = w.rn + 1,
+  LATERAL (SELECT (r.c_key IS NULL OR NOT list_contains(w.seen_c, r.c_key))
+              AND (r.cpp_key IS NULL OR NOT list_contains(w.seen_p, r.cpp_key)) AS ok)),
+kept AS (SELECT unnest(kept) AS doc_id FROM walk WHERE rn = (SELECT max(rn) FROM r))
+SELECT k.doc_id, CASE WHEN p.c_key IS NOT NULL AND p.cpp_key IS NOT NULL THEN 'pair'
+                      WHEN p.c_key IS NOT NULL THEN 'c' ELSE 'cpp' END AS kind
+FROM kept k JOIN ({X.SQL_PAIR_KEYS}) p ON k.doc_id = p.doc_id
+"""
+
+
+@register("pair_dedup", SQL_SEQUENTIAL_DEDUP)
 def pair_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy two-key dedup in input order (checked against a sequential
-    loop in the tests; no SQL form)."""
+    """Greedy two-key dedup in input order, computed in parallel rounds.
+    The oracle is the sequential rule itself: a recursive walk over the rows
+    in order carrying the two seen-key lists."""
     rows = X.pair_keys(spark, sf_dir)
     kept = D.greedy_pair_dedup(rows.withColumnRenamed("doc_id", "rank"), "rank", "c_key", "cpp_key")
     return kept.select(F.col("rank").alias("doc_id"), D.pair_kind(F.col("c_key"), F.col("cpp_key")).alias("kind"))
 
 
-@register("pair_counts")
+@register("pair_counts", f"""
+SELECT kind, count(*) AS n_unique FROM ({SQL_SEQUENTIAL_DEDUP}) GROUP BY kind
+""")
 def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique pairs / singles after D1."""
     return pair_dedup(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n_unique"))
