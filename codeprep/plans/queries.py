@@ -10,14 +10,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import patterns as R
 from ..functions import text as T
+from ..operators import checks as CH
+from ..operators import dedup as D
+from ..operators import encode as EN
+from ..operators import filters as FL
+from ..operators import tokens as TK
+from ..operators import tree as TR
 from ..operators import vocab as V
 from ..session import materialize, partition_by_key, spread_if_narrow
+from ..sources import json_lines as J
 from ..sources.tables import read_table
+from . import fixtures as X
+from . import pipeline as PL
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,12 +85,6 @@ def token_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Step 2: text functions and filters on the code fixtures
 # ---------------------------------------------------------------------------
 
-from ..functions import patterns as R  # noqa: E402
-from ..operators import dedup as D  # noqa: E402
-from ..operators import filters as FL  # noqa: E402
-from ..sources import json_lines as J  # noqa: E402
-from . import fixtures as X  # noqa: E402
-
 
 def code_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.code_c(spark, sf_dir).unionByName(X.code_cpp(spark, sf_dir))
@@ -229,9 +233,8 @@ FROM d
 """)
 def analysis_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: rejects + kept = input for the analysis stage."""
-    from ..operators.checks import balance
     d = prose_tokens(spark, sf_dir)
-    return balance(d, V.length_filter(d), V.over_length(d))
+    return CH.balance(d, V.length_filter(d), V.over_length(d))
 
 
 # ---------------------------------------------------------------------------
@@ -291,9 +294,10 @@ def exclusion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.exclude_ids(d, ex)
 
 
-def keyword_table(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """The 40 name tokens found in most documents (ties by token): a top-k."""
-    v = V.vocabulary(prose_tokens(spark, sf_dir))
+def keyword_table(docs: DataFrame, n: int = 40) -> DataFrame:
+    """The ``n`` name tokens found in most documents (ties by token): a top-k,
+    so the result is bounded by ``n``."""
+    v = V.vocabulary(docs)
     return (v.filter(F.col("token").rlike("^[A-Za-z_]"))
             .orderBy(F.col("num_rows").desc(), F.col("token")).limit(n)
             .select(F.col("token").alias("keyword")))
@@ -321,9 +325,8 @@ SELECT keyword, doc_id, hit_rank FROM ({SQL_HITS}) WHERE hit_rank <= {K.KEYWORD_
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per keyword the 1000 newest documents (recency = doc_id) using it."""
     docs = materialize(prose_tokens(spark, sf_dir))
-    kw = V.vocabulary(docs).filter(F.col("token").rlike("^[A-Za-z_]")) \
-        .orderBy(F.col("num_rows").desc(), F.col("token")).limit(40).select(F.col("token").alias("keyword"))
-    hits = D.keyword_hits(docs, kw, "doc_id", "tokens", "doc_id", K.KEYWORD_HITS, keywords_bounded=True)
+    hits = D.keyword_hits(docs, keyword_table(docs), "doc_id", "tokens", "doc_id", K.KEYWORD_HITS,
+                          keywords_bounded=True)
     return hits.select("keyword", "doc_id", F.col("hit_rank").cast("long").alias("hit_rank"))
 
 
@@ -471,8 +474,6 @@ def json_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Step 4: tokenization and obfuscation on the code fixtures
 # ---------------------------------------------------------------------------
 
-from ..operators import tokens as TK  # noqa: E402
-
 
 def sql_obfuscate(src: str, prepared: bool = False, final_select: bool = True) -> str:
     """DuckDB form of T1–T11 over ``src(doc_id, code)`` (raw source files, or
@@ -565,8 +566,6 @@ def obfuscate_cpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obfuscated_view(lexed_code(X.code_cpp(spark, sf_dir)))
 
 
-Column = F.Column  # noqa: E305
-
 _DIRS = S.in_list(K.DIRECTIVE_WORDS)
 
 
@@ -628,7 +627,6 @@ def oop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Step 5 and 7: vocabulary, [UNK], ids, encoding, splits
 # ---------------------------------------------------------------------------
 
-from ..operators import encode as EN  # noqa: E402
 
 SQL_KEPT = f"SELECT doc_id, lang, tokens FROM ({SQL_PROSE_TOKENS}) WHERE len(tokens) <= {K.MAX_TOKENS}"
 
@@ -770,12 +768,10 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     total("cpp_decoder_mask").alias("cpp_dec_mask_sum"))
 
 
-
 # ---------------------------------------------------------------------------
 # Step 8: tree distance
 # ---------------------------------------------------------------------------
 
-from ..operators import tree as TR  # noqa: E402
 
 SQL_CLOSURE = f"""
   nodes AS ({X.SQL_TREE_NODES}),
@@ -927,7 +923,6 @@ def baseline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Step 9: the preparation pipeline end to end
 # ---------------------------------------------------------------------------
 
-from . import pipeline as PL  # noqa: E402
 
 SQL_CODE_LINES = f"""
   SELECT doc_id * 2 AS doc_id, 'c' AS lang, {S.escape_newlines('code')} AS code FROM ({X.SQL_CODE_C})
@@ -996,7 +991,6 @@ def row_cap_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference's run).  A per-group top-N: planned with a partial group
     limit before the shuffle, so a language holding a third of all rows
     moves at most N rows per task."""
-    from pyspark.sql import Window
     d = read_table(spark, sf_dir, "documents", ["lang", "doc_id"])
     w = Window.partitionBy("lang").orderBy("doc_id")
     return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 100).drop("_rn")
@@ -1064,7 +1058,6 @@ def page_tag_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.md5(F.array_join("dist", ",")).alias("dist_md5"))
 
 
-
 @register("event_props", """
 SELECT event_id,
   NOT (CASE WHEN json_valid(props) THEN json_type(props) = 'OBJECT' ELSE false END) AS malformed,

@@ -59,3 +59,9 @@ def write_training_parquet(df: DataFrame, path: str, block_bytes: int = 32 * 102
 def write_rejects(rejects: DataFrame, path: str) -> None:
     """K8: ``(doc_id, stage, reason)`` appended per stage."""
     rejects.write.mode("append").parquet(path)
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """E3 bulk form: training samples partitioned by ``split`` (train / val /
+    test), zstd parquet; readers prune to one split by directory."""
+    samples.write.mode("overwrite").option("compression", "zstd").partitionBy("split").parquet(path)

@@ -37,3 +37,9 @@ def test_prepare_and_sample(spark):
     r = s.orderBy("position").first()
     assert r["c_encoder_ids"][0] == 2 and r["c_encoder_ids"][-1] == 3 and len(r["c_encoder_ids"]) == 66
     assert r["c_decoder_ids"][:2] == [2, 2] and r["c_encoder_dist"] == r["c_decoder_dist"]
+    import tempfile
+    from codeprep.sinks import write_samples
+    out = tempfile.mkdtemp(prefix="codeprep-test-") + "/samples"
+    write_samples(s, out)
+    back = spark.read.parquet(out)
+    assert back.count() == s.count() and {r[0] for r in back.select("split").distinct().collect()} <= {"train", "val", "test"}
