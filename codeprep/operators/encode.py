@@ -87,11 +87,18 @@ def baseline_distances(n: Column) -> Column:
 def position_pair(left: DataFrame, right: DataFrame, order_col: str = "doc_id",
                   prefixes: tuple[str, str] = ("c_", "cpp_")) -> DataFrame:
     """Row k of one language with row k of the other (inner join on a
-    consecutive position), so the result has ``min(n_left, n_right)`` rows."""
-    def numbered(df, pre):
-        n = consecutive_index(df, [F.col(order_col)], out_col="position")
-        return n.select("position", *[F.col(c).alias(pre + c) for c in df.columns])
-    return numbered(left, prefixes[0]).join(numbered(right, prefixes[1]), "position")
+    consecutive position), so the result has ``min(n_left, n_right)`` rows.
+
+    Both sides are numbered in one distributed pass (position restarts per
+    side), then split and joined on the position."""
+    both = (left.withColumn("_side", F.lit(0))
+            .unionByName(right.withColumn("_side", F.lit(1))))
+    numbered = consecutive_index(both, [F.col(order_col)], out_col="position", group_cols=["_side"])
+
+    def side(i, pre):
+        return numbered.filter(F.col("_side") == i).select(
+            "position", *[F.col(c).alias(pre + c) for c in left.columns])
+    return side(0, prefixes[0]).join(side(1, prefixes[1]), "position")
 
 
 def split_bounds(n: int, val_ratio: float = K.VAL_RATIO, test_ratio: float = K.TEST_RATIO) -> tuple[int, int]:

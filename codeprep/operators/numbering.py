@@ -17,25 +17,34 @@ from ..session import ensure_checkpoint_dir
 
 
 def consecutive_index(df: DataFrame, order_cols: list, out_col: str = "row_idx",
-                      start: int = 0, num_partitions: int | None = None) -> DataFrame:
-    """Add ``out_col`` = start, start+1, ... in the order of ``order_cols``.
+                      start: int = 0, num_partitions: int | None = None,
+                      group_cols: list | None = None) -> DataFrame:
+    """Add ``out_col`` = start, start+1, ... in the order of ``order_cols``,
+    restarting for every value of ``group_cols`` (if given).
 
-    ``order_cols`` must define a total order (add a unique tie-breaker).
+    ``order_cols`` must define a total order within a group (add a unique
+    tie-breaker).  With groups, rows are range-partitioned by (group, order),
+    so a group's rows are contiguous inside a partition; each (partition,
+    group) contributes its row count and first id, and offsets are running
+    sums per group over partitions.  Without groups the offset table has one
+    row per partition and is broadcast; with groups it is joined as the
+    planner sees fit (its size grows with the number of groups).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    groups = list(group_cols or [])
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *order_cols)
-               .sortWithinPartitions(*order_cols)
+    keys = [F.col(g) if isinstance(g, str) else g for g in groups] + list(order_cols)
+    ordered = (df.repartitionByRange(n, *keys)
+               .sortWithinPartitions(*keys)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id()))
     ordered = ordered.checkpoint(eager=True)
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
-         ).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (ordered.join(F.broadcast(offsets), "_pid")
+    counts = ordered.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", *groups, "_m0", F.sum("_n").over(w).alias("_off"))
+    offsets = F.broadcast(offsets) if not groups else offsets
+    local = F.col("_mid") - F.col("_m0")
+    return (ordered.join(offsets, ["_pid", *groups])
             .withColumn(out_col, F.coalesce(F.col("_off"), F.lit(0)) + local + F.lit(start))
-            .drop("_pid", "_mid", "_off"))
+            .drop("_pid", "_mid", "_off", "_m0"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..session import partition_by_key
+from ..session import materialize, partition_by_key
 from .filters import keep_where
 from .joins import checked_broadcast
 from .numbering import consecutive_index
@@ -102,7 +102,8 @@ def token_ids(final_vocab: DataFrame, spark=None) -> DataFrame:
             .filter(~F.col("token").isin(K.SPECIAL_TOKENS)).distinct())
     numbered = consecutive_index(toks, [F.col("token")], out_col="id", start=len(K.SPECIAL_TOKENS))
     specials = spark.createDataFrame([(t, i) for i, t in enumerate(K.SPECIAL_TOKENS)], "token string, id long")
-    return specials.unionByName(numbered.select("token", F.col("id").cast("long").alias("id")))
+    # the id table is read by every encode / decode: write it once
+    return materialize(specials.unionByName(numbered.select("token", F.col("id").cast("long").alias("id"))))
 
 
 def replace_unknown(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id",

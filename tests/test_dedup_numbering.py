@@ -61,3 +61,12 @@ def test_seeded_sample_is_deterministic(spark):
     a = [r[0] for r in D.seeded_sample(df, 10, "doc_id", seed=1).collect()]
     b = [r[0] for r in D.seeded_sample(df.repartition(3), 10, "doc_id", seed=1).collect()]
     assert a == b and len(set(a)) == 10
+
+
+def test_consecutive_index_per_group(spark):
+    df = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang")
+    got = consecutive_index(df, [F.col("doc_id")], out_col="i", group_cols=["lang"], num_partitions=7)
+    by_lang = {}
+    for r in sorted(got.collect(), key=lambda r: (r["lang"], r["doc_id"])):
+        by_lang.setdefault(r["lang"], []).append(r["i"])
+    assert all(v == list(range(len(v))) for v in by_lang.values()) and len(by_lang) == 4
