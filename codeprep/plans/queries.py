@@ -722,11 +722,11 @@ c AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, ids FR
 p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, ids FROM enc WHERE lang = 'fr'),
 pairs AS (SELECT c.position, c.doc_id AS c_doc_id, p.doc_id AS cpp_doc_id, c.ids AS cids, p.ids AS pids
           FROM c JOIN p ON c.position = p.position),
-n AS (SELECT count(*) AS n FROM pairs),
 e AS (SELECT position, c_doc_id, cpp_doc_id, {c_enc} AS ce, {p_enc} AS pe,
-        CAST(floor((CAST(1 AS DOUBLE) - CAST({K.VAL_RATIO} AS DOUBLE) - CAST({K.TEST_RATIO} AS DOUBLE)) * n) AS BIGINT) AS vs,
-        CAST(floor((CAST(1 AS DOUBLE) - CAST({K.TEST_RATIO} AS DOUBLE)) * n) AS BIGINT) AS ts
-      FROM pairs, n)
+        CAST(floor((CAST(1 AS DOUBLE) - CAST({K.VAL_RATIO} AS DOUBLE) - CAST({K.TEST_RATIO} AS DOUBLE))
+                   * (SELECT count(*) FROM pairs)) AS BIGINT) AS vs,
+        CAST(floor((CAST(1 AS DOUBLE) - CAST({K.TEST_RATIO} AS DOUBLE)) * (SELECT count(*) FROM pairs)) AS BIGINT) AS ts
+      FROM pairs)
 SELECT CAST(position AS BIGINT) AS position,
   CASE WHEN position < vs THEN 'train' WHEN position < ts THEN 'val' ELSE 'test' END AS split,
   c_doc_id, cpp_doc_id,
