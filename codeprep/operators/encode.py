@@ -20,14 +20,16 @@ from .numbering import consecutive_index
 
 def map_tokens(docs: DataFrame, table: DataFrame, id_col: str, tokens_col: str, key_col: str,
                value_col: str, out_col: str, default=None, drop_values: list | None = None,
-               value_type: str = "string", partitioned: bool = False) -> DataFrame:
+               value_type: str = "string", partitioned: bool = False, table_checked: bool = False) -> DataFrame:
     """Replace every element of an array column through a lookup table.
 
     Elements without a match become ``default`` (or are dropped if
     ``default`` is None and ``drop_values`` is given); elements whose mapped
-    value is in ``drop_values`` are dropped.
+    value is in ``drop_values`` are dropped.  The table is broadcast after a
+    size check, unless ``table_checked`` says the caller already did it.
     """
-    t = checked_broadcast(table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v")))
+    t = table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v"))
+    t = t if table_checked else checked_broadcast(t)
     base = docs if partitioned else partition_by_key(docs, id_col)
     rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_e"))
     j = rows.join(t, rows["_e"] == t["_k"], "left")
@@ -44,10 +46,10 @@ def map_tokens(docs: DataFrame, table: DataFrame, id_col: str, tokens_col: str,
 
 def encode_tokens(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id",
                   tokens_col: str = "transformed_tokens", out_col: str = "ids",
-                  partitioned: bool = False) -> DataFrame:
+                  partitioned: bool = False, ids_checked: bool = False) -> DataFrame:
     """C4: tokens -> ids, unknown -> ``[UNK]`` (1)."""
     return map_tokens(docs, ids, id_col, tokens_col, "token", "id", out_col, default=K.UNK_ID,
-                      value_type="long", partitioned=partitioned)
+                      value_type="long", partitioned=partitioned, table_checked=ids_checked)
 
 
 def decode_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",

@@ -23,6 +23,7 @@ from ..operators import filters as FL
 from ..operators import tokens as TK
 from ..operators import tree as TR
 from ..operators import vocab as V
+from ..operators.joins import checked_broadcast
 from ..session import materialize, partition_by_key, spread_if_narrow
 from ..sources import json_lines as J
 from ..sources.tables import read_table
@@ -744,11 +745,11 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4–C11: encode both languages (en as source, fr as target), pair row k
     with row k, split by position, frame/pad, shift, masks."""
     k = kept_docs(spark, sf_dir)
-    ids = token_ids(spark, sf_dir, k)
+    ids = checked_broadcast(token_ids(spark, sf_dir, k))     # one size check for both languages
     en = EN.encode_tokens(k.filter(F.col("lang") == "en").select("doc_id", "tokens"), ids, tokens_col="tokens",
-                          partitioned=True)
+                          partitioned=True, ids_checked=True)
     fr = EN.encode_tokens(k.filter(F.col("lang") == "fr").select("doc_id", "tokens"), ids, tokens_col="tokens",
-                          partitioned=True)
+                          partitioned=True, ids_checked=True)
     paired = EN.position_pair(en.select("doc_id", "ids"), fr.select("doc_id", "ids"))
     n = paired.count()
     paired = EN.assign_split(paired, n)
