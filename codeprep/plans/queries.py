@@ -891,10 +891,10 @@ def tree_distance_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {SQL_TRIANGLE},
 n AS (SELECT doc_id, len(toks) AS n FROM tk)
 SELECT n.doc_id,
-  (SELECT dist FROM tri WHERE tri.doc_id = n.doc_id AND i = 0 AND j = n.n - 1) + 1000 AS v_first_last,
-  -(SELECT dist FROM tri WHERE tri.doc_id = n.doc_id AND i = 0 AND j = n.n - 1) + 1000 AS v_last_first,
+  CAST((SELECT dist FROM tri WHERE tri.doc_id = n.doc_id AND i = 0 AND j = n.n - 1) + 1000 AS INTEGER) AS v_first_last,
+  CAST(-(SELECT dist FROM tri WHERE tri.doc_id = n.doc_id AND i = 0 AND j = n.n - 1) + 1000 AS INTEGER) AS v_last_first,
   0 AS v_diag,
-  (SELECT dist FROM tri WHERE tri.doc_id = n.doc_id AND i = 1 AND j = 4) + 1000 AS v_1_4
+  CAST((SELECT dist FROM tri WHERE tri.doc_id = n.doc_id AND i = 1 AND j = 4) + 1000 AS INTEGER) AS v_1_4
 FROM n
 """)
 def triangle_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,3 +9,17 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) == set(E.queries())
+
+
+def test_oracle_column_types_match(spark):
+    """Column names and types agree between each query and its DuckDB statement."""
+    import duckdb  # noqa: F401
+    from oracle import duck
+    from conftest import SF001
+    con = duck(SF001)
+    names = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double"}
+    for name, fn in E.queries().items():
+        st = {f.name: f.dataType.simpleString() for f in fn(spark, SF001).schema.fields}
+        rel = con.sql(E.oracle_sql()[name])
+        dt = {c: names.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+        assert dt == st, name
