@@ -24,6 +24,27 @@ def language_of_path(path_col: str = "path"):
     return F.when(F.lower(F.col(path_col)).contains("_cpp"), F.lit("cpp")).otherwise(F.lit("c"))
 
 
+def read_numbered_lines(spark: SparkSession, paths, id_col: str = "line_no") -> DataFrame:
+    """Lines of one or more text files with a global 1-based number in input
+    order (files in path order, then line order): ``(id_col, file, value)``.
+
+    Spark's text reader splits a file into ordered byte ranges, so (file
+    rank, split start, position in split) is a total order; numbering is the
+    distributed consecutive index.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    parts = [spark.read.text(p).withColumn("_file_rank", F.lit(i)) for i, p in enumerate(paths)]
+    raw = parts[0]
+    for p in parts[1:]:
+        raw = raw.unionByName(p)
+    raw = (raw.withColumn("file", F.input_file_name())
+           .withColumn("_start", F.input_file_block_start())
+           .withColumn("_mid", F.monotonically_increasing_id()))
+    order = [F.col("_file_rank"), F.col("file"), F.col("_start"), F.col("_mid")]
+    numbered = consecutive_index(raw, order, out_col=id_col, start=1)
+    return numbered.select(id_col, "file", "value")
+
+
 def read_line_file(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """One snippet per line, id = 1-based line number; blank lines keep
     their number (they are dropped later, leaving gaps), ``lang`` from path.

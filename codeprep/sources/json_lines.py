@@ -27,7 +27,8 @@ def parse_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Read several JSON-lines files; ``file`` and 1-based ``line_no`` are kept
-    for messages (numbering is per file, via the file's own line order)."""
-    raw = spark.read.text(paths).withColumn("file", F.input_file_name())
-    return parse_lines(raw)
+    """Read several JSON-lines files in the given order; every line keeps
+    ``line_no`` (global input order, the order the greedy pair dedup walks)
+    and ``file``; blank lines are skipped, malformed ones flagged."""
+    from .files import read_numbered_lines
+    return parse_lines(read_numbered_lines(spark, paths, "line_no"))

@@ -43,3 +43,22 @@ def test_prepare_and_sample(spark):
     write_samples(s, out)
     back = spark.read.parquet(out)
     assert back.count() == s.count() and {r[0] for r in back.select("split").distinct().collect()} <= {"train", "val", "test"}
+
+
+def test_collect_stage_from_files(spark):
+    import os
+    import tempfile
+    from codeprep.sources.json_lines import read_json_lines
+    d = tempfile.mkdtemp(prefix="codeprep-test-")
+    a, b = os.path.join(d, "train.json"), os.path.join(d, "test.json")
+    with open(a, "w") as f:
+        f.write('{"C": "int a;", "C++": "int b;"}\n\n{not json\n')
+    with open(b, "w") as f:
+        f.write('{"C": "int a;"}\n{"C++": "int c;"}\n{"C": "int z;", "C++": "int b;"}\n')
+    lines = read_json_lines(spark, [a, b])
+    assert [r["line_no"] for r in lines.orderBy("line_no").collect()] == [1, 3, 4, 5, 6]
+    c = P.collect_stage(lines.select("line_no", "value"))
+    assert [r["rank"] for r in c.paired.collect()] == [1]
+    assert c.unpaired_c.count() == 0                       # "int a;" already kept by line 1
+    assert [r["rank"] for r in c.unpaired_cpp.collect()] == [5]
+    assert {r["outcome"]: r["n"] for r in c.counters.collect()} == {"pair": 2, "c": 1, "cpp": 1, "malformed": 1}
