@@ -47,19 +47,9 @@ def read_numbered_lines(spark: SparkSession, paths, id_col: str = "line_no") ->
 
 def read_line_file(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """One snippet per line, id = 1-based line number; blank lines keep
-    their number (they are dropped later, leaving gaps), ``lang`` from path.
-
-    Line order is the file order: Spark's text reader splits a file into
-    ordered byte ranges, so (file, split start, line in split) is a total
-    order; numbering is the distributed consecutive index.
-    """
-    raw = (spark.read.text(path)
-           .withColumn("_file", F.input_file_name())
-           .withColumn("_start", F.input_file_block_start())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    numbered = consecutive_index(raw, [F.col("_file"), F.col("_start"), F.col("_mid")], out_col=id_col, start=1)
-    return (numbered.withColumn("lang", language_of_path("_file"))
-            .select(id_col, "lang", F.col("value").alias("code")))
+    their number (they are dropped later, leaving gaps), ``lang`` from path (S5)."""
+    lines = read_numbered_lines(spark, path, id_col)
+    return lines.select(id_col, language_of_path("file").alias("lang"), F.col("value").alias("code"))
 
 
 def read_vocab_file(spark: SparkSession, path: str) -> DataFrame:
