@@ -408,7 +408,8 @@ def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_lines_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON line per document; the key set depends on the language, and
-    lines of one source are cut in half (malformed)."""
+    the lines of one source get a stray leading character (malformed, whole
+    text kept)."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])
     t = F.col("text")
     rec = (F.when(F.col("lang") == "en", F.create_map(F.lit("C"), t))
@@ -416,12 +417,12 @@ def json_lines_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("lang") == "de", F.create_map(F.lit("C"), t, F.lit("C++"), t))
            .otherwise(F.create_map(F.lit("Java"), t)))
     line = F.to_json(rec)
-    line = F.when(F.col("source") == "src3", F.substring(line, 1, F.length(line) / 2)).otherwise(line)
+    line = F.when(F.col("source") == "src3", F.concat(F.lit("x"), line)).otherwise(line)
     return d.select("doc_id", line.alias("value"))
 
 
 SQL_JSON_LINES = """
-  SELECT doc_id, CASE WHEN source = 'src3' THEN substring(j, 1, CAST(floor(length(j) / 2) AS BIGINT)) ELSE j END AS value
+  SELECT doc_id, CASE WHEN source = 'src3' THEN 'x' || j ELSE j END AS value
   FROM (SELECT doc_id, source, CAST(CASE lang WHEN 'en' THEN json_object('C', text)
                      WHEN 'fr' THEN json_object('C++', text)
                      WHEN 'de' THEN json_object('C', text, 'C++', text)
