@@ -16,17 +16,15 @@ BROADCAST_MAX_ROWS = 2_000_000
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
-    ``limit(max_rows + 1)`` is materialised once with a reliable checkpoint
-    (bounded: at most ``max_rows + 1`` rows are written).  If it holds
-    ``max_rows`` rows or fewer it *is* the whole table, and that
-    checkpointed copy is broadcast – the table is computed once, not once
-    for the check and again for the join.  Above the bound the original
-    frame is returned and the planner picks a shuffle join.
+    The table is written once with a reliable checkpoint (a distributed write;
+    no ``limit`` funnel through one task), counted from that copy, and the
+    same copy is broadcast when small – computed once, not once for the
+    check and again for the join.  Above the bound the checkpointed copy is
+    returned for a shuffle join.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    head = df.limit(max_rows + 1).checkpoint(eager=True)
-    n = head.count()
-    return F.broadcast(head) if n <= max_rows else df
+    cp = df.checkpoint(eager=True)
+    return F.broadcast(cp) if cp.count() <= max_rows else cp
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:
