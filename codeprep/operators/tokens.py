@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import patterns as R
 from ..functions import text as T
-from ..session import partition_by_key
+from ..session import co_partition_on_prefix, partition_by_key
 
 MAP_COLS = ["var_dict", "func_dict", "lit_dict", "struct_dict", "class_dict"]
 ALIAS_CLASSES = ["var", "func", "lit", "struct", "class"]
@@ -178,6 +178,10 @@ def obfuscate(docs: DataFrame, id_col: str = "doc_id", code_col: str = "code",
     count does not change under renaming).
     """
     keep_cols = keep_cols or []
+    co_partition_on_prefix(docs.sparkSession)
+    # rows are keyed by id; stating it here keeps both branches of the plan
+    # (occurrences, entities) identical, so the one exchange is reused
+    docs = docs.filter(F.col(id_col).isNotNull())
     if tokens_col:      # already tokenized (e.g. length-filtered before this step)
         base = docs.select(id_col, *keep_cols, F.col(tokens_col).alias("_toks"))
         if repartition:
@@ -224,6 +228,7 @@ def restore_names(lexed: DataFrame, id_col: str = "doc_id", tokens_col: str = "t
     The inverse maps are exploded into ``(id, alias, name)`` rows and joined
     on (id, alias); both sides stay partitioned by id.
     """
+    co_partition_on_prefix(lexed.sparkSession)
     base = partition_by_key(lexed, id_col)
     inv = base.select(id_col, F.explode(F.map_concat(*[F.map_from_arrays(F.map_values(c), F.map_keys(c))
                                                          for c in MAP_COLS])).alias("_alias", "_name"))
