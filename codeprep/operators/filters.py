@@ -77,6 +77,13 @@ def verdict_split(df: DataFrame, verdicts: DataFrame, id_col: str = "doc_id",
     return ok, bad, none
 
 
+def with_verdict(df: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", ok_col: str = "ok") -> DataFrame:
+    """F9 in one pass: one left join adds ``verdict`` = compiled | failed |
+    no_verdict (``verdict_split`` gives the three sets as frames)."""
+    v = verdicts.select(id_col, F.col(ok_col).alias("_ok"))
+    return df.join(v, id_col, "left").withColumn("verdict", verdict_label(F.col("_ok"))).drop("_ok")
+
+
 def verdict_label(ok_col: Column) -> Column:
     return F.when(ok_col == 1, F.lit("compiled")).when(ok_col == 0, F.lit("failed")).otherwise(F.lit("no_verdict"))
 

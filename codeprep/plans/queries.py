@@ -279,10 +279,7 @@ def verdict_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """compiled / failed / no verdict, with ``labels.quality`` as the verdict."""
     d = read_table(spark, sf_dir, "documents", ["doc_id"])
     lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality"]).withColumnRenamed("quality", "ok")
-    ok, bad, none = FL.verdict_split(d, lab)
-    return (ok.select("doc_id", F.lit("compiled").alias("verdict"))
-            .unionByName(bad.select("doc_id", F.lit("failed").alias("verdict")))
-            .unionByName(none.select("doc_id", F.lit("no_verdict").alias("verdict"))))
+    return FL.with_verdict(d, lab).select("doc_id", "verdict")
 
 
 @register("exclusion_filter", """

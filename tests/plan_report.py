@@ -23,8 +23,9 @@ if __name__ == "__main__":
     print("| --- | --- | --- | --- | --- | --- |")
     for name, fn in E.queries().items():
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
-        shuffles = len(re.findall(r"(?<!Broadcast)Exchange (?:hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan))
-        reused = len(re.findall(r"ReusedExchange", plan))
+        ops = [re.sub(r"^[\s:|+*()0-9-]*", "", line) for line in plan.splitlines()]
+        shuffles = sum(op.startswith("Exchange ") for op in ops)       # operator lines only
+        reused = sum(op.startswith("ReusedExchange") for op in ops)
         print(f"| {name} | {shuffles}{f' (+{reused} reused)' if reused else ''} | {plan.count('SortMergeJoin')} "
               f"| {plan.count('BroadcastExchange')} | {plan.count('SortAggregate')} "
               f"| {'yes' if 'ArrowEvalPython' in plan or 'BatchEvalPython' in plan else ''} |", flush=True)
