@@ -222,14 +222,15 @@ def alias_values(*map_cols: str) -> Column:
 # ---------------------------------------------------------------------------
 
 def restore_names(lexed: DataFrame, id_col: str = "doc_id", tokens_col: str = "transformed_tokens",
-                  out_col: str = "restored_tokens") -> DataFrame:
+                  out_col: str = "restored_tokens", partitioned: bool = False) -> DataFrame:
     """Replace aliases by the original spellings, order kept.
 
     The inverse maps are exploded into ``(id, alias, name)`` rows and joined
-    on (id, alias); both sides stay partitioned by id.
+    on (id, alias); both sides stay partitioned by id.  Pass
+    ``partitioned=True`` for ``obfuscate`` output (already partitioned by id).
     """
     co_partition_on_prefix(lexed.sparkSession)
-    base = partition_by_key(lexed, id_col)
+    base = lexed if partitioned else partition_by_key(lexed, id_col)
     inv = base.select(id_col, F.explode(F.map_concat(*[F.map_from_arrays(F.map_values(c), F.map_keys(c))
                                                          for c in MAP_COLS])).alias("_alias", "_name"))
     rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_tok"))
