@@ -69,3 +69,15 @@ def test_top_k_per_group_limits_before_shuffle(spark):
     for name in ("keyword_search", "row_cap_per_language"):
         plan = physical(getattr(Q, name)(spark, SF001))
         assert plan.count("WindowGroupLimit") == 2      # partial (map side) and final
+
+
+def test_partition_helpers(spark):
+    from codeprep.session import partition_by_key, spread_if_narrow
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")           # one file: narrower than the cluster
+    spread = spread_if_narrow(docs, "doc_id")
+    assert "REPARTITION_BY_NUM" in physical(spread) and spread.rdd.getNumPartitions() == n
+    wide = spark.range(100)                                             # not a file scan: unchanged
+    assert spread_if_narrow(wide, "id") is wide
+    by_key = partition_by_key(docs, "doc_id")
+    assert by_key.rdd.getNumPartitions() == n                           # explicit count, not coalesced
