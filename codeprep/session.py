@@ -92,6 +92,8 @@ def spread_if_narrow(df, key: str):
         n_files = len(df.inputFiles())
     except Exception:  # not a file scan
         return df
+    if n_files == 0:   # not a file scan (e.g. a range or an in-memory table)
+        return df
     if n_files < df.sparkSession.sparkContext.defaultParallelism:
         return partition_by_key(df, key)
     return df
