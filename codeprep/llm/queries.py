@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeprep.llm import bpe, packing
+from codeprep.llm import bpe, minhash, packing, repeats
 from codeprep.llm.common import documents
 
 #: The vocabulary that the queries encode with; the operators take any path.
@@ -19,12 +19,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir), as_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_minhash": op4_minhash,
     "op8_packing": op8_packing,
+    "op9_repeats": op9_repeats,
 }
 ORACLE: dict[str, str] = {}
