@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprep.session import ensure_checkpoint_dir
+from codeprep.session import ensure_checkpoint_dir, ship_package
 
 #: Characters of text that one numpy step works on at most (a single longer
 #: text is one step of its own).
@@ -22,6 +22,7 @@ P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -7,14 +7,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeprep.llm import bpe, minhash, packing, repeats
+from codeprep.llm import bpe, langid, minhash, packing, quality, repeats
 from codeprep.llm.common import documents
 
 #: The vocabulary that the queries encode with; the operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    model = langid.learn(docs.where("not held_out"))
+    # the fold is a function of the id and does not go through the prediction
+    return langid.predict(docs, model).withColumn(
+        "held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), BYTE_BPE)
 
@@ -32,6 +46,8 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
     "op8_packing": op8_packing,
