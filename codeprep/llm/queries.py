@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprep.llm import bpe, langid, minhash, packing, quality, repeats
+from codeprep.llm import bpe, langid, minhash, packing, pii, quality, repeats, secrets
 from codeprep.llm.common import documents
 
 #: The vocabulary that the queries encode with; the operators take any path.
@@ -37,6 +37,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.scan(docs, pii.learn(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(documents(spark, sf_dir), BYTE_BPE)
 
@@ -45,12 +50,18 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir), as_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir)).drop("redacted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
+    "op6_pii": op6_pii,
     "op8_packing": op8_packing,
     "op9_repeats": op9_repeats,
+    "op10_secrets": op10_secrets,
 }
 ORACLE: dict[str, str] = {}
