@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprep.llm import bpe, langid, minhash, packing, pii, quality, repeats, secrets
+from codeprep.llm import bpe, langid, minhash, packing, pii, quality, repeats, secrets, simhash
 from codeprep.llm.common import documents
 
 #: The vocabulary that the queries encode with; the operators take any path.
@@ -42,6 +42,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(docs, pii.learn(docs))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edit_report(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(documents(spark, sf_dir), BYTE_BPE)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
     "op6_pii": op6_pii,
+    "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_repeats": op9_repeats,
     "op10_secrets": op10_secrets,
