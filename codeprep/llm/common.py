@@ -51,12 +51,13 @@ def steps(texts: list[str], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]
         yield at, len(texts)
 
 
-def map_texts(df: DataFrame, key: list[str], text: str, make: Callable[[], Callable[[list[str]], dict]],
+def map_texts(df: DataFrame, key: str | list[str], text: str, make: Callable[[], Callable[[list[str]], dict]],
               fields: str) -> DataFrame:
     """``key`` columns and what ``make()(texts)`` returns for each row's whole
     text, in Arrow batches.  ``make`` is called once a task; the function that
     it returns gets a bounded list of texts (None becomes "") and returns one
     list or array for each field."""
+    key = [key] if isinstance(key, str) else key
     names = [f"k{i}" for i in range(len(key))]
     src = df.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col(text).alias("text"))
     out_schema = ", ".join(f"{n} {t.simpleString()}" for n, t in ((f.name, f.dataType) for f in src.schema[:-1]))

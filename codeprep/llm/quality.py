@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     return Model(weights, bias, slope, shift)
 
 
-def judge(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: float = KEEP,
+def judge(df: DataFrame, model: Model | None, key: str | list[str] = "doc_id", text: str = "text", keep: float = KEEP,
           min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """key, the counts, base_failed, kept and the probability of being good."""
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -182,5 +182,5 @@ def judge(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
             return out | {"base_failed": failed, "kept": ~failed & (p >= keep), "p_good": p}
         return run
 
-    return map_texts(df, [key], text, make, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+    return map_texts(df, key, text, make, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
                      "n_repeat_words bigint, base_failed boolean, kept boolean, p_good double")

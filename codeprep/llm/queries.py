@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprep.llm import bpe, langid, minhash, packing, pii, quality, repeats, secrets, simhash
+from codeprep.llm import bpe, langid, licenses, minhash, packing, pii, quality, repeats, secrets, simhash
 from codeprep.llm.common import documents
 
 #: The vocabulary that the queries encode with; the operators take any path.
@@ -37,6 +37,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.scan(docs, pii.learn(docs))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
+    "op5_licenses": op5_licenses,
     "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,

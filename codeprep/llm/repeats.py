@@ -223,14 +223,14 @@ def _found(p: Parse, key: np.ndarray):
 
 
 def _marked(batches):
-    """(ids, texts, Parse, keys, masks) of each step of rows (id, text, f
-    blobs, mask blobs); texts without a mark are parsed as empty."""
+    """(rows, texts, Parse, keys, masks) of each step of rows with k, text, f
+    blobs and mask blobs; texts without a mark are parsed as empty."""
     for batch in batches:
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         for a, b in steps(texts, STEP_BYTES):
-            ids, f, mask = (batch.column(i).slice(a, b - a) for i in (0, 2, 3))
-            f, mask = f.to_pylist(), mask.to_pylist()
-            yield ids, texts[a:b], Parse([t if x else b"" for t, x in zip(texts[a:b], f)]), *_marks(f, mask)
+            own = batch.slice(a, b - a)
+            f, mask = own.column("f").to_pylist(), own.column("mask").to_pylist()
+            yield own, texts[a:b], Parse([t if x else b"" for t, x in zip(texts[a:b], f)]), *_marks(f, mask)
 
 
 def _ask(buckets: int):
@@ -238,11 +238,11 @@ def _ask(buckets: int):
     most = 2 * LENGTH
 
     def run(batches):
-        for ids, _, p, key, _ in _marked(batches):
+        for own, _, p, key, _ in _marked(batches):
             hit, _ = _found(p, key)
             if not len(hit):
                 continue
-            ids = ids.to_numpy(zero_copy_only=False)
+            ids = own.column("k").to_numpy(zero_copy_only=False)
             one = np.unique(np.stack([p.doc[hit].astype(np.uint64), p.f[hit]]), axis=1, return_index=True)[1]
             hit = hit[one]
             h, f, docs = p.h[hit], p.f[hit], ids[p.doc[hit]].astype(np.int64)
@@ -308,7 +308,7 @@ def _sorted_suffixes(batches):
 
 def _cover(as_text: bool):
     def run(batches):
-        for ids, texts, p, key, mask in _marked(batches):
+        for own, texts, p, key, mask in _marked(batches):
             delta = np.zeros(len(p.b) + 1, np.int32)
             hit, at = _found(p, key)
             for bit in range(LENGTH - TRIGGER + 1):
@@ -328,22 +328,25 @@ def _cover(as_text: bool):
                 spans.append(int(lead[a:b].sum()) if n else 0)
                 kept.append(p.b[a:b][~gone[a:b]].tobytes() if n else t)
             last = pa.array([k.decode(errors="ignore") for k in kept]) if as_text else pa.array([sha256(k).hexdigest() for k in kept])
+            carried = [n for n in own.schema.names if n[0] == "c"]
             yield pa.RecordBatch.from_arrays([
-                ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), last],
-                ["k", "n_bytes", "n_removed", "n_spans", "kept"])
+                own.column("k"), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), last,
+                *[own.column(n) for n in carried]], ["k", "n_bytes", "n_removed", "n_spans", "kept", *carried])
     return run
 
 
-def remove_repeats(df: DataFrame, as_text: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, as_text: bool = True, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and ``kept``: what stays of the text (a
-    cut character goes whole), or its bytes' SHA-256; one row for each row."""
+    cut character goes whole), or its bytes' SHA-256; the columns ``carry`` as
+    they are.  One row for each row."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"))
+    carried = [f"c{i}" for i in range(len(carry))]
+    docs = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, carried)])
     entry, mark = "bucket int, h binary, f binary, doc binary", "doc bigint, f binary, mask binary"
-    met = written(docs.mapInArrow(_entries(buckets, False), entry).repartitionById(buckets, F.col("bucket"))
+    met = written(docs.select("k", "text").mapInArrow(_entries(buckets, False), entry).repartitionById(buckets, F.col("bucket"))
                   .mapInArrow(_meet, mark), "repeats")
-    local = docs.mapInArrow(_entries(buckets, True), mark)
+    local = docs.select("k", "text").mapInArrow(_entries(buckets, True), mark)
 
     per_doc = lambda rows: rows.groupBy(F.col("doc").alias("k")).agg(F.collect_list("f").alias("f"), F.collect_list("mask").alias("mask"))
     whole = F.substring("mask", 1, 1) != F.lit(b"\x00")
@@ -351,5 +354,7 @@ def remove_repeats(df: DataFrame, as_text: bool = True, key: str = "doc_id", tex
     asked = docs.join(per_doc(met.where(~whole)), "k", "left").mapInArrow(_ask(buckets), f"{entry}, shape binary, body binary")
     parts = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_sorted_suffixes, mark)
     marks = per_doc(met.where(whole).unionByName(local).unionByName(parts))
-    out = docs.join(marks, "k", "left").mapInArrow(_cover(as_text), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept string")
-    return out.withColumnRenamed("k", key)
+    kinds = dict(docs.dtypes)
+    out = docs.join(marks, "k", "left").mapInArrow(_cover(as_text), ", ".join(
+        ["k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept string", *[f"{n} {kinds[n]}" for n in carried]]))
+    return out.select(F.col("k").alias(key), "n_bytes", "n_removed", "n_spans", "kept", *[F.col(n).alias(c) for c, n in zip(carry, carried)])

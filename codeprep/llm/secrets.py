@@ -172,7 +172,7 @@ def redact(text: str, found: list[tuple[int, int, int]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
     """key, the count of each base kind and of literals, the base spans' digest,
     all spans, and the text with the spans redacted."""
     def make():
@@ -184,4 +184,4 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     "spans": [as_string(a) for _, a in got], "redacted": [redact(t, a) for t, (_, a) in zip(texts, got)]}
         return run
 
-    return map_texts(df, [key], text, make, "n_assign bigint, n_access bigint, n_hex bigint, n_literal bigint, base_sha256 string, spans string, redacted string")
+    return map_texts(df, key, text, make, "n_assign bigint, n_access bigint, n_hex bigint, n_literal bigint, base_sha256 string, spans string, redacted string")
