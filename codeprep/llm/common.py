@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from codeprep.session import ensure_checkpoint_dir, ship_package
 
@@ -39,6 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time, so that few texts are Python strings at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def steps(texts: list[str], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` that hold about ``limit`` characters each."""
     at, size = 0, 0
@@ -61,16 +70,17 @@ def map_texts(df: DataFrame, key: str | list[str], text: str, make: Callable[[],
     names = [f"k{i}" for i in range(len(key))]
     src = df.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col(text).alias("text"))
     out_schema = ", ".join(f"{n} {t.simpleString()}" for n, t in ((f.name, f.dataType) for f in src.schema[:-1]))
-    field_names = [f.split(" ")[0] for f in fields.split(", ")]
+    made = StructType.fromDDL(fields)
+    field_names, kinds = made.names, [to_arrow_type(f.dataType) for f in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(len(names)).to_pylist()]
             for a, b in steps(texts):
                 got = fn(texts[a:b])
                 cols = [batch.column(i).slice(a, b - a) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(got[f]) for f in field_names], names + field_names)
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(got[f], t) for f, t in zip(field_names, kinds)], names + field_names)
 
     out = src.mapInArrow(run, f"{out_schema}, {fields}")
     return out.select(*[F.col(n).alias(k) for k, n in zip(key, names)], *field_names)

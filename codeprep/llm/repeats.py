@@ -35,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeprep.llm.common import P, _powers, mix, steps, written
+from codeprep.llm.common import P, _powers, mix, sliced, steps, written
 
 LENGTH, TRIGGER = 50, 16
 #: Bytes of text that one numpy step parses (and dedupes phrases in) at most.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
 ALL = -1  # mask of a phrase that is repeated as a whole
+REPEATED, ASKED = 0, 1  # kinds of rows that go to documents
+#: Phrases whose suffixes are sorted at once (some 20 windows each).
+SORT_PHRASES = 20_000
 
 
 class Parse:
@@ -111,7 +114,7 @@ def _first_of(order_keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _parsed(batches, key: int = 0, text: int = 1):
     """(ids, Parse) of each step of each batch; rows without id are left out."""
-    for batch in batches:
+    for batch in sliced(batches, 2000):
         ids = batch.column(key)
         rows = np.flatnonzero(np.asarray(ids.is_valid()))
         ids, texts = ids.take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(text).take(pa.array(rows)).to_pylist()
@@ -133,34 +136,65 @@ def _entries(buckets: int, local: bool):
             if local:
                 later = docs > first
                 f, docs = f[later], docs[later]
-                yield from _to_docs(docs, f, np.full(len(f), ALL, np.int64))
+                yield from _to_docs(docs, f, np.full(len(f), ALL, np.int64), buckets, REPEATED)
                 continue
             h, f, docs = h[new], f[new], docs[new]
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.append(np.searchsorted(bucket[order], np.arange(buckets)), len(order)).tolist()
-            full = [(i, order[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in full], pa.int32())] + [pa.array([_planes(c[o]) for _, o in full], pa.binary()) for c in (h, f, docs)],
-                ["bucket", "h", "f", "doc"])
+            yield from _blobs((h % np.uint64(buckets)).astype(np.int64), buckets, {"h": h, "f": f, "doc": docs})
     return run
 
 
-def _to_docs(docs: np.ndarray, f: np.ndarray, mask: np.ndarray):
-    """One row a document: its phrases' fingerprints and what is repeated of each."""
-    if not len(docs):
+def _place(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _blobs(bucket: np.ndarray, buckets: int, cols: dict[str, np.ndarray], kind: int | None = None):
+    """One row a bucket: its part of the columns as bytes (64-bit ones by planes)."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.searchsorted(bucket[order], np.arange(buckets)), len(order)).tolist()
+    full = [(i, order[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    arrays = [pa.array([i for i, _ in full], pa.int32())]
+    names = ["bucket", *cols]
+    for c in cols.values():
+        arrays.append(pa.array([_planes(c[o]) if c.ndim == 1 else c[o].tobytes() for _, o in full], pa.binary()))
+    if kind is not None:
+        arrays.append(pa.array([kind] * len(full), pa.int32()))
+        names.append("kind")
+    if full:
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _to_docs(docs: np.ndarray, f: np.ndarray, mask: np.ndarray, buckets: int, kind: int):
+    """What is repeated (or asked) of documents' phrases, by bucket of the document."""
+    if len(docs):
+        yield from _blobs(_place(docs, buckets), buckets, {"doc": docs, "f": f, "mask": mask}, kind)
+
+
+def _gather(batches):
+    """One row a document of the bucket: all that came for it."""
+    got: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        for i, (name, kind) in enumerate((("doc", np.int64), ("f", np.uint64), ("mask", np.int64))):
+            got[i] += [_unplanes(x, kind) for x in batch.column(name).to_pylist()]
+    if not got[0]:
         return
-    order, new = _first_of([mask, f, docs])
-    keep = order[new | (mask[order] != ALL)]
-    docs, f, mask = docs[keep], f[keep], mask[keep]
+    docs, f, mask = (np.concatenate(x) for x in got)
+    del got
+    order = np.argsort(docs, kind="stable")
+    docs, f, mask = docs[order], f[order], mask[order]
     starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
     cuts = np.append(starts, len(docs)).tolist()
-    yield pa.RecordBatch.from_arrays([
-        pa.array(docs[starts]), pa.array([f[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-        pa.array([mask[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["doc", "f", "mask"])
+    for i in range(0, len(starts), 5000):
+        part = list(zip(cuts[i:i + 5000], cuts[i + 1:i + 5001]))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(docs[starts[i:i + 5000]]), pa.array([f[a:b].tobytes() for a, b in part], pa.binary()),
+            pa.array([mask[a:b].tobytes() for a, b in part], pa.binary())], ["k", "f", "mask"])
+
+
+def _meet(buckets: int):
+    return lambda batches: _met(batches, buckets)
 
 
-def _meet(batches):
+def _met(batches, buckets: int):
     """Of one bucket's entries: phrases that a smaller document has (mask ALL),
     and, of trigger strings with several phrases and documents, each phrase's
     first document, of which the bytes are asked for (mask 0)."""
@@ -186,19 +220,19 @@ def _meet(batches):
     lead = np.flatnonzero(new)
     first = np.repeat(docs[lead], np.diff(np.append(lead, len(docs))))
     later = docs > first
-    yield from _to_docs(docs[later], f[later], np.full(int(later.sum()), ALL, np.int64))
+    yield from _to_docs(docs[later], f[later], np.full(int(later.sum()), ALL, np.int64), buckets, REPEATED)
     h, f, docs = h[new], f[new], docs[new]
     start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     size = np.diff(np.append(start, len(h)))
     asked = np.repeat((size > 1) & (np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start)), size)
-    yield from _to_docs(docs[asked], f[asked], np.zeros(int(asked.sum()), np.int64))
+    yield from _to_docs(docs[asked], f[asked], np.zeros(int(asked.sum()), np.int64), buckets, ASKED)
 
 
 def _marks(f_blobs, mask_blobs):
     """Sorted keys (row, fingerprint) and masks of the rows' blobs; masks of one key are united."""
     rows, fs, ms = [], [], []
-    for i, (fb, mb) in enumerate(zip(f_blobs, mask_blobs)):
-        for x, y in zip(fb or [], mb or []):
+    for i, (x, y) in enumerate(zip(f_blobs, mask_blobs)):
+        if x:
             fs.append(np.frombuffer(x, np.uint64))
             ms.append(np.frombuffer(y, np.int64))
             rows.append(np.full(len(fs[-1]), i, np.uint64))
@@ -225,7 +259,7 @@ def _found(p: Parse, key: np.ndarray):
 def _marked(batches):
     """(rows, texts, Parse, keys, masks) of each step of rows with k, text, f
     blobs and mask blobs; texts without a mark are parsed as empty."""
-    for batch in batches:
+    for batch in sliced(batches, 2000):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         for a, b in steps(texts, STEP_BYTES):
             own = batch.slice(a, b - a)
@@ -251,18 +285,15 @@ def _ask(buckets: int):
             body = padded[p.first[hit][:, None] + np.arange(most)]
             body[np.arange(most) >= n[:, None]] = 0
             shape = np.stack([p.at[hit] - p.first[hit], n], 1).astype(np.uint8)
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.append(np.searchsorted(bucket[order], np.arange(buckets)), len(order)).tolist()
-            full = [(i, order[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in full], pa.int32())] + [pa.array([_planes(c[o]) for _, o in full], pa.binary()) for c in (h, f, docs)]
-                + [pa.array([c[o].tobytes() for _, o in full], pa.binary()) for c in (shape, body)],
-                ["bucket", "h", "f", "doc", "shape", "body"])
+            yield from _blobs((h % np.uint64(buckets)).astype(np.int64), buckets, {"h": h, "f": f, "doc": docs, "shape": shape, "body": body})
     return run
 
 
-def _sorted_suffixes(batches):
+def _sorted_suffixes(buckets: int):
+    return lambda batches: _suffixes(batches, buckets)
+
+
+def _suffixes(batches, buckets: int):
     """Of one bucket's dictionary: its phrases' windows in order of their
     bytes; those that a smaller document has, as bits of the phrase's mask."""
     most = 2 * LENGTH
@@ -280,7 +311,7 @@ def _sorted_suffixes(batches):
     cuts = [0]
     sorted_h = h[order]
     while cuts[-1] < len(h):  # some trigger strings at a time: bounded windows in memory
-        to = min(len(h), cuts[-1] + 100_000)
+        to = min(len(h), cuts[-1] + SORT_PHRASES)
         cuts.append(int(np.searchsorted(sorted_h, sorted_h[to - 1], "right")))
     for a, b in zip(cuts, cuts[1:]):
         o = order[a:b]
@@ -303,7 +334,7 @@ def _sorted_suffixes(batches):
             mask = np.zeros(len(h), np.int64)
             np.bitwise_or.at(mask, row[again], np.int64(1) << place[again])
             hit = np.flatnonzero(mask)
-            yield from _to_docs(docs[hit], f[hit], mask[hit])
+            yield from _to_docs(docs[hit], f[hit], mask[hit], buckets, REPEATED)
 
 
 def _cover(as_text: bool):
@@ -343,17 +374,16 @@ def remove_repeats(df: DataFrame, as_text: bool = True, key: str = "doc_id", tex
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     carried = [f"c{i}" for i in range(len(carry))]
     docs = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, carried)])
-    entry, mark = "bucket int, h binary, f binary, doc binary", "doc bigint, f binary, mask binary"
-    met = written(docs.select("k", "text").mapInArrow(_entries(buckets, False), entry).repartitionById(buckets, F.col("bucket"))
-                  .mapInArrow(_meet, mark), "repeats")
-    local = docs.select("k", "text").mapInArrow(_entries(buckets, True), mark)
-
-    per_doc = lambda rows: rows.groupBy(F.col("doc").alias("k")).agg(F.collect_list("f").alias("f"), F.collect_list("mask").alias("mask"))
-    whole = F.substring("mask", 1, 1) != F.lit(b"\x00")
+    entry, mark = "bucket int, h binary, f binary, doc binary", "bucket int, doc binary, f binary, mask binary, kind int"
+    deal = lambda rows: rows.repartitionById(buckets, F.col("bucket"))
+    per_doc = lambda rows: deal(rows).mapInArrow(_gather, "k bigint, f binary, mask binary")
+    plain = docs.select("k", "text")
+    met = written(deal(plain.mapInArrow(_entries(buckets, False), entry)).mapInArrow(_meet(buckets), mark), "repeats")
+    local = plain.mapInArrow(_entries(buckets, True), mark)
     # both joins deal the texts out alike, so Spark shuffles them once (a reused exchange)
-    asked = docs.join(per_doc(met.where(~whole)), "k", "left").mapInArrow(_ask(buckets), f"{entry}, shape binary, body binary")
-    parts = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_sorted_suffixes, mark)
-    marks = per_doc(met.where(whole).unionByName(local).unionByName(parts))
+    asked = docs.join(per_doc(met.where(F.col("kind") == ASKED)), "k", "left").mapInArrow(_ask(buckets), f"{entry}, shape binary, body binary")
+    parts = deal(asked).mapInArrow(_sorted_suffixes(buckets), mark)
+    marks = per_doc(met.where(F.col("kind") == REPEATED).unionByName(local).unionByName(parts))
     kinds = dict(docs.dtypes)
     out = docs.join(marks, "k", "left").mapInArrow(_cover(as_text), ", ".join(
         ["k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept string", *[f"{n} {kinds[n]}" for n in carried]]))
