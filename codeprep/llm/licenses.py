@@ -134,7 +134,7 @@ def matches(df: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[s
     least = min(sizes) * threshold / (2 - threshold)
     most = max(sizes) * (2 - threshold) / threshold
     long = split.where(F.size("w") - 1 >= least)
-    pairs = F.array_distinct(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.xxhash64(x, F.get("w", i + 1))))
+    pairs = F.array_distinct(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1))))
     made = long.select("id", F.xxhash64("w").alias("seg"), pairs.alias("b")).where((F.size("b") <= most) & _fits(F.size("b"), sizes, threshold))
     met = made.select("id", "seg", F.size("b").alias("n"), F.explode("b").alias("b")).join(F.broadcast(table), "b") \
         .where((F.col("n") * (2 - threshold) >= F.col("m") * threshold) & (F.col("m") * (2 - threshold) >= F.col("n") * threshold))

@@ -271,7 +271,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", regions_: int
         return run
 
     rows = df.select(F.xxhash64(F.col(key)).alias("at"), F.col(text).alias("text")).where(F.col("text").rlike("[0-9]{2}|@"))
-    some = map_texts(rows, ["at"], "text", make, "found array<struct<left: string, span: string, right: string, kind: int>>").where("size(found) > 0")
+    some = map_texts(rows, ["at"], "text", make, "found array<struct<left:string,span:string,right:string,kind:int>>").where("size(found) > 0")
     got = some.orderBy("at", F.xxhash64("found")).limit(regions_).collect()
     return train([(x["left"], x["span"], x["right"], x["kind"]) for r in got for x in r["found"]][:regions_])
 
