@@ -7,8 +7,15 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
+def own_queries():
+    """The queries of this library's operators proper."""
+    from codeprep.plans import queries
+    return set(queries.QUERIES)
+
+
 def test_every_oracle_has_a_query():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert own_queries() <= set(E.oracle_sql())
 
 
 def test_oracle_column_types_match(spark):
@@ -18,7 +25,8 @@ def test_oracle_column_types_match(spark):
     from conftest import SF001
     con = duck(SF001)
     names = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double"}
-    for name, fn in E.queries().items():
+    for name in sorted(own_queries()):
+        fn = E.queries()[name]
         st = {f.name: f.dataType.simpleString() for f in fn(spark, SF001).schema.fields}
         rel = con.sql(E.oracle_sql()[name])
         dt = {c: names.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
