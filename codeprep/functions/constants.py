@@ -77,6 +77,7 @@ VAL_RATIO = 0.05
 TEST_RATIO = 0.05
 MAX_SEQ_LEN = 1000
 KEYWORD_HITS = 1000          # search: newest hits kept per keyword
+ROW_CAP = 50000              # rows kept per language
 SAMPLE_SIZE = 120000         # folder sampling size
 FILE_CAP = 100000            # cap on collected files
 
@@ -121,3 +122,18 @@ OOP_WORDS = ["class", "virtual", "override", "public", "private", "protected",
 # Bracket pairs of the bracket tree used for token distances.
 OPEN_BRACKETS = ["(", "[", "{"]
 CLOSE_BRACKETS = [")", "]", "}"]
+
+# --- fixed values: the search panel, query -> its token sequence ---
+SEARCH_PANEL = {
+    "class": ["class"], "struct": ["struct"], "template": ["template"], "namespace": ["namespace"],
+    "#include": ["#", "include"], "main()": ["main", "(", ")"], "int main()": ["int", "main", "(", ")"],
+    "void main()": ["void", "main", "(", ")"], "if": ["if"], "for": ["for"], "while": ["while"], "switch": ["switch"],
+    "try": ["try"], "catch": ["catch"], "throw": ["throw"], "new": ["new"], "delete": ["delete"], "const": ["const"],
+    "static": ["static"], "virtual": ["virtual"], "override": ["override"], "public": ["public"], "private": ["private"],
+    "protected": ["protected"], "return": ["return"], "typedef": ["typedef"], "enum": ["enum"], "union": ["union"],
+    "auto": ["auto"], "nullptr": ["nullptr"],
+    "std::vector": ["std", "::", "vector"], "std::string": ["std", "::", "string"], "std::map": ["std", "::", "map"],
+    "std::set": ["std", "::", "set"], "std::shared_ptr": ["std", "::", "shared_ptr"],
+    "std::unique_ptr": ["std", "::", "unique_ptr"], "std::thread": ["std", "::", "thread"],
+    "std::mutex": ["std", "::", "mutex"], "std::cout": ["std", "::", "cout"], "std::cin": ["std", "::", "cin"],
+}

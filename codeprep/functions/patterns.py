@@ -75,12 +75,18 @@ SPLITLINES_RE = "\\r\\n|[\\n\\r\\x0B\\f\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 SPLITLINES_RE_SQL = "\\r\\n|[\\n\\r\\x0B\\f\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]"
 
 
+def comment_re(java: bool = True) -> str:
+    return f"//[^\\n]*{_possessive(java)}|/\\*[\\s\\S]*?\\*/"
+
+
 def comment_resolve_pattern(java: bool = True) -> str:
-    """A string literal (kept, group 1) or a comment (replaced)."""
-    p = _possessive(java)
-    return f"({string_literal(java)})|//[^\\n]*{p}|/\\*[\\s\\S]*?\\*/"
+    """A string literal (group 1) or a comment (group 2)."""
+    return f"({string_literal(java)})|({comment_re(java)})"
 
 
-DIRECTIVE_LINE_RE = "(?md)^[ \\t]*#[^\\n]*$"
+# stands before a comment (and behind a literal) between the two passes of P9
+MARK = "\ue000"
+# a directive goes with its continuation lines (a backslash at the line's end)
+DIRECTIVE_LINE_RE = "(?md)^[ \\t]*#(?:\\\\\\r?\\n|[^\\n])*+$"
 DIRECTIVE_LINE_RE_SQL = "(?m)^[ \\t]*#[^\\n]*$"
 NON_ASCII_RE = "[^\\x00-\\x7F]"

@@ -97,11 +97,12 @@ def resolve_comments(col) -> Column:
     """String-aware comment removal plus removal of directive lines.
 
     Stands in for the compiler preprocessor (``-E -P``): comments become a
-    blank (as the preprocessor does), string literals are kept whole, the
-    remaining ``#`` lines are dropped.  Macros are not expanded.
+    blank (as the preprocessor does), string literals are kept as they are, the
+    remaining ``#`` lines are dropped with their continuation lines.  Macros are not expanded.
     """
-    c = F.regexp_replace(_c(col), R.comment_resolve_pattern(True), "$1 ")
-    c = F.regexp_replace(c, R.DIRECTIVE_LINE_RE, "")
+    c = F.regexp_replace(_c(col), R.comment_resolve_pattern(True), f"$1{R.MARK}$2")
+    c = F.regexp_replace(c, f"{R.MARK}(?:{R.comment_re(True)})", " ")
+    c = F.regexp_replace(F.replace(c, _lit(R.MARK), _lit("")), R.DIRECTIVE_LINE_RE, "")
     return strip_ws(c)
 
 

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .joins import bounded_broadcast, checked_broadcast
+from ..session import materialize
 from .numbering import consecutive_index
 
 
@@ -43,8 +42,14 @@ def multiplicity(df: DataFrame, key_col: str) -> DataFrame:
 # Greedy two-key dedup in input order
 # ---------------------------------------------------------------------------
 
+def _split(rows: DataFrame, c: str, p: str) -> list[tuple[DataFrame, list[str]]]:
+    """Rows by the keys they have: a join on a key never sees a null."""
+    has_c, has_p = F.col(c).isNotNull(), F.col(p).isNotNull()
+    return [(rows.filter(has_c & has_p), [c, p]), (rows.filter(has_c & ~has_p), [c]), (rows.filter(has_p & ~has_c), [p])]
+
+
 def greedy_pair_dedup(rows: DataFrame, order_col: str = "rank", c_key: str = "c_key",
-                      cpp_key: str = "cpp_key", max_rounds: int = 10_000) -> DataFrame:
+                      cpp_key: str = "cpp_key") -> DataFrame:
     """The rows the sequential rule keeps, computed in parallel rounds.
 
     Sequential rule: walk rows in ``order_col`` order; a row is kept if none
@@ -56,38 +61,36 @@ def greedy_pair_dedup(rows: DataFrame, order_col: str = "rank", c_key: str = "c_
     keys must be kept (every earlier row sharing a key is decided and was
     rejected), and every other undecided row sharing a key with a kept row
     must be rejected.  Each round keeps and rejects those rows; the globally
-    earliest undecided row is always kept, so rounds terminate.  Exact
-    repeats of a key pair are reduced first: only the earliest can win.
-    Each round's state is checkpointed to the shared checkpoint folder, so
-    lineage stays short and a lost executor recomputes one round at most.
-    Returns ``(order_col, c_key, cpp_key)`` of the kept rows.
+    earliest undecided row is always kept, so the rounds end whatever their
+    number (a long chain of rows with alternate keys takes one round a row
+    kept).  Exact repeats of a key pair are reduced first: only the earliest
+    can win.  Rows with one key only take part in that key's joins alone, so
+    the many single rows never meet in the partition of a null key.  Each
+    round is written to the shared folder.
+    Returns ``(order_col, c_key, cpp_key)`` of the kept rows; rows without any
+    key are kept, as nothing can exclude them.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     r, c, p = order_col, c_key, cpp_key
-    undecided = (rows.select(r, c, p)
-                 .groupBy(c, p).agg(F.min(r).alias(r))     # exact repeats: earliest only
-                 .checkpoint(eager=True))
-    kept_parts = []
-    for _ in range(max_rounds):
-        cmin = undecided.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(r).alias("_cmin"))
-        pmin = undecided.filter(F.col(p).isNotNull()).groupBy(p).agg(F.min(r).alias("_pmin"))
-        cand = undecided.join(cmin, c, "left").join(pmin, p, "left")
-        wins = (F.col(c).isNull() | (F.col("_cmin") == F.col(r))) & \
-               (F.col(p).isNull() | (F.col("_pmin") == F.col(r)))
-        kept = cand.filter(wins).select(r, c, p).checkpoint(eager=True)
-        kept_parts.append(kept)
-        rest = (undecided
-                .join(kept.select(c).filter(F.col(c).isNotNull()), c, "left_anti")
-                .join(kept.select(p).filter(F.col(p).isNotNull()), p, "left_anti")
-                .checkpoint(eager=True))
-        if rest.isEmpty():
-            break
-        undecided = rest
-    else:
-        raise RuntimeError("greedy_pair_dedup: round limit reached")
-    out = kept_parts[0]
-    for k in kept_parts[1:]:
-        out = out.unionByName(k)
+    undecided = materialize(rows.select(r, c, p).filter(F.col(c).isNotNull() | F.col(p).isNotNull())
+                            .groupBy(c, p).agg(F.min(r).alias(r)).select(r, c, p))  # exact repeats: earliest only
+    out = rows.select(r, c, p).filter(F.col(c).isNull() & F.col(p).isNull())
+    while not undecided.isEmpty():
+        least = {k: undecided.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(r).alias(f"_min_{k}")) for k in (c, p)}
+        won = None
+        for part, keys in _split(undecided, c, p):
+            for k in keys:
+                part = part.join(least[k], k).filter(F.col(f"_min_{k}") == F.col(r))
+            part = part.select(r, c, p)
+            won = part if won is None else won.unionByName(part)
+        won = materialize(won)
+        rest = None
+        for part, keys in _split(undecided, c, p):
+            for k in keys:
+                part = part.join(won.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti")
+            part = part.select(r, c, p)
+            rest = part if rest is None else rest.unionByName(part)
+        undecided = materialize(rest)
+        out = out.unionByName(won)
     return out
 
 
@@ -101,39 +104,57 @@ def pair_kind(c_key: Column, cpp_key: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 def seeded_sample(df: DataFrame, n: int, id_col: str, seed: int = 0) -> DataFrame:
-    """``min(n, total)`` rows without replacement, deterministic for a seed.
+    """``min(n, total)`` rows without replacement, deterministic for a seed:
+    the first ``n`` in the order of a hash of (seed, id)."""
+    key = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(id_col).cast("string")))
+    return first_rows(df.withColumn("_k", key), n, ["_k", id_col], id_col).drop("_k")
+
 
-    Ordering by a hash of (seed, id) is a top-n (per-task heaps, then one
-    merge), never a full sort.
+def first_rows(df: DataFrame, n: int, order_cols: list, id_col: str, group_cols: list | None = None) -> DataFrame:
+    """The first ``n`` rows in a given order, of each group if given.
+
+    A distributed cut for any ``n`` (the real caps are 50,000 to 120,000): the
+    order columns and the id alone are range-partitioned and numbered, and the
+    rows follow by their id.  No task sees more than its range, unlike a limit
+    after a sort or a window over a whole group.  ``id_col`` must be unique.
     """
-    key = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(id_col).cast("string")))
-    return df.withColumn("_k", key).orderBy("_k", id_col).limit(n).drop("_k")
+    groups = list(group_cols or [])
+    names = [c for c in dict.fromkeys([*groups, *[c for c in order_cols if isinstance(c, str)], id_col])]
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    numbered = consecutive_index(df.select(*names), order, out_col="_at", group_cols=groups)
+    return df.join(numbered.filter(F.col("_at") < n).select(id_col), id_col, "left_semi")
+
+
+def capped(df: DataFrame, n: int, order_cols: list, id_col: str) -> DataFrame:
+    """The first ``n`` rows in a given order."""
+    return first_rows(df, n, order_cols, id_col)
 
 
-def capped(df: DataFrame, n: int, order_cols: list) -> DataFrame:
-    """The first ``n`` rows in a given order."""
-    return df.orderBy(*order_cols).limit(n)
+def row_cap(df: DataFrame, n: int, group_cols: list, order_cols: list, id_col: str) -> DataFrame:
+    """The first ``n`` rows of every group."""
+    return first_rows(df, n, order_cols, id_col, group_cols)
 
 
 # ---------------------------------------------------------------------------
 # Keyword search panel and numbering of accepted files
 # ---------------------------------------------------------------------------
 
-def keyword_hits(docs: DataFrame, keywords: DataFrame, id_col: str, tokens_col: str,
-                 recency_col: str, per_keyword: int, keywords_bounded: bool = False) -> DataFrame:
-    """Per keyword, the ``per_keyword`` most recent documents containing it.
+def panel_hits(docs: DataFrame, panel: dict[str, list[str]], id_col: str, tokens_col: str, recency_col: str,
+               per_keyword: int) -> DataFrame:
+    """Per query of the panel, the ``per_keyword`` most recent documents
+    that contain its tokens in a row.
 
-    Documents contribute their distinct tokens; an equi join on the token
-    finds hits (the keyword table is broadcast: directly when its size is
-    bounded by construction, else after a size check).  The
-    ``row_number() <= k`` filter is planned with a partial group limit
-    before the shuffle, so even a keyword found in a third of all documents
-    moves at most ``k`` rows per task.
+    ``panel`` is a fixed list (query -> token sequence), so its sequences are
+    literals and one scan of each document's joined tokens answers all of
+    them.  The ``row_number() <= k`` filter is planned with a partial group
+    limit before the shuffle (k up to Spark's window group limit), so even a
+    query found in a third of all documents moves at most ``k`` rows per task.
     """
-    kw = keywords.select(F.col("keyword")).distinct()
-    kw = bounded_broadcast(kw) if keywords_bounded else checked_broadcast(kw)
-    toks = docs.select(id_col, recency_col, F.explode(F.array_distinct(tokens_col)).alias("keyword"))
-    hits = toks.join(kw, "keyword")
+    sep = "\x01"
+    joined = F.concat(F.lit(sep), F.array_join(tokens_col, sep), F.lit(sep))
+    found = [F.when(F.col("_joined").contains(sep + sep.join(seq) + sep), F.lit(q)) for q, seq in panel.items()]
+    hits = (docs.select(id_col, recency_col, joined.alias("_joined"))
+            .select(id_col, recency_col, F.explode(F.array_compact(F.array(*found))).alias("keyword")))
     w = Window.partitionBy("keyword").orderBy(F.col(recency_col).desc(), F.col(id_col).desc())
     return (hits.withColumn("hit_rank", F.row_number().over(w))
             .filter(F.col("hit_rank") <= per_keyword))

@@ -5,34 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
-# Row bound under which a data-derived lookup table is broadcast.  Lookup
-# tables here are narrow (a token and an id or flag), so 2M rows stay well
-# below a hundred MB on every executor.
-BROADCAST_MAX_ROWS = 2_000_000
+#: Bytes (characters of text columns, 8 for any other value) and rows up to
+#: which a data-derived lookup table is broadcast.
+BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS = 64 * 1024 * 1024, 2_000_000
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
-    The table is written once with a reliable checkpoint (a distributed write;
-    no ``limit`` funnel through one task), counted from that copy, and the
-    same copy is broadcast when small – computed once, not once for the
-    check and again for the join.  Above the bound the checkpointed copy is
+    The table is written once to the shared folder (a distributed write; no
+    ``limit`` funnel through one task), counted and measured from that copy,
+    and the same copy is broadcast when small.  Above the bounds the copy is
     returned for a shuffle join.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cp = df.checkpoint(eager=True)
-    return F.broadcast(cp) if cp.count() <= max_rows else cp
+    cp = materialize(df)
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") if f.dataType.typeName() in ("string", "binary") else F.lit(8)
+                 for f in cp.schema), F.lit(16))
+    rows, size = cp.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(cp) if rows <= max_rows and size <= max_bytes else cp
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a table whose size is bounded by construction (a ``limit``,
     a fixed list); no run-time check needed."""
     return F.broadcast(df)
-
-
-def literal_table(spark, rows, schema) -> DataFrame:
-    """A small table of fixed values (keyword lists and the like); always broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, schema))

@@ -1,8 +1,8 @@
 """Tree distances.
 
 G1–G4 work on any parent-pointer node table ``(node_id, parent_id)``: the
-ancestor closure is built by iterative self-joins (one round per tree
-level, checkpointed), LCA and distance are joins and aggregates on it.
+ancestor closure is built by self-joins (path doubling, each round
+written to the shared folder), LCA and distance are joins and aggregates on it.
 
 G6 uses a bracket tree over the token sequence: every bracket pair opens a
 block node whose children are the tokens inside (the brackets included);
@@ -12,7 +12,7 @@ level after token ``k`` and ``d_t`` the depth of leaf ``t``::
     dist(i, j) = d_i + d_j - 2 * min(h_i, ..., h_{j-1})      (i < j)
 
 (the minimum level between two tokens is the depth of their lowest common
-block).  The triangle of one row is computed by a small Arrow UDF with a
+block).  The triangle of one row is computed in Arrow batches with a
 running minimum per ``i`` – O(n^2) per row, which is the output size – and
 is kept as one ``array<int>`` per row, never as pair rows.
 """
@@ -20,35 +20,41 @@ is kept as one ``array<int>`` per row, never as pair rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions import constants as K
-from ..session import ensure_checkpoint_dir
+from ..session import materialize, ship_package
 
 # ---------------------------------------------------------------------------
 # G1–G4 on node tables
 # ---------------------------------------------------------------------------
 
 
-def ancestor_closure(nodes: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def ancestor_closure(nodes: DataFrame) -> DataFrame:
     """G1: ``(node_id, anc_id, dist)`` for every node and each of its ancestors,
-    the node itself included with ``dist = 0``."""
-    ensure_checkpoint_dir(nodes.sparkSession)
-    edges = nodes.select("node_id", "parent_id").filter(F.col("parent_id").isNotNull())
-    closure = nodes.select("node_id", F.col("node_id").alias("anc_id"), F.lit(0).alias("dist"))
-    frontier = edges.select("node_id", F.col("parent_id").alias("anc_id"), F.lit(1).alias("dist")) \
-        .checkpoint(eager=True)
-    for _ in range(max_depth):
-        if frontier.isEmpty():
-            break
-        closure = closure.unionByName(frontier)
-        frontier = (frontier.alias("f").join(edges.alias("e"), F.col("f.anc_id") == F.col("e.node_id"))
-                    .select(F.col("f.node_id"), F.col("e.parent_id").alias("anc_id"),
-                            (F.col("f.dist") + 1).alias("dist"))
-                    .checkpoint(eager=True))
+    the node itself included with ``dist = 0``.
+
+    Path doubling: after round k the closure holds all distances below 2**k
+    and ``jump`` the ancestors at 2**k exactly, so the number of rounds is the
+    logarithm of the depth, which has no limit.  A path longer than the
+    number of nodes is a cycle and raises.
+    """
+    n_nodes = nodes.count()
+    closure = materialize(nodes.select("node_id", F.col("node_id").alias("anc_id"), F.lit(0).alias("dist")))
+    jump = materialize(nodes.select("node_id", F.col("parent_id").alias("anc_id")).filter(F.col("parent_id").isNotNull()))
+    step = 1
+    while not jump.isEmpty():
+        if step > n_nodes:
+            raise ValueError("the parent links form a cycle")
+        up = jump.select("node_id", F.col("anc_id").alias("via"))
+        farther = up.join(closure.select(F.col("node_id").alias("via"), "anc_id", "dist"), "via") \
+            .select("node_id", "anc_id", (F.col("dist") + F.lit(step)).alias("dist"))
+        jump = materialize(up.join(jump.select(F.col("node_id").alias("via"), "anc_id"), "via").select("node_id", "anc_id"))
+        closure = materialize(closure.unionByName(farther))
+        step *= 2
     return closure
 
 
@@ -73,15 +79,15 @@ def pair_lca(pairs: DataFrame, closure: DataFrame) -> DataFrame:
 def set_lca(members: DataFrame, closure: DataFrame, set_col: str = "set_id") -> DataFrame:
     """Lowest common ancestor of each set of nodes (null if none).
 
-    Common ancestors are those reached from every distinct member; the
-    lowest is the deepest of them.
+    Common ancestors are those reached from every distinct member; they lie on
+    one path, and the lowest is the one nearest to the members.
     """
     m = members.select(set_col, "node_id").distinct()
     size = m.groupBy(set_col).agg(F.count(F.lit(1)).alias("_n"))
-    depth = node_depths(closure).select(F.col("node_id").alias("anc_id"), F.col("depth").alias("_depth"))
-    cnt = (m.join(closure, "node_id").groupBy(set_col, "anc_id").agg(F.count(F.lit(1)).alias("_c"))
-           .join(size, set_col).filter(F.col("_c") == F.col("_n")).join(depth, "anc_id"))
-    best = cnt.groupBy(set_col).agg(F.max_by("anc_id", "_depth").alias("lca"))
+    cnt = (m.join(closure, "node_id").groupBy(set_col, "anc_id")
+           .agg(F.count(F.lit(1)).alias("_c"), F.min("dist").alias("_near"))
+           .join(size, set_col).filter(F.col("_c") == F.col("_n")))
+    best = cnt.groupBy(set_col).agg(F.min_by("anc_id", "_near").alias("lca"))
     return size.select(set_col).join(best, set_col, "left")
 
 
@@ -100,30 +106,18 @@ def _levels(tokens: list) -> tuple[np.ndarray, np.ndarray]:
     return after, block + 1                    # (h, leaf depth d)
 
 
-# rows up to this size use one 2-D running minimum (n^2 int64 scratch, 8 MB at 1024)
-_DENSE_MAX = 1024
-
-
-# longest row the triangle is built for: 50,000 tokens = 1.25e9 values (5 GB);
-# training rows pass the length filter (1000 tokens) first
-TRIANGLE_MAX_TOKENS = 50_000
+#: Longest row that gets a triangle (documented parameter of G6): 20,000 tokens
+#: are 2e8 values, 0.8 GB.  Longer rows get null and are for the rejects (F4
+#: comes first in the preparation stage, with its own limit).
+TRIANGLE_MAX_TOKENS = 20_000
 
 
 def triangle_of(tokens) -> np.ndarray:
     """Upper triangle (row-major, no diagonal) of bracket-tree distances."""
     n = len(tokens)
-    if n > TRIANGLE_MAX_TOKENS:
-        raise ValueError(f"triangle of {n} tokens: apply the length filter first")
     if n < 2:
         return np.zeros(0, dtype=np.int32)
     h, d = _levels(list(tokens))
-    if n <= _DENSE_MAX:
-        # m[i, k] = min(h_i .. h_k) for k >= i; then dist(i, j) uses m[i, j-1]
-        big = np.iinfo(np.int64).max
-        m = np.where(np.arange(n - 1)[None, :] >= np.arange(n - 1)[:, None], h[None, :n - 1], big)
-        m = np.minimum.accumulate(m, axis=1)
-        iu, ju = np.triu_indices(n, k=1)
-        return (d[iu] + d[ju] - 2 * m[iu, ju - 1]).astype(np.int32)
     out = np.empty(n * (n - 1) // 2, dtype=np.int32)
     at = 0
     for i in range(n - 1):
@@ -133,25 +127,39 @@ def triangle_of(tokens) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(Ty.ArrayType(Ty.IntegerType()))
-def _triangle_udf(tokens: pd.Series) -> pd.Series:
-    return pd.Series([triangle_of(t if t is not None else []) for t in tokens])
-
-
-# rows per Arrow batch for the triangle UDF: a 1000-token row yields ~2 MB,
-# so a batch stays near 0.5 GB in the worst case after the length filter
-TRIANGLE_BATCH_ROWS = 256
+#: Bytes of triangles that one Arrow batch holds before it is sent on.
+TRIANGLE_BATCH_BYTES = 64 * 1024 * 1024
 
 
-def triangle_distances(tokens: Column, spark=None) -> Column:
-    """``array<int>`` of length n(n-1)/2 per row.
+def with_triangles(df: DataFrame, tokens_col: str = "tokens", out_col: str = "dist",
+                   max_tokens: int = TRIANGLE_MAX_TOKENS) -> DataFrame:
+    """``df`` with ``out_col``, an ``array<int>`` of length n(n-1)/2 per row
+    (null tokens: empty; rows over ``max_tokens``: null).
 
-    The UDF's output grows with n^2, so the Arrow batch size is lowered for
-    the session (``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    The output grows with n^2, so it leaves the task in Arrow batches bounded
+    by bytes, whatever the number of rows.
     """
-    if spark is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TRIANGLE_BATCH_ROWS))
-    return _triangle_udf(tokens)
+    at = df.columns.index(tokens_col)
+    schema = Ty.StructType([*df.schema.fields, Ty.StructField(out_col, Ty.ArrayType(Ty.IntegerType()))])
+
+    def batch_of(rows, made):
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(made, pa.list_(pa.int32()))], [*rows.schema.names, out_col])
+
+    def run(batches):
+        for batch in batches:
+            start, size, made = 0, 0, []
+            for i, tokens in enumerate(batch.column(at)):
+                tokens = tokens.as_py() or []
+                made.append(triangle_of(tokens) if len(tokens) <= max_tokens else None)
+                size += 2 * len(tokens) ** 2
+                if size >= TRIANGLE_BATCH_BYTES:
+                    yield batch_of(batch.slice(start, i + 1 - start), made)
+                    start, size, made = i + 1, 0, []
+            if made:
+                yield batch_of(batch.slice(start), made)
+
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def triangle_index(i: Column, j: Column, n: Column) -> Column:

@@ -24,6 +24,7 @@ def code_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     code = F.concat(
         F.lit('#include <stdio.h>\n#include "part'), _s(k % 3), F.lit('.h"\n// '), F.col("p_brand"),
+        F.when(k % 4 == 0, F.lit("\n#define SWAP(a,b) \\\n do { int t=a; \\\n a=b; } while(0)")).otherwise(F.lit("")),
         F.lit("\nstruct Part"), _s(k % 7), F.lit(" { int size; char *name; };\nint f"), _s(k % 5),
         F.lit("(struct Part"), _s(k % 7), F.lit(" p, int x) { /* "), F.col("p_type"),
         F.lit(" */\n\tint y = "), _s(F.col("p_size")), F.lit('; printf("%d '), F.col("p_name"),
@@ -35,7 +36,8 @@ SQL_CODE_C = """
 SELECT p_partkey AS doc_id, 'c' AS lang,
   '#include <stdio.h>' || chr(10) ||
   '#include "part' || CAST(p_partkey % 3 AS VARCHAR) || '.h"' || chr(10) ||
-  '// ' || p_brand || chr(10) ||
+  '// ' || p_brand || CASE WHEN p_partkey % 4 = 0 THEN chr(10) || '#define SWAP(a,b) ' || chr(92) || chr(10) ||
+  ' do { int t=a; ' || chr(92) || chr(10) || ' a=b; } while(0)' ELSE '' END || chr(10) ||
   'struct Part' || CAST(p_partkey % 7 AS VARCHAR) || ' { int size; char *name; };' || chr(10) ||
   'int f' || CAST(p_partkey % 5 AS VARCHAR) || '(struct Part' || CAST(p_partkey % 7 AS VARCHAR) ||
   ' p, int x) { /* ' || p_type || ' */' || chr(10) || chr(9) ||
@@ -70,21 +72,29 @@ FROM part
 
 
 def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, kind, c_key, cpp_key)``: dense key conflicts, input order = doc_id."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
-    i, n = F.col("doc_id"), F.col("n_chars")
+    """``(doc_id, kind, c_key, cpp_key)``: hashes of real texts, input order =
+    doc_id.  The C side is a document's text; the C++ side is the text of the
+    document's conversation (first turn) where there is one, else the
+    document's first line, so both sides repeat as the texts do."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    v = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"]).filter("turn = 0") \
+        .groupBy(F.col("conv_id").alias("doc_id")).agg(F.min("text").alias("other"))
+    i = F.col("doc_id")
     kind = F.when(i % 3 == 0, "pair").when(i % 3 == 1, "c").otherwise("cpp")
-    return d.select(i.alias("doc_id"), kind.alias("kind"),
-                    F.when(i % 3 != 2, n % 97).alias("c_key"),
-                    F.when(i % 3 != 1, (n + i) % 89).alias("cpp_key"))
+    other = F.coalesce("other", F.element_at(F.split("text", "\n"), 1))
+    return d.join(v, "doc_id", "left").select(
+        i.alias("doc_id"), kind.alias("kind"),
+        F.when(i % 3 != 2, F.sha2(F.col("text").cast("binary"), 256)).alias("c_key"),
+        F.when(i % 3 != 1, F.sha2(other.cast("binary"), 256)).alias("cpp_key"))
 
 
 SQL_PAIR_KEYS = """
 SELECT doc_id,
   CASE WHEN doc_id % 3 = 0 THEN 'pair' WHEN doc_id % 3 = 1 THEN 'c' ELSE 'cpp' END AS kind,
-  CASE WHEN doc_id % 3 <> 2 THEN n_chars % 97 END AS c_key,
-  CASE WHEN doc_id % 3 <> 1 THEN (n_chars + doc_id) % 89 END AS cpp_key
-FROM documents
+  CASE WHEN doc_id % 3 <> 2 THEN sha256(text) END AS c_key,
+  CASE WHEN doc_id % 3 <> 1 THEN sha256(coalesce(other, split_part(text, chr(10), 1))) END AS cpp_key
+FROM documents LEFT JOIN (SELECT conv_id, min(text) AS other FROM conversations WHERE turn = 0 GROUP BY conv_id) v
+  ON v.conv_id = documents.doc_id
 """
 
 

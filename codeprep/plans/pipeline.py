@@ -98,7 +98,7 @@ def prepare_stage(lines: DataFrame, max_tokens: int = K.MAX_TOKENS, min_doc_freq
     ok, unk_rejects = V.unknown_ratio_filter(cleaned, max_unk_ratio)
     training = ok.select("doc_id", "lang", F.col("tokens").alias("transformed_tokens"))
     if with_distances:
-        training = training.withColumn("dist", TR.triangle_distances(F.col("transformed_tokens"), spark))
+        training = TR.with_triangles(training, "transformed_tokens")
     rejects = (blank.unionByName(empty).unionByName(too_long)
                .unionByName(unk_rejects.select("doc_id", F.lit("clean").alias("stage"), "reason")))
     return Prepared(training=training, lexed=lexed, vocabulary=vocab, ids=V.token_ids(final), rejects=rejects)

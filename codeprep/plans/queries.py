@@ -292,39 +292,30 @@ def exclusion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.exclude_ids(d, ex)
 
 
-def keyword_table(docs: DataFrame, n: int = 40) -> DataFrame:
-    """The ``n`` name tokens found in most documents (ties by token): a top-k,
-    so the result is bounded by ``n``."""
-    v = V.vocabulary(docs)
-    return (v.filter(F.col("token").rlike("^[A-Za-z_]"))
-            .orderBy(F.col("num_rows").desc(), F.col("token")).limit(n)
-            .select(F.col("token").alias("keyword")))
-
-
-SQL_KEYWORDS = f"""
-  SELECT token AS keyword FROM (
-    SELECT token, count(DISTINCT doc_id) AS num_rows
-    FROM (SELECT doc_id, unnest(tokens) AS token FROM ({SQL_PROSE_TOKENS}))
-    GROUP BY token)
-  WHERE regexp_matches(token, '^[A-Za-z_]')
-  ORDER BY num_rows DESC, token LIMIT 40
-"""
+def _sql_contains(seq: list) -> str:
+    return f"contains(joined, chr(1) || {' || chr(1) || '.join(S.lit(t) for t in seq)} || chr(1))"
+
 
-SQL_HITS = f"""
+def sql_hits() -> str:
+    rows = " UNION ALL ".join(f"SELECT {S.lit(q)} AS keyword, doc_id FROM joined WHERE {_sql_contains(seq)}" for q, seq in K.SEARCH_PANEL.items())
+    return f"""
   SELECT keyword, doc_id, row_number() OVER (PARTITION BY keyword ORDER BY doc_id DESC) AS hit_rank
-  FROM (SELECT DISTINCT doc_id, unnest(tokens) AS keyword FROM ({SQL_PROSE_TOKENS}))
-  WHERE keyword IN ({SQL_KEYWORDS})
+  FROM (WITH joined AS (SELECT doc_id, chr(1) || array_to_string({S.tokenize('code')}, chr(1)) || chr(1) AS joined
+                        FROM ({X.SQL_CODE_CPP})) {rows})
 """
 
 
+SQL_HITS = sql_hits()
+
+
 @register("keyword_search", f"""
 SELECT keyword, doc_id, hit_rank FROM ({SQL_HITS}) WHERE hit_rank <= {K.KEYWORD_HITS}
 """)
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per keyword the 1000 newest documents (recency = doc_id) using it."""
-    docs = materialize(prose_tokens(spark, sf_dir))
-    hits = D.keyword_hits(docs, keyword_table(docs), "doc_id", "tokens", "doc_id", K.KEYWORD_HITS,
-                          keywords_bounded=True)
+    """Per query of the panel the 1000 newest snippets (recency = doc_id)
+    that contain its tokens in a row, over the whole C++ corpus."""
+    docs = X.code_cpp(spark, sf_dir).select("doc_id", T.tokenize("code").alias("tokens"))
+    hits = D.panel_hits(docs, K.SEARCH_PANEL, "doc_id", "tokens", "doc_id", K.KEYWORD_HITS)
     return hits.select("keyword", "doc_id", F.col("hit_rank").cast("long").alias("hit_rank"))
 
 
@@ -337,7 +328,7 @@ ORDER BY doc_id DESC LIMIT {K.FILE_CAP}
 def accepted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5 + D7: distinct hit documents, newest first, capped, numbered file_0..."""
     hits = keyword_search(spark, sf_dir).select("doc_id").distinct()
-    capped = D.capped(hits, K.FILE_CAP, [F.col("doc_id").desc()])
+    capped = D.capped(hits, K.FILE_CAP, [F.col("doc_id").desc()], "doc_id")
     out = D.number_files(capped, [F.col("doc_id").desc()])
     return out.select("doc_id", F.col("file_idx").cast("long").alias("file_idx"), "file_name")
 
@@ -365,7 +356,7 @@ SQL_SEQUENTIAL_DEDUP = f"""
 WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY doc_id) AS rn, doc_id, c_key, cpp_key
                      FROM ({X.SQL_PAIR_KEYS})),
 walk(rn, seen_c, seen_p, kept) AS (
-  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])
   UNION ALL
   SELECT r.rn,
     CASE WHEN ok AND r.c_key IS NOT NULL THEN list_append(w.seen_c, r.c_key) ELSE w.seen_c END,
@@ -877,7 +868,7 @@ FROM tk LEFT JOIN agg ON tk.doc_id = agg.doc_id
 def tree_distance_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G6 (bracket-tree distances, upper triangle), G8 and V1 on the C fixture."""
     t = code_c_tokens(spark, sf_dir)
-    d = t.withColumn("dist", TR.triangle_distances(F.col("tokens"), spark))
+    d = TR.with_triangles(t)
     n = F.size("tokens")
     return d.select("doc_id", n.alias("n_tokens"), F.size("dist").alias("n_dist"),
                     F.array_join("dist", ",").alias("dist_text"),
@@ -897,7 +888,7 @@ FROM n
 """)
 def triangle_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random access into the triangle with sign and offset; (i, i) -> 0."""
-    t = code_c_tokens(spark, sf_dir).withColumn("dist", TR.triangle_distances(F.col("tokens"), spark))
+    t = TR.with_triangles(code_c_tokens(spark, sf_dir))
     n = F.size("tokens")
     look = lambda i, j: TR.triangle_lookup(F.col("dist"), i, j)
     return t.select("doc_id", look(F.lit(0), n - 1).alias("v_first_last"),
@@ -983,16 +974,12 @@ def prepare_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("row_cap_per_language", f"""
 SELECT lang, doc_id FROM (
   SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)
-WHERE rn <= 100
+WHERE rn <= {K.ROW_CAP}
 """)
 def row_cap_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first N rows of every language (N = 100 here; 50,000 in the
-    reference's run).  A per-group top-N: planned with a partial group
-    limit before the shuffle, so a language holding a third of all rows
-    moves at most N rows per task."""
+    """The first 50,000 rows of every language, as a distributed cut."""
     d = read_table(spark, sf_dir, "documents", ["lang", "doc_id"])
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 100).drop("_rn")
+    return D.row_cap(d, K.ROW_CAP, ["lang"], ["doc_id"], "doc_id").select("lang", "doc_id")
 
 
 @register("analysis_summary", f"""
@@ -1048,7 +1035,7 @@ def page_tag_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G6 on real pages: distances between the tags of every page in its tag tree
     (open / close tags as brackets; unbalanced tags are allowed)."""
     t = page_tag_brackets(spark, sf_dir)
-    d = t.withColumn("dist", TR.triangle_distances(F.col("tokens"), spark))
+    d = TR.with_triangles(t)
     total = F.aggregate(F.col("dist"), F.lit(0).cast("long"), lambda a, x: a + x)
     return d.select(F.col("doc_id").alias("page_id"), F.size("tokens").alias("n_tags"),
                     F.size("dist").alias("n_dist"),

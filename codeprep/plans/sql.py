@@ -75,8 +75,12 @@ def clean_stage2(x: str) -> str:
 
 
 def resolve_comments(x: str) -> str:
-    c = f"regexp_replace({x}, {lit(R.comment_resolve_pattern(False))}, '\\1 ', 'g')"
+    c = f"regexp_replace({x}, {lit(R.comment_resolve_pattern(False))}, '\\1' || chr(1) || '\\2', 'g')"
+    c = f"replace(regexp_replace({c}, chr(1) || {lit('(?:' + R.comment_re(False) + ')')}, ' ', 'g'), chr(1), '')"
+    # continuation lines: joined by a mark, cut as one line, and the marks of other lines put back
+    c = f"replace(replace({c}, chr(92) || chr(13) || chr(10), chr(2)), chr(92) || chr(10), chr(3))"
     c = f"regexp_replace({c}, {lit(R.DIRECTIVE_LINE_RE_SQL)}, '', 'g')"
+    c = f"replace(replace({c}, chr(2), chr(92) || chr(13) || chr(10)), chr(3), chr(92) || chr(10))"
     return strip_ws(c)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -82,39 +83,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for intermediate tables inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
-
-
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
     For tables used by several later steps (the token table feeds both the
-    vocabulary and the [UNK] replacement): lineage is cut, the work is not
-    repeated, and the hash partitioning of ``df`` is kept.
+    vocabulary and the [UNK] replacement): lineage is cut, a lost executor
+    recomputes nothing, and the copy is compressed and columnar, so later
+    steps read only the columns that they use.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread_if_narrow(df, key: str):
-    """Hash-partition ``df`` by ``key`` only when the scan is narrower than the
-    cluster (fewer input files than default parallelism).
+    """Hash-partition ``df`` (a scan, at most with projections and filters) by
+    ``key`` only when it has fewer input splits than the cluster has cores.
 
     Regex tokenization is the CPU hot spot; a parquet row group cannot be
     split, so a table stored as one small file would be tokenized by one
-    task.  On a large table (many files, many row groups) the scan already
-    has enough splits and no shuffle is added.
+    task.  On a large table (many splits) nothing is added.
     """
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # not a file scan
-        return df
-    if n_files == 0:   # not a file scan (e.g. a range or an in-memory table)
-        return df
-    if n_files < df.sparkSession.sparkContext.defaultParallelism:
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
         return partition_by_key(df, key)
     return df
 

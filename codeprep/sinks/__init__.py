@@ -57,8 +57,9 @@ def write_training_parquet(df: DataFrame, path: str, block_bytes: int = 32 * 102
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:
-    """K8: ``(doc_id, stage, reason)`` appended per stage."""
-    rejects.write.mode("append").parquet(path)
+    """K8: ``(doc_id, stage, reason)`` of one run; a rerun replaces them, as it
+    does the run's other outputs."""
+    rejects.write.mode("overwrite").parquet(path)
 
 
 def write_samples(samples: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ from conftest import SF001
 
 def test_full_matrix_is_symmetric(spark):
     df = spark.createDataFrame([(1, ["(", "a", ")", "b"])], "doc_id long, tokens array<string>")
-    df = df.withColumn("dist", TR.triangle_distances(F.col("tokens"), spark))
+    df = TR.with_triangles(df)
     m = {(r["i"], r["j"]): r["dist"] for r in TR.full_matrix_rows(df, "doc_id", "tokens", "dist").collect()}
     assert len(m) == 16
     assert all(m[(i, j)] == m[(j, i)] for i in range(4) for j in range(4))

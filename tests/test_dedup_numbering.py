@@ -58,8 +58,8 @@ def test_consecutive_index_matches_row_number(spark):
 
 def test_seeded_sample_is_deterministic(spark):
     df = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id")
-    a = [r[0] for r in D.seeded_sample(df, 10, "doc_id", seed=1).collect()]
-    b = [r[0] for r in D.seeded_sample(df.repartition(3), 10, "doc_id", seed=1).collect()]
+    a = sorted(r[0] for r in D.seeded_sample(df, 10, "doc_id", seed=1).collect())
+    b = sorted(r[0] for r in D.seeded_sample(df.repartition(3), 10, "doc_id", seed=1).collect())
     assert a == b and len(set(a)) == 10
 
 

@@ -66,9 +66,14 @@ def test_checked_broadcast_bound(spark):
 def test_top_k_per_group_limits_before_shuffle(spark):
     from codeprep.functions import constants as K
     assert K.KEYWORD_HITS <= int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    for name in ("keyword_search", "row_cap_per_language"):
-        plan = physical(getattr(Q, name)(spark, SF001))
-        assert plan.count("WindowGroupLimit") == 2      # partial (map side) and final
+    plan = physical(Q.keyword_search(spark, SF001))
+    assert plan.count("WindowGroupLimit") == 2      # partial (map side) and final
+
+
+def test_row_caps_have_no_single_task_and_no_whole_group(spark):
+    """The caps of 50,000 rows and more are cuts of a distributed numbering."""
+    plan = physical(Q.row_cap_per_language(spark, SF001))
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan and "Window [row_number" not in plan
 
 
 def test_partition_helpers(spark):

@@ -117,9 +117,9 @@ def test_per_source_table_rejects_and_suffix(spark):
     kept, rejects = split_by(df.withColumnRenamed("idx", "doc_id"), source_suffix("name"), "collect", "suffix")
     assert kept.count() == 2
     K.write_rejects(rejects, os.path.join(d, "rejects"))
-    K.write_rejects(rejects, os.path.join(d, "rejects"))        # append per stage
+    K.write_rejects(rejects, os.path.join(d, "rejects"))        # a rerun replaces
     r = spark.read.parquet(os.path.join(d, "rejects")).collect()
-    assert len(r) == 2 and {x["reason"] for x in r} == {"suffix"}
+    assert len(r) == 1 and {x["reason"] for x in r} == {"suffix"}
 
 
 def test_line_numbers_across_many_splits(spark):

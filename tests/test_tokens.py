@@ -13,7 +13,6 @@ def lex(spark, program):
 
 def test_golden_c(spark):
     r = lex(spark, G.C_PROGRAM)
-    assert len(G.C_TOKENS) == 139
     assert r["transformed_tokens"] == G.C_TOKENS
     assert r["var_dict"] == G.C_VARS
     assert r["func_dict"] == G.C_FUNCS
@@ -24,12 +23,9 @@ def test_golden_c(spark):
 
 def test_golden_cpp(spark):
     r = lex(spark, G.CPP_PROGRAM)
-    got = r["transformed_tokens"]
-    assert len(G.CPP_TOKENS) == 313 and len(got) == 313
-    diffs = sum(a != b for a, b in zip(got, G.CPP_TOKENS))
-    assert diffs == G.CPP_KNOWN_DIFFS
+    assert r["transformed_tokens"] == G.CPP_TOKENS
     assert r["class_dict"] == G.CPP_CLASSES
-    assert r["func_dict"] == {"printInfo": "func0", "square": "func1", "push_back": "func2"}
+    assert r["func_dict"] == G.CPP_FUNCS
 
 
 def test_restore_round_trip(spark):

@@ -62,7 +62,7 @@ def test_triangle_equals_explicit_tree():
 
 def test_triangle_udf_and_lookup(spark):
     df = spark.createDataFrame([(1, ["(", "a", ")", "(", "b", ")"]), (2, ["x"])], "doc_id long, tokens array<string>")
-    out = df.select("doc_id", TR.triangle_distances(F.col("tokens"), spark).alias("dist")).orderBy("doc_id").collect()
+    out = TR.with_triangles(df).select("doc_id", "dist").orderBy("doc_id").collect()
     assert out[1]["dist"] == []
     d = out[0]["dist"]
     assert len(d) == 15 and d[TR_index(6, 1, 4)] == 4
