@@ -12,11 +12,14 @@ Whole result without all pairs of a bucket:
    classes are compared.
 2. In each bucket every class is held against the bucket's smallest class
    (one row for each member), on the full sets; components follow.
-3. Where a bucket still holds several components, its classes are joined
-   exactly by prefix filtering: of each set, ordered from its rarest shingle
-   on, the first n - ceil(0.85 n) + 1 must share one with any set similar
-   enough.  Passages shared by many are frequent, hence last, and give no
-   candidates.  Pairs of one component are not looked at again.
+3. Where a bucket still holds several components, its most central class (the
+   fewest shingles that no other class has) is held against the classes of
+   other components.
+4. What is still apart is joined exactly by prefix filtering: of each set,
+   ordered from its rarest shingle on, the first n - ceil(0.85 n) + 1 must
+   share one with any set similar enough, and exact bounds of the overlap must
+   hold.  Passages shared by many are frequent, hence last, and give
+   no candidates.  Pairs of one component are not looked at again.
 
 Nulls and texts without a word have an empty set and are linked with nothing.
 Texts with fewer words than a shingle have their whole sequence as one.  A
@@ -35,6 +38,7 @@ from codeprep.llm.common import chained, codepoints, map_texts, mix, seg_min, wo
 from codeprep.llm.components import components
 
 SHINGLE, PERCENT, GROUPS, WIDTH = 5, 85, 10, 3
+LANES = 8  # 64-bit numbers of a set's parities
 
 
 def shingle_sets(texts: list[str], n: int = SHINGLE) -> list[np.ndarray]:
@@ -126,8 +130,15 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, n: int = SHINGLE, gro
     links = written(_confirmed(pairs, sets, percent), "minhash")
     comp = written(components(links, "u", "v"), "minhash")
 
-    rest = _across(shared, comp, sets, percent)
-    more = written(_confirmed(rest.join(pairs, ["u", "v"], "left_anti"), sets, percent), "minhash")
+    opened = _open(shared, comp, sets)
+    central = written(_central_pairs(*opened[:2]).join(pairs, ["u", "v"], "left_anti"), "minhash")
+    more = written(_confirmed(central, sets, percent), "minhash")
+    if not more.isEmpty():
+        links = written(links.union(more), "minhash")
+        comp = written(components(links, "u", "v"), "minhash")
+    known = pairs.union(central)
+    rest = _rest(*opened[1:], comp, percent).join(known, ["u", "v"], "left_anti")
+    more = written(_confirmed(rest, sets, percent), "minhash")
     if not more.isEmpty():
         comp = written(components(links.union(more), "u", "v"), "minhash")
 
@@ -137,20 +148,57 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, n: int = SHINGLE, gro
                         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
-def _across(shared: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u < v) of different components that may be similar enough, of
-    the classes in buckets that hold several components."""
-    named = shared.select("key", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left") \
-        .select("key", "rep", F.coalesce("component", "rep").alias("component"))
+def _named(ids: DataFrame, comp: DataFrame) -> DataFrame:
+    """``ids`` with each id's component (itself where it has no link)."""
+    return ids.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _open(shared: DataFrame, comp: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the buckets that hold several components: (key, id, component);
+    (id, n, m, s, df), the classes' shingles that two of these classes or more
+    have (n is the size of the set, m of its part that others have too); and
+    (id, bits), the parity of each set's shingles in 64 * LANES places."""
+    named = _named(shared.select("key", F.col("rep").alias("id")), comp)
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = written(named.join(mixed, "key", "left_semi").select(F.col("rep").alias("id"), "component").distinct(), "minhash")
-    items = sets.join(open_, "id").select("id", "component", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("s"))
-    often = items.groupBy("s").agg(F.count("*").alias("df"))
-    # a shingle of one class alone pairs it with nothing, but has its place in the order
-    ranked = items.join(often, "s").withColumn("at", F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "s")))
-    head = ranked.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("id", "component", "n", "s")
+    named = written(named.join(mixed, "key", "left_semi"), "minhash")
+    items = sets.join(named.select("id").distinct(), "id").select("id", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("s"))
+    often = items.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    common = items.join(often, "s").withColumn("m", F.count("*").over(Window.partitionBy("id", "n")))
+    place = F.expr("shiftleft(1L, cast(pmod(s, 64) as int))")
+    lane = F.pmod(F.shiftright("s", 6), F.lit(LANES))
+    parity = items.groupBy("id").agg(*[F.bit_xor(F.when(lane == i, place).otherwise(F.lit(0).cast("bigint"))).alias(f"p{i}") for i in range(LANES)])
+    return named, written(common, "minhash"), written(parity, "minhash")
+
+
+def _central_pairs(named: DataFrame, common: DataFrame) -> DataFrame:
+    """In each open bucket, the class with the fewest shingles of its own
+    against the classes of other components (u < v)."""
+    own = common.select("id", (F.col("n") - F.col("m")).alias("own")).distinct()
+    rows = named.join(own, "id")
+    heads = rows.groupBy("key").agg(F.min(F.struct("own", "id", "component")).alias("h")) \
+        .select("key", F.col("h.id").alias("head"), F.col("h.component").alias("of"))
+    met = rows.join(heads, "key").where("component <> of")
+    return met.select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
+
+
+def _rest(common: DataFrame, parity: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u < v) of different components that may still be similar enough:
+    they share a shingle of their prefixes, and the overlap that the two sizes
+    ask for is left by what each shares with any other class, by the places
+    of the shingle in the two orders, and by the places where the parities
+    differ (two sets differ in as many shingles at least).  Each bound is exact: no similar pair is lost."""
+    shared = F.col("n") * percent <= 100 * F.col("m")
+    order = Window.partitionBy("id", "n").orderBy("df", "s")
+    ranked = common.where(shared).withColumn("at", F.col("n") - F.col("m") + F.row_number().over(order))
+    head = _named(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "n", "m", "s", "at"), comp)
     apart = head.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
-    head = written(head.join(apart, "s", "left_semi"), "minhash")
-    other = head.select("s", *[F.col(c).alias(c + "2") for c in ("id", "component", "n")])
-    met = head.join(other, "s").where("id < id2 and component <> component2 and 100 * least(n, n2) >= {0} * greatest(n, n2)".format(percent))
+    head = written(head.join(apart, "s", "left_semi").join(parity, "id"), "minhash")
+    lanes = [f"p{i}" for i in range(LANES)]
+    other = head.select("s", *[F.col(c).alias(c + "2") for c in ("id", "component", "n", "m", "at", *lanes)])
+    differ = " + ".join(f"bit_count({p} ^ {p}2)" for p in lanes)
+    need = f"{percent} * (n + n2)"  # 100 + percent times the least overlap
+    met = head.join(other, "s").where(
+        f"id < id2 and component <> component2 and 100 * least(n, n2) >= {percent} * greatest(n, n2) "
+        f"and {100 + percent} * least(m, m2) >= {need} and {100 + percent} * (1 + least(n - at, n2 - at2)) >= {need} "
+        f"and {100 + percent} * (n + n2 - ({differ})) >= 2 * {need}")
     return met.select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
