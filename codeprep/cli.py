@@ -4,6 +4,8 @@ The reference runs its stages as scripts over folders.  The same stages as
 Spark jobs:
 
     collect  JSON-lines files -> paired / unpaired escaped line files + counters
+    collect-folder  .c / .cpp files -> one line file of distinct, comment-free snippets
+    collect-table   parquet table of solutions -> records with standard headers, by source
     prepare  escaped line files -> lex rows, vocabulary, ids, training parquet, rejects
     sample   training parquet of two languages + ids -> samples partitioned by split
 
@@ -24,7 +26,7 @@ from . import sinks as K
 from .functions import constants as C
 from .plans import pipeline as P
 from .session import ensure_checkpoint_dir, get_session
-from .sources.files import read_line_file
+from .sources.files import read_line_file, read_source_folder
 from .sources.json_lines import read_json_lines
 
 
@@ -46,6 +48,17 @@ def run_collect(spark: SparkSession, inputs: list[str], out: str) -> dict:
     return {r["outcome"]: r["n"] for r in c.counters.collect()}      # a handful of counters
 
 
+def run_collect_folder(spark: SparkSession, folder: str, out: str, n: int | None = None, seed: int = 0) -> dict:
+    rows = P.collect_folder_stage(read_source_folder(spark, folder), n, seed)
+    K.write_line_file(rows, out, append=False, order_col="path", escaped=True)
+    return {"unique": spark.read.text(out).count()}
+
+
+def run_collect_table(spark: SparkSession, table: str, out: str, id_col: str, text_col: str = "text") -> dict:
+    K.write_per_source(P.collect_table_stage(spark.read.parquet(table), id_col, text_col), out)
+    return {"solutions": spark.read.parquet(out).count()}
+
+
 def run_prepare(spark: SparkSession, inputs: list[str], out: str, max_tokens: int = C.MAX_TOKENS,
                 min_doc_freq: int = C.MIN_DOC_FREQ, max_unk_ratio: float = C.MAX_UNK_RATIO) -> dict:
     """``inputs`` are escaped line files; the language comes from the path
@@ -82,6 +95,16 @@ def main(argv: list[str] | None = None) -> dict:
     a = sub.add_parser("collect")
     a.add_argument("--json", nargs="+", required=True)
     a.add_argument("--out", required=True)
+    f = sub.add_parser("collect-folder")
+    f.add_argument("--folder", required=True)
+    f.add_argument("--out", required=True)
+    f.add_argument("--sample", type=int)
+    f.add_argument("--seed", type=int, default=0)
+    t = sub.add_parser("collect-table")
+    t.add_argument("--table", required=True)
+    t.add_argument("--id", required=True)
+    t.add_argument("--text", default="text")
+    t.add_argument("--out", required=True)
     b = sub.add_parser("prepare")
     b.add_argument("--lines", nargs="+", required=True)
     b.add_argument("--out", required=True)
@@ -99,6 +122,10 @@ def main(argv: list[str] | None = None) -> dict:
     spark = _spark()
     if args.cmd == "collect":
         res = run_collect(spark, args.json, args.out)
+    elif args.cmd == "collect-folder":
+        res = run_collect_folder(spark, args.folder, args.out, args.sample, args.seed)
+    elif args.cmd == "collect-table":
+        res = run_collect_table(spark, args.table, args.out, args.id, args.text)
     elif args.cmd == "prepare":
         res = run_prepare(spark, args.lines, args.out, args.max_tokens, args.min_doc_freq, args.max_unk_ratio)
     else:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..session import partition_by_key
+from ..session import materialize, partition_by_key
 from .joins import checked_broadcast
 from .numbering import consecutive_index
 
@@ -103,6 +103,18 @@ def position_pair(left: DataFrame, right: DataFrame, order_col: str = "doc_id",
     return side(0, prefixes[0]).join(side(1, prefixes[1]), "position")
 
 
+def paired_rows(left: DataFrame, right: DataFrame, order_col: str = "doc_id", prefixes: tuple[str, str] = ("c_", "cpp_"),
+                val_ratio: float = K.VAL_RATIO, test_ratio: float = K.TEST_RATIO) -> DataFrame:
+    """C8–C10 for rows with heavy columns (token ids, distance triangles): the
+    order keys alone are numbered, paired and split; the columns follow by
+    key afterwards and pass one exchange each.  ``order_col`` must be unique."""
+    keys = materialize(position_pair(left.select(order_col), right.select(order_col), order_col, prefixes))
+    split = assign_split(keys, keys.count(), val_ratio, test_ratio)
+    for side, pre in zip((left, right), prefixes):
+        split = split.join(side.select(*[F.col(c).alias(pre + c) for c in side.columns]), pre + order_col)
+    return split
+
+
 def split_bounds(n: int, val_ratio: float = K.VAL_RATIO, test_ratio: float = K.TEST_RATIO) -> tuple[int, int]:
     """Bounds with the same double arithmetic as the reference."""
     return int((1 - val_ratio - test_ratio) * n), int((1 - test_ratio) * n)

@@ -27,8 +27,9 @@ def over_length(docs: DataFrame, tokens_col: str = "tokens", max_tokens: int = K
     return keep_where(docs, F.size(tokens_col) > max_tokens)
 
 
-def vocabulary(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """A1: ``token, num_rows, count`` – rows containing the token, total occurrences.
+def vocabulary(docs: DataFrame, tokens_col: str = "tokens", group_cols: list | None = None) -> DataFrame:
+    """A1: ``token, num_rows, count`` – rows containing the token, total
+    occurrences; with ``group_cols`` one vocabulary a group (a language), in the same pass.
 
     One exploded stream carries ``(tok, 1, 0)`` per occurrence and
     ``(tok, 0, 1)`` per distinct token of a row, so a single partial+final
@@ -40,8 +41,9 @@ def vocabulary(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
         F.transform(toks, lambda t: F.struct(t.alias("token"), F.lit(1).alias("c"), F.lit(0).alias("r"))),
         F.transform(F.array_distinct(toks), lambda t: F.struct(t.alias("token"), F.lit(0).alias("c"), F.lit(1).alias("r"))),
     )
-    return (docs.select(F.inline(stream))
-            .groupBy("token")
+    groups = list(group_cols or [])
+    return (docs.select(*groups, F.inline(stream))
+            .groupBy(*groups, "token")
             .agg(F.sum("r").cast("long").alias("num_rows"), F.sum("c").cast("long").alias("count")))
 
 

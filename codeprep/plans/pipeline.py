@@ -61,6 +61,24 @@ def collect_stage(lines: DataFrame, order_col: str = "line_no") -> Collected:
         counters=p.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def collect_folder_stage(files: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """Folder collection on ``(path, code)``: a seeded sample of ``n`` files (D4),
+    simple comment stripping (P3), escaping (P2), and the first file, in path
+    order, of each text hash (P13, D2): ``(path, code)``, ready for K1."""
+    if n is not None:
+        files = D.seeded_sample(files, n, "path", seed)
+    rows = files.select("path", T.escape_code(T.strip_comments_simple("code")).alias("code"))
+    return D.first_per_key(rows.withColumn("sha", T.sha256_hex("code")), "sha", "path").select("path", "code")
+
+
+def collect_table_stage(solutions: DataFrame, id_col: str, text_col: str = "text", source: str = "table") -> DataFrame:
+    """Hosted-table collection: standard headers injected (P7), one record a
+    solution for K3: ``(source, idx, name, code)``."""
+    return solutions.select(F.lit(source).alias("source"), F.col(id_col).alias("idx"),
+                            F.concat(F.lit("solution_"), F.col(id_col).cast("string"), F.lit(".cpp")).alias("name"),
+                            T.inject_headers(text_col).alias("code"))
+
+
 @dataclass
 class Prepared:
     training: DataFrame    # (doc_id, lang, transformed_tokens, dist)
@@ -71,9 +89,9 @@ class Prepared:
 
 
 def prepare_stage(lines: DataFrame, max_tokens: int = K.MAX_TOKENS, min_doc_freq: int = K.MIN_DOC_FREQ,
-                  max_unk_ratio: float = K.MAX_UNK_RATIO, with_distances: bool = True) -> Prepared:
+                  max_unk_ratio: float = K.MAX_UNK_RATIO, with_distances: bool = True,
+                  row_cap: int | None = None) -> Prepared:
     """E2 on escaped line rows ``(doc_id, lang, code)``."""
-    spark = lines.sparkSession
     blank = lines.filter(~FL.non_blank("code")).select("doc_id", F.lit("lex").alias("stage"), F.lit("blank").alias("reason"))
     # one exchange: raw lines by id; everything per document after it is partition-local
     spread = partition_by_key(FL.keep_where(lines, FL.non_blank("code")), "doc_id")
@@ -89,12 +107,13 @@ def prepare_stage(lines: DataFrame, max_tokens: int = K.MAX_TOKENS, min_doc_freq
     lexed = materialize(TK.obfuscate(V.length_filter(raw, "raw_tokens", max_tokens), keep_cols=["lang"],
                                      tokens_col="raw_tokens", repartition=False))
     kept = lexed.withColumnRenamed("transformed_tokens", "tokens")
-    vocab = materialize(V.merge_vocabularies(V.vocabulary(kept.filter(F.col("lang") == "c")),
-                                             V.vocabulary(kept.filter(F.col("lang") == "cpp"))))
+    if row_cap is not None:                     # D9: the first rows of every language
+        kept = D.row_cap(kept, row_cap, ["lang"], ["doc_id"], "doc_id")
+    vocab = materialize(V.vocabulary(kept))     # all languages at once: both counts are sums (A6)
     final = V.filter_vocabulary(vocab, min_doc_freq)
     # the cleaning stage's output feeds both the kept rows and the rejects: write it once
-    cleaned = materialize(V.replace_unknown(kept.withColumn("aliases", TK.alias_values()), final,
-                                            alias_col="aliases", partitioned=True))
+    # (the final vocabulary holds every alias by its prefix, so rows need not carry their own)
+    cleaned = materialize(V.replace_unknown(kept.select("doc_id", "lang", "tokens"), final))
     ok, unk_rejects = V.unknown_ratio_filter(cleaned, max_unk_ratio)
     training = ok.select("doc_id", "lang", F.col("tokens").alias("transformed_tokens"))
     if with_distances:
@@ -112,6 +131,5 @@ def sample_stage(c_rows: DataFrame, cpp_rows: DataFrame, ids: DataFrame, max_len
     def enc(df):
         e = EN.encode_tokens(df.select("doc_id", "transformed_tokens", "dist"), ids, ids_checked=True)
         return e.select("doc_id", "ids", "dist")
-    paired = materialize(EN.position_pair(enc(c_rows), enc(cpp_rows)))
-    paired = EN.assign_split(paired, paired.count())
+    paired = EN.paired_rows(enc(c_rows), enc(cpp_rows))
     return EN.training_samples(paired, max_len, use_tree_distance, keep_cols=["c_doc_id", "cpp_doc_id"])

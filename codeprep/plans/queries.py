@@ -242,13 +242,21 @@ def analysis_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Step 6: dedup, sampling, search, verdicts
 # ---------------------------------------------------------------------------
 
-@register("exact_dedup", """
-SELECT min(doc_id) AS doc_id, sha256(text) AS sha FROM documents GROUP BY sha256(text)
+@register("exact_dedup", f"""
+SELECT doc_id, lang, source, sha, escaped_length FROM (
+  SELECT doc_id, lang, source, sha256(escaped) AS sha, length(escaped) AS escaped_length,
+    row_number() OVER (PARTITION BY sha256(escaped) ORDER BY doc_id) AS rn
+  FROM (SELECT doc_id, lang, source, {S.escape_code(S.strip_comments_simple('text'))} AS escaped FROM documents))
+WHERE rn = 1
 """)
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D2 + P13: first document per text hash."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.sha256_hex("text").alias("sha"))
-    return D.first_per_key(d, "sha", "doc_id")
+    """The first document, as a row, per hash of its text
+    without comments and escaped."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"]).withColumn(
+        "escaped", T.escape_code(T.strip_comments_simple("text")))
+    rows = d.select("doc_id", "lang", "source", T.sha256_hex("escaped").alias("sha"),
+                    F.length("escaped").cast("long").alias("escaped_length"))
+    return D.first_per_key(rows, "sha", "doc_id")
 
 
 @register("duplicate_multiplicity", """
@@ -651,13 +659,11 @@ def final_vocab(spark: SparkSession, sf_dir: str, kept: DataFrame | None = None)
 
 @register("vocab_merged", f"""
 SELECT token, CAST(sum(num_rows) AS BIGINT) AS num_rows, CAST(sum("count") AS BIGINT) AS "count" FROM (
-  {sql_vocab("WHERE lang = 'en'")} UNION ALL {sql_vocab("WHERE lang = 'fr'")}) GROUP BY token
+  {" UNION ALL ".join(sql_vocab(f"WHERE lang = '{x}'") for x in ("de", "en", "es", "fr"))}) GROUP BY token
 """)
 def vocab_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-language vocabularies (en, fr) concatenated and summed."""
-    k = kept_docs(spark, sf_dir)
-    return V.merge_vocabularies(V.vocabulary(k.filter(F.col("lang") == "en")),
-                                V.vocabulary(k.filter(F.col("lang") == "fr")))
+    """Per-language vocabularies (one pass over all languages) summed."""
+    return V.merge_vocabularies(V.vocabulary(kept_docs(spark, sf_dir), group_cols=["lang"]))
 
 
 @register("token_ids", SQL_IDS)
@@ -724,6 +730,8 @@ SELECT CAST(position AS BIGINT) AS position,
   array_to_string(list_concat([2], ce[1:len(ce) - 1]), ',') AS c_dec,
   array_to_string(list_concat([2], pe[1:len(pe) - 1]), ',') AS cpp_dec,
   CAST(len(list_filter(ce, lambda z: z <> 0)) AS BIGINT) AS c_mask_sum,
+  CAST(len(list_filter(list_concat([2], ce[1:len(ce) - 1]), lambda z: z <> 0)) AS BIGINT) AS c_dec_mask_sum,
+  CAST(len(list_filter(pe, lambda z: z <> 0)) AS BIGINT) AS cpp_mask_sum,
   CAST(len(list_filter(list_concat([2], pe[1:len(pe) - 1]), lambda z: z <> 0)) AS BIGINT) AS cpp_dec_mask_sum
 FROM e
 """
@@ -739,9 +747,7 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                           partitioned=True, ids_checked=True)
     fr = EN.encode_tokens(k.filter(F.col("lang") == "fr").select("doc_id", "tokens"), ids, tokens_col="tokens",
                           partitioned=True, ids_checked=True)
-    paired = EN.position_pair(en.select("doc_id", "ids"), fr.select("doc_id", "ids"))
-    n = paired.count()
-    paired = EN.assign_split(paired, n)
+    paired = EN.paired_rows(en.select("doc_id", "ids"), fr.select("doc_id", "ids"))
     s = EN.training_samples(paired.withColumn("c_dist", F.array()).withColumn("cpp_dist", F.array()),
                             keep_cols=["c_doc_id", "cpp_doc_id"])
 
@@ -754,7 +760,8 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "c_doc_id", "cpp_doc_id",
                     txt("c_encoder_ids").alias("c_enc"), txt("cpp_encoder_ids").alias("cpp_enc"),
                     txt("c_decoder_ids").alias("c_dec"), txt("cpp_decoder_ids").alias("cpp_dec"),
-                    total("c_encoder_mask").alias("c_mask_sum"),
+                    total("c_encoder_mask").alias("c_mask_sum"), total("c_decoder_mask").alias("c_dec_mask_sum"),
+                    total("cpp_encoder_mask").alias("cpp_mask_sum"),
                     total("cpp_decoder_mask").alias("cpp_dec_mask_sum"))
 
 
@@ -915,15 +922,22 @@ def baseline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_CODE_LINES = f"""
-  SELECT doc_id * 2 AS doc_id, 'c' AS lang, {S.escape_newlines('code')} AS code FROM ({X.SQL_CODE_C})
+  SELECT doc_id * 2 AS doc_id, 'c' AS lang, CASE WHEN doc_id % 40 = 1 THEN '  ' WHEN doc_id % 40 = 2 THEN '// a comment alone'
+    WHEN doc_id % 200 = 3 THEN 'int main() {{ int x = 0;' || repeat(' x = x + 1;', 200) || ' }}'
+    ELSE {S.escape_newlines('code')} END AS code FROM ({X.SQL_CODE_C})
   UNION ALL
   SELECT doc_id * 2 + 1 AS doc_id, 'cpp' AS lang, {S.escape_newlines('code')} AS code FROM ({X.SQL_CODE_CPP})
 """
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both code fixtures as escaped line rows (doc ids made distinct)."""
-    c = X.code_c(spark, sf_dir).select((F.col("doc_id") * 2).alias("doc_id"), "lang", T.escape_newlines("code").alias("code"))
+    """Both code fixtures as escaped line rows (doc ids made distinct); some C
+    rows are blank, comments alone, or over the token limit."""
+    k = F.col("doc_id")
+    varied = (F.when(k % 40 == 1, F.lit("  ")).when(k % 40 == 2, F.lit("// a comment alone"))
+              .when(k % 200 == 3, F.concat(F.lit("int main() { int x = 0;"), F.repeat(F.lit(" x = x + 1;"), 200), F.lit(" }")))
+              .otherwise(T.escape_newlines("code")))
+    c = X.code_c(spark, sf_dir).select((k * 2).alias("doc_id"), "lang", varied.alias("code"))
     p = X.code_cpp(spark, sf_dir).select((F.col("doc_id") * 2 + 1).alias("doc_id"), "lang",
                                          T.escape_newlines("code").alias("code"))
     return c.unionByName(p)

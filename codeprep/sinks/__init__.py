@@ -11,8 +11,9 @@ from ..operators.tokens import MAP_COLS
 
 
 def write_line_file(df: DataFrame, path: str, code_col: str = "code", append: bool = True,
-                    order_col: str | None = None) -> None:
-    """K1 / K2: one escaped snippet per line (P1); ``append`` or overwrite.
+                    order_col: str | None = None, escaped: bool = False) -> None:
+    """K1 / K2: one escaped snippet per line (P1, unless it is ``escaped``
+    already); ``append`` or overwrite.
 
     With ``order_col`` the output is range-partitioned and sorted, so the
     part files concatenate in that order.
@@ -20,7 +21,7 @@ def write_line_file(df: DataFrame, path: str, code_col: str = "code", append: bo
     out = df
     if order_col:
         out = out.orderBy(order_col)
-    out.select(T.escape_newlines(code_col).alias("value")).write \
+    out.select((F.col(code_col) if escaped else T.escape_newlines(code_col)).alias("value")).write \
         .mode("append" if append else "overwrite").text(path)
 
 

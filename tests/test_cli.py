@@ -31,3 +31,26 @@ def test_collect_prepare_sample_chain(spark):
     assert out["samples"] > 0
     vocab = spark.read.text(os.path.join(d, "prepared", "vocab"))
     assert vocab.count() == spark.read.parquet(os.path.join(d, "prepared", "ids")).count() - 4
+
+
+def test_collect_folder_and_table_twice(spark):
+    d = tempfile.mkdtemp(prefix="codeprep-cli-")
+    src = os.path.join(d, "src")
+    os.makedirs(src)
+    for name, text in (("a.c", "int x; // one\n"), ("b.c", "int x; /* two */\n"), ("c.cpp", "int y;\nint z;\n"), ("d.txt", "no")):
+        with open(os.path.join(src, name), "w") as f:
+            f.write(text)
+    for _ in range(2):
+        assert cli.main(["collect-folder", "--folder", src, "--out", os.path.join(d, "folder")]) == {"unique": 2}
+        assert cli.main(["collect-folder", "--folder", src, "--out", os.path.join(d, "one"), "--sample", "1"]) == {"unique": 1}
+        res = cli.main(["collect-table", "--table", f"{SF001}/benchmark.parquet", "--id", "item_id", "--out", os.path.join(d, "table")])
+    back = spark.read.parquet(os.path.join(d, "table"))
+    assert back.count() == res["solutions"] and back.where("code like '#include <iostream>%'").count() == res["solutions"]
+
+
+def test_reject_reasons_and_row_cap(spark):
+    from codeprep.plans import pipeline as P
+    from codeprep.plans import queries as Q
+    p = P.prepare_stage(Q.code_lines(spark, SF001), min_doc_freq=1, with_distances=False, row_cap=7)
+    assert {r["reason"] for r in p.rejects.collect()} >= {"blank", "empty_after_preprocess", "too_long"}
+    assert {r["lang"]: r["count"] for r in p.training.groupBy("lang").count().collect()} == {"c": 7, "cpp": 7}

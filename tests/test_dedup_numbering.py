@@ -70,3 +70,38 @@ def test_consecutive_index_per_group(spark):
     for r in sorted(got.collect(), key=lambda r: (r["lang"], r["doc_id"])):
         by_lang.setdefault(r["lang"], []).append(r["i"])
     assert all(v == list(range(len(v))) for v in by_lang.values()) and len(by_lang) == 4
+
+
+def test_long_key_chain_finishes(spark):
+    """Rows that share alternate keys: one row a round is kept, whatever their number."""
+    rows = [(i, f"c{(i + 1) // 2}", f"p{i // 2}") for i in range(30)] + [(100 + i, None, f"q{i % 3}") for i in range(50)] + [(200, None, None)]
+    df = spark.createDataFrame(rows, "rank long, c_key string, cpp_key string")
+    kept, seen_c, seen_p = [], set(), set()
+    for r, c, p in sorted(rows):
+        if c not in seen_c and p not in seen_p:
+            kept.append(r)
+            seen_c |= {c} - {None}
+            seen_p |= {p} - {None}
+    assert sorted(x["rank"] for x in D.greedy_pair_dedup(df).collect()) == kept
+
+
+def test_closure_of_a_deep_chain_and_a_cycle(spark):
+    from codeprep.operators import tree as TR
+    n = 300
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)], "node_id long, parent_id long")
+    clo = TR.ancestor_closure(chain)
+    assert clo.count() == n * (n + 1) // 2 and clo.where("node_id - anc_id <> dist").count() == 0
+    ring = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "node_id long, parent_id long")
+    try:
+        TR.ancestor_closure(ring)
+        raise AssertionError("a cycle must raise")
+    except ValueError:
+        pass
+
+
+def test_first_rows_is_exact_for_any_n(spark):
+    df = spark.createDataFrame([(i, f"g{i % 3}", (i * 37) % 101) for i in range(101)], "id long, g string, v long")
+    got = sorted(r["v"] for r in D.first_rows(df, 60, ["v"], "id").collect())
+    assert got == list(range(60))
+    per = D.row_cap(df, 5, ["g"], ["v"], "id").groupBy("g").count().collect()
+    assert {r["count"] for r in per} == {5}

@@ -57,3 +57,26 @@ def test_anonymous_struct_and_repeated_declaration(spark):
     assert toks[:2] == ["struct", "{"]                      # Q3: only names become entities
     assert r["struct_dict"] == {"P": "struct0"}             # Q2: stable id on repeat
     assert toks.count("struct0") == 3
+
+
+def test_continuation_lines_and_adjacent_literals(spark):
+    from codeprep.functions import text as T
+    code = '#define SWAP(a,b) \\\n do { int t=a; \\\n a=b; } while(0)\nint x; g("b","c"); /* c */ y = "//no";\n'
+    df = spark.createDataFrame([(code,)], "code string").select(T.resolve_comments("code").alias("c"))
+    assert df.first()["c"] == 'int x; g("b","c");   y = "//no";'
+
+
+def test_python_literals_with_escapes(spark):
+    from codeprep.sources import literals as L
+    values = [["a\x0bb"], ["it's", 'say "x"'], ["\\x41", "\\"], [], ["é\n"], ["a\'\"b"]]
+    df = spark.createDataFrame([(i, repr(v)) for i, v in enumerate(values)] + [(99, "no list")], "doc_id long, t string")
+    got = {r["doc_id"]: r["v"] for r in df.select("doc_id", L.parse_list_literal("t").alias("v")).collect()}
+    assert [got[i] for i in range(len(values))] == values and got[99] is None
+    assert [r["doc_id"] for r in L.unparsed(df, "t", L.parse_list_literal("t")).collect()] == [99]
+
+
+def test_rows_over_the_triangle_limit_do_not_fail(spark):
+    from codeprep.operators import tree as TR
+    df = spark.createDataFrame([(1, ["(", "a", ")"]), (2, ["x"] * 50), (3, None)], "doc_id long, tokens array<string>")
+    got = {r["doc_id"]: r["dist"] for r in TR.with_triangles(df, max_tokens=10).collect()}
+    assert len(got[1]) == 3 and got[2] is None and got[3] == []
