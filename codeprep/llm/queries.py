@@ -74,4 +74,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_secrets": op10_secrets,
 }
-ORACLE: dict[str, str] = {}
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: Links by counting common shingles of all pairs that share one; components by reaching along them.
+_SQL_MINHASH = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+u AS (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept
+FROM m JOIN n ON n.doc_id = m.doc_id
+"""
+
+
+def _sql_licenses() -> str:
+    rows = ", ".join(f"({i}, {_lit(name)}, {m}, {_lit(x + ' ' + y)})" for i, name, m, x, y in licenses._template_rows(licenses.TEMPLATES))
+    return f"""
+WITH t(template, licence, m, b) AS (VALUES {rows}),
+d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(x, chr(10)),
+        list_transform(regexp_split_to_array(x, '\\n[ ]?\\n[ \\n]*'), lambda p: replace(p, chr(10), ' ')), [replace(x, chr(10), ' ')]))) AS seg FROM d),
+w AS (SELECT doc_id, seg, list_filter(string_split(seg, ' '), lambda v: v <> '') AS w FROM g),
+b AS (SELECT doc_id, seg, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bs FROM w),
+u AS (SELECT doc_id, seg, len(bs) AS n, unnest(bs) AS b FROM b),
+k AS (SELECT doc_id, licence, round(CAST(2 * count(*) AS DOUBLE) / (n + m), 6) AS dice FROM u JOIN t ON u.b = t.b GROUP BY doc_id, seg, n, template, licence, m),
+f AS (SELECT doc_id, licence, max(dice) AS dice FROM k WHERE dice >= {licenses.THRESHOLD} GROUP BY ALL),
+best AS (SELECT doc_id, licence, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence) AS at FROM f),
+every AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM f GROUP BY doc_id)
+SELECT documents.doc_id, best.licence, coalesce(best.dice, CAST(0 AS DOUBLE)) AS dice, coalesce(every.licences, '') AS licences
+FROM documents LEFT JOIN best ON best.doc_id = documents.doc_id AND best.at = 1 LEFT JOIN every ON every.doc_id = documents.doc_id
+"""
+
+
+#: The statements of the operators that SQL can express; the others are tested against brute force in tests/llm.
+ORACLE: dict[str, str] = {
+    "op4_minhash": _SQL_MINHASH,
+    "op5_licenses": _sql_licenses(),
+}

@@ -121,14 +121,15 @@ def with_next(ids: DataFrame, key: str) -> DataFrame:
 def edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, next, n_chars, text and edited text: its last third gives way to as
     much of the next document's beginning.  Texts are dealt out by id once;
-    of the next documents only the beginnings that are needed travel."""
+    of the next documents only the beginnings that are needed travel.  The table
+    of ids grows with the documents, so it is never broadcast."""
     rows = df.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text")).where("id is not null")
     one = rows.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("text")), "text"))).where("at = 1").drop("at")
     ids = with_next(rows.groupBy("id").agg(F.max(F.length("text")).alias("n")), "id")
     links = written(ids, "simhash")
     wanted = links.select(F.col("next").alias("id"), F.col("id").alias("for"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    heads = one.join(wanted, "id").select(F.col("for").alias("id"), F.expr("substring(text, 1, need)").alias("head"))
-    return one.join(links, "id").join(heads, "id").select(
+    heads = one.join(wanted.hint("merge"), "id").select(F.col("for").alias("id"), F.expr("substring(text, 1, need)").alias("head"))
+    return one.join(links.hint("merge"), "id").join(heads.hint("merge"), "id").select(
         "id", "next", F.col("n").cast("bigint").alias("n_chars"), "text",
         F.concat(F.expr("substring(text, 1, n - cast(floor(n / 3) as int))"), "head").alias("edited"))
 
