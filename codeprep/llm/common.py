@@ -127,7 +127,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = (n + (1 << 18) - 1) >> 18 << 18  # some more, so that it seldom grows
         for i, base in enumerate((P, P_INV)):
             steps_ = np.full(size, base, np.uint64)
             steps_[0] = 1
@@ -143,12 +143,10 @@ def words(cp: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return none, none, none
     inside = (cp != 32) & ((cp - np.uint32(9)) > np.uint32(4))
     first, last = inside.copy(), inside.copy()
-    inner = limits[1:-1]
     edge = np.zeros(len(cp) + 1, bool)
     edge[limits] = True
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last[:-1] &= ~inside[1:] | edge[1:-1]
-    del inner
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(limits, starts, "right") - 1
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from codeprep.llm.common import chained, codepoints, map_texts, mix, seg_sum, word_hashes, words
 
-TRAIN_ROWS, BITS, KEEP = 3000, 18, 0.5
+TRAIN_ROWS, BITS, KEEP = 2000, 18, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
