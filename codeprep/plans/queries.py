@@ -684,7 +684,7 @@ FROM c
 def unk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[UNK] replacement, counts and the ratio filter."""
     k = kept_docs(spark, sf_dir)
-    r = V.replace_unknown(k.select("doc_id", "tokens"), final_vocab(spark, sf_dir, k), partitioned=True)
+    r = V.replace_unknown(k.select("doc_id", "tokens"), final_vocab(spark, sf_dir, k))
     kept, rejects = V.unknown_ratio_filter(r)
     return (kept.select("doc_id", "n_tokens", "n_unk", F.lit(True).alias("kept"))
             .unionByName(rejects.select("doc_id", "n_tokens", "n_unk", F.lit(False).alias("kept"))))
@@ -700,7 +700,7 @@ def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 then C13: encode to ids and decode back ([UNK] for unknown tokens)."""
     k = kept_docs(spark, sf_dir)
     ids = token_ids(spark, sf_dir, k)
-    enc = EN.encode_tokens(k.select("doc_id", "tokens"), ids, tokens_col="tokens", partitioned=True)
+    enc = EN.encode_tokens(k.select("doc_id", "tokens"), ids, tokens_col="tokens")
     dec = EN.decode_ids(enc.select("doc_id", "ids"), ids, partitioned=True)
     return dec.select("doc_id", F.array_join("decoded", " ").alias("decoded_text"))
 
@@ -744,9 +744,9 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = kept_docs(spark, sf_dir)
     ids = checked_broadcast(token_ids(spark, sf_dir, k))     # one size check for both languages
     en = EN.encode_tokens(k.filter(F.col("lang") == "en").select("doc_id", "tokens"), ids, tokens_col="tokens",
-                          partitioned=True, ids_checked=True)
+                          ids_checked=True)
     fr = EN.encode_tokens(k.filter(F.col("lang") == "fr").select("doc_id", "tokens"), ids, tokens_col="tokens",
-                          partitioned=True, ids_checked=True)
+                          ids_checked=True)
     paired = EN.paired_rows(en.select("doc_id", "ids"), fr.select("doc_id", "ids"))
     s = EN.training_samples(paired.withColumn("c_dist", F.array()).withColumn("cpp_dist", F.array()),
                             keep_cols=["c_doc_id", "cpp_doc_id"])

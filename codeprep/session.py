@@ -30,7 +30,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         # per-document joins on (doc_id, token) over children already
-        # hash-partitioned by doc_id must not re-shuffle (see co_partition_on_prefix)
+        # hash-partitioned by doc_id must not re-shuffle both sides by all keys;
+        # the partial key is the document, which one task processes anyway
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
     }
     if shuffle_partitions:
@@ -121,18 +122,3 @@ def partition_by_key(df, *cols):
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *cols)
-
-
-def co_partition_on_prefix(spark: SparkSession) -> None:
-    """Let joins reuse a hash partitioning on a prefix of their keys.
-
-    Per-document operators hash-partition by ``doc_id`` once and then join
-    on ``(doc_id, token)``.  With Spark's default
-    (``spark.sql.requireAllClusterKeysForCoPartition=true``) such a join
-    re-shuffles both sides by all keys – a full extra shuffle of token rows.
-    The default exists to avoid skew when the partial key is hot; here the
-    partial key is the document, which is processed by one task anyway.
-    Session-wide setting: it affects only where exchanges are planned, never
-    results.
-    """
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
