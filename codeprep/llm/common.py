@@ -17,7 +17,7 @@ from codeprep.session import ensure_checkpoint_dir, ship_package
 
 #: Characters of text that one numpy step works on at most (a single longer
 #: text is one step of its own).
-STEP_CHARS = 1_000_000
+STEP_CHARS = 500_000
 #: Multiplier of the polynomial hashes (odd, so it has an inverse mod 2**64).
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
