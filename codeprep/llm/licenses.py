@@ -1,15 +1,19 @@
 """Operator 5: licence scans, in DataFrame operations alone.
 
 Each text is normalised (lower case, everything but letters and digits one
-space) and read as segments: its lines, its paragraphs, and the whole.  A
-segment is compared with the licence templates by the Dice coefficient over
-distinct word bigrams, 2 |A & B| / (|A| + |B|); it matches a template from
-``THRESHOLD`` on.  As |A & B| is at most the smaller set, only templates
-whose size lies within t / (2 - t) and (2 - t) / t of the segment's are
-compared, and segments of a size that fits no template are left out before
-any bigram is made.  The templates' bigrams are a fixed table of a few
-thousand rows, which is broadcast; counts of equal bigrams are summed in
-part before they are shuffled.
+space) and read as segments: its lines, its paragraphs, the whole, and runs of
+words.  A segment is compared with the licence templates by the Dice
+coefficient over distinct word bigrams, 2 |A & B| / (|A| + |B|); it matches a
+template from ``THRESHOLD`` on.  As |A & B| is at most the smaller set, a match
+has at least t / (2 - t) of the template's bigrams: a text with fewer of them
+is left out before any segment is made (exact), which all but texts about
+licences are.
+
+Runs of words find notices of several paragraphs, or after other words of
+their line, inside a longer text.  They are taken from what no matching line,
+paragraph or whole text covers, begin and end on a bigram of the template
+(trimming others never lowers the coefficient) and have (2 - t) / t times the
+template's bigrams at most, repeats counted.
 
 Null texts, empty texts and texts without a match have no licence.  Rows of
 one id are one document; rows without id are left out.  A tie between
@@ -108,12 +112,23 @@ def _words(segment: Column) -> Column:
     return F.filter(F.split(segment, " "), lambda w: w != "")
 
 
-def _fits(n: Column, sizes: list[int], t: float) -> Column:
-    """Whether some template's size lies within the bounds of a segment of n bigrams."""
-    fits = F.lit(False)
-    for m in sorted(set(sizes)):
-        fits = fits | ((n * (2 - t) >= m * t) & (m * (2 - t) >= n * t))
-    return fits
+def _pairs(words: Column) -> Column:
+    """Hashes of the word bigrams, in order."""
+    # inside an array of one, so that the words are computed once
+    return F.transform(F.array(words), lambda w: F.transform(
+        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1))))[0]
+
+
+def _once(df: DataFrame, **made: Column) -> DataFrame:
+    """``df`` with new columns that later expressions read and don't compute
+    again: what a generator returns is not substituted into them."""
+    value = F.struct(*[c.alias(name) for name, c in made.items()])
+    return df.select("*", F.inline(F.array(value)))
+
+
+def _dice(segment: Column, template: Column, m: Column) -> Column:
+    both = F.size(F.array_intersect(segment, template))
+    return F.round(2 * both / (F.size(F.array_distinct(segment)) + m), 6)
 
 
 def matches(df: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None, key: str = "doc_id",
@@ -122,26 +137,50 @@ def matches(df: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[s
     template that some segment of it matches."""
     rows = _template_rows(templates or TEMPLATES)
     table = df.sparkSession.createDataFrame(rows, "template int, licence string, m int, x string, y string") \
-        .select("template", "licence", "m", F.xxhash64("x", "y").alias("b"))
-    sizes = [m for _, _, m, _, _ in rows]
+        .groupBy("template", "licence", "m").agg(F.collect_set(F.xxhash64("x", "y")).alias("b")) \
+        .withColumn("need", F.ceil(F.col("m") * threshold / (2 - threshold) - 1e-9).cast("int")) \
+        .withColumn("most", F.floor(F.col("m") * (2 - threshold) / threshold + 1e-9).cast("int"))
+    every = table.agg(F.collect_list(F.struct("template", "licence", "m", "need", "most", "b")).alias("ts")) \
+        .withColumn("any", F.array_distinct(F.flatten(F.col("ts.b"))))
     # one space for all but letters and digits; limits of lines stay
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
-    docs = df.select(F.col(key).alias("id"), plain.alias("text")).where("id is not null and text is not null")
-    paragraphs = F.transform(F.split("text", r"\n[ ]?\n[ \n]*"), lambda p: F.translate(p, "\n", " "))
-    segments = F.array_distinct(F.flatten(F.array(F.split("text", "\n"), paragraphs, F.array(F.translate("text", "\n", " ")))))
-    split = docs.select("id", F.explode(segments).alias("segment")).select("id", _words(F.col("segment")).alias("w"))
-    # at most as many bigrams as neighbours, and repeats only make fewer: the lower bound holds before they are made
-    least = min(sizes) * threshold / (2 - threshold)
-    most = max(sizes) * (2 - threshold) / threshold
-    long = split.where(F.size("w") - 1 >= least)
-    pairs = F.array_distinct(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1))))
-    made = long.select("id", F.xxhash64("w").alias("seg"), pairs.alias("b")).where((F.size("b") <= most) & _fits(F.size("b"), sizes, threshold))
-    met = made.select("id", "seg", F.size("b").alias("n"), F.explode("b").alias("b")).join(F.broadcast(table), "b") \
-        .where((F.col("n") * (2 - threshold) >= F.col("m") * threshold) & (F.col("m") * (2 - threshold) >= F.col("n") * threshold))
-    same = met.groupBy("id", "seg", "n", "template", "licence", "m").agg(F.count("*").alias("both"))
-    dice = F.round(2 * F.col("both") / (F.col("n") + F.col("m")), 6)
-    return same.select("id", "template", "licence", dice.alias("dice")).where(F.col("dice") >= threshold) \
-        .groupBy("id", "template", "licence").agg(F.max("dice").alias("dice"))
+    plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ")
+    docs = _once(df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null"), plain=plain).drop("text")
+    flat = lambda p: F.translate(p, "\n", " ")
+
+    # texts with enough of some template's bigrams, and those templates
+    hits = _once(docs.crossJoin(F.broadcast(every)), hits=F.array_intersect(_pairs(_words(flat(F.col("plain")))), "any"))
+    some = _once(hits, near=F.filter("ts", lambda t: F.size(F.array_intersect("hits", t["b"])) >= t["need"])) \
+        .where("size(near) > 0").select("id", "plain", "near")
+
+    # lines, paragraphs and the whole
+    blocks = F.split("plain", r"\n[ ]?\n[ \n]*")
+    segments = F.array_distinct(F.concat(F.split("plain", "\n"), F.transform(blocks, flat), F.array(flat(F.col("plain")))))
+    scored = F.transform(F.transform(segments, lambda s: F.struct(s.alias("s"), _pairs(_words(s)).alias("b"))), lambda x: F.struct(
+        x["s"].alias("s"), F.filter(F.transform("near", lambda t: F.struct(
+            t["template"].alias("template"), t["licence"].alias("licence"), _dice(x["b"], t["b"], t["m"]).alias("dice"))),
+            lambda f: f["dice"] >= threshold).alias("found")))
+    first = _once(some, good=F.filter(scored, lambda x: F.size(x["found"]) > 0))
+
+    # runs of words in the rest; a mark stands for each matching line or paragraph
+    covered = lambda s: F.array_contains(F.col("good.s"), s)
+    rest = F.transform(blocks, lambda p: F.when(covered(flat(p)), "\x01").otherwise(
+        F.array_join(F.transform(F.split(p, "\n"), lambda s: F.when(covered(s), "\x01").otherwise(s)), " ")))
+    rest = F.when(covered(flat(F.col("plain"))), "").otherwise(F.array_join(rest, " "))
+    left = _once(first, left=_pairs(_words(rest)))
+    each = left.select("id", "left", F.inline("near"))
+    each = _once(each, at=F.filter(F.transform("left", lambda h, i: F.when(F.array_contains("b", h), i)), lambda i: i.isNotNull()))
+    place = lambda k: F.get("at", k)
+    # first places from which enough bigrams of the template follow within its bound
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("at") - F.col("need"), F.lit(0))),
+                      lambda k: F.coalesce(place(k + F.col("need") - 1) - place(k) < F.col("most"), F.lit(False)))
+    each = _once(each.where(F.size("at") >= F.col("need")), start=starts)
+    lasts = lambda k: F.filter(F.sequence(k + F.col("need") - 1, F.least(F.size("at"), k + F.col("most")) - 1),
+                               lambda j: place(j) - place(k) < F.col("most"))
+    best = F.array_max(F.transform("start", lambda k: F.array_max(F.transform(lasts(k), lambda j: _dice(
+        F.slice("left", place(k) + 1, place(j) - place(k) + 1), F.col("b"), F.col("m"))))))
+    runs = _once(each.where(F.size("start") > 0), dice=best).where(F.col("dice") >= threshold).select("id", "template", "licence", "dice")
+    found = first.select("id", F.explode("good.found").alias("found")).select("id", F.inline("found"))
+    return found.unionByName(runs).groupBy("id", "template", "licence").agg(F.max("dice").alias("dice"))
 
 
 def scan(df: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None, key: str = "doc_id",

@@ -217,6 +217,23 @@ def test_licences(spark):
     assert licenses.scan(cases.table(spark)).where("doc_id = 11 and licence = 'Apache-2.0'").count() == 1
 
 
+def test_licences_inside_other_text(spark):
+    """Notices of several paragraphs in a long document, and after other words of their line."""
+    fill = lambda k: cases.prose(900 + k, 300)
+    long = {k: next(t for n, t in licenses.TEMPLATES if n == k and len(t) > 200) for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0")}
+    want = {i: name for i, name in enumerate(long)} | {20: "MIT", 21: None}
+    rows = [(i, f"{fill(i)}\n\n{long[name]}\n\n{fill(50 + i)}") for i, name in list(want.items())[:5]]
+    rows += [(20, "This small tool is licensed under the MIT License."), (21, fill(3)),
+             (22, f"Licensed under the Apache License, Version 2.0.\n{fill(7)}\n\n{long['MIT']}\n\n{fill(8)}"),
+             (23, f"This work is licensed under the GNU Lesser General Public License, version 3.\n{fill(9)}")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {d: got[d].licence for d in want} == want
+    assert all(got[d].dice == 1.0 for d, name in want.items() if name)
+    assert got[22].licences == "Apache-2.0,MIT"
+    # no part of a line that matches is held against further templates
+    assert got[23].licences == licences_of(rows[-1][1])[1]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
