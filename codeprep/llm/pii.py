@@ -14,7 +14,8 @@ spoiled in ways that make it no personal data.  Without any base span in the
 sample nothing is added.
 
 Null text: as the empty text.  Long texts: the patterns take linear time, and
-a stretch is cut after ``REGION_TOKENS`` tokens.  Repeated rows give repeated
+so does a stretch, which is segmented as a whole: its lattice is made for
+``REGION_TOKENS`` first tokens at a time and the state is carried on.  Repeated rows give repeated
 results, an empty table an empty one; other columns are ignored.
 """
 
@@ -94,10 +95,7 @@ def regions(text: str) -> list[tuple[int, list[str]]]:
             lines.append([m.start(), m.end()])
     for a, b in lines:
         a, b = max(0, a - 40), min(len(text), b + 40)
-        tokens = [(m.start(), m.group()) for m in TOKEN.finditer(text, a, b)]
-        for i in range(0, len(tokens), REGION_TOKENS):
-            part = tokens[i:i + REGION_TOKENS]
-            out.append((part[0][0], [t for _, t in part]))
+        out.append((a, TOKEN.findall(text, a, b)))
     return out
 
 
@@ -140,11 +138,12 @@ class Lattice:
     features: np.ndarray
 
 
-def lattice(tokens: list[str]) -> Lattice:
+def lattice(tokens: list[str], first: int = 0, last: int | None = None) -> Lattice:
     """Segments of one token (kind 0, nothing, or an entity) and of more tokens
-    that begin and end on a sign of an entity and hold a digit or an at."""
+    that begin and end on a sign of an entity and hold a digit or an at; those
+    that begin at the tokens from ``first`` to ``last``, if given."""
     starts, ends, features = [], [], []
-    for i in range(len(tokens)):
+    for i in range(first, len(tokens) if last is None else min(last, len(tokens))):
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
             if tokens[j - 1] == "\n" and j > i + 1:
                 break
@@ -163,27 +162,26 @@ def scores(g: Lattice, w: np.ndarray) -> np.ndarray:
     return s
 
 
-def best(g: Lattice, w: np.ndarray) -> list[tuple[int, int, int, float]]:
+def best(tokens: list[str], w: np.ndarray) -> list[tuple[int, int, int, float]]:
     """The best segmentation's entities: kind, first and last token, and how
     much better it is than the same tokens as nothing."""
-    s = scores(g, w)
-    top = np.full(g.n + 1, -np.inf)
-    top[0] = 0
-    back = [(0, 0)] * (g.n + 1)
-    kind, value = s.argmax(0), s.max(0)
-    none = np.zeros(g.n + 1)
-    for k in np.argsort(g.starts, kind="stable").tolist():
-        i, j = int(g.starts[k]), int(g.ends[k])
-        if j == i + 1:
-            none[j] = s[0, k]
-        if top[i] + value[k] > top[j]:
-            top[j], back[j] = top[i] + value[k], (k, int(kind[k]))
-    sums, out, j = np.cumsum(none), [], g.n
+    n = len(tokens)
+    top, none = [0.0] + [-np.inf] * n, np.zeros(n + 1)
+    back = [(0, 0, 0.0)] * (n + 1)
+    for first in range(0, n, REGION_TOKENS):  # all that ends at a token begins before it: top is final where a block begins
+        g = lattice(tokens, first, first + REGION_TOKENS)
+        s = scores(g, w)
+        kind, value = s.argmax(0).tolist(), s.max(0).tolist()
+        alone = g.ends - g.starts == 1
+        none[g.ends[alone]] = s[0, alone]
+        for k, (i, j) in enumerate(zip(g.starts.tolist(), g.ends.tolist())):
+            if top[i] + value[k] > top[j]:
+                top[j], back[j] = top[i] + value[k], (i, kind[k], value[k])
+    sums, out, j = np.cumsum(none), [], n
     while j:
-        k, c = back[j]
-        i = int(g.starts[k])
+        i, c, value_ = back[j]
         if c:
-            out.append((c - 1, i, j, float(value[k] - (sums[j] - sums[i]))))
+            out.append((c - 1, i, j, float(value_ - (sums[j] - sums[i]))))
         j = i
     return out[::-1]
 
@@ -285,14 +283,17 @@ def spans(text: str, w: np.ndarray | None) -> tuple[list[tuple[int, int, int]],
     for at, tokens in regions(text):
         end = at + sum(map(len, tokens))
         own = [b for b in base if b[1] < end and b[2] > at]
-        places = np.cumsum([at, *map(len, tokens)]).tolist()
-        free = [any(c.isdigit() or c == "@" for c in t) and not any(s < places[k + 1] and e > places[k] for _, s, e in own) for k, t in enumerate(tokens)]
+        places = np.cumsum([at, *map(len, tokens)])
+        owned = np.zeros(len(tokens), bool)  # tokens that base spans touch
+        for _, s, e in own:
+            owned[max(0, np.searchsorted(places, s, "right") - 1):np.searchsorted(places, e)] = True
+        free = [any(c.isdigit() or c == "@" for c in t) and not o for t, o in zip(tokens, owned.tolist())]
         if not any(free) and "at" not in map(str.lower, tokens):
             continue
-        for kind, i, j, gain in best(lattice(tokens), w):
-            s, e = places[i], places[j]
-            if gain >= MARGIN and j - i > 1 and not any(a < e and b > s for _, a, b in own):
-                more.append((kind, s, e))
+        for kind, i, j, gain in best(tokens, w):
+            # a single token too, if it is a number: longer segments hold a digit or an at
+            if gain >= MARGIN and (j - i > 1 or "0" <= tokens[i][0] <= "9") and not owned[i:j].any():
+                more.append((kind, int(places[i]), int(places[j])))
     return base, sorted({*base, *more})
 
 

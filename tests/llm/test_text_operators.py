@@ -211,6 +211,26 @@ def test_semi_markov_adds_what_the_patterns_miss(spark):
     assert find("in 2024 we paid 12 for 3.5 of it. Version 2.0.") == []
 
 
+def test_long_stretches_are_segmented_as_a_whole(spark, monkeypatch):
+    text = "(414) 555-1791, " * 150
+    w = pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = pii.spans(text, w)[1]
+    assert [(k, text[s:e]) for k, s, e in found] == [(3, "(414) 555-1791")] * 150
+    rng = np.random.default_rng(3)
+    tokens = pii.TOKEN.findall(" ".join(str(x) + rng.choice([".", " ", "-", "@a.b"]) for x in rng.integers(0, 5000, 200)))
+    w = rng.normal(size=(5, 1 << pii.BITS))
+    blocks = pii.best(tokens, w)
+    monkeypatch.setattr(pii, "REGION_TOKENS", len(tokens))
+    assert len(tokens) > 400 and [x[:3] for x in blocks] == [x[:3] for x in pii.best(tokens, w)]
+
+
+def test_a_single_number_competes_by_its_score():
+    w = np.zeros((5, 1 << pii.BITS))
+    w[4, pii._hash("n:10:False")] = 9
+    text = "call 4145551791 or 12"
+    assert pii.spans(text, w)[1] == [(3, 5, 15)]
+
+
 def test_semi_markov_gradient_is_a_distribution():
     g = pii.lattice(pii.TOKEN.findall("at 12.3.4.5 or 7"))
     w = np.random.default_rng(1).normal(size=(5, 1 << pii.BITS)) * 0.1
