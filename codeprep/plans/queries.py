@@ -862,6 +862,37 @@ def sql_triangle(tokens_cte: str) -> str:
 SQL_TRIANGLE = sql_triangle(SQL_CODE_C_TOKENS)
 
 
+def _pair_distances_sql() -> str:
+    vectors = [f"{pre}_{part}_dist" for pre in ("c", "cpp") for part in ("encoder", "decoder")]
+    cols = ", ".join(f"CAST(coalesce({v[:v.index('_')]}d.n, 0) AS INTEGER) AS {v}_n, "
+                     f"sha256(coalesce({v[:v.index('_')]}d.s, '')) AS {v}_sha" for v in vectors)
+    return f"""
+WITH {sql_triangle(f"SELECT doc_id, tokens AS toks FROM ({SQL_KEPT}) WHERE lang IN ('en', 'fr')")},
+agg AS (SELECT doc_id, count(*) AS n, string_agg(CAST(dist AS VARCHAR), ',' ORDER BY i, j) AS s FROM tri GROUP BY doc_id),
+c AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id FROM ({SQL_KEPT}) WHERE lang = 'en'),
+p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id FROM ({SQL_KEPT}) WHERE lang = 'fr')
+SELECT CAST(c.position AS BIGINT) AS position, c.doc_id AS c_doc_id, p.doc_id AS cpp_doc_id, {cols}
+FROM c JOIN p ON c.position = p.position LEFT JOIN agg cd ON cd.doc_id = c.doc_id LEFT JOIN agg cppd ON cppd.doc_id = p.doc_id
+"""
+
+
+@register("encode_pair_distances", _pair_distances_sql())
+def encode_pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11 with G6: length and digest of the four distance vectors of each
+    sample of ``encode_pairs``; the triangles are paired by key."""
+    k = kept_docs(spark, sf_dir)
+    ids = checked_broadcast(token_ids(spark, sf_dir, k))     # one size check for both languages
+
+    def side(lang):
+        docs = k.filter(F.col("lang") == lang).select("doc_id", "tokens")
+        e = EN.encode_tokens(docs, ids, tokens_col="tokens", ids_checked=True)
+        return TR.with_triangles(e.select("doc_id", "ids", "tokens")).select("doc_id", "ids", "dist")
+    s = EN.training_samples(EN.paired_rows(side("en"), side("fr")), keep_cols=["c_doc_id", "cpp_doc_id"])
+    vectors = [f"{pre}_{part}_dist" for pre in ("c", "cpp") for part in ("encoder", "decoder")]
+    return s.select(F.col("position").cast("long").alias("position"), "c_doc_id", "cpp_doc_id",
+                    *[x for v in vectors for x in (F.size(v).alias(f"{v}_n"), F.sha2(F.array_join(v, ","), 256).alias(f"{v}_sha"))])
+
+
 @register("tree_distance_triangle", f"""
 WITH {SQL_TRIANGLE},
 agg AS (SELECT doc_id, count(*) AS n_dist, string_agg(CAST(dist AS VARCHAR), ',' ORDER BY i, j) AS dist_text

@@ -103,3 +103,14 @@ def test_framing_masks_shift_and_splits(spark):
     b = spark.createDataFrame([(0,), (1,), (4,)], "n int").select(EN.baseline_distances(F.col("n")).alias("b")).collect()
     assert [x["b"] for x in b] == [[], [], [1, 2, 3, 1, 2, 1]]
     assert np.array_equal(TR.triangle_of([]), np.zeros(0))
+
+
+def test_samples_hold_real_distances(spark):
+    """The four distance vectors of every pair against the DuckDB statement, over the whole table."""
+    import __spark_entry__ as E
+    from conftest import SF001
+    from oracle import compare, duck
+    name = "encode_pair_distances"
+    info = compare(spark, duck(SF001), name, E.queries()[name], E.oracle_sql()[name], SF001)
+    assert info["match"] and info["spark_rows"] > 0, info
+    assert all(r.c_encoder_dist_n > 0 and r.cpp_decoder_dist_n > 0 for r in E.queries()[name](spark, SF001).collect())
