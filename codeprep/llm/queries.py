@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprep.llm import bpe, langid, licenses, minhash, packing, pii, quality, repeats, secrets, simhash
+from codeprep.llm import bpe, langid, licenses, minhash, mixing, packing, pii, quality, repeats, secrets, simhash
 from codeprep.llm.common import documents
 
 #: The vocabulary that the queries encode with; the operators take any path.
@@ -62,6 +62,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).drop("redacted")
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,
@@ -73,7 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_repeats": op9_repeats,
     "op10_secrets": op10_secrets,
+    "op13_mixing": op13_mixing,
 }
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -117,8 +124,30 @@ FROM documents LEFT JOIN best ON best.doc_id = documents.doc_id AND best.at = 1
 """
 
 
+#: Least share first: the smallest number of capped sources after which the next one is not above its limit.
+_SQL_MIXING = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT coalesce('s' || source, 't') AS tag, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY 1),
+w AS (SELECT tag, size, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY tag) - 1) % 3] AS BIGINT) AS weight FROM s),
+o AS (SELECT *, size * 10 // weight AS ratio, row_number() OVER (ORDER BY size * 10 // weight, tag) AS pos FROM w),
+c AS (SELECT pos, ratio, 150 * sum(size) OVER () - 200 * coalesce(sum(size) OVER prev, 0) AS num, sum(weight) OVER () - coalesce(sum(weight) OVER prev, 0) AS den,
+             size, weight FROM o WINDOW prev AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den FROM c WHERE weight * num <= 200 * size * den ORDER BY pos LIMIT 1),
+t AS (SELECT tag, size AS source_size, weight * num > 200 * size * den AS capped,
+             CASE WHEN weight * num > 200 * size * den THEN CAST(2 * size AS DOUBLE) ELSE CAST(weight * num AS DOUBLE) / CAST(100 * den AS DOUBLE) END AS target
+      FROM w, f),
+p AS (SELECT *, CASE WHEN source_size = 0 THEN 0 WHEN capped THEN 33554432 ELSE least(33554432, CAST(floor(target / source_size * 16777216) AS BIGINT)) END AS step,
+             CAST('0x' || md5('0:' || tag)[1:6] AS BIGINT) AS first FROM t),
+n AS (SELECT doc_id, size, source_size, target, step, first, row_number() OVER (PARTITION BY p.tag ORDER BY size, doc_id) AS pos
+      FROM d JOIN p ON p.tag = coalesce('s' || d.source, 't')),
+k AS (SELECT *, ((first + pos * step) >> 24) - ((first + (pos - 1) * step) >> 24) AS copies FROM n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies, CAST(copies * size AS BIGINT) AS taken FROM k
+"""
+
+
 #: The statements of the operators that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
     "op4_minhash": _SQL_MINHASH,
     "op5_licenses": _sql_licenses(),
+    "op13_mixing": _SQL_MIXING,
 }
