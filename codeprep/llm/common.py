@@ -70,6 +70,7 @@ def map_texts(df: DataFrame, key: str | list[str], text: str, make: Callable[[],
     names = [f"k{i}" for i in range(len(key))]
     src = df.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col(text).alias("text"))
     out_schema = ", ".join(f"{n} {t.simpleString()}" for n, t in ((f.name, f.dataType) for f in src.schema[:-1]))
+    ship_package(df.sparkSession)
     made = StructType.fromDDL(fields)
     field_names, kinds = made.names, [to_arrow_type(f.dataType) for f in made]
 
@@ -86,6 +87,25 @@ def map_texts(df: DataFrame, key: str | list[str], text: str, make: Callable[[],
     return out.select(*[F.col(n).alias(k) for k, n in zip(key, names)], *field_names)
 
 
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]], fields: str, out_rows: int = 64) -> DataFrame:
+    """What ``make()(*values)`` returns for each row, a list of rows of
+    ``fields``, for tables whose rows are blobs.  ``make`` is called once a
+    task; rows are taken and given in small batches, as each may be large."""
+    ship_package(df.sparkSession)
+    made = StructType.fromDDL(fields)
+    names, kinds = made.names, [to_arrow_type(f.dataType) for f in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in sliced(batches, 1):
+            rows = fn(*(c[0].as_py() for c in batch.columns))
+            for i in range(0, len(rows), out_rows):
+                cols = zip(*rows[i:i + out_rows])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    return df.mapInArrow(run, fields)
+
+
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' code points in one array, and the n + 1 limits of the texts in it."""
     limits = np.zeros(len(texts) + 1, np.int64)

@@ -9,11 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprep.llm import bpe, langid, licenses, minhash, mixing, packing, pii, quality, repeats, secrets, simhash
+from codeprep.llm import alignment, bpe, collocations, langid, licenses, minhash, mixing, packing, pii, quality, repeats, secrets, simhash
 from codeprep.llm.common import documents
 
-#: The vocabulary that the queries encode with; the operators take any path.
-BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: The vocabularies that the queries encode with; the operators take any path.
+BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).drop("redacted")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir))
 
@@ -77,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_repeats": op9_repeats,
     "op10_secrets": op10_secrets,
+    "op11_collocations": op11_collocations,
+    "op12_alignment": op12_alignment,
     "op13_mixing": op13_mixing,
 }
 
@@ -124,6 +134,28 @@ FROM documents LEFT JOIN best ON best.doc_id = documents.doc_id AND best.at = 1
 """
 
 
+#: Every run of one to five words counted, each cut scored in 128 bits, every longer candidate looked through.
+_SQL_COLLOCATIONS = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3), (4), (5)) AS s(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE m >= 2),
+free AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.lang = c.lang AND o.m > c.m AND 100 * o.a >= 100 * c.a
+                                           AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+k AS (SELECT *, string_split(phrase, ' ') AS v, unnest(range(1, m)) AS k FROM free),
+x AS (SELECT k.lang, k.phrase, k.a, f1.a AS l, f2.a AS r, n.n, k.k, CAST(CAST(1000 AS HUGEINT) * k.a * n.n // (CAST(f1.a AS HUGEINT) * f2.a) AS BIGINT) AS score
+      FROM k JOIN n ON n.lang = k.lang JOIN f AS f1 ON f1.lang = k.lang AND f1.phrase = array_to_string(v[1:k.k], ' ')
+      JOIN f AS f2 ON f2.lang = k.lang AND f2.phrase = array_to_string(v[k.k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000
+"""
+
+
 #: Least share first: the smallest number of capped sources after which the next one is not above its limit.
 _SQL_MIXING = """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
@@ -149,5 +181,6 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies, CAST(c
 ORACLE: dict[str, str] = {
     "op4_minhash": _SQL_MINHASH,
     "op5_licenses": _sql_licenses(),
+    "op11_collocations": _SQL_COLLOCATIONS,
     "op13_mixing": _SQL_MIXING,
 }
