@@ -6,11 +6,14 @@ name (``a.b_c``, ``x["key"]``, ``--flag``) to a literal by ``=``, ``:``,
 ``:=`` or ``=>``; names bound to literals, to other names and to sums of both
 are constants that later bindings take over.  A literal is scored by the words
 of the name it ends up in and by its own length, alphabets and entropy;
-placeholders and names of things (paths, words) score low.
+placeholders and names of things (paths, words) score low.  A secret put
+together from several literals has one span for each of them, wherever it is
+written; what lies between them is no part of it.
 
 Null text: as the empty text.  Very long texts are lexed in one pass, and only
-if they hold an operator at all.  Repeated rows give repeated results, an
-empty table an empty one; other columns are ignored.
+if they hold an operator at all.  Repeated rows and ids each give a row; of
+spans that touch a base one the base one stays, and equal spans of several
+names are one.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +41,11 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pas
 HARMLESS = {"public", "example", "sample", "placeholder", "changeme", "dummy", "test", "none", "null", "true", "false", "todo",
             "your", "xxx", "name", "path", "file", "url", "id", "type", "length", "size", "count", "field"}
 THRESHOLD = 1.0
+#: Characters of a sum of constants; a longer one (a name added to itself again and again) has no value.
+SUM_LENGTH = 1 << 16
 #: A name, an operator, or a literal; anything else separates bindings.
 LEX = re.compile(r"""
-    (?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')
+    (?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`)
   | (?P<name>(?:--)?[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z_][A-Za-z0-9_]*+)*+)
   | (?P<bare>[A-Za-z0-9+/_.~^-]++)
   | (?P<op>:=|=>|={1,3}|:|!=|[<>]=?)
@@ -86,17 +91,19 @@ def literal_score(value: str) -> float:
 
 
 def bindings(text: str):
-    """(name, literal's value, its start, its end) of each binding, constants carried on."""
-    known: dict[str, tuple[str, int, int]] = {}
+    """(name, value, the places of its literals) of each binding.  A constant
+    brings its own literals' places along, so a sum has one place a part."""
+    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
     target, parts, bound, depth_key = "", [], False, ""
 
     def close():
         nonlocal target, parts, bound
         if bound and target and parts and all(parts):
-            value = "".join(p[0] for p in parts)
-            first = parts[0]
-            known[target] = (value, first[1], parts[-1][2] if parts[-1][2] >= first[2] else first[2])
-            yield target, *known[target]
+            if len(parts) == 1 or sum(len(value) for value, _ in parts) <= SUM_LENGTH:
+                known[target] = ("".join(value for value, _ in parts), tuple(dict.fromkeys(at for _, places in parts for at in places)))
+                yield target, *known[target]
+            else:
+                known.pop(target, None)
         target, parts, bound = "", [], False
 
     for m in LEX.finditer(text):
@@ -115,7 +122,7 @@ def bindings(text: str):
                 yield from close()
         elif kind == "string":
             if bound:
-                parts.append((token[1:-1], m.start() + 1, m.end() - 1))
+                parts.append((token[1:-1], ((m.start() + 1, m.end() - 1),)))
             else:
                 target = token[1:-1]  # a quoted key, or a subscript
         elif kind == "name":
@@ -126,10 +133,10 @@ def bindings(text: str):
             else:
                 after = text[m.end():m.end() + 1]
                 # an unquoted value of a configuration line, unless something goes on behind it
-                parts.append((token, m.start(), m.end()) if after in ("", "\n", "\r", ";", ",", " ") and any(c.isdigit() for c in token) else None)
+                parts.append((token, ((m.start(), m.end()),)) if after in ("", "\n", "\r", ";", ",", " ") and any(c.isdigit() for c in token) else None)
         elif kind == "bare" and bound:
             if not parts:
-                parts.append((token, m.start(), m.end()))
+                parts.append((token, ((m.start(), m.end()),)))
     yield from close()
 
 
@@ -138,10 +145,10 @@ def literal_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
     if "=" not in text and ":" not in text:
         return []
     spans: set[tuple[int, int, int]] = set()
-    for name, value, start, end in bindings(text):
+    for name, value, places in bindings(text):
         n = name_score(name)
         if n >= 0.5 and n + literal_score(value) >= THRESHOLD + 0.4 and literal_score(value) >= 0.4:
-            spans.add((start, 3, end))
+            spans |= {(start, 3, end) for start, end in places if start < end}
     out, i, reach = [], 0, -1
     taken = sorted(taken)
     for s in sorted(spans):
