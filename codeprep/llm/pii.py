@@ -43,6 +43,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\S\n]+|\n|.", re.S)
 ANCHOR = re.compile(r"[0-9@]|\[at\]|\(at\)", re.I)
+SPACE = re.compile(r"\s")
+#: Characters around an anchor that belong to its stretch at least.
+REACH = 40
 MAX_TOKENS, REGION_TOKENS, AROUND = 15, 120, 4
 TRAIN_REGIONS, BITS, ROUNDS, MARGIN = 240, 14, 4, 3.0
 
@@ -83,20 +86,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, list[str]]]:
-    """Stretches of tokens near digits and at-signs, with the place of each
-    stretch; a stretch ends where nothing of the kind follows soon."""
-    if not ANCHOR.search(text):
-        return []
-    lines, out = [], []
+    """Disjoint stretches of tokens around digits and at-signs, with the place
+    of each: REACH characters to either side and on to the next white space,
+    so that no token is cut; stretches that meet are one."""
+    out: list[list[int]] = []
+    low = 0  # where the last stretch ends
     for m in ANCHOR.finditer(text):
-        if lines and m.start() - lines[-1][1] <= 24:
-            lines[-1][1] = m.end()
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if not out or a > low:
+            a = max(text.rfind(c, low, a) for c in " \n\t") + 1 or low
+        if b > low:
+            end = SPACE.search(text, b)
+            b = end.start() if end else len(text)
+        if out and a <= low:
+            out[-1][1] = low = max(low, b)
         else:
-            lines.append([m.start(), m.end()])
-    for a, b in lines:
-        a, b = max(0, a - 40), min(len(text), b + 40)
-        out.append((a, TOKEN.findall(text, a, b)))
-    return out
+            out.append([a, b])
+            low = b
+    return [(a, TOKEN.findall(text, a, b)) for a, b in out]
 
 
 def _hash(s: str) -> int:
