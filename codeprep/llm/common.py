@@ -119,7 +119,8 @@ def seg_sum(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         return np.zeros(len(starts), values.dtype)
     padded = np.append(values, values.dtype.type(0))
     at = np.empty(2 * len(starts), np.int64)
-    at[0::2], at[1::2] = starts, np.maximum(starts, ends)
+    # an empty segment may begin behind the last value (n-grams of a text with fewer words)
+    at[0::2], at[1::2] = np.minimum(starts, len(values)), np.minimum(np.maximum(starts, ends), len(values))
     out = np.add.reduceat(padded, at)[0::2]
     out[ends <= starts] = 0
     return out

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeprep.llm.common import codepoints, map_texts, mix, seg_sum, steps
+from codeprep.llm.common import codepoints, map_texts, mix, seg_sum, steps, written
 
-ORDER, TRAIN_ROWS, CALIBRATION_ROWS, MAX_LANGUAGES = 4, 600, 150, 256
+ORDER, TRAIN_ROWS, CALIBRATION_ROWS, SHARED_LANGUAGES = 4, 600, 150, 256
 UNDETERMINED = "und"
 SPACE, LOW = 32, 0x3000
 
@@ -218,14 +218,17 @@ def _counted(rows: DataFrame) -> dict[str, dict[str, int]]:
 
 def learn(df: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS,
           calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
-    """Models of the languages of ``df`` (the MAX_LANGUAGES most frequent),
-    from the ``train_rows`` documents of each with the least hashes of their
-    ids; the next ``calibration_rows`` calibrate.  None if there is no language."""
+    """Models of all languages of ``df``, from the ``train_rows`` documents of
+    each with the least hashes of their ids; the next ``calibration_rows``
+    calibrate.  Beyond SHARED_LANGUAGES languages these share that many
+    languages' rows (five of each at least).  None if there is no language."""
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("at")).where("lang is not null and text is not null")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    common = written(rows.groupBy("lang").count(), "languages")
+    part = min(1.0, SHARED_LANGUAGES / max(1, common.count()))
+    train_rows, calibration_rows = max(4, int(train_rows * part)), max(1, int(calibration_rows * part))
     # a limit by the share of the hashes first, so that the window ranks about twice the sample alone
     share = F.least(F.lit(1.0), F.lit(2.0 * (train_rows + calibration_rows) + 100) / F.col("count"))
-    some = rows.join(F.broadcast(common), "lang").where(F.pmod("at", F.lit(1 << 40)) < share * float(1 << 40))
+    some = rows.join(common, "lang").where(F.pmod("at", F.lit(1 << 40)) < share * float(1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("at", F.lit(1 << 40)), "at", F.xxhash64("text")))
     picked = some.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= train_rows + calibration_rows)
     fifth = F.col("rank") % 5 == 0  # every fifth calibrates
