@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -109,10 +110,9 @@ def test_diagonal_runs():
         share = rng.random()
         a = sorted({rng.randrange(1, last + 1) for _ in range(last)} | {last})
         b = sorted({x for x in a if rng.random() < share} | {rng.randrange(1, last + 1) for _ in range(rng.randint(0, 9))} | {last})
-        links, groups = [], []
-        for i, j, n, m, own in alignment.diagonal_runs(a, b):
-            links += [(i + k, j + k) for k in range(n)] if own is None else own
-            groups += [(i + k, j + k, 1, 1) for k in range(n)] if own is None else [(i, j, n, m)]
+        runs, irregular = alignment.diagonal_runs(a, b)
+        links = sorted(zip(*map(np.ndarray.tolist, alignment.links_of(a, b, runs, irregular))))
+        groups = sorted([(i + k, j + k, 1, 1) for i, j, n in runs for k in range(n)] + [(i, j, x + 1 - i, y + 1 - j) for i, x, j, y in irregular])
         spans_a, spans_b = list(zip([0, *a], a)), list(zip([0, *b], b))
         assert links == [(i, j) for i, (x, y) in enumerate(spans_a) for j, (u, v) in enumerate(spans_b) if x < v and u < y]
         ends = [(a[i + n - 1], b[j + m - 1]) for i, j, n, m in groups]

@@ -5,7 +5,7 @@ import re
 from hashlib import sha256
 
 import corpus_pipeline
-from codeprep.llm import licenses, minhash, queries, repeats, simhash
+from codeprep.llm import licenses, minhash, quality, queries, repeats, simhash
 from codeprep.llm.components import components
 from codeprep.llm.secrets import redact, spans
 from tests.llm import cases
@@ -80,6 +80,19 @@ def test_buckets_of_several_components_lose_no_link(spark):
     assert got == want
 
 
+def test_links_between_080_and_085(spark):
+    """The pipeline's stage groups at 0.80, the query's contract at 0.85."""
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    far = base[:]
+    far[50] = far[51] = far[52] = far[53] = far[54] = far[55] = "x"  # 10 shingles differ: 90 of 110
+    rows = [(1, " ".join(base)), (2, " ".join(far))]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sets = sets_of(rows)
+    assert 80 <= 100 * len(sets[1] & sets[2]) / len(sets[1] | sets[2]) < 85
+    assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {1, 2}
+    assert [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, SF).collect()] == [1]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 102), (102, 101), (7, 7)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(links, "a", "b").collect()}
@@ -245,7 +258,7 @@ def test_pipeline_stages(spark):
         n, _, _, _, again = base_counts(before[d].text)
         assert n >= 50 and 100 * again <= 50 * n
     second = stages["minhash_near_dedup"](spark, first, SF)
-    want = groups_of(sets_of(cases.texts_of(first)))
+    want = groups_of(sets_of(cases.texts_of(first)), 80)
     assert set(held(second)) == set(want.values())
     third = stages["suffix_array_dedup"](spark, second, SF)
     kept = {d: v[3].decode(errors="ignore") for d, v in repeats_of(cases.texts_of(second)).items()}
@@ -262,9 +275,15 @@ def test_pipeline_edges(spark):
     for df in (cases.table(spark), cases.empty(spark)):
         for name, stage in corpus_pipeline.STAGES:
             if name == "quality_rules":
-                kept = stage(spark, df, SF)
-                assert kept.columns == corpus_pipeline.COLUMNS
+                labels = spark.read.parquet(f"{SF}/labels.parquet")
+                labelled = spark.read.parquet(f"{SF}/documents.parquet")
+                kept = quality.judge(df, quality.learn(labelled, labels), corpus_pipeline.COLUMNS).where("kept").collect()
+                assert all(len(WORD.findall(r.text)) >= 50 for r in kept) and {r.doc_id for r in kept} <= {r[0] for r in cases.rows()}
+                assert stage(spark, df, SF).columns == corpus_pipeline.COLUMNS
                 continue
             out = stage(spark, df, SF)
             assert name == "packing" or out.columns == corpus_pipeline.COLUMNS
-            out.collect()
+            rows = out.collect()
+            ids = {r[0] for r in df.select("doc_id").collect()}
+            single = {*groups_of(sets_of(cases.texts_of(df)), 80).values()} | ids & {None}
+            assert {r.doc_id for r in rows} == (single if name == "minhash_near_dedup" else ids)

@@ -241,6 +241,84 @@ def test_semi_markov_gradient_is_a_distribution():
     assert np.allclose(covered, 1)  # each token lies in one segment
 
 
+def test_regions_are_disjoint_and_whole():
+    rng = random.Random(4)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "b" * 50, " ", "\n", "7", "@", ".", "[at]", "word " * 9, "(414)"]) for _ in range(rng.randint(0, 40)))
+        got = pii.regions(t)
+        ends = [a + len("".join(w)) for a, w in got]
+        assert all(t[a:e] == "".join(w) for (a, w), e in zip(got, ends))
+        assert all(e <= a for e, (a, _) in zip(ends, got[1:]))
+        assert all((not a or t[a - 1].isspace() or t[a].isspace() or a == 0) and (e == len(t) or t[e].isspace()) for (a, _), e in zip(got, ends))
+        inside = {i for (a, _), e in zip(got, ends) for i in range(a, e)}
+        assert all(set(range(m.start(), m.end())) <= inside for m in pii.ANCHOR.finditer(t))
+
+
+def test_many_languages_share_the_sample(spark):
+    rows = [(i, (f"{chr(97 + i % 7)}{chr(98 + i % 5)}{chr(105 + i % 3)} " * 30), f"l{i % 105}") for i in range(630)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    old = langid.SHARED_LANGUAGES
+    try:
+        langid.SHARED_LANGUAGES = 2
+        model = langid.learn(df)
+    finally:
+        langid.SHARED_LANGUAGES = old
+    assert len(model.languages) == 105
+
+
+def test_constants_have_their_own_spans():
+    prose = "A line of prose that is no secret at all.\n" * 5
+    text = f'base = "q8Zt1kLmP0"\n{prose}db_password_x = base + "Xy7Kq2Rt9W"\n'
+    found = secrets.spans(text)[1]
+    assert [text[a:b] for a, _, b in found] == ["q8Zt1kLmP0", "Xy7Kq2Rt9W"]
+    assert secrets.redact(text, found) == f'base = "[SECRET]"\n{prose}db_password_x = base + "[SECRET]"\n'
+    text = "k = `q8Zt1kLmP0zz`; " + "k = k + k; " * 200 + "my_secret_part := k"
+    assert secrets.spans("my_secret_part := `q8Zt1kLmP0zz`")[1] == [(19, 3, 31)]
+    assert secrets.redact(text, secrets.spans(text)[1]).replace("[SECRET]", "q8Zt1kLmP0zz") == text
+
+
+def test_text_outside_literals_survives():
+    """Random programs: only literals that a slow reading of the assignments leads to are touched."""
+    rng = random.Random(11)
+    for _ in range(300):
+        values, parts, lines, at = {}, {}, [], 0
+        literal = []
+        for k in range(rng.randint(1, 14)):
+            if rng.random() < 0.3:
+                line = "plain words that say nothing much"
+            else:
+                name = rng.choice(["base", "part_a", "db_password", "client_secret_x", "note", "width"])
+                terms, value, places, ok = [], "", [], True
+                offset = at + len(name) + 3
+                for _ in range(rng.choice([1, 1, 2, 3])):
+                    if terms:
+                        offset += 3
+                    if rng.random() < 0.4:
+                        other = rng.choice(["base", "part_a", "note", "unknown_name"])
+                        terms.append(other)
+                        offset += len(other)
+                        ok = ok and other in values
+                        if other in values:
+                            value, places = value + values[other], places + parts[other]
+                    else:
+                        v = "".join(rng.choices("abcXYZ0189-", k=rng.randint(0, 14)))
+                        terms.append(f'"{v}"')
+                        literal.append((offset + 1, offset + 1 + len(v)))
+                        value, places = value + v, places + [(offset + 1, offset + 1 + len(v))]
+                        offset += len(v) + 2
+                line = f"{name} = {' + '.join(terms)}"
+                if ok:
+                    values[name], parts[name] = value, places
+            lines.append(line)
+            at += len(line) + 1
+        text = "\n".join(lines) + "\n"
+        base, found = secrets.spans(text)
+        added = [(a, b) for a, k, b in found if k == 3]
+        assert set(added) <= set(literal) and all(b1 <= a2 for (_, b1), (a2, _) in zip(added, added[1:]))
+        kept = [c for i, c in enumerate(text) if not any(a <= i < b for a, _, b in found)]
+        assert "".join(kept) == secrets.redact(text, found, "")
+
+
 def test_secrets(spark):
     find = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.spans(t)[1]]
     assert find('KEY = "zX81kQp0aa9Lw"\ndb_pwd = KEY\n') == [("literal", "zX81kQp0aa9Lw")]
