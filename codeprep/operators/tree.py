@@ -39,21 +39,20 @@ def ancestor_closure(nodes: DataFrame) -> DataFrame:
 
     Path doubling: after round k the closure holds all distances below 2**k
     and ``jump`` the ancestors at 2**k exactly, so the number of rounds is the
-    logarithm of the depth, which has no limit.  A path longer than the
-    number of nodes is a cycle and raises.
+    logarithm of the depth, which has no limit.  A cycle raises as soon as
+    one of its nodes is its own ancestor, in the logarithm of its length.
     """
-    n_nodes = nodes.count()
     closure = materialize(nodes.select("node_id", F.col("node_id").alias("anc_id"), F.lit(0).alias("dist")))
     jump = materialize(nodes.select("node_id", F.col("parent_id").alias("anc_id")).filter(F.col("parent_id").isNotNull()))
     step = 1
     while not jump.isEmpty():
-        if step > n_nodes:
-            raise ValueError("the parent links form a cycle")
         up = jump.select("node_id", F.col("anc_id").alias("via"))
         farther = up.join(closure.select(F.col("node_id").alias("via"), "anc_id", "dist"), "via") \
             .select("node_id", "anc_id", (F.col("dist") + F.lit(step)).alias("dist"))
         jump = materialize(up.join(jump.select(F.col("node_id").alias("via"), "anc_id"), "via").select("node_id", "anc_id"))
         closure = materialize(closure.unionByName(farther))
+        if not closure.where("dist > 0 and node_id = anc_id").isEmpty():
+            raise ValueError("the parent links form a cycle")
         step *= 2
     return closure
 
@@ -108,7 +107,8 @@ def _levels(tokens: list) -> tuple[np.ndarray, np.ndarray]:
 
 #: Longest row that gets a triangle (documented parameter of G6): 20,000 tokens
 #: are 2e8 values, 0.8 GB.  Longer rows get null and are for the rejects (F4
-#: comes first in the preparation stage, with its own limit).
+#: comes first in the preparation stage, with its own limit); any distance of
+#: theirs can be looked up by ``with_range_minima`` and ``token_distance``.
 TRIANGLE_MAX_TOKENS = 20_000
 
 
@@ -162,6 +162,60 @@ def with_triangles(df: DataFrame, tokens_col: str = "tokens", out_col: str = "di
     return df.mapInArrow(run, schema)
 
 
+def with_range_minima(df: DataFrame, tokens_col: str = "tokens", depth_col: str = "depth", minima_col: str = "minima") -> DataFrame:
+    """``df`` with what any distance of G6 can be looked up from in constant
+    time: each token's depth, and the sparse table of the nesting levels (row
+    k: the least level of each 2**k levels in a row).
+
+    n log n numbers a row in place of n**2, so rows of any length have their
+    distances; null tokens give empty arrays."""
+    at = df.columns.index(tokens_col)
+    schema = Ty.StructType([*df.schema.fields, Ty.StructField(depth_col, Ty.ArrayType(Ty.IntegerType())),
+                            Ty.StructField(minima_col, Ty.ArrayType(Ty.ArrayType(Ty.IntegerType())))])
+
+    def of(tokens):
+        if not tokens:
+            return [], []
+        h, d = _levels(tokens)
+        rows, width = [h.astype(np.int32)], 1
+        while 2 * width <= len(h):
+            rows.append(np.minimum(rows[-1][:-width], rows[-1][width:]))
+            width *= 2
+        return d.astype(np.int32), rows
+
+    def run(batches):
+        for batch in batches:
+            start, size, made = 0, 0, []
+            for i, tokens in enumerate(batch.column(at)):
+                made.append(of(tokens.as_py()))
+                size += 4 * len(made[-1][0]) * (1 + len(made[-1][1]))
+                if size >= TRIANGLE_BATCH_BYTES or i + 1 == batch.num_rows:
+                    rows = batch.slice(start, i + 1 - start)
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, pa.array([d for d, _ in made], pa.list_(pa.int32())), pa.array([m for _, m in made], pa.list_(pa.list_(pa.int32())))],
+                        [*rows.schema.names, depth_col, minima_col])
+                    start, size, made = i + 1, 0, []
+
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def token_distance(depth: Column, minima: Column, i: Column, j: Column) -> Column:
+    """G6 for one pair of tokens, from ``with_range_minima``: two overlapping
+    ranges of a power of two cover the levels between the tokens."""
+    lo, hi = F.least(i, j), F.greatest(i, j)
+    k = F.length(F.bin((hi - lo).cast("long"))) - 1
+    row = F.element_at(minima, k + 1)
+    least = F.least(F.element_at(row, lo + 1), F.element_at(row, (hi - F.pow(F.lit(2), k) + 1).cast("int")))
+    return F.when(i == j, F.lit(0)).otherwise(F.element_at(depth, lo + 1) + F.element_at(depth, hi + 1) - 2 * least)
+
+
+def distance_lookup(depth: Column, minima: Column, i: Column, j: Column, offset: int = K.MAX_DIST_OFFSET) -> Column:
+    """G7 without a triangle: sign and offset as ``triangle_lookup``; ``(i, i)`` gives 0 (Q9)."""
+    sign = F.when(i > j, -1).otherwise(1)
+    return F.when(i == j, F.lit(0)).otherwise(sign * token_distance(depth, minima, i, j) + F.lit(offset))
+
+
 def triangle_index(i: Column, j: Column, n: Column) -> Column:
     """0-based position of (i, j), i < j, in the row-major triangle."""
     return F.floor(i * (2 * n - i - 1) / 2).cast("long") + (j - i - 1)

@@ -925,10 +925,11 @@ SELECT n.doc_id,
 FROM n
 """)
 def triangle_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random access into the triangle with sign and offset; (i, i) -> 0."""
-    t = TR.with_triangles(code_c_tokens(spark, sf_dir))
+    """Random access to the distances with sign and offset; (i, i) -> 0.
+    By range minima, so no row needs its triangle."""
+    t = TR.with_range_minima(code_c_tokens(spark, sf_dir))
     n = F.size("tokens")
-    look = lambda i, j: TR.triangle_lookup(F.col("dist"), i, j)
+    look = lambda i, j: TR.distance_lookup(F.col("depth"), F.col("minima"), i, j)
     return t.select("doc_id", look(F.lit(0), n - 1).alias("v_first_last"),
                     look(n - 1, F.lit(0)).alias("v_last_first"), look(F.lit(3), F.lit(3)).alias("v_diag"),
                     look(F.lit(1), F.lit(4)).alias("v_1_4"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codeprep.functions import constants as K
@@ -78,6 +79,35 @@ def TR_index(n, i, j):
     return i * (2 * n - i - 1) // 2 + (j - i - 1)
 
 
+def test_lookup_without_triangle(spark):
+    """Every pair of random rows, and a row of 500,000 tokens against the levels between."""
+    rng = random.Random(8)
+    rows = [(i, [rng.choice("(){}[]xy") for _ in range(rng.randint(1, 24))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, tokens array<string>")
+    pairs = F.expr("explode(flatten(transform(sequence(0, size(tokens) - 1), a -> transform(sequence(0, size(tokens) - 1), b -> struct(a as i, b as j)))))")
+    both = TR.with_triangles(TR.with_range_minima(df)).select("*", pairs.alias("p"))
+    i, j = F.col("p.i"), F.col("p.j")
+    got = both.select(TR.distance_lookup(F.col("depth"), F.col("minima"), i, j).alias("a"), F.when(i == j, 0).otherwise(TR.triangle_lookup(F.col("dist"), i, j)).alias("b"))
+    assert got.where("a is null or a <> b").isEmpty() and got.count() == sum(len(t) ** 2 for _, t in rows)
+
+    n = 500_000
+    tokens = rng.choices(["(", ")", "x"], weights=[2, 2, 3], k=n)
+    long = TR.with_range_minima(spark.createDataFrame([(1, " ".join(tokens))], "doc_id int, t string").select("doc_id", F.split("t", " ").alias("tokens")))
+    at = [(0, n - 1), (7, 8), (123_456, 345_678), (499_999, 3), (250_000, 250_063)]
+    got = long.select(*[TR.distance_lookup(F.col("depth"), F.col("minima"), F.lit(a), F.lit(b)).alias(f"v{k}") for k, (a, b) in enumerate(at)]).first()
+    h, d = TR._levels(tokens)
+    for v, (a, b) in zip(got, at):
+        lo, hi = min(a, b), max(a, b)
+        assert v == (1 if a < b else -1) * int(d[lo] + d[hi] - 2 * h[lo:hi].min()) + 1000
+    assert TR.with_range_minima(spark.createDataFrame([(1, None), (2, [])], "doc_id int, tokens array<string>")).selectExpr("size(depth)", "size(minima)").collect() == [(0, 0), (0, 0)]
+
+
+def test_cycles_raise(spark):
+    for links in ([(1, 2), (2, 1)], [(1, 1)], [(i, i % 7 + 1) for i in range(1, 8)] + [(i, i - 1) for i in range(8, 60)]):
+        with pytest.raises(ValueError):
+            TR.ancestor_closure(spark.createDataFrame(links, "node_id int, parent_id int"))
+
+
 def test_closure_lca(spark):
     nodes = spark.createDataFrame([("root", None), ("a", "root"), ("b", "root"), ("a1", "a"), ("a2", "a"),
                                    ("x", None)], "node_id string, parent_id string")
