@@ -27,8 +27,6 @@ from __future__ import annotations
 
 from functools import lru_cache
 from hashlib import sha256
-from itertools import accumulate
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,35 +43,48 @@ from codeprep.session import ship_package
 
 #: Links of a chunk (about: a chunk closes behind the document that passes it).
 CHUNK_LINKS = 2_000_000
+#: The character that stands for a space in B's pieces; entries of the first probe along a diagonal.
+MARK, PROBE = "\u2581", 4
 EMPTY = np.zeros(0, np.int64)
 
 
+def digits(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of the numbers below ``size`` as bytes of one word
+    each, zeros behind them, and the place of the first zero in bits."""
+    names = [str(i).encode() for i in range(size)]
+    return np.array([int.from_bytes(t, "little") for t in names], np.uint64), np.array([8 * len(t) for t in names], np.uint64)
+
+
 class Pair:
     """The two encoders and the bytes of their tokens."""
 
     def __init__(self, spec: str, model: bytes):
         self.a = bpe.codec(spec)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.bytes_a = self.a.table
-        ids = range(self.b.get_piece_size())
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in ids)]
-        self.names_a, self.names_b = [f"{i}" for i in range(len(self.bytes_a))], [f"{i}" for i in ids]
-        self.heads = [f"{i}|" for i in range(len(self.bytes_a))]
-        self.rare = bpe._patterns()[2]
-
-    def ids_a(self, text: str) -> list[int]:
-        """Ids of a text in which special tokens' strings are plain text."""
-        if self.a.whole is None or self.rare is not None and not text.isascii() and self.rare.search(text):
-            return np.frombuffer(self.a._encode(text), "<u4").tolist()
-        return self.a.whole.encode_ordinary(text)
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
+        self.length_a, self.length_b = (np.array([len(t) for t in table]) for table in (self.a.table, self.bytes_b))
+        self.digits = digits(max(len(self.a.table), len(names)))
+        # letters and digits newer than the Unicode tables of A's library, and the bytes below all that begin one
+        rare = bpe._patterns()[2]
+        self.new = frozenset(rare.findall("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))) if rare else ())
+        self.old_bytes = bytes(range(min((c.encode()[0] for c in self.new), default=256)))
+
+    def ids_a(self, text: str, as_bytes: bytes) -> np.ndarray:
+        """A's ids of a text in which special tokens' strings are plain text."""
+        if self.a.whole is None or as_bytes.translate(None, self.old_bytes) and not self.new.isdisjoint(text):
+            return np.frombuffer(self.a._encode(text), "<u4")
+        return self.a.whole.encode_to_numpy(text, disallowed_special=())
 
     def encode(self, texts: list[str]):
-        """(A's ids, B's ids) of each text, or None where a text has no tokens."""
+        """A's and B's ids of each text behind a space, or None where it has
+        no tokens.  A is byte-level: its tokens' bytes are always the text's."""
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            a = self.ids_a(" " + text) if text else []
             whole = (" " + text).encode()
-            same = text and b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (a, b) if same else None
+            if text and b"".join(map(self.bytes_b.__getitem__, b)) == whole:
+                yield self.ids_a(" " + text, whole).astype(np.int64), np.fromiter(b, np.int64, len(b))
+            else:
+                yield None
 
 
 @lru_cache(2)
@@ -82,54 +93,97 @@ def pair(spec: str, model: bytes) -> Pair:
     return Pair(spec, model)
 
 
-def diagonal_runs(a: list[int], b: list[int]):
-    """The groups of two increasing arrays with a common last value, in order:
-    (i, j, n, m, links) where n tokens of A from i meet m of B from j.  A
-    stretch of n one-to-one groups has links None; an irregular group (n or m
-    above 1) has its overlapping index pairs."""
+def diagonal_runs(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+    """The groups of two increasing arrays with a common last value: the
+    stretches (i, j, n) of n one-to-one groups, and the irregular groups
+    (i, x, j, y) in which A's tokens i to x meet B's j to y (inclusive)."""
+    runs, groups = [], []
     i = j = 0
-    while i < len(a):
+    end = len(a)
+    while i < end:
         if a[i] == b[j]:
-            n, step, most = 1, 1, min(len(a) - i, len(b) - j)
-            while n + step <= most and a[i + n:i + n + step] == b[j + n:j + n + step]:
-                n += step
+            s, shift, step = i + 1, j - i, PROBE
+            while True:  # as long as the next entries agree, look twice as far
+                part = a[s:s + step]
+                if part != b[s + shift:s + shift + step]:
+                    break
+                s += len(part)
+                if len(part) < step:  # both are at their end
+                    step = 0
+                    break
                 step *= 2
-            while step:
-                if n + step <= most and a[i + n:i + n + step] == b[j + n:j + n + step]:
-                    n += step
-                step //= 2
-            yield i, j, n, n, None
-            i, j = i + n, j + n
+            while step > 1:  # the first that differs is among the next step entries
+                step >>= 1
+                if a[s:s + step] == b[s + shift:s + shift + step]:
+                    s += step
+            runs.append((i, j, s - i))
+            i, j = s, s + shift
         else:
-            links, x, y = [], i, j
-            while a[x] != b[y]:
-                links.append((x, y))
-                if a[x] < b[y]:
+            x, y = i, j
+            u, v = a[x], b[y]
+            while u != v:
+                if u < v:
                     x += 1
+                    u = a[x]
                 else:
                     y += 1
-            links.append((x, y))
-            yield i, j, x + 1 - i, y + 1 - j, links
+                    v = b[y]
+            groups.append((i, x, j, y))
             i, j = x + 1, y + 1
-
-
-def aligned(p: Pair, a: list[int], b: list[int]) -> tuple[int, np.ndarray, str]:
+    return runs, groups
+
+
+def links_of(a: list[int], b: list[int], runs, groups) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of overlapping tokens: along the stretches, and within each irregular group."""
+    first = np.array(runs, np.int64).reshape(-1, 3)
+    n = first[:, 2]
+    along = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at_a, at_b = [], []
+    for i, x, j, y in groups:
+        while True:
+            at_a.append(i)
+            at_b.append(j)
+            if a[i] < b[j]:
+                i += 1
+            elif i < x:
+                j += 1
+            elif j < y:
+                j += 1
+            else:
+                break
+    return (np.concatenate([np.repeat(first[:, 0], n) + along, np.array(at_a, np.int64)]),
+            np.concatenate([np.repeat(first[:, 1], n) + along, np.array(at_b, np.int64)]))
+
+
+def spelt(p: Pair, a: np.ndarray, b: np.ndarray, runs, groups) -> bytes:
+    """The groups in order, as decimal ids: all tokens take the places of the
+    text a1,a2|b1;a3|b2 at once, each with the sign that follows it."""
+    irregular = np.array(groups, np.int64).reshape(-1, 4)
+    first = np.array(runs, np.int64).reshape(-1, 3)
+    n = first[:, 2]
+    along = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)  # the last token of its group
+    last_a[np.repeat(first[:, 0], n) + along] = True
+    last_a[irregular[:, 1]] = True
+    last_b[np.repeat(first[:, 1], n) + along] = True
+    last_b[irregular[:, 3]] = True
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    through_a, through_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1  # tokens up to each group's end
+    place_a = np.arange(len(a)) + np.append(0, through_b)[group_a]
+    place_b = np.arange(len(b)) + through_a[group_b]
+    out = np.empty(len(a) + len(b), np.uint64)
+    number, behind = p.digits
+    for ids, place, last, sign in ((a, place_a, last_a, "|"), (b, place_b, last_b, ";")):
+        out[place] = number[ids] | np.where(last, np.uint64(ord(sign)), np.uint64(ord(","))) << behind[ids]
+    return out.astype("<u8").tobytes().translate(None, b"\0")[:-1]
+
+
+def aligned(p: Pair, a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, bytes]:
     """Groups, the links' id pairs (A's id times B's vocabulary plus B's id) and the groups as text."""
-    ends_a = list(accumulate(map(len, map(p.bytes_a.__getitem__, a))))
-    ends_b = list(accumulate(map(len, map(p.bytes_b.__getitem__, b))))
-    heads, names_b = list(map(p.heads.__getitem__, a)), list(map(p.names_b.__getitem__, b))
-    at_a, at_b, groups = [], [], []
-    for i, j, n, m, links in diagonal_runs(ends_a, ends_b):
-        if links is None:
-            at_a.extend(range(i, i + n))
-            at_b.extend(range(j, j + n))
-            groups.extend(map(add, heads[i:i + n], names_b[j:j + n]))
-        else:
-            for x, y in links:
-                at_a.append(x)
-                at_b.append(y)
-            groups.append(f"{','.join(map(p.names_a.__getitem__, a[i:i + n]))}|{','.join(names_b[j:j + m])}")
-    return len(groups), np.array(a, np.int64)[at_a] * len(p.bytes_b) + np.array(b, np.int64)[at_b], ";".join(groups)
+    ends_a, ends_b = np.cumsum(p.length_a[a]).tolist(), np.cumsum(p.length_b[b]).tolist()
+    runs, groups = diagonal_runs(ends_a, ends_b)
+    at_a, at_b = links_of(ends_a, ends_b, runs, groups)
+    return sum(n for _, _, n in runs) + len(groups), a[at_a] * len(p.bytes_b) + b[at_b], spelt(p, a, b, runs, groups)
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -181,8 +235,8 @@ def link_chunks(df: DataFrame, spec_path: str, model_path: str, key: str, text:
                     if ids is None:
                         docs.append((k, 0, 0, 0, 0, ""))
                         continue
-                    groups, pairs, spelt = aligned(p, *ids)
-                    docs.append((k, len(ids[0]), len(ids[1]), groups, len(pairs), sha256(spelt.encode()).hexdigest()))
+                    groups, pairs, as_ids = aligned(p, *ids)
+                    docs.append((k, len(ids[0]), len(ids[1]), groups, len(pairs), sha256(as_ids).hexdigest()))
                     links.append(pairs)
                     size += len(pairs)
                     if size >= chunk_links:
