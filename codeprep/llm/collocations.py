@@ -31,21 +31,22 @@ itself.  An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeprep.llm.common import map_rows, sliced, written
+from codeprep.operators.numbering import consecutive_index
 from codeprep.session import partition_by_key
 
 LONGEST, LEAST, PERCENT, TOP = 5, 100, 100, 2000
 #: Word codes gathered in a task before a chunk is closed, bytes of a long text read at once.
-CHUNK_WORDS, SLAB = 1_500_000, 1 << 20
+CHUNK_WORDS, SLAB = 3_000_000, 1 << 20
 #: Rows of one part at most (about), and rows of the sample for each part.
 PART_ROWS, PART_SAMPLE = 1_000_000, 32
 
@@ -81,9 +82,9 @@ def slabs(text: str) -> Iterator[bytes]:
 
 
 def word_chunks(df: DataFrame, lang: str = "lang", text: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """One row a chunk of one language: chunk, lang, n_words, codes (binary,
-    little-endian 32-bit), and its distinct words with their counts, the
-    first of which has code 2."""
+    """One row a chunk of one language: chunk, lang, n_words, codes (packed by
+    ``planes``), and its distinct words with their counts, the most frequent
+    first, which has code 2."""
     fields = "chunk bigint, lang string, n_words bigint, codes binary, words array<string>, counts array<int>"
 
     def run(batches):
@@ -96,10 +97,14 @@ def word_chunks(df: DataFrame, lang: str = "lang", text: str = "text", chunk_wor
             codes = np.concatenate(parts)
             codes = codes[codes > 0]
             counts = np.bincount(codes, minlength=len(book))[2:]
+            order = np.argsort(-counts, kind="stable")  # frequent words have small codes
+            place = np.append([0, BREAK], np.empty(len(order), np.int64))
+            place[order + 2] = np.arange(2, len(place))
+            counts, spelt = counts[order], list(book)[2:]
             chunk += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([name]), pa.array([int(counts.sum())], pa.int64()), pa.array([codes.astype("<i4").tobytes()], pa.binary()),
-                 pa.array([list(book)[2:]], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int32()))],
+                [pa.array([chunk], pa.int64()), pa.array([name]), pa.array([int(counts.sum())], pa.int64()), pa.array([planes(place[codes])], pa.binary()),
+                 pa.array([[spelt[i] for i in order.tolist()]], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int32()))],
                 ["chunk", "lang", "n_words", "codes", "words", "counts"])
 
         size = 0
@@ -125,21 +130,19 @@ def vocabulary(chunks: DataFrame, least: int) -> DataFrame:
     """id (from 1), lang, word and f of the words that occur ``least`` times or more."""
     each = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.*")
     f = each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
-    rows = written(f.select("*", F.monotonically_increasing_id().alias("row")), "collocation-words")
-    part = F.shiftright("row", 33)
-    # one row a partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.withColumn("part", part).join(F.broadcast(base), "part").select(
-        (F.col("base") + F.col("row").bitwiseAND((1 << 33) - 1) + 1).alias("id"), "lang", "word", "f")
+    # small numbers for frequent words: their columns compress best
+    return consecutive_index(f, [F.desc("f"), F.col("lang"), F.col("word")], "id", start=1).select("id", "lang", "word", "f")
 
 
 def numbered_chunks(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """chunk, codes, and for each frequent word of the chunk its place there and its id."""
     here = chunks.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
-    known = here.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(
-        F.collect_list("place").alias("places"), F.collect_list("id").alias("ids"))  # both of the same rows, in one order
-    return chunks.select("chunk", "codes").join(known, "chunk")
+    # every distinct word of a chunk is looked up, a row out for a row in; rare words have no id and no place in the lists
+    looked = here.join(words.select("lang", "word", "id").hint("merge"), ["lang", "word"], "left")
+    known = looked.groupBy("chunk").agg(
+        F.collect_list(F.when(F.col("id").isNotNull(), F.col("place"))).alias("places"),
+        F.collect_list("id").alias("ids"))  # both of the same rows, in one order; nulls are left out
+    return chunks.select("chunk", "codes").join(known.hint("merge"), "chunk")
 
 
 def suffix_rows(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,32 +162,38 @@ def suffix_rows(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[:, first], np.diff(np.append(first, len(at)))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers of 0 and more, all their lowest bytes first, compressed."""
+    width = 4 if not values.size or values.max() < 1 << 32 else 8
+    return bytes([width]) + zstandard.compress(values.astype(f"<u{width}").reshape(-1).view(np.uint8).reshape(-1, width).T.tobytes(), 3)
+
+
+def from_planes(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    raw = np.frombuffer(zstandard.decompress(blob[1:]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").reshape(-1).astype(np.int64)
+
+
 def packed(rows: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rows and counts, column by column (the first as differences), compressed."""
-    raw = rows.astype("<i8" if rows.size and rows.max() >> 31 else "<i4")
-    raw[0, 1:] -= raw[0, :-1].copy()
-    body = raw.tobytes() + counts.astype("<i4").tobytes()
-    return bytes([raw.itemsize]) + zlib.compress(body, 1)
+    """Sorted rows, column by column (the first as differences), and their counts."""
+    return planes(np.concatenate([np.diff(rows[0], prepend=0)[None], rows[1:], counts[None] - 1]))
 
 
 def unpacked(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    kind = blob[0]
-    body = zlib.decompress(blob[1:])
-    n = len(body) // (kind * width + 4)
-    rows = np.frombuffer(body, f"<i{kind}", n * width).reshape(width, n).astype(np.int64)
+    rows = from_planes(blob).reshape(width + 1, -1)
     np.cumsum(rows[0], out=rows[0])
-    return rows, np.frombuffer(body, "<i4", n, n * width * kind).astype(np.int64)
+    return rows[:-1], rows[-1] + 1
 
 
 def suffix_runs(numbered: DataFrame, longest: int, every: int) -> DataFrame:
     """One row a chunk: its sorted distinct suffixes, and each ``every``-th of them."""
     def make():
         def run(chunk, codes, places, ids):
-            codes = np.frombuffer(codes, "<i4")
-            book = np.zeros(max(int(codes.max(initial=0)), max(places) + 2) + 1, np.int64)
-            book[np.array(places) + 2] = ids
+            codes = from_planes(codes)
+            book = np.zeros(max(int(codes.max(initial=0)), max(places, default=0) + 2) + 1, np.int64)
+            book[np.array(places, np.int64) + 2] = ids
             rows, counts = suffix_rows(book[codes], longest)
-            at = np.arange(zlib.crc32(str(chunk).encode()) % every, rows.shape[1], every)
+            at = np.arange(chunk * 0x9E3779B1 % every, rows.shape[1], every)
             return [(chunk, rows.shape[1], packed(rows, counts), rows[:, at].T.tolist())]
         return run
 
