@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import patterns as R
 from ..functions import text as T
+from ..operators import ancestry as AN
 from ..operators import checks as CH
 from ..operators import dedup as D
 from ..operators import encode as EN
@@ -795,17 +796,22 @@ SELECT p.a, p.b, best.lca, coalesce(best.tree_dist, -1) AS tree_dist
 FROM pairs p LEFT JOIN best ON p.a = best.a AND p.b = best.b
 """)
 def tree_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestor closure of root/region/nation/supplier, then the LCA
-    and distance of every (supplier, customer nation) pair that trades."""
-    nodes = X.tree_nodes(spark, sf_dir)
-    clo = TR.ancestor_closure(nodes)
+    """Ancestor index of root/region/nation/supplier, then the LCA and
+    distance of every (supplier, customer nation) pair that trades."""
+    index = AN.ancestor_index(X.tree_nodes(spark, sf_dir))
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey"])
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     pairs = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
              .select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"),
                      F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("b")).distinct())
-    return TR.pair_lca(pairs, clo).withColumn("tree_dist", F.col("tree_dist").cast("int"))
+    return AN.pair_ancestors(pairs, index).withColumn("tree_dist", F.col("tree_dist").cast("int"))
+
+
+@register("tree_ancestors", f"WITH RECURSIVE {SQL_CLOSURE} SELECT node_id, anc_id, dist FROM clo")
+def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: every node of root/region/nation/supplier with each of its ancestors."""
+    return TR.ancestor_closure(X.tree_nodes(spark, sf_dir))
 
 
 @register("order_supplier_lca", f"""
@@ -821,11 +827,11 @@ SELECT sz.set_id, (SELECT arg_max(anc_id, depth) FROM ok WHERE ok.set_id = sz.se
 """)
 def order_supplier_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lowest common ancestor of the suppliers of each order."""
-    clo = TR.ancestor_closure(X.tree_nodes(spark, sf_dir))
+    index = AN.ancestor_index(X.tree_nodes(spark, sf_dir))
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey"])
     members = li.select(F.col("l_orderkey").alias("set_id"),
                         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node_id"))
-    return TR.set_lca(members, clo)
+    return AN.set_ancestors(members, index)
 
 
 def code_c_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
