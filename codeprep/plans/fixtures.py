@@ -71,6 +71,45 @@ FROM part
 """
 
 
+#: Programs of varied scopes: uses before declarations, names of a function and
+#: a variable, methods used as members, members defined outside their class,
+#: locals named like functions, pointers and products, character literals.
+SCOPE_PROGRAMS = [
+    "int main() { return area@K(@N) + top; }\nint area@K(int k) { return k * @N; }\nint top = 'a';\n",
+    "int size(int n) { return n; }\nstruct Box@K { int size; char *label; };\n"
+    "int main() { struct Box@K b; b.size = size(@N); b.label = \"@T\"; return b.size; }\n",
+    "class Shape@K {\npublic:\n int side; Shape@K(int s) : side(s), name('@K') {}\n int area() const { return side * side; }\n"
+    "private: char name; };\nint main() { Shape@K *p = new Shape@K(@N); std::cout << p->area() << \"@T\"; delete p; return 0; }\n",
+    "namespace geo@K { class Line { public: int length(); int from; int to; }; }\n"
+    "int geo@K::Line::length() { return to - from; }\nint main() { geo@K::Line l; l.from = @N; return l.length(); }\n",
+    "int total(int *p, int n) { int s = 0; for (int i = 0; i < n; i++) { s = s + p[i]; } return s; }\n"
+    "int main() { int total = @N; Box x(total); if (x > total) { x.total = total@K(); } return total; }\n",
+    "char *name; double rate@K;\nint f(int a, char c) { int d = a * c; if (c == '\\0') return d; char *q = name;\n"
+    " return a > d ? f(a, '@K') : rate@K; }\nint g() { return f(@N, name[0]); } /* @T */\n",
+]
+
+
+def code_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, code)``: one of ``SCOPE_PROGRAMS`` a part, with its type, size and key."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
+    k = F.col("p_partkey")
+    code = F.coalesce(*[F.when(k % len(SCOPE_PROGRAMS) == i, F.lit(text)) for i, text in enumerate(SCOPE_PROGRAMS)])
+    for mark, value in (("@K", _s(k % 4)), ("@N", _s(F.col("p_size"))), ("@T", F.col("p_type"))):
+        code = F.replace(code, F.lit(mark), value)
+    return p.select(k.alias("doc_id"), code.alias("code"))
+
+
+def _sql_scopes() -> str:
+    cases = " ".join(f"WHEN {i} THEN '{text.replace(chr(39), chr(39) * 2)}'" for i, text in enumerate(SCOPE_PROGRAMS))
+    return f"""
+SELECT p_partkey AS doc_id, replace(replace(replace(CASE p_partkey % {len(SCOPE_PROGRAMS)} {cases} END,
+  '@K', CAST(p_partkey % 4 AS VARCHAR)), '@N', CAST(p_size AS VARCHAR)), '@T', p_type) AS code FROM part
+"""
+
+
+SQL_CODE_SCOPES = _sql_scopes()
+
+
 def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, kind, c_key, cpp_key)``: hashes of real texts, input order =
     doc_id.  The C side is a document's text; the C++ side is the text of the

@@ -23,6 +23,7 @@ from ..operators import encode as EN
 from ..operators import filters as FL
 from ..operators import tokens as TK
 from ..operators import tree as TR
+from ..operators import uses as U
 from ..operators import vocab as V
 from ..operators.joins import checked_broadcast
 from ..session import materialize, partition_by_key, spread_if_narrow
@@ -565,6 +566,66 @@ def obfuscate_cpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obfuscated_view(lexed_code(X.code_cpp(spark, sf_dir)))
 
 
+def sql_uses() -> str:
+    """DuckDB form of ``uses.obfuscate_uses`` over the programs of varied scopes."""
+    ident = S.lit(R.IDENT_FULL_RE)
+
+    def last_at(cond):
+        return f"coalesce(max(CASE WHEN {cond} THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)"
+
+    firsts = ", ".join(f"min(CASE WHEN kind = '{c}' THEN pos END) OVER t AS f_{c}" for c in U.NAME_CLASSES)
+    numbers = ", ".join(f"count(CASE WHEN names = '{c}' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS n_{c}" for c in U.NAME_CLASSES)
+    number = " ".join(f"WHEN '{c}' THEN max(CASE WHEN names = '{c}' THEN n_{c} END) OVER t - 1" for c in U.NAME_CLASSES)
+    maps = ", ".join(f"coalesce(string_agg(CASE WHEN names = '{c}' THEN tok || '=' || alias END, ',' ORDER BY pos), '') AS {c}_map" for c in U.NAME_CLASSES)
+    return f"""
+WITH tk AS (SELECT doc_id, {S.tokenize(S.lex_input_raw('code'))} AS toks FROM ({X.SQL_CODE_SCOPES})),
+occ AS (SELECT doc_id, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS tok FROM tk),
+seen AS (SELECT *, coalesce(lag(tok) OVER w, '') AS prev, coalesce(lag(tok, 2) OVER w, '') AS prev2, coalesce(lead(tok) OVER w, '') AS nxt,
+  sum(CASE tok WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w AS depth,
+  {last_at("tok IN (';', '{', '}')")} AS brk, {last_at("tok IN " + S.in_list(U.OUTER_WORDS))} AS outr, {last_at("tok = '('")} AS opn,
+  {last_at("tok = ')'")} AS cls, {last_at("tok IN " + S.in_list(U.EXPRESSION_STARTS))} AS expr
+  FROM occ WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+opened AS (SELECT *, CASE WHEN tok = '{{' THEN CASE WHEN (outr > brk AND opn <= brk AND expr <= brk) OR prev2 = 'extern' THEN 0 ELSE 1 END END AS opens FROM seen),
+placed AS (SELECT *, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id, depth ORDER BY pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS infn FROM opened),
+told AS (SELECT *, expr <= brk AND (NOT infn OR opn <= brk) AS quiet FROM placed),
+decl AS (SELECT *, nxt <> '::' AND (prev IN {S.in_list(U.TYPE_ENDS)} OR (regexp_matches(prev, {ident}) AND prev NOT IN {S.in_list(U.NOT_TYPES)})
+  OR (prev IN ('*', '&', '>') AND (prev2 IN {S.in_list(U.TYPE_ENDS)} OR quiet))) AS declared FROM told),
+kinds AS (SELECT doc_id, pos, tok, nxt, CASE
+  WHEN tok IN {S.in_list(K.KEYWORDS + K.SPECIAL_NAMES)} THEN 'keep'
+  WHEN prev IN ('class', 'struct') AND regexp_matches(tok, {ident}) THEN prev
+  WHEN tok IN {S.in_list(K.TYPE_WORDS + K.STD_FUNCTIONS)} THEN 'keep'
+  WHEN regexp_matches(tok, {S.lit(R.LITERAL_START_RE)}) THEN 'lit'
+  WHEN NOT regexp_matches(tok, {ident}) THEN 'keep'
+  WHEN prev IN ('.', '->') THEN 'var'
+  WHEN NOT infn AND nxt = '(' AND (declared OR (prev = '::' AND quiet AND prev2 <> tok)) THEN 'func'
+  WHEN declared THEN 'var'
+  WHEN prev IN (':', ',') AND nxt IN ('(', '{{') AND NOT infn AND cls > brk THEN 'init'
+  ELSE 'ref' END AS kind FROM decl),
+firsts AS (SELECT *, {firsts}, min(CASE WHEN kind IN ('ref', 'init') THEN pos END) OVER t AS f_ref,
+  min(CASE WHEN kind = 'ref' AND nxt = '(' THEN pos END) OVER t AS f_call FROM kinds WINDOW t AS (PARTITION BY doc_id, tok)),
+early AS (SELECT *, f_ref IS NOT NULL AND coalesce(f_ref < least(f_var, f_func, f_struct, f_class), true) AS unnamed,
+  coalesce(f_ref = f_call, false) AS call FROM firsts),
+based AS (SELECT * EXCLUDE (f_var, f_func), least(f_var, CASE WHEN unnamed AND NOT call THEN f_ref END) AS f_var,
+  least(f_func, CASE WHEN unnamed AND call THEN f_ref END) AS f_func FROM early),
+used AS (SELECT *, CASE WHEN kind IN ('ref', 'init') THEN CASE WHEN f_var <= pos THEN 'var' WHEN f_func <= pos THEN 'func'
+  WHEN f_struct < pos THEN 'struct' WHEN f_class < pos THEN 'class' END WHEN kind <> 'keep' THEN kind END AS use_class FROM based),
+named AS (SELECT *, CASE WHEN pos = CASE use_class WHEN 'var' THEN f_var WHEN 'func' THEN f_func WHEN 'lit' THEN f_lit
+  WHEN 'struct' THEN f_struct WHEN 'class' THEN f_class END THEN use_class END AS names FROM used),
+counted AS (SELECT *, {numbers} FROM named),
+res AS (SELECT *, use_class || CAST(CASE use_class {number} END AS VARCHAR) AS alias FROM counted WINDOW t AS (PARTITION BY doc_id, tok))
+SELECT doc_id, string_agg({S.strip_token('coalesce(alias, tok)')}, ' ' ORDER BY pos) AS tokens_text, count(*) AS n_tokens, {maps}
+FROM res GROUP BY doc_id
+"""
+
+
+@register("name_uses", sql_uses())
+def name_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7, T8 with a class for each use, on programs of varied scopes."""
+    src = X.code_scopes(spark, sf_dir).select("doc_id", T.lex_input_raw("code").alias("code"))
+    return obfuscated_view(U.obfuscate_uses(src))
+
+
 _DIRS = S.in_list(K.DIRECTIVE_WORDS)
 
 
