@@ -2,34 +2,59 @@
 
 Array-shaped steps (pad, mask, shift, baseline distances) are higher-order
 functions on the row: no shuffle, no Python.  Look-ups against the id table
-explode the token rows of documents that were hash-partitioned by id once,
-broadcast the (size-checked) id table and re-collect per document without a
-further exchange.
+are made inside the row (``lookup``), or by a join where that table is large.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from ..functions import constants as K
 from ..session import materialize, partition_by_key
-from .joins import checked_broadcast
+from .lookup import Dictionary, dictionary, list_of, map_lists, places_in
 from .numbering import consecutive_index
 
 
-def map_tokens(docs: DataFrame, table: DataFrame, id_col: str, tokens_col: str, key_col: str,
+def map_tokens(docs: DataFrame, table: DataFrame | Dictionary, id_col: str, tokens_col: str, key_col: str,
                value_col: str, out_col: str, default=None, drop_values: list | None = None,
-               value_type: str = "string", partitioned: bool = False, table_checked: bool = False) -> DataFrame:
-    """Replace every element of an array column through a lookup table.
+               value_type: str = "string", partitioned: bool = False) -> DataFrame:
+    """Replace every element of an array column through a lookup table of unique keys.
 
-    Elements without a match become ``default`` (or are dropped if
-    ``default`` is None and ``drop_values`` is given); elements whose mapped
-    value is in ``drop_values`` are dropped.  The table is broadcast after a
-    size check, unless ``table_checked`` says the caller already did it.
+    Elements without a match become ``default`` (null if that is None);
+    elements whose mapped value is in ``drop_values`` are dropped.  A table
+    within the bounds of the size check (``lookup.dictionary`` does it once
+    for several calls) is looked up inside the row, a larger one is joined.
     """
+    d = dictionary(table)
+    if not d.small:
+        return _map_exploded(docs, d.table, id_col, tokens_col, key_col, value_col, out_col, default,
+                             drop_values, value_type, partitioned)
+    pairs = d.arrays(key_col, value_col)
+
+    def made(_, elements, sizes):
+        keys, values = pairs.value
+        out = pc.take(values, places_in(elements, keys))
+        if default is not None:
+            out = pc.fill_null(out, pa.scalar(default, out.type))
+        if drop_values:
+            stays = pc.invert(pc.is_in(out, value_set=pa.array(drop_values, out.type)))
+            row = np.repeat(np.arange(len(sizes)), sizes)[stays.to_numpy(zero_copy_only=False)]
+            out, sizes = out.filter(stays), np.bincount(row, minlength=len(sizes))
+        return [list_of(sizes, out)]
+
+    element = d.table.schema[value_col].dataType
+    return map_lists(docs, tokens_col, [Ty.StructField(out_col, Ty.ArrayType(element))], made, drop=(out_col,))
+
+
+def _map_exploded(docs: DataFrame, table: DataFrame, id_col: str, tokens_col: str, key_col: str, value_col: str,
+                  out_col: str, default, drop_values: list | None, value_type: str, partitioned: bool) -> DataFrame:
+    """``map_tokens`` for a table of any size, on exploded elements."""
     t = table.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v"))
-    t = t if table_checked else checked_broadcast(t)
     base = docs if partitioned else partition_by_key(docs, id_col)
     rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_e"))
     j = rows.join(t, rows["_e"] == t["_k"], "left")
@@ -44,15 +69,15 @@ def map_tokens(docs: DataFrame, table: DataFrame, id_col: str, tokens_col: str,
             .withColumn(out_col, F.coalesce(F.col(out_col), empty)))
 
 
-def encode_tokens(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id",
+def encode_tokens(docs: DataFrame, ids: DataFrame | Dictionary, id_col: str = "doc_id",
                   tokens_col: str = "transformed_tokens", out_col: str = "ids",
-                  partitioned: bool = False, ids_checked: bool = False) -> DataFrame:
+                  partitioned: bool = False) -> DataFrame:
     """C4: tokens -> ids, unknown -> ``[UNK]`` (1)."""
     return map_tokens(docs, ids, id_col, tokens_col, "token", "id", out_col, default=K.UNK_ID,
-                      value_type="long", partitioned=partitioned, table_checked=ids_checked)
+                      value_type="long", partitioned=partitioned)
 
 
-def decode_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
+def decode_ids(docs: DataFrame, ids: DataFrame | Dictionary, id_col: str = "doc_id", ids_col: str = "ids",
                out_col: str = "decoded", partitioned: bool = False) -> DataFrame:
     """Ids -> tokens; ``[PAD] [SOS] [EOS]`` dropped."""
     return map_tokens(docs, ids, id_col, ids_col, "id", "token", out_col, partitioned=partitioned,

@@ -6,13 +6,17 @@ keyed by an id column.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from ..functions import constants as K
 from ..session import materialize, partition_by_key
 from .filters import keep_where
-from .joins import checked_broadcast
+from .lookup import Dictionary, dictionary, list_of, map_lists, places_in
 from .numbering import consecutive_index
 
 
@@ -108,19 +112,45 @@ def token_ids(final_vocab: DataFrame, spark=None) -> DataFrame:
     return materialize(specials.unionByName(numbered.select("token", F.col("id").cast("long").alias("id"))))
 
 
-def replace_unknown(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
+def replace_unknown(docs: DataFrame, vocab: DataFrame | Dictionary, id_col: str = "doc_id",
                     tokens_col: str = "tokens", alias_col: str | None = None,
                     out_col: str = "tokens", partitioned: bool = False) -> DataFrame:
     """C1 + A7: tokens outside the vocabulary (and not an alias of their own
     row) become ``[UNK]``; adds ``n_tokens`` and ``n_unk``.
 
-    Documents are hash-partitioned by id once; the exploded token rows keep
-    that partitioning, the vocabulary is broadcast after a size check, and
-    the ordered re-collect per document needs no further exchange.  Pass
-    ``partitioned=True`` when ``docs`` is already hash-partitioned by id.
+    A vocabulary within the bounds of the size check is looked up inside the
+    row, without an exchange; a larger one by ``_replace_exploded``, which
+    takes ``id_col`` and ``partitioned=True`` for ``docs`` already
+    hash-partitioned by id.
     """
-    v = checked_broadcast(vocab.select(F.col("token").alias("_vtok")).distinct()
-                          .withColumn("_known", F.lit(True)))
+    v = vocab if isinstance(vocab, Dictionary) else dictionary(vocab.select("token").distinct())
+    if not v.small:
+        return _replace_exploded(docs, v.table, id_col, tokens_col, alias_col, out_col, partitioned)
+    words = v.arrays("token")
+
+    def made(rows, tokens, sizes):
+        known = pc.is_valid(places_in(tokens, words.value[0])).to_numpy(zero_copy_only=False).copy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        if alias_col:
+            aliases, ends = rows.column(rows.schema.names.index(alias_col)), np.cumsum(sizes)
+            for r in np.unique(row[~known]):
+                own, first = set(aliases[int(r)].as_py() or ()) - {None}, int(ends[r] - sizes[r])
+                for at in first + np.flatnonzero(~known[first:ends[r]]):
+                    known[at] = tokens[int(at)].as_py() in own
+        out = pc.if_else(pa.array(known), tokens, pa.scalar(K.UNK_TOKEN, tokens.type))
+        return [list_of(sizes, out), pa.array(np.bincount(row[~known], minlength=len(sizes)), pa.int64())]
+
+    fields = [Ty.StructField(out_col, Ty.ArrayType(Ty.StringType())), Ty.StructField("n_unk", Ty.LongType())]
+    return map_lists(docs, tokens_col, fields, made, drop=(tokens_col, out_col)) \
+        .withColumn("n_tokens", F.size(out_col).cast("long"))
+
+
+def _replace_exploded(docs: DataFrame, vocab: DataFrame, id_col: str, tokens_col: str, alias_col: str | None,
+                      out_col: str, partitioned: bool) -> DataFrame:
+    """``replace_unknown`` for a vocabulary of any size: documents are
+    hash-partitioned by id once, the exploded tokens joined, and collected
+    again in order."""
+    v = vocab.select(F.col("token").alias("_vtok")).distinct().withColumn("_known", F.lit(True))
     keep = [c for c in docs.columns if c not in (tokens_col, out_col)]
     base = docs if partitioned else partition_by_key(docs, id_col)
     rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_tok"),

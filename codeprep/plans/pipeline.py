@@ -22,11 +22,11 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..operators import dedup as D
 from ..operators import encode as EN
-from ..operators.joins import checked_broadcast
 from ..operators import filters as FL
 from ..operators import tokens as TK
 from ..operators import tree as TR
 from ..operators import vocab as V
+from ..operators.lookup import dictionary
 from ..session import materialize, partition_by_key
 from ..sources import json_lines as J
 
@@ -126,10 +126,10 @@ def prepare_stage(lines: DataFrame, max_tokens: int = K.MAX_TOKENS, min_doc_freq
 def sample_stage(c_rows: DataFrame, cpp_rows: DataFrame, ids: DataFrame, max_len: int = K.MAX_SEQ_LEN,
                  use_tree_distance: bool = True) -> DataFrame:
     """Encode both languages, pair by position, split, build the 12 vectors."""
-    ids = checked_broadcast(ids)                # one size check for both languages
+    ids = dictionary(ids)                       # one size check for both languages
 
     def enc(df):
-        e = EN.encode_tokens(df.select("doc_id", "transformed_tokens", "dist"), ids, ids_checked=True)
+        e = EN.encode_tokens(df.select("doc_id", "transformed_tokens", "dist"), ids)
         return e.select("doc_id", "ids", "dist")
     paired = EN.paired_rows(enc(c_rows), enc(cpp_rows))
     return EN.training_samples(paired, max_len, use_tree_distance, keep_cols=["c_doc_id", "cpp_doc_id"])

@@ -25,7 +25,7 @@ from ..operators import tokens as TK
 from ..operators import tree as TR
 from ..operators import uses as U
 from ..operators import vocab as V
-from ..operators.joins import checked_broadcast
+from ..operators.lookup import dictionary
 from ..session import materialize, partition_by_key, spread_if_narrow
 from ..sources import json_lines as J
 from ..sources.tables import read_table
@@ -762,8 +762,9 @@ def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 then C13: encode to ids and decode back ([UNK] for unknown tokens)."""
     k = kept_docs(spark, sf_dir)
     ids = token_ids(spark, sf_dir, k)
+    ids = dictionary(ids)                                     # one size check for both ways
     enc = EN.encode_tokens(k.select("doc_id", "tokens"), ids, tokens_col="tokens")
-    dec = EN.decode_ids(enc.select("doc_id", "ids"), ids, partitioned=True)
+    dec = EN.decode_ids(enc.select("doc_id", "ids"), ids)
     return dec.select("doc_id", F.array_join("decoded", " ").alias("decoded_text"))
 
 
@@ -804,11 +805,9 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4–C11: encode both languages (en as source, fr as target), pair row k
     with row k, split by position, frame/pad, shift, masks."""
     k = kept_docs(spark, sf_dir)
-    ids = checked_broadcast(token_ids(spark, sf_dir, k))     # one size check for both languages
-    en = EN.encode_tokens(k.filter(F.col("lang") == "en").select("doc_id", "tokens"), ids, tokens_col="tokens",
-                          ids_checked=True)
-    fr = EN.encode_tokens(k.filter(F.col("lang") == "fr").select("doc_id", "tokens"), ids, tokens_col="tokens",
-                          ids_checked=True)
+    ids = dictionary(token_ids(spark, sf_dir, k))            # one size check for both languages
+    en = EN.encode_tokens(k.filter(F.col("lang") == "en").select("doc_id", "tokens"), ids, tokens_col="tokens")
+    fr = EN.encode_tokens(k.filter(F.col("lang") == "fr").select("doc_id", "tokens"), ids, tokens_col="tokens")
     paired = EN.paired_rows(en.select("doc_id", "ids"), fr.select("doc_id", "ids"))
     s = EN.training_samples(paired.withColumn("c_dist", F.array()).withColumn("cpp_dist", F.array()),
                             keep_cols=["c_doc_id", "cpp_doc_id"])
@@ -948,11 +947,11 @@ def encode_pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11 with G6: length and digest of the four distance vectors of each
     sample of ``encode_pairs``; the triangles are paired by key."""
     k = kept_docs(spark, sf_dir)
-    ids = checked_broadcast(token_ids(spark, sf_dir, k))     # one size check for both languages
+    ids = dictionary(token_ids(spark, sf_dir, k))            # one size check for both languages
 
     def side(lang):
         docs = k.filter(F.col("lang") == lang).select("doc_id", "tokens")
-        e = EN.encode_tokens(docs, ids, tokens_col="tokens", ids_checked=True)
+        e = EN.encode_tokens(docs, ids, tokens_col="tokens")
         return TR.with_triangles(e.select("doc_id", "ids", "tokens")).select("doc_id", "ids", "dist")
     s = EN.training_samples(EN.paired_rows(side("en"), side("fr")), keep_cols=["c_doc_id", "cpp_doc_id"])
     vectors = [f"{pre}_{part}_dist" for pre in ("c", "cpp") for part in ("encoder", "decoder")]
