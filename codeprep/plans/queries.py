@@ -21,6 +21,7 @@ from ..operators import checks as CH
 from ..operators import dedup as D
 from ..operators import encode as EN
 from ..operators import filters as FL
+from ..operators import node_matrix as NM
 from ..operators import tokens as TK
 from ..operators import tree as TR
 from ..operators import uses as U
@@ -1156,6 +1157,62 @@ def page_tag_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.md5(F.array_join("dist", ",")).alias("dist_md5"))
 
 
+def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages -> (page_id, pos, opens, node, parent): one row a tag.  ``level`` is
+    the number of open elements before the tag; the innermost of them is the
+    last tag that opened this level.  It is the parent of an element and the
+    node of a closing tag; comments and doctypes have no node."""
+    pages = partition_by_key(read_table(spark, sf_dir, "pages", ["page_id", "html"]), "page_id")
+    tags = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(TAG_RE), 0)).alias("pos", "tag"))
+    closes, leaf = F.col("tag").startswith("</"), F.col("tag").rlike(VOID_RE)
+    step = F.when(closes, -1).when(leaf, 0).otherwise(1)
+    rows = tags.select("page_id", "pos", closes.alias("closes"), F.col("tag").startswith("<!").alias("none"), step.alias("step"))
+    before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("level", F.sum("step").over(before) - F.col("step"))
+    # each tag looks its level up; an opening tag stands for the next level too
+    both = rows.select("page_id", "pos", "closes", "none", F.explode(F.when(F.col("step") == 1, F.array(F.col("level"), F.col("level") + 1))
+                                                                     .otherwise(F.array("level"))).alias("at"), "level")
+    here = F.col("at") == F.col("level")
+    last = Window.partitionBy("page_id", "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("open", F.last(F.when(~here, F.col("pos")), ignorenulls=True).over(last)).filter(here)
+    return found.select("page_id", "pos", (~F.col("closes") & ~F.col("none")).alias("element"),
+                        F.when(F.col("closes"), F.col("open")).when(~F.col("none"), F.col("pos")).alias("node"), F.col("open").alias("parent"))
+
+
+@register("page_tag_matrix", f"""
+WITH RECURSIVE t AS (
+  SELECT page_id, CAST(generate_subscripts(tags, 1) - 1 AS INTEGER) AS pos, unnest(tags) AS tag
+  FROM (SELECT page_id, regexp_extract_all(html, {S.lit(TAG_RE)}, 0) AS tags FROM pages)),
+s AS (SELECT page_id, pos, starts_with(tag, '</') AS closes, starts_with(tag, '<!') AS none,
+        CASE WHEN starts_with(tag, '</') THEN -1 WHEN regexp_matches(tag, {S.lit(VOID_RE)}) THEN 0 ELSE 1 END AS step FROM t),
+l AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY pos) - step AS level FROM s),
+o AS (SELECT a.page_id, a.pos, any_value(a.closes) AS closes, any_value(a.none) AS none, max(b.pos) AS open FROM l a
+      LEFT JOIN l b ON b.page_id = a.page_id AND b.pos < a.pos AND b.step = 1 AND b.level + 1 = a.level GROUP BY a.page_id, a.pos),
+tok AS (SELECT page_id, pos, CASE WHEN closes THEN open WHEN NOT none THEN pos END AS node FROM o),
+nodes AS (SELECT page_id, pos AS node, open AS parent FROM o WHERE NOT closes AND NOT none),
+clo(page_id, node, anc, dist) AS (
+  SELECT page_id, node, node, 0 FROM nodes
+  UNION ALL
+  SELECT c.page_id, c.node, n.parent, c.dist + 1 FROM clo c JOIN nodes n ON n.page_id = c.page_id AND n.node = c.anc WHERE n.parent IS NOT NULL),
+d AS (SELECT a.page_id, a.node AS a, b.node AS b, min(a.dist + b.dist) AS dist FROM clo a JOIN clo b ON a.page_id = b.page_id AND a.anc = b.anc GROUP BY ALL),
+m AS (SELECT x.page_id, x.pos AS i, y.pos AS j, x.node, coalesce(d.dist, -1) AS dist FROM tok x JOIN tok y ON x.page_id = y.page_id
+      LEFT JOIN d ON d.page_id = x.page_id AND d.a = x.node AND d.b = y.node)
+SELECT page_id, i, CAST(count(*) AS INTEGER) AS n_tags, CAST(count(*) FILTER (dist < 0) AS INTEGER) AS n_none, max(dist) AS dist_max,
+  CAST(sum(dist) AS BIGINT) AS dist_sum, md5(string_agg(CAST(dist AS VARCHAR), ',' ORDER BY j)) AS dist_md5 FROM m GROUP BY page_id, i
+""")
+def page_tag_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 on real pages: each tag's distances to all tags of its page in the
+    page's element tree, a node table; -1 for comments, doctypes and closing
+    tags without an open element."""
+    tags = materialize(page_tags(spark, sf_dir))
+    nodes = tags.filter("element").select(F.col("page_id").alias("doc_id"), F.col("pos").alias("node_id"), F.col("parent").alias("parent_id"))
+    tokens = tags.select(F.col("page_id").alias("doc_id"), "pos", F.col("node").alias("node_id"))
+    total = F.aggregate("dist", F.lit(0).cast("long"), lambda a, x: a + x)
+    return NM.distance_matrix(nodes, tokens).select(
+        F.col("doc_id").alias("page_id"), "i", F.size("dist").alias("n_tags"), F.size(F.filter("dist", lambda x: x < 0)).alias("n_none"),
+        F.array_max("dist").alias("dist_max"), total.alias("dist_sum"), F.md5(F.array_join("dist", ",").cast("binary")).alias("dist_md5"))
+
+
 @register("event_props", """
 SELECT event_id,
   NOT (CASE WHEN json_valid(props) THEN json_type(props) = 'OBJECT' ELSE false END) AS malformed,
