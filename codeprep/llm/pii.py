@@ -46,7 +46,7 @@ ANCHOR = re.compile(r"[0-9@]|\[at\]|\(at\)", re.I)
 SPACE = re.compile(r"\s")
 #: Characters around an anchor that belong to its stretch at least.
 REACH = 40
-MAX_TOKENS, REGION_TOKENS, AROUND = 15, 120, 4
+MAX_TOKENS, REGION_TOKENS, AROUND = 15, 360, 4
 TRAIN_REGIONS, BITS, ROUNDS, MARGIN = 240, 14, 4, 3.0
 
 
@@ -110,29 +110,85 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode()) & ((1 << BITS) - 1)
 
 
-def shape(span: list[str]) -> str:
-    return "".join(f"d{len(t)}" if t[0].isdigit() else "a" if t[0].isalpha() else "_" if t.isspace() else t for t in span)
-
-
-def span_features(tokens: list[str], i: int, j: int) -> list[int]:
-    """Features of the segment tokens[i:j] as a whole."""
-    span = tokens[i:j]
-    text = "".join(span)
-    digits = only_digits(text)
-    s = shape(span)
-    parts = [t for t in span if t[0].isdigit()]
-    letters = any(t[0].isalpha() for t in span)
-    joined = "".join(sorted({t for t in span if not t[0].isalnum()}))
-    before = tokens[i - 1] if i else "^"
-    after = tokens[j] if j < len(tokens) else "$"
-    at = "@" in span or any(t.lower() == "at" and span[k - 1:k] in (["["], ["("]) for k, t in enumerate(span))
-    edge = span[0][0].isalnum() or span[0][0] in "+(", span[-1][0].isalnum()
-    range_ = all(len(p) <= 3 and int(p) <= 255 for p in parts)
-    loose = before[0].isalnum() or before in ".@-_" or (after[0].isalnum() or after in "@_")
-    f = ["bias", f"s:{re.sub(r'[0-9]+', '', s)[:24]}", f"S:{s[:24]}", f"n:{len(digits)}:{letters}", f"p:{len(parts)}:{joined}:{letters}",
-         f"luhn:{len(digits) >= 16 and luhn(digits)}:{letters}", f"ip:{len(parts) == 4 and range_}:{joined}:{letters}", f"at:{at}:{letters}:{edge}",
-         f"e:{edge}", f"x:{loose}", f"b:{before[0].isalnum()}:{edge}", f"a:{after[0].isalnum()}:{edge}", f"len:{j - i}:{letters}", f"g:{','.join(str(min(len(p), 5)) for p in parts[:6])}:{letters}"]
-    return [_hash(x) for x in f]
+def _mixed(template: int, *parts: np.ndarray) -> np.ndarray:
+    """Hashed features of one template from whole numbers."""
+    h = np.uint64(template)
+    for p in parts:
+        h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+class Tokens:
+    """What the features need of each token, as columns.  Digits are 0-9; a
+    token is a word, digits, white space or one other character."""
+
+    def __init__(self, tokens: list[str]):
+        self.n = len(tokens)
+        flag = lambda f: np.fromiter(map(f, tokens), bool, self.n)
+        self.digit, self.letter, self.alnum = flag(lambda t: "0" <= t[0] <= "9"), flag(lambda t: t[0].isalpha()), flag(lambda t: t[0].isalnum())
+        self.space, self.line = flag(str.isspace), flag("\n".__eq__)
+        word_at, opens, self.sign = flag(lambda t: t.lower() == "at"), flag(lambda t: t in "[("), flag("@".__eq__)
+        self.hint = self.digit | self.sign | word_at
+        self.marked_at = word_at & np.r_[False, opens[:-1]]  # a word "at" behind a bracket
+        self.head = self.alnum | flag(lambda t: t[0] in "+(")
+        self.bound_left, self.bound_right = self.alnum | flag(lambda t: t in ".@-_"), self.alnum | flag(lambda t: t in "@_")
+        self.over = flag(lambda t: "0" <= t[0] <= "9" and (len(t) > 3 or int(t) > 255))
+        self.size = np.fromiter(map(len, tokens), np.int64, self.n)
+        self.code = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) + 1 for t in tokens), np.int64, self.n)
+        self.kind = np.where(self.digit, 1, np.where(self.letter, 2, np.where(self.space, 3, self.code)))
+        last: dict[str, int] = {}
+        self.earlier = np.full(self.n, -1)  # where the same token was last
+        for k, t in enumerate(tokens):
+            self.earlier[k] = last.get(t, -1)
+            last[t] = k
+        # digits before each token, and the sums of Luhn's rule with every second digit doubled from the first or the second on
+        self.digits = np.r_[0, np.cumsum(np.where(self.digit, self.size, 0))]
+        d = np.frombuffer("".join(t for t in tokens if "0" <= t[0] <= "9").encode(), np.uint8).astype(np.int64) - 48
+        twice, even = np.where(d > 4, 2 * d - 9, 2 * d), np.arange(len(d)) % 2 == 0
+        self.luhn = np.stack([np.r_[0, np.cumsum(np.where(even == first, twice, d))][self.digits] for first in (True, False)])
+
+
+def segments(t: Tokens, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and features of all segments that begin at the tokens from
+    ``first`` to ``last``, by start and length.  A column holds the segments of
+    one length; each is the column before with a token more."""
+    i = np.arange(first, last)
+    grid = np.zeros((12, len(i), MAX_TOKENS), np.int64)
+    parts, letters, joined, shape, exact, groups, at, over, hint, line, valid, ends = grid
+    now = np.zeros((10, len(i)), np.int64)
+    for m in range(MAX_TOKENS):
+        k = np.minimum(i + m, t.n - 1)
+        digit, other = t.digit[k], ~t.alnum[k] & (t.earlier[k] < i)
+        now[5] = np.where(digit & (now[0] < 6), now[5] * 7 + 1 + np.minimum(t.size[k], 5), now[5])
+        now[0] += digit
+        now[1] |= t.letter[k]
+        now[2] += np.where(other, t.code[k] * t.code[k], 0)
+        now[3] = now[3] * 1_000_003 + t.kind[k]
+        now[4] = (now[4] * 1_000_003 + t.kind[k]) * 31 + np.where(t.digit[k] | t.letter[k], t.size[k], 0)
+        now[6] |= t.sign[k] | (t.marked_at[k] & (m > 0))
+        now[7] |= t.over[k]
+        now[8] |= t.hint[k]
+        now[9] |= t.line[k] & (m > 0)
+        grid[:10, :, m] = now
+        ends[:, m] = i + m + 1
+        valid[:, m] = (i + m < t.n) & (now[9] == 0)
+        if m:
+            valid[:, m] &= ~t.space[i] & ~t.space[k] & (now[8] > 0)
+    keep = valid.astype(bool)
+    starts, ends = np.broadcast_to(i[:, None], keep.shape)[keep], ends[keep]
+    parts, letters, joined, shape, exact, groups, at, over = (x[keep] for x in grid[:8])
+    n = t.digits[ends] - t.digits[starts]
+    total = np.where(t.digits[ends] % 2 == 0, t.luhn[0][ends] - t.luhn[0][starts], t.luhn[1][ends] - t.luhn[1][starts])
+    edge = t.head[starts] * 2 + t.alnum[ends - 1]
+    left, right = np.r_[False, t.alnum][starts], np.r_[t.alnum, False][ends]
+    loose = np.r_[False, t.bound_left][starts] | np.r_[t.bound_right, False][ends]
+    sizes, which = np.unique(n * 2 + letters, return_inverse=True)
+    named = np.array([_hash(f"n:{x // 2}:{x % 2 == 1}") for x in sizes.tolist()], np.int64)[which]
+    found = [np.full(len(starts), _hash("bias")), _mixed(1, shape), _mixed(2, exact), named, _mixed(3, parts, joined, letters),
+             _mixed(4, (n >= 16) & (total % 10 == 0), letters), _mixed(5, (parts == 4) & (over == 0), joined, letters), _mixed(6, at, letters, edge),
+             _mixed(7, edge), _mixed(8, loose), _mixed(9, left, edge), _mixed(10, right, edge), _mixed(11, ends - starts, letters), _mixed(12, groups, letters)]
+    return starts, ends, np.stack(found, 1)
 
 
 @dataclass
@@ -145,21 +201,12 @@ class Lattice:
     features: np.ndarray
 
 
-def lattice(tokens: list[str], first: int = 0, last: int | None = None) -> Lattice:
+def lattice(tokens: list[str] | Tokens, first: int = 0, last: int | None = None) -> Lattice:
     """Segments of one token (kind 0, nothing, or an entity) and of more tokens
     that begin and end on a sign of an entity and hold a digit or an at; those
     that begin at the tokens from ``first`` to ``last``, if given."""
-    starts, ends, features = [], [], []
-    for i in range(first, len(tokens) if last is None else min(last, len(tokens))):
-        for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-            if tokens[j - 1] == "\n" and j > i + 1:
-                break
-            if j > i + 1 and (tokens[i].isspace() or tokens[j - 1].isspace() or not any(t[0].isdigit() or t == "@" or t.lower() == "at" for t in tokens[i:j])):
-                continue
-            starts.append(i)
-            ends.append(j)
-            features.append(span_features(tokens, i, j))
-    return Lattice(len(tokens), np.array(starts), np.array(ends), np.array(features))
+    t = tokens if isinstance(tokens, Tokens) else Tokens(tokens)
+    return Lattice(t.n, *segments(t, first, t.n if last is None else min(last, t.n)))
 
 
 def scores(g: Lattice, w: np.ndarray) -> np.ndarray:
@@ -172,11 +219,11 @@ def scores(g: Lattice, w: np.ndarray) -> np.ndarray:
 def best(tokens: list[str], w: np.ndarray) -> list[tuple[int, int, int, float]]:
     """The best segmentation's entities: kind, first and last token, and how
     much better it is than the same tokens as nothing."""
-    n = len(tokens)
+    n, columns = len(tokens), Tokens(tokens)
     top, none = [0.0] + [-np.inf] * n, np.zeros(n + 1)
     back = [(0, 0, 0.0)] * (n + 1)
     for first in range(0, n, REGION_TOKENS):  # all that ends at a token begins before it: top is final where a block begins
-        g = lattice(tokens, first, first + REGION_TOKENS)
+        g = lattice(columns, first, first + REGION_TOKENS)
         s = scores(g, w)
         kind, value = s.argmax(0).tolist(), s.max(0).tolist()
         alone = g.ends - g.starts == 1

@@ -241,6 +241,65 @@ def test_semi_markov_gradient_is_a_distribution():
     assert np.allclose(covered, 1)  # each token lies in one segment
 
 
+def segmentations(n, allowed):
+    """All ways to cut ``n`` tokens into the allowed segments."""
+    if n == 0:
+        return [[]]
+    return [rest + [(i, n)] for i in range(n) if (i, n) in allowed for rest in segmentations(i, allowed)]
+
+
+def test_best_segmentation_is_that_of_trying_all():
+    """Short inputs, random weights: the program's choice scores as high as the
+    best of all segmentations and kinds, and its gains add up to that score."""
+    rng = random.Random(8)
+    for seed in range(60):
+        tokens = pii.TOKEN.findall("".join(rng.choice(["1", "25", " ", "@", ".", "a", "\n", "at", "(", "-"]) for _ in range(rng.randint(1, 9))))
+        w = np.random.default_rng(seed).normal(size=(5, 1 << pii.BITS))
+        g = pii.lattice(tokens)
+        s = pii.scores(g, w)
+        of = {(i, j): s[:, k] for k, (i, j) in enumerate(zip(g.starts.tolist(), g.ends.tolist()))}
+        top = max(sum(of[x].max() for x in cut) for cut in segmentations(len(tokens), of))
+        none = [of[i, i + 1][0] for i in range(len(tokens))]
+        found = pii.best(tokens, w)
+        assert np.isclose(top - sum(none), sum(gain for *_, gain in found))
+        for kind, i, j, gain in found:
+            assert np.isclose(of[i, j][kind + 1] - sum(none[i:j]), gain) and of[i, j].argmax() == kind + 1
+
+
+def test_features_tell_what_they_say():
+    """Each feature against a plain definition: equal values have equal ids."""
+    def plain(tokens, i, j):
+        span, before, after = tokens[i:j], tokens[i - 1] if i else "^", tokens[j] if j < len(tokens) else "$"
+        parts = [t for t in span if t[0] in "0123456789"]
+        text, letters = "".join(parts), any(t[0].isalpha() for t in span)
+        other = frozenset(t for t in span if not t[0].isalnum())
+        kind = lambda t: "d" if t[0] in "0123456789" else "a" if t[0].isalpha() else " " if t.isspace() else t
+        size = lambda t: len(t) if kind(t) in "da" else 0
+        edge = (span[0][0].isalnum() or span[0] in "+(", span[-1][0].isalnum())
+        marked = any(t == "@" or k and t.lower() == "at" and span[k - 1] in "[(" for k, t in enumerate(span))
+        byte = all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        loose = before[0].isalnum() or before in ".@-_" or after[0].isalnum() or after in "@_"
+        return [0, tuple(map(kind, span)), tuple((kind(t), size(t)) for t in span), (len(text), letters), (len(parts), other, letters),
+                (len(text) >= 16 and luhn(text), letters), (len(parts) == 4 and byte, other, letters), (marked, letters, edge), edge, loose,
+                (before[0].isalnum(), edge), (after[0].isalnum(), edge), (j - i, letters), (tuple(min(len(p), 5) for p in parts[:6]), letters)]
+    rng, known = random.Random(2), [{} for _ in range(14)]
+    signs = ["a", "@", ".", "1", "9", "250", "300", " ", "  ", "-", "+", "(", ")", "\n", "é", "4111 1111 1111 1111", "12.3.4.5", "at", "[", "_", "²", "٣"]
+    for _ in range(60):
+        tokens = pii.TOKEN.findall("".join(rng.choice(signs) for _ in range(rng.randint(1, 25))))
+        g = pii.lattice(tokens)
+        for i, j, ids in zip(g.starts.tolist(), g.ends.tolist(), g.features.tolist()):
+            for seen, value, x in zip(known, plain(tokens, i, j), ids):
+                assert seen.setdefault(value, x) == x
+    assert all(len(set(seen.values())) > 0.7 * len(seen) for seen in known)  # few values share an id
+
+
+def test_digits_of_other_scripts_and_long_numbers(spark):
+    w = pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for t in ("10² m at 3² ٣٣٣ joe@²", "7" * 50_000, "(414) 555-1791 ²" * 2000):
+        base, found = pii.spans(t, w)
+        assert set(base) <= set(found) and all(0 <= a < b <= len(t) for _, a, b in found)
+
+
 def test_regions_are_disjoint_and_whole():
     rng = random.Random(4)
     for _ in range(300):
