@@ -22,7 +22,6 @@ node are left out of the node table.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,24 +62,28 @@ def depths_and_entries(up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return depth, entry
 
 
-def compressed_tree(nodes: np.ndarray, parents: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def numbered(nodes: pa.Array, parents: pa.Array, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three columns by numbers of their values, by first use (-1: null)."""
+    codes = pa.concat_arrays([nodes, parents, tokens]).dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+    return codes[:len(nodes)], codes[len(nodes):2 * len(nodes)], codes[2 * len(nodes):]
+
+
+def compressed_tree(own: np.ndarray, above: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(rank, depth, meet)``: each token's place in the order (-1: no node),
     and by place the depth and the depth of meeting the place before (-1: no
-    common root; 0 for the first)."""
-    have, asked = ~pd.isna(parents), ~pd.isna(tokens)
-    codes, names = pd.factorize(np.concatenate([nodes, parents[have], tokens[asked]]))
-    own, above, wanted = np.split(codes, [len(nodes), len(nodes) + have.sum()])
-    known = 1 + max(own.max(initial=-1), above.max(initial=-1))  # codes are by first use: the tokens' unknown nodes come last
+    common root; 0 for the first); from the numbers of nodes, of their parents
+    and of the tokens' nodes."""
+    known = 1 + max(own.max(initial=-1), above.max(initial=-1))  # by first use the tokens' unknown nodes come last
     up = np.full(known, -1)
-    up[own[have]] = above
-    if (up[own[have]] != above).any() or (up[own[~have]] >= 0).any():
+    up[own] = np.maximum(up[own], above)
+    if (up[own] != above).any():
         raise ValueError("a node has two parents")
-    rank = np.full(len(tokens), -1)
-    found = np.flatnonzero(asked)[wanted < known]
+    rank = np.full(len(wanted), -1)
+    found = np.flatnonzero((wanted >= 0) & (wanted < known))
     if not len(found):
         return rank, np.zeros(0, np.int32), np.zeros(0, np.int32)
     depth, entry = depths_and_entries(up)
-    at = wanted[wanted < known]
+    at = wanted[found]
     order = np.argsort(entry[at], kind="stable")
     rank[found[order]] = np.arange(len(order))
     places, by_entry = entry[at][order], np.empty(known + 1, np.int64)
@@ -125,13 +128,12 @@ def distance_matrix(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     trees = document_trees(nodes, tokens)
     schema = Ty.StructType([trees.schema["doc_id"], Ty.StructField("i", Ty.IntegerType()), Ty.StructField("dist", Ty.ArrayType(Ty.IntegerType()))])
 
-    def values(cell):
-        return np.zeros(0, object) if cell.as_py() is None else cell.values.to_pandas(integer_object_nulls=True).to_numpy()
-
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                tree = compressed_tree(*(values(batch.column(c)[k]) for c in (1, 2, 3)))
+                cells = [batch.column(c)[k].values for c in (1, 2, 3)]
+                none = cells[2].slice(0, 0)  # a document without node table has null for it
+                tree = compressed_tree(*numbered(*(none if x is None else x for x in cells)))
                 n = len(tree[0])
                 step = max(1, BLOCK // max(n, 1))
                 for first in range(0, n, step):

@@ -1209,7 +1209,7 @@ def page_tag_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tags.select(F.col("page_id").alias("doc_id"), "pos", F.col("node").alias("node_id"))
     total = F.aggregate("dist", F.lit(0).cast("long"), lambda a, x: a + x)
     return NM.distance_matrix(nodes, tokens).select(
-        F.col("doc_id").alias("page_id"), "i", F.size("dist").alias("n_tags"), F.size(F.filter("dist", lambda x: x < 0)).alias("n_none"),
+        F.col("doc_id").alias("page_id"), "i", F.size("dist").alias("n_tags"), (F.size("dist") - F.size(F.array_remove("dist", -1))).alias("n_none"),
         F.array_max("dist").alias("dist_max"), total.alias("dist_sum"), F.md5(F.array_join("dist", ",").cast("binary")).alias("dist_md5"))
 
 

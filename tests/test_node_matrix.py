@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeprep.operators import node_matrix as M
@@ -83,19 +84,18 @@ def test_deep_chain_and_wide_tree_in_blocks(spark, monkeypatch):
     rng = random.Random(5)
     for parents, far in ((star, lambda a, b: 2 * (a != b)), (chain, lambda a, b: abs(a - b))):
         at = [rng.randrange(3000) for _ in range(2000)]
-        names = np.array(list(parents), object), np.array(list(parents.values()), object)
-        tree = M.compressed_tree(*names, np.array([f"c{i}" for i in at], object))
+        tree = M.compressed_tree(*M.numbered(pa.array(list(parents)), pa.array(list(parents.values())), pa.array([f"c{i}" for i in at])))
         rows = np.concatenate([M.distance_rows(*tree, k, min(2000, k + 700)) for k in range(0, 2000, 700)])
         assert all(rows[i, j] == far(at[i], at[j]) for i, j in ((rng.randrange(2000), rng.randrange(2000)) for _ in range(5000)))
         assert (rows == rows.T).all() and not rows.diagonal().any()
 
 
 @pytest.mark.parametrize("rows, says", [([("a", "b"), ("b", "a")], "cycle"), ([("a", "a")], "cycle"), ([("a", "b"), ("a", "c")], "two parents"),
-                                        ([("a", "b"), ("a", None)], "two parents")])
+                                        ([("a", "b"), ("a", None)], "two parents"), ([("a", None), ("a", "b")], "two parents")])
 def test_what_is_no_tree_raises(rows, says):
-    nodes, parents = (np.array(x, object) for x in zip(*rows))
+    nodes, parents = (pa.array(x, pa.string()) for x in zip(*rows))
     with pytest.raises(ValueError, match=says):
-        M.compressed_tree(nodes, parents, np.array(["a", "b"], object))
+        M.compressed_tree(*M.numbered(nodes, parents, pa.array(["a", "b"])))
 
 
 def test_repeated_rows_and_empty_tables(spark):
