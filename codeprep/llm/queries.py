@@ -134,6 +134,24 @@ FROM documents LEFT JOIN best ON best.doc_id = documents.doc_id AND best.at = 1
 """
 
 
+#: Every window of 50 bytes, as hex digits, with the least document that has it; covered bytes as islands of windows.
+_SQL_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+m AS (SELECT w.doc_id, w.p FROM w JOIN f ON f.s = w.s AND f.least < w.doc_id),
+b AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS opens FROM m),
+i AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM b),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, island),
+e AS (SELECT doc_id, a, z FROM r UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+k AS (SELECT e.doc_id, a, z, z - a AS n, substr(h, 1 + 2 * coalesce(lag(z) OVER (PARTITION BY e.doc_id ORDER BY a, z), 0),
+             2 * (a - coalesce(lag(z) OVER (PARTITION BY e.doc_id ORDER BY a, z), 0))) AS piece FROM e JOIN d ON d.doc_id = e.doc_id)
+SELECT d.doc_id, length(any_value(h)) // 2 AS n_bytes, CAST(sum(n) AS BIGINT) AS n_removed, count(*) FILTER (n > 0) AS n_spans,
+  sha256(unhex(string_agg(piece, '' ORDER BY a, z))) AS kept_sha256
+FROM d JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 #: Every run of one to five words counted, each cut scored in 128 bits, every longer candidate looked through.
 _SQL_COLLOCATIONS = """
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -181,6 +199,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies, CAST(c
 ORACLE: dict[str, str] = {
     "op4_minhash": _SQL_MINHASH,
     "op5_licenses": _sql_licenses(),
+    "op9_repeats": _SQL_REPEATS,
     "op11_collocations": _SQL_COLLOCATIONS,
     "op13_mixing": _SQL_MIXING,
 }

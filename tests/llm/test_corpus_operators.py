@@ -287,3 +287,15 @@ def test_pipeline_edges(spark):
             ids = {r[0] for r in df.select("doc_id").collect()}
             single = {*groups_of(sets_of(cases.texts_of(df)), 80).values()} | ids & {None}
             assert {r.doc_id for r in rows} == (single if name == "minhash_near_dedup" else ids)
+
+
+def test_repeats_agree_with_their_statement(spark):
+    """Names, types and rows of op9 and of its DuckDB statement, on a whole small table."""
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    sql = con.sql(queries.ORACLE["op9_repeats"])
+    got = queries.op9_repeats(spark, "/root/testdata/sf0.001").select(*sql.columns)
+    assert [f.dataType.simpleString() for f in got.schema.fields] == [{"VARCHAR": "string"}.get(str(t), str(t).lower()) for t in sql.types]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted(sql.fetchall()) and any(r[sql.columns.index("n_removed")] for r in rows)
