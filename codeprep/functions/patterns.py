@@ -57,6 +57,8 @@ TOKEN_RE = token_pattern(True)
 TOKEN_RE_SQL = token_pattern(False)
 
 IDENT_FULL_RE = "^[A-Za-z_][A-Za-z0-9_]*$"
+# the same for Arrow (RE2): Java's ``$`` also stands before a last line end
+IDENT_FULL_RE2 = "^[A-Za-z_][A-Za-z0-9_]*(?:\\r\\n|[\\n\\r\\x{85}\\x{2028}\\x{2029}])?$"
 LITERAL_START_RE = "^[\"'0-9]|^\\.[0-9]"
 
 # P5: include lines (Python MULTILINE semantics; leading blank lines are

@@ -551,7 +551,8 @@ def obfuscated_view(lexed: DataFrame) -> DataFrame:
 
 
 def lexed_code(df: DataFrame) -> DataFrame:
-    """P5 + P9, then T1–T11."""
+    """P5 + P9, then T1–T11; the text is spread before the lexer's regexes."""
+    df = spread_if_narrow(df, "doc_id")
     return TK.obfuscate(df.select("doc_id", T.lex_input_raw("code").alias("code")))
 
 

@@ -1,7 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
 from codeprep.functions import text as T
 from codeprep.operators import tokens as TK
+from codeprep.plans import queries as Q
+from conftest import SF001
 from fixtures import golden as G
 
 
@@ -47,3 +51,31 @@ def test_directive_and_literal_merge(spark):
     assert pieces.count() > tk.select(F.size("tokens")).collect()[0][0]
     merged = TK.merge_literal_pieces(pieces).orderBy("pos").select("token").collect()
     assert [m[0] for m in merged] == tk.collect()[0]["tokens"]
+
+
+def test_renaming_in_the_row_equals_the_joins(spark, monkeypatch):
+    """Random token rows, with repeats of one name in several classes, line ends and nulls."""
+    rng = random.Random(3)
+    words = ["class", "struct", "int", "printf", "main", "(", ")", "a", "b", "c", "a\n", '"x\ny"', "1", ".5", "'c'", ";", None, "NULL", "é"]
+    rows = [(i, "k%d" % (i % 3), [rng.choice(words) for _ in range(rng.randint(0, 30))]) for i in range(300)] + [(300, "k", None), (None, "k", ["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, kept string, t array<string>")
+
+    def got():
+        return {r["doc_id"]: r for r in TK.obfuscate(df, tokens_col="t", keep_cols=["kept"]).collect()}
+    whole = got()
+    monkeypatch.setattr(TK, "IN_ROW_TOKENS", 0)
+    assert got() == whole and set(whole) == {i for i, _, t in rows if i is not None and t}
+    monkeypatch.setattr(TK, "IN_ROW_TOKENS", 12)
+    assert got() == whole                                      # both ways in one job
+    assert any(not set(r["var_dict"]).isdisjoint(r["struct_dict"]) for r in whole.values())
+
+
+def test_entities_are_never_broadcast(spark):
+    """A small scan gives many entities: they stay out of the driver's memory."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for q in (Q.obfuscate_c, ):
+            plan = q(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
