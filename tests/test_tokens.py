@@ -74,7 +74,7 @@ def test_entities_are_never_broadcast(spark):
     """A small scan gives many entities: they stay out of the driver's memory."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for q in (Q.obfuscate_c, ):
+        for q in (Q.obfuscate_c, Q.obfuscate_cpp):
             plan = q(spark, SF001)._jdf.queryExecution().executedPlan().toString()
             assert "SortMergeJoin" in plan and "Broadcast" not in plan
     finally:
