@@ -61,10 +61,16 @@ def tokenize(docs: DataFrame, code_col: str = "code", out_col: str = "tokens") -
     return docs.withColumn(out_col, T.tokenize(code_col))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: inside a lambda a computed
+    column would be evaluated again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def neighbours(tokens: Column) -> Column:
     """Array of ``struct(tok, prev, next)`` – look-behind / look-ahead without a window."""
-    return F.transform(tokens, lambda t, i: F.struct(
-        t.alias("tok"), F.get(tokens, i - 1).alias("prev"), F.get(tokens, i + 1).alias("next")))
+    return _once(tokens, lambda toks: F.transform(toks, lambda t, i: F.struct(
+        t.alias("tok"), F.get(toks, i - 1).alias("prev"), F.get(toks, i + 1).alias("next"))))
 
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
@@ -277,11 +283,14 @@ def restore_names(lexed: DataFrame, id_col: str = "doc_id", tokens_col: str = "t
 def merge_directives(tokens: Column) -> Column:
     """``#`` followed by a directive word becomes one token ``#word``."""
     words = K.DIRECTIVE_WORDS
-    merged = F.transform(tokens, lambda t, i: (
-        F.when((t == "#") & F.get(tokens, i + 1).isin(words), F.concat(F.lit("#"), F.get(tokens, i + 1)))
-        .when((F.get(tokens, i - 1) == "#") & t.isin(words), F.lit(None))
-        .otherwise(t)))
-    return F.filter(merged, lambda x: x.isNotNull())
+
+    def merged(toks: Column) -> Column:
+        out = F.transform(toks, lambda t, i: (
+            F.when((t == "#") & F.get(toks, i + 1).isin(words), F.concat(F.lit("#"), F.get(toks, i + 1)))
+            .when((F.get(toks, i - 1) == "#") & t.isin(words), F.lit(None))
+            .otherwise(t)))
+        return F.filter(out, lambda x: x.isNotNull())
+    return _once(tokens, merged)
 
 
 LITERAL_PIECE_RE = "\\\\[\\s\\S]|[\"']|[^\"'\\\\]+"

@@ -643,10 +643,10 @@ FROM t
 """)
 def token_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T14 (``#`` + directive word), T16 (non-blank leaves), P14 (join)."""
-    toks = T.tokenize("code")
-    return code_union(spark, sf_dir).select(
-        "lang", "doc_id", T.join_tokens(TK.merge_directives(toks)).alias("merged_text"),
-        F.size(TK.leaf_tokens(toks)).cast("long").alias("n_leaf"))
+    code = spread_if_narrow(code_union(spark, sf_dir), "doc_id")
+    toks = code.select("lang", "doc_id", T.tokenize("code").alias("tokens"))
+    return toks.select("lang", "doc_id", T.join_tokens(TK.merge_directives(F.col("tokens"))).alias("merged_text"),
+                       F.size(TK.leaf_tokens(F.col("tokens"))).cast("long").alias("n_leaf"))
 
 
 @register("literal_merge", f"""

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -79,3 +80,12 @@ def test_entities_are_never_broadcast(spark):
             assert "SortMergeJoin" in plan and "Broadcast" not in plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_tokens_of_a_row_are_made_once(spark):
+    """Lambdas over a computed token array do not compute it again for each element."""
+    code = "int x ; # define X 1\n" * 4000
+    df = spark.createDataFrame([(1, code)], "doc_id long, code string").repartition(1)
+    start = time.time()
+    r = df.select(F.size(TK.merge_directives(T.tokenize("code"))).alias("n"), F.size(TK.neighbours(T.tokenize("code"))).alias("m")).first()
+    assert (r["n"], r["m"]) == (4000 * 6, 4000 * 7) and time.time() - start < 60     # minutes before
