@@ -261,19 +261,14 @@ def restore_names(lexed: DataFrame, id_col: str = "doc_id", tokens_col: str = "t
                   out_col: str = "restored_tokens", partitioned: bool = False) -> DataFrame:
     """Replace aliases by the original spellings, order kept.
 
-    The inverse maps are exploded into ``(id, alias, name)`` rows and joined
-    on (id, alias); both sides stay partitioned by id.  Pass
-    ``partitioned=True`` for ``obfuscate`` output (already partitioned by id).
+    The inverse maps are looked up inside the row: nothing is moved, so rows
+    need no partitioning (``id_col`` and ``partitioned`` are kept for callers).
+    An alias that stands for two names of its row is an error.
     """
-    base = lexed if partitioned else partition_by_key(lexed, id_col)
-    inv = base.select(id_col, F.explode(F.map_concat(*[F.map_from_arrays(F.map_values(c), F.map_keys(c))
-                                                         for c in MAP_COLS])).alias("_alias", "_name"))
-    rows = base.select(id_col, F.posexplode(tokens_col).alias("_pos", "_tok"))
-    j = rows.join(inv, (rows[id_col] == inv[id_col]) & (rows["_tok"] == inv["_alias"]), "left") \
-        .select(rows[id_col], "_pos", F.coalesce("_name", "_tok").alias("_t"))
-    per = (j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "_t"))).alias("_s"))
-           .select(id_col, F.transform("_s", lambda x: x["_t"]).alias(out_col)))
-    return base.join(per, id_col, "left")
+    names = F.flatten(F.array(*[F.map_keys(F.col(c)) for c in MAP_COLS]))
+    rows = lexed.select("*", alias_values().alias("_alias"), names.alias("_name"))
+    return map_lists(rows, tokens_col, [Ty.StructField(out_col, Ty.ArrayType(Ty.StringType()))], RN.restored,
+                     drop=("_alias", "_name", out_col))
 
 
 # ---------------------------------------------------------------------------

@@ -667,12 +667,12 @@ FROM ({X.SQL_CODE_CPP})
 """)
 def restore_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases mapped back to names reproduce the lexer's tokens."""
-    src = X.code_cpp(spark, sf_dir).select("doc_id", T.lex_input_raw("code").alias("code"))
+    src = spread_if_narrow(X.code_cpp(spark, sf_dir), "doc_id").select("doc_id", T.lex_input_raw("code").alias("code"))
     lexed = TK.obfuscate(src, keep_cols=["code"])
     r = TK.restore_names(lexed, partitioned=True)
-    orig = T.tokenize("code")
-    return r.select("doc_id", F.size(orig).cast("long").alias("n_tokens"),
-                    (F.col("restored_tokens") == orig).alias("round_trip"))
+    r = r.select("doc_id", "restored_tokens", T.tokenize("code").alias("orig"))
+    return r.select("doc_id", F.size("orig").cast("long").alias("n_tokens"),
+                    (F.col("restored_tokens") == F.col("orig")).alias("round_trip"))
 
 
 @register("oop_filter", f"""

@@ -1,6 +1,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeprep.functions import text as T
@@ -75,13 +76,28 @@ def test_entities_are_never_broadcast(spark):
     """A small scan gives many entities: they stay out of the driver's memory."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for q in (Q.obfuscate_c, Q.obfuscate_cpp):
+        for q in (Q.obfuscate_c, Q.obfuscate_cpp, Q.restore_names):
             plan = q(spark, SF001)._jdf.queryExecution().executedPlan().toString()
             assert "SortMergeJoin" in plan and "Broadcast" not in plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_names_are_restored_inside_the_row(spark):
+    rows = [(1, ["var0", "lit0", ";", None, "var9"], {"a": "var0"}, {"1": "lit0"}), (2, ["var0"], {"b": "var0"}, {}), (3, ["var0"], {}, {}),
+            (4, [], {"c": "var0"}, {})]
+    df = spark.createDataFrame(rows, "doc_id long, transformed_tokens array<string>, var_dict map<string,string>, lit_dict map<string,string>")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    df = df.select("*", *[none.alias(c) for c in ("func_dict", "struct_dict", "class_dict")])
+    out = TK.restore_names(df)
+    assert {r["doc_id"]: r["restored_tokens"] for r in out.collect()} == {1: ["a", "1", ";", None, "var9"], 2: ["b"], 3: ["var0"], 4: []}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    twice = df.withColumn("func_dict", F.col("var_dict"))
+    with pytest.raises(Exception, match="stands for two names"):
+        TK.restore_names(twice).collect()
+
+
 def test_tokens_of_a_row_are_made_once(spark):
     """Lambdas over a computed token array do not compute it again for each element."""
     code = "int x ; # define X 1\n" * 4000
