@@ -140,6 +140,21 @@ def paired_rows(left: DataFrame, right: DataFrame, order_col: str = "doc_id", pr
     return split
 
 
+def encoded_pairs(left: DataFrame, right: DataFrame, ids: DataFrame | Dictionary, order_col: str = "doc_id",
+                  tokens_col: str = "tokens", prefixes: tuple[str, str] = ("c_", "cpp_")) -> DataFrame:
+    """Token rows paired and split by position, then encoded.
+
+    Pairing comes first: it reads the order keys alone, and a step that Spark
+    cannot see into (encoding, triangles) would be run for all rows, and again
+    for each pass over the keys.  The pairs are spread by position in an
+    explicit number of parts, as the work behind them is CPU-bound.
+    """
+    paired = partition_by_key(paired_rows(left, right, order_col, prefixes), "position")
+    for pre in prefixes:
+        paired = encode_tokens(paired, ids, pre + order_col, pre + tokens_col, pre + "ids")
+    return paired
+
+
 def split_bounds(n: int, val_ratio: float = K.VAL_RATIO, test_ratio: float = K.TEST_RATIO) -> tuple[int, int]:
     """Bounds with the same double arithmetic as the reference."""
     return int((1 - val_ratio - test_ratio) * n), int((1 - test_ratio) * n)

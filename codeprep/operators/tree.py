@@ -131,31 +131,34 @@ def triangle_of(tokens) -> np.ndarray:
 TRIANGLE_BATCH_BYTES = 64 * 1024 * 1024
 
 
-def with_triangles(df: DataFrame, tokens_col: str = "tokens", out_col: str = "dist",
+def with_triangles(df: DataFrame, tokens_col: str | tuple = "tokens", out_col: str | tuple = "dist",
                    max_tokens: int = TRIANGLE_MAX_TOKENS) -> DataFrame:
     """``df`` with ``out_col``, an ``array<int>`` of length n(n-1)/2 per row
-    (null tokens: empty; rows over ``max_tokens``: null).
+    (null tokens: empty; rows over ``max_tokens``: null).  Several token columns
+    get their triangles in one pass.
 
     The output grows with n^2, so it leaves the task in Arrow batches bounded
     by bytes, whatever the number of rows.
     """
-    at = df.columns.index(tokens_col)
-    schema = Ty.StructType([*df.schema.fields, Ty.StructField(out_col, Ty.ArrayType(Ty.IntegerType()))])
+    tokens_cols, out_cols = ((c,) if isinstance(c, str) else tuple(c) for c in (tokens_col, out_col))
+    at = [df.columns.index(c) for c in tokens_cols]
+    schema = Ty.StructType([*df.schema.fields, *[Ty.StructField(c, Ty.ArrayType(Ty.IntegerType())) for c in out_cols]])
 
     def batch_of(rows, made):
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(made, pa.list_(pa.int32()))], [*rows.schema.names, out_col])
+        return pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(m, pa.list_(pa.int32())) for m in made]], [*rows.schema.names, *out_cols])
 
     def run(batches):
         for batch in batches:
-            start, size, made = 0, 0, []
-            for i, tokens in enumerate(batch.column(at)):
-                tokens = tokens.as_py() or []
-                made.append(triangle_of(tokens) if len(tokens) <= max_tokens else None)
-                size += 2 * len(tokens) ** 2
+            start, size, made = 0, 0, [[] for _ in at]
+            for i in range(batch.num_rows):
+                for k, triangles in zip(at, made):
+                    tokens = batch.column(k)[i].as_py() or []
+                    triangles.append(triangle_of(tokens) if len(tokens) <= max_tokens else None)
+                    size += 2 * len(tokens) ** 2
                 if size >= TRIANGLE_BATCH_BYTES:
                     yield batch_of(batch.slice(start, i + 1 - start), made)
-                    start, size, made = i + 1, 0, []
-            if made:
+                    start, size, made = i + 1, 0, [[] for _ in at]
+            if made[0]:
                 yield batch_of(batch.slice(start), made)
 
     ship_package(df.sparkSession)

@@ -808,9 +808,8 @@ def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     with row k, split by position, frame/pad, shift, masks."""
     k = kept_docs(spark, sf_dir)
     ids = dictionary(token_ids(spark, sf_dir, k))            # one size check for both languages
-    en = EN.encode_tokens(k.filter(F.col("lang") == "en").select("doc_id", "tokens"), ids, tokens_col="tokens")
-    fr = EN.encode_tokens(k.filter(F.col("lang") == "fr").select("doc_id", "tokens"), ids, tokens_col="tokens")
-    paired = EN.paired_rows(en.select("doc_id", "ids"), fr.select("doc_id", "ids"))
+    en, fr = (k.filter(F.col("lang") == lang).select("doc_id", "tokens") for lang in ("en", "fr"))
+    paired = EN.encoded_pairs(en, fr, ids)
     s = EN.training_samples(paired.withColumn("c_dist", F.array()).withColumn("cpp_dist", F.array()),
                             keep_cols=["c_doc_id", "cpp_doc_id"])
 
@@ -947,18 +946,19 @@ FROM c JOIN p ON c.position = p.position LEFT JOIN agg cd ON cd.doc_id = c.doc_i
 @register("encode_pair_distances", _pair_distances_sql())
 def encode_pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11 with G6: length and digest of the four distance vectors of each
-    sample of ``encode_pairs``; the triangles are paired by key."""
+    sample of ``encode_pairs``; the triangles are made behind the pairing, so
+    none is moved or made for a row without a partner."""
     k = kept_docs(spark, sf_dir)
     ids = dictionary(token_ids(spark, sf_dir, k))            # one size check for both languages
-
-    def side(lang):
-        docs = k.filter(F.col("lang") == lang).select("doc_id", "tokens")
-        e = EN.encode_tokens(docs, ids, tokens_col="tokens")
-        return TR.with_triangles(e.select("doc_id", "ids", "tokens")).select("doc_id", "ids", "dist")
-    s = EN.training_samples(EN.paired_rows(side("en"), side("fr")), keep_cols=["c_doc_id", "cpp_doc_id"])
+    en, fr = (k.filter(F.col("lang") == lang).select("doc_id", "tokens") for lang in ("en", "fr"))
+    paired = TR.with_triangles(EN.encoded_pairs(en, fr, ids), ("c_tokens", "cpp_tokens"), ("c_dist", "cpp_dist"))
+    s = EN.training_samples(paired, keep_cols=["c_doc_id", "cpp_doc_id"])
     vectors = [f"{pre}_{part}_dist" for pre in ("c", "cpp") for part in ("encoder", "decoder")]
+
+    def text(v):                   # the JSON of whole numbers in its brackets: comma-joined without a string a number
+        return F.btrim(F.to_json(v), F.lit("[]"))
     return s.select(F.col("position").cast("long").alias("position"), "c_doc_id", "cpp_doc_id",
-                    *[x for v in vectors for x in (F.size(v).alias(f"{v}_n"), F.sha2(F.array_join(v, ","), 256).alias(f"{v}_sha"))])
+                    *[x for v in vectors for x in (F.size(v).alias(f"{v}_n"), F.sha2(text(v), 256).alias(f"{v}_sha"))])
 
 
 @register("tree_distance_triangle", f"""

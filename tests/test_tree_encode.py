@@ -144,3 +144,19 @@ def test_samples_hold_real_distances(spark):
     info = compare(spark, duck(SF001), name, E.queries()[name], E.oracle_sql()[name], SF001)
     assert info["match"] and info["spark_rows"] > 0, info
     assert all(r.c_encoder_dist_n > 0 and r.cpp_decoder_dist_n > 0 for r in E.queries()[name](spark, SF001).collect())
+
+
+def test_pairs_are_made_before_ids_and_triangles(spark):
+    """No exchange carries a triangle, and rows without a partner get none."""
+    from codeprep.plans import queries as Q
+    from conftest import SF001
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for q in (Q.encode_pair_distances, Q.encode_pairs):
+            plan = q(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+            assert 0 < plan.rindex("MapInArrow") < plan.index("Exchange")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    df = spark.createDataFrame([(["(", "a", ")"], None), (["x"], ["a", "b"])], "a array<string>, b array<string>")
+    got = TR.with_triangles(df, ("a", "b"), ("da", "db")).select("da", "db").collect()
+    assert [tuple(r) for r in got] == [([2, 2, 2], []), ([], [2])]
