@@ -76,3 +76,9 @@ def map_lists(docs: DataFrame, list_col: str, fields: list[Ty.StructField],
 
     ship_package(docs.sparkSession)
     return docs.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, schema: Ty.StructType, run: Callable) -> DataFrame:
+    """``mapInArrow`` with this package's modules on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -8,6 +8,8 @@ exploded, joined or collected again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -115,3 +117,41 @@ def restored(rows: pa.RecordBatch, elements: pa.Array, sizes: np.ndarray) -> lis
     place = np.arange(n)
     place[found] = n + order[at[found]]
     return [list_of(sizes, pa.concat_arrays([elements, names]).take(pa.array(place)))]
+
+
+def _changes(values: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls equal each other."""
+    code = _spelled(values)[1]
+    return code[1:] != code[:-1]
+
+
+def merged_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """T15 on ``(id, piece, parent)`` in order: ``(id, pos, token)``, an island a
+    row.  ``held`` is the last island so far, ``at`` its place in its row."""
+    held, at = None, 0
+
+    def of(rows: pa.RecordBatch, last: bool):
+        ids, pieces, parents = rows.columns
+        opens = np.concatenate([[True], _changes(ids)])
+        alone = ~_numpy(parents.is_valid())
+        starts = np.concatenate([[True], opens[1:] | alone[1:] | alone[:-1] | _changes(parents)])
+        first = np.flatnonzero(starts)
+        heads = opens[first]                                   # islands that open a row
+        heads[0] = at == 0
+        number = np.arange(len(first))
+        base = np.maximum.accumulate(np.where(heads, number, -1))
+        pos = np.where(base >= 0, number - base, number + at)
+        n = len(first) if last else len(first) - 1
+        ends = np.append(first, len(starts))[:n + 1]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.fill_null(pieces, ""))
+        token = pc.binary_join(lists, "")
+        made = pa.RecordBatch.from_arrays([ids.take(pa.array(first[:n])), pa.array(pos[:n]), token], [rows.schema.names[0], "pos", "token"])
+        return made, rows.slice(int(first[-1])), int(pos[-1])
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            made, held, at = of(rows, False)
+            yield made
+    if held is not None:
+        yield of(held, True)[0]

@@ -43,7 +43,7 @@ from ..functions import text as T
 from ..session import partition_by_key
 from . import renaming as RN
 from .filters import keep_where
-from .lookup import map_lists
+from .lookup import map_batches, map_lists
 
 MAP_COLS = ["var_dict", "func_dict", "lit_dict", "struct_dict", "class_dict"]
 ALIAS_CLASSES = RN.ALIAS_CLASSES
@@ -296,9 +296,13 @@ def literal_pieces(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "t
     quote, content, escapes, quote, each with the literal as ``parent``;
     other tokens are single pieces without parent.
 
-    Columns ``(id, pos, sub, piece, parent)``; order is (pos, sub).
+    Columns ``(id, pos, sub, piece, parent)``; order is (pos, sub), and a row's
+    pieces follow each other in this order in their partition.  The generator
+    takes a computed array: on a plain column Spark infers filters, pushes them
+    beneath the lexer and its exchange, and the lexer runs again for each.
     """
-    rows = docs.select(id_col, F.posexplode(tokens_col).alias("pos", "_tok"))
+    same = F.filter(tokens_col, lambda _: F.lit(True))
+    rows = docs.select(id_col, F.posexplode(same).alias("pos", "_tok"))
     is_lit = F.col("_tok").rlike("^[\"']")
     parts = F.when(is_lit, F.regexp_extract_all(F.col("_tok"), F.lit(LITERAL_PIECE_RE), 0)) \
         .otherwise(F.array(F.col("_tok")))
@@ -306,19 +310,21 @@ def literal_pieces(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "t
                         F.when(is_lit, F.col("pos")).alias("parent")))
 
 
-def merge_literal_pieces(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def merge_literal_pieces(pieces: DataFrame, id_col: str = "doc_id", ordered: bool = False) -> DataFrame:
     """Consecutive pieces with the same literal parent become one token.
 
     Gaps and islands: an island starts at a piece without parent or whose
     parent differs from the previous piece's; islands are concatenated in
     order.  Output ``(id, pos, token)`` with pos renumbered from 0.
+
+    One pass over the pieces in order, in Arrow batches; only the last island
+    of a batch is carried to the next.  The pieces are partitioned by id and
+    sorted first, unless ``ordered`` states that each id's pieces follow each
+    other in order within a partition, as those of ``literal_pieces`` do for
+    unique ids.
     """
-    w = Window.partitionBy(id_col).orderBy("pos", "sub")
-    prev_parent = F.lag("parent").over(w)
-    start = F.col("parent").isNull() | prev_parent.isNull() | (F.col("parent") != prev_parent)
-    p = pieces.withColumn("_island", F.sum(F.when(start, 1).otherwise(0))
-                          .over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (p.groupBy(id_col, "_island")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sub", "piece"))),
-                                          lambda x: x["piece"]), "").alias("token"))
-            .select(id_col, (F.col("_island") - 1).alias("pos"), "token"))
+    if not ordered:
+        pieces = partition_by_key(pieces, id_col).sortWithinPartitions(id_col, "pos", "sub")
+    pieces = pieces.select(id_col, F.col("piece"), F.col("parent").cast("long").alias("parent"))
+    schema = Ty.StructType([pieces.schema[id_col], Ty.StructField("pos", Ty.LongType()), Ty.StructField("token", Ty.StringType())])
+    return map_batches(pieces, schema, RN.merged_pieces)

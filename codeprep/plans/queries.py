@@ -656,8 +656,7 @@ FROM (SELECT doc_id, {S.tokenize(S.lex_input_raw('code'))} AS toks FROM ({X.SQL_
 def literal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literal pieces (quote, content, escapes, quote) merged back into
     one token per literal; equals the lexer's own tokens."""
-    code = X.code_c(spark, sf_dir).select("doc_id", T.tokenize(T.lex_input_raw("code")).alias("tokens"))
-    merged = TK.merge_literal_pieces(TK.literal_pieces(code))
+    merged = TK.merge_literal_pieces(TK.literal_pieces(code_c_tokens(spark, sf_dir)), ordered=True)
     return merged.select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
 

@@ -105,3 +105,25 @@ def test_tokens_of_a_row_are_made_once(spark):
     start = time.time()
     r = df.select(F.size(TK.merge_directives(T.tokenize("code"))).alias("n"), F.size(TK.neighbours(T.tokenize("code"))).alias("m")).first()
     assert (r["n"], r["m"]) == (4000 * 6, 4000 * 7) and time.time() - start < 60     # minutes before
+
+
+def test_literal_pieces_across_batches(spark):
+    """Islands cut by batch ends, neighbouring literals, and shuffled pieces, against the tokens."""
+    rng = random.Random(4)
+    words = ['"a\\"b\\\\c"', "'x'", '""', "x", "(", None]
+    rows = [(i, [rng.choice(words) for _ in range(rng.randint(0, 25))]) for i in range(60)] + [(60, ['"' + "\\n" * 500 + '"', "y"]), (None, ["'z'", "'z'"])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    expected = sorted(((i, p, t or "") for i, toks in rows for p, t in enumerate(toks)), key=repr)
+    pieces = TK.literal_pieces(df)
+    for size in ("10000", "7", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            ordered = TK.merge_literal_pieces(pieces, ordered=True)
+            assert sorted(map(tuple, ordered.collect()), key=repr) == expected
+            assert "Exchange" not in str(ordered._jdf.queryExecution().executedPlan()).split("MapInArrow")[-1].split("Generate")[0]
+            mixed = TK.merge_literal_pieces(pieces.orderBy(F.rand(5)))
+            assert sorted(map(tuple, mixed.collect()), key=repr) == expected
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = Q.literal_merge(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2              # the lexer and the pieces, once each
