@@ -325,7 +325,7 @@ SELECT keyword, doc_id, hit_rank FROM ({SQL_HITS}) WHERE hit_rank <= {K.KEYWORD_
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query of the panel the 1000 newest snippets (recency = doc_id)
     that contain its tokens in a row, over the whole C++ corpus."""
-    docs = X.code_cpp(spark, sf_dir).select("doc_id", T.tokenize("code").alias("tokens"))
+    docs = spread_if_narrow(X.code_cpp(spark, sf_dir), "doc_id").select("doc_id", T.tokenize("code").alias("tokens"))
     hits = D.panel_hits(docs, K.SEARCH_PANEL, "doc_id", "tokens", "doc_id", K.KEYWORD_HITS)
     return hits.select("keyword", "doc_id", F.col("hit_rank").cast("long").alias("hit_rank"))
 
@@ -338,7 +338,7 @@ ORDER BY doc_id DESC LIMIT {K.FILE_CAP}
 """)
 def accepted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5 + D7: distinct hit documents, newest first, capped, numbered file_0..."""
-    hits = keyword_search(spark, sf_dir).select("doc_id").distinct()
+    hits = materialize(keyword_search(spark, sf_dir).select("doc_id").distinct())    # numbering reads them several times
     capped = D.capped(hits, K.FILE_CAP, [F.col("doc_id").desc()], "doc_id")
     out = D.number_files(capped, [F.col("doc_id").desc()])
     return out.select("doc_id", F.col("file_idx").cast("long").alias("file_idx"), "file_name")

@@ -86,3 +86,12 @@ def test_partition_helpers(spark):
     assert spread_if_narrow(wide, "id") is wide
     by_key = partition_by_key(docs, "doc_id")
     assert by_key.rdd.getNumPartitions() == n                           # explicit count, not coalesced
+
+
+def test_accepted_files_search_once(spark, monkeypatch):
+    """Numbering reads its input several times: it is given a written table, not the search."""
+    seen = []
+    monkeypatch.setattr(Q.D, "capped", lambda hits, *a: seen.append(hits) or hits.limit(0))
+    Q.accepted_files(spark, SF001)
+    plan = physical(seen[0])
+    assert "regexp_extract_all(" not in plan and "Window" not in plan
