@@ -105,7 +105,7 @@ def prepare_stage(lines: DataFrame, max_tokens: int = K.MAX_TOKENS, min_doc_freq
     too_long = V.over_length(raw, "raw_tokens", max_tokens).select(
         "doc_id", F.lit("analysis").alias("stage"), F.lit("too_long").alias("reason"))
     lexed = materialize(TK.obfuscate(V.length_filter(raw, "raw_tokens", max_tokens), keep_cols=["lang"],
-                                     tokens_col="raw_tokens"))
+                                     tokens_col="raw_tokens", repartition=False, max_tokens=max_tokens))
     kept = lexed.withColumnRenamed("transformed_tokens", "tokens")
     if row_cap is not None:                     # D9: the first rows of every language
         kept = D.row_cap(kept, row_cap, ["lang"], ["doc_id"], "doc_id")

@@ -95,3 +95,12 @@ def test_accepted_files_search_once(spark, monkeypatch):
     Q.accepted_files(spark, SF001)
     plan = physical(seen[0])
     assert "regexp_extract_all(" not in plan and "Window" not in plan
+
+
+def test_prepared_tokens_are_renamed_without_shuffle(spark):
+    """Behind the length filter rows are renamed where they are; both ways give the same rows."""
+    df = spark.range(3).selectExpr("id as doc_id", "array('int', 'x', ';') as t").repartition(2, "doc_id")
+    out = TK.obfuscate(df, tokens_col="t", repartition=False, max_tokens=1000)
+    plan = physical(out)
+    assert "Join" not in plan and plan.count("Exchange") == 1 and plan.index("MapInArrow") < plan.index("Exchange")
+    assert sorted(map(str, out.collect())) == sorted(map(str, TK.obfuscate(df, tokens_col="t").collect()))
