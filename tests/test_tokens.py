@@ -83,6 +83,18 @@ def test_entities_are_never_broadcast(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_obfuscate_cpp_broadcasts_nothing_when_run(spark, monkeypatch):
+    """Adaptive planning sees real sizes and may plan a broadcast late: both ways are run, then their final plans read."""
+    rows = []
+    for longest in (TK.IN_ROW_TOKENS, 0):
+        monkeypatch.setattr(TK, "IN_ROW_TOKENS", longest)
+        df = Q.obfuscate_cpp(spark, SF001)
+        rows.append(sorted(map(str, df.collect())))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert rows[0] == rows[1] and len(rows[0]) == spark.read.parquet(f"{SF001}/part.parquet").count()
+
+
 def test_names_are_restored_inside_the_row(spark):
     rows = [(1, ["var0", "lit0", ";", None, "var9"], {"a": "var0"}, {"1": "lit0"}), (2, ["var0"], {"b": "var0"}, {}), (3, ["var0"], {}, {}),
             (4, [], {"c": "var0"}, {})]
